@@ -106,7 +106,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, drops_sp
         def flush() -> pa.RecordBatch:
             path = fresh_name(root, ".tok")
             data = pack_file(np.frombuffer(b"".join(got), dtype="<u4"), ids, [len(x) // 4 for x in got])
-            with fs.open_output_stream(path) as f:
+            with fs.open_output_stream(path, compression=None) as f:
                 f.write(data)
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": path, "n_docs": len(ids), "n_tokens": held, "n_bytes": len(data)}], schema=schema)
 

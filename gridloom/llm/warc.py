@@ -32,6 +32,8 @@ GAP = 1 << 16
 #: Most bytes read in one request, unless one record is longer.
 READ = 8 << 20
 SALTS = 32
+#: An archive is closed once it holds this many bytes.
+ARCHIVE = 256 << 20
 INDEX = "page_id long, path string, offset long, length long, url string, digest string, record_type string, refers_to long, payload_bytes long"
 
 
@@ -103,23 +105,19 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_store(folder)
         fs.create_dir(root, recursive=True)
-        out, path, at = None, "", 0
-        for batch in batches:
-            cols: dict[str, list] = {k: [] for k in ("page_id", "path", "offset", "length", "url", "digest", "record_type", "refers_to", "payload_bytes")}
-            for x in batch.to_pylist():
-                if out is None:
-                    path = fresh_name(root, ".warc.gz")
-                    out = fs.open_output_stream(path)
-                digest = base32_sha1(x["payload"])
-                kind = "revisit" if x["again"] else "response"
-                data = pack(record_bytes(kind, x["page_id"], x["url"], digest, x["payload"], x["refers_to"]))
-                out.write(data)
-                for k, v in zip(cols, (x["page_id"], path, at, len(data), x["url"], digest, kind, x["refers_to"], len(x["payload"])), strict=True):
-                    cols[k].append(v)
-                at += len(data)
-            yield pa.RecordBatch.from_pydict(cols, schema=_ARROW)
-        if out is not None:
-            out.close()
+        rows = (x for batch in batches for x in batch.to_pylist())
+        x = next(rows, None)
+        while x is not None:  # an archive per round; its index rows follow once it is closed
+            path, at = fresh_name(root, ".warc.gz"), 0
+            index: list[tuple] = []
+            with fs.open_output_stream(path, compression=None) as out:
+                while x is not None and at < ARCHIVE:
+                    digest, kind = base32_sha1(x["payload"]), "revisit" if x["again"] else "response"
+                    data = pack(record_bytes(kind, x["page_id"], x["url"], digest, x["payload"], x["refers_to"]))
+                    out.write(data)
+                    index.append((x["page_id"], path, at, len(data), x["url"], digest, kind, x["refers_to"], len(x["payload"])))
+                    at, x = at + len(data), next(rows, None)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*index, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
     return materialize(told.mapInArrow(write, INDEX), "warc-index")
 
