@@ -57,6 +57,12 @@ def op7_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.jaccard import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"), n=3, t=(9, 10))
+
+
 def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.quality import KEEP_TAIL, document_grade, fit_quality, score_quality
 
@@ -74,7 +80,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pareto_mix, op4_token_files, op5_url_cascade, op6_line_blocks, op7_kk_packing, op9_ordinal_quality, op10_warc_index)
+    f.__name__: f for f in (op2_pareto_mix, op4_token_files, op5_url_cascade, op6_line_blocks, op7_kk_packing, op8_vertical_jaccard, op9_ordinal_quality, op10_warc_index)
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -121,16 +127,33 @@ select p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') verdict
 from parts p left join best b on p.page_id is not distinct from b.page_id and p.host = b.phost and p.path = b.ppath
 """
 
+OP8_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') w from documents),
+sh as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+       else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end) s from w),
+n as (select doc_id, count(*) n from sh group by 1),
+sets as (select doc_id, md5(string_agg(s, '|' order by s)) sig, count(*) n from sh group by 1),
+reps as (select sig, min(doc_id) rep, any_value(n) n from sets group by 1),
+rare as (select s, doc_id from sh where doc_id in (select rep from reps)),
+common as (select a.doc_id x, b.doc_id y, count(*) c from rare a join rare b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from common join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 90 * (nx.n + ny.n - c)),
+pairs as (select x, y from links union all select y, x from links),
+reach(x, y) as (select rep, rep from reps union select r.x, b.y from reach r join pairs b on b.x = r.y),
+root as (select x, min(y) root from reach group by 1)
+select d.doc_id, coalesce(s.n, 0)::bigint n_shingles, coalesce(t.root, d.doc_id) component_id
+from documents d left join sets s on s.doc_id = d.doc_id left join reps r on r.sig = s.sig left join root t on t.x = r.rep
+"""
+
 OP10_SQL = r"""
 with rows_ as (select page_id, coalesce(html, '') html, row_number() over (order by page_id) rn from pages),
 sums as (select page_id, rn, octet_length(encode(html))::bigint payload_bytes, sha1(html) sha from rows_),
 head as (select *, first_value(page_id) over (partition by sha, payload_bytes order by page_id, rn) head_id,
          row_number() over (partition by sha, payload_bytes order by page_id, rn) k from sums),
 digits as (select page_id, rn, payload_bytes, head_id, k,
-         list_reduce(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-           (((('0x' || substr(sha || '00', ((i * 5) // 4)::int + 1, 3))::bigint >> (7 - (i * 5) % 4)::int) & 31) + 1)::int, 1)), (a, b) -> a || b) payload_digest from head)
+         list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(sha || '00', ((i * 5) // 4)::int + 1, 3))::bigint >> (7 - (i * 5) % 4)::int) & 31) + 1)::int, 1)), lambda a, b: a || b) payload_digest from head)
 select page_id, payload_bytes, payload_digest, case when k = 1 then 'response' else 'revisit' end record_type,
        case when k > 1 then head_id end refers_to from digits
 """
 
-ORACLES: dict[str, str] = {"op2_pareto_mix": OP2_SQL, "op5_url_cascade": OP5_SQL, "op10_warc_index": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_pareto_mix": OP2_SQL, "op5_url_cascade": OP5_SQL, "op8_vertical_jaccard": OP8_SQL, "op10_warc_index": OP10_SQL}
