@@ -26,12 +26,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.vectorgraph import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.tokenfile import read_token_files, write_token_files
 
@@ -80,7 +92,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pareto_mix, op4_token_files, op5_url_cascade, op6_line_blocks, op7_kk_packing, op8_vertical_jaccard, op9_ordinal_quality, op10_warc_index)
+    f.__name__: f for f in (op1_cross_polytope, op2_pareto_mix, op3_flat_graph, op4_token_files, op5_url_cascade, op6_line_blocks, op7_kk_packing, op8_vertical_jaccard, op9_ordinal_quality, op10_warc_index)
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
