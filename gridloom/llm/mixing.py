@@ -86,57 +86,84 @@ def unit_draw(doc_id: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
 
 
-def mix_sources(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-    weights: tuple[float, ...] = (5, 2, 1),
-    seed: int = 7,
-) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken, source, copies)`` for every row of ``docs``.
-
-    ``copies`` is the number of whole copies, ``taken`` the words in them.  A source's words taken differ
-    from its target by half a document at most, unless no free document is left.
-    """
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    sizes = sizes.withColumn("class", length_class(F.col("size"))).withColumn("u", unit_draw(F.col("doc_id"), seed))
-    sizes = materialize(sizes, "mix-sizes")
-    classes = sizes.groupBy("source", "class").agg(F.sum("size").alias("class_size"))
+def _measured(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
+    """``docs`` with the columns that a decision needs, named so that they clash with no column of its own."""
+    size = word_count(F.col(text))
+    rows = docs.withColumn("_m_row", F.monotonically_increasing_id()).withColumn("_m_source", F.col(source)).withColumn("_m_size", size)
+    return rows.withColumn("_m_class", length_class(F.col("_m_size"))).withColumn("_m_u", unit_draw(F.col(doc_id), seed)).withColumn("_m_id", F.col(doc_id))
+
+
+def _drawn(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with their source's target, whole copies, odds and histogram cell (null: nothing to draw)."""
+    out = rows.join(plan, F.col("_m_source").eqNullSafe(F.col("_p_source")) & (F.col("_m_class") == F.col("_p_class"))).drop("_p_source", "_p_class")
+    whole = F.floor("_p_copies").cast("long")
+    part = F.col("_p_copies") - whole
+    odds = (F.col("_m_u") / (1 - F.col("_m_u"))) / (part / (1 - part))
+    out = out.withColumn("_m_whole", whole).withColumn("_m_odds", F.when((part > 0) & (F.col("_m_size") > 0), odds))
+    return out.withColumn("_m_cell", F.floor(F.col("_m_odds") / (1 + F.col("_m_odds")) * CELLS).cast("int"))
+
+
+def _decided(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], seed: int, slim: bool) -> DataFrame:
+    rows = _measured(docs, doc_id, text, source, seed)
+    need = ["_m_row", "_m_source", "_m_size", "_m_class", "_m_u", "_m_id"]
+    sizes = materialize(rows.select(*need), "mix-sizes")
+    classes = sizes.groupBy(F.col("_m_source").alias("source"), F.col("_m_class").alias("class")).agg(F.sum("_m_size").alias("class_size"))
     targets = source_targets(classes.select("source", F.col("class_size").alias("size")), weights)
-    plan = materialize(class_copies(classes, targets), "mix-plan")
-
-    row = plan.withColumnRenamed("source", "s").withColumnRenamed("class", "c")
-    rows = sizes.join(row, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).drop("s", "c")
-    whole = F.floor("copies").cast("long")
-    part = F.col("copies") - whole
-    odds = (F.col("u") / (1 - F.col("u"))) / (part / (1 - part))
-    # Null where nothing is left to draw: no fraction or no words.
-    rows = rows.withColumn("whole", whole).withColumn("odds", F.when((part > 0) & (F.col("size") > 0), odds))
-    rows = rows.withColumn("cell", F.floor(F.col("odds") / (1 + F.col("odds")) * CELLS).cast("int"))
-
-    sums = rows.groupBy("source", "cell").agg(
-        F.sum(F.when(F.col("cell").isNotNull(), F.col("size"))).alias("words"),
-        F.sum(F.col("whole") * F.col("size")).alias("sure"),
-        F.max("target").alias("target"),
+    plan = materialize(class_copies(classes, targets), "mix-plan").toDF("_p_source", "_p_class", "_p_source_size", "_p_target", "_p_copies")
+
+    drawn = _drawn(sizes, plan)
+    sums = drawn.groupBy("_m_source", "_m_cell").agg(
+        F.sum(F.when(F.col("_m_cell").isNotNull(), F.col("_m_size"))).alias("words"),
+        F.sum(F.col("_m_whole") * F.col("_m_size")).alias("sure"),
+        F.max("_p_target").alias("target"),
     )
-    by_source = Window.partitionBy("source")
-    upto = by_source.orderBy(F.col("cell").asc_nulls_first())
+    by_source = Window.partitionBy("_m_source")
+    upto = by_source.orderBy(F.col("_m_cell").asc_nulls_first())
     sums = sums.withColumn("wanted", F.col("target") - F.sum("sure").over(by_source))
     sums = sums.withColumn("upto", F.coalesce(F.sum("words").over(upto), F.lit(0))).withColumn("before", F.col("upto") - F.coalesce("words", F.lit(0)))
-    cut = sums.where("cell is not null and upto > wanted").groupBy("source").agg(
-        F.min("cell").alias("cut_cell"), F.min("before").alias("before"), F.max("wanted").alias("wanted")
+    cut = sums.where("_m_cell is not null and upto > wanted").groupBy(F.col("_m_source").alias("_c_source")).agg(
+        F.min("_m_cell").alias("_c_cell"), F.min("before").alias("_c_before"), F.max("wanted").alias("_c_wanted")
     )
-    cut = materialize(cut, "mix-cut").withColumnRenamed("source", "s")
-    rows = rows.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-
-    inside = rows.where("cell is not null and cell = cut_cell")
-    order = Window.partitionBy("source").orderBy("odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = F.col("before") + F.sum("size").over(order)
-    inside = inside.withColumn("extra", F.when(reached - F.col("size") / 2 <= F.col("wanted"), 1).otherwise(0).cast("long"))
-    outside = rows.where("cell is null or cut_cell is null or cell <> cut_cell").withColumn(
-        "extra", F.when(F.col("cell").isNotNull() & (F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell"))), 1).otherwise(0).cast("long")
+    cut = materialize(cut, "mix-cut")
+
+    # Only rows of a source's cut cell are ordered.
+    inside = drawn.join(cut, F.col("_m_source").eqNullSafe(F.col("_c_source")) & (F.col("_m_cell") == F.col("_c_cell")))
+    order = Window.partitionBy("_m_source").orderBy("_m_odds", "_m_id", "_m_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = F.col("_c_before") + F.sum("_m_size").over(order)
+    inside = inside.withColumn("_i_take", reached - F.col("_m_size") / 2 <= F.col("_c_wanted"))
+    inside = materialize(inside.select(F.col("_m_row").alias("_i_row"), "_i_take"), "mix-inside")
+
+    out = _drawn(sizes if slim else rows, plan).join(cut, F.col("_m_source").eqNullSafe(F.col("_c_source")), "left")
+    out = out.join(inside, F.col("_m_row") == F.col("_i_row"), "left")
+    lower = F.col("_m_cell").isNotNull() & (F.col("_c_cell").isNull() | (F.col("_m_cell") < F.col("_c_cell")))
+    extra = F.when(F.coalesce(F.col("_i_take"), lower), 1).otherwise(0)
+    return out.withColumn("_m_copies", (F.col("_m_whole") + extra).cast("long"))
+
+
+def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), seed: int = 7) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken, source, copies)`` for every row of ``docs``.
+
+    ``copies`` is the number of whole copies, ``taken`` the words in them.  A source's words taken differ
+    from its target by half a document at most, unless no free document is left.
+    """
+    out = _decided(docs, doc_id, text, source, weights, seed, slim=True)
+    return out.select(
+        F.col("_m_id").alias("doc_id"),
+        F.col("_m_size").alias("size"),
+        F.col("_p_source_size").alias("source_size"),
+        F.col("_p_target").alias("target"),
+        (F.col("_m_copies") * F.col("_m_size")).alias("taken"),
+        F.col("_m_source").alias("source"),
+        F.col("_m_copies").alias("copies"),
     )
-    out = inside.unionByName(outside)
-    copies = (F.col("whole") + F.col("extra")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), seed: int = 7) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, in the columns of ``docs``.
+
+    Rows of no words are never taken.  Texts are not shuffled: plan and cut are joined to the scanned rows.
+    """
+    out = _decided(docs, doc_id, text, source, weights, seed, slim=False)
+    copies = F.when(F.col("_m_size") > 0, F.col("_m_copies")).otherwise(0)
+    out = out.withColumn("_m_n", copies).where("_m_n > 0").withColumn("_m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_n"))))
+    return out.select(*docs.columns)
