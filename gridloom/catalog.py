@@ -1,10 +1,877 @@
-"""Registered queries of the panel operators on the driver's tables."""
+"""Registered queries of the panel operators on the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions import text as X
+from gridloom.operators import aggregates as A
+from gridloom.operators import checks as V
+from gridloom.operators import impute as M
+from gridloom.operators import index as I
+from gridloom.operators import joins as J
+from gridloom.operators import panelstats as S
+from gridloom.operators import reshape as R
+from gridloom.operators import rows as C
+from gridloom.operators import text_groups as T
+from gridloom.operators import windows as W
+from gridloom.plans import base as B
+from gridloom.sources import tables as IO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rnd(df: DataFrame, digits: int = 4, *cols: str) -> DataFrame:
+    """Doubles rounded, so that sums of another order compare equal."""
+    which = cols or [c for c, k in df.dtypes if k == "double"]
+    return df.withColumns({c: F.round(c, digits) for c in which})
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query("select count(*)::bigint n_rows, 'orders' as name, 'input' as role from orders")
+def s07_describe_dataset(spark, d):
+    return IO.describe_dataset(B.read(spark, d, "orders"), "orders", "input").select("n_rows", "name", "role")
+
+
+@query(r"""select page_id, (i - 1)::int row_no, m[i] cell from (select page_id, regexp_extract_all(html, '(?is)<li\b[^>]*>\s*<a\b[^>]*>([^<&]*)</a>\s*</li\s*>', 1) m from pages), unnest(range(1, len(m) + 1)) t(i)""")
+def s09_html_rows(spark, d):
+    rows = IO.html_rows(B.read(spark, d, "pages"), row=r"(?is)<li\b[^>]*>\s*(<a\b[^>]*>[^<&]*</a>)\s*</li\s*>", cell=r"(?is)(<a\b[^>]*>.*?</a>)")
+    return rows.select("page_id", "row_no", F.col("cells")[0].alias("cell"))
+
+
+@query(r"""select page_id, coalesce(list_max(list_transform(regexp_extract_all(url, '[?&]page=(\d+)', 1), lambda x: x::int)), 1)::int last_page from pages""")
+def s09_html_last_page(spark, d):
+    return IO.html_last_page(B.read(spark, d, "pages"), html="url")
+
+
+# ---------------------------------------------------------------- checks
+
+
+@query("select l_orderkey, l_linenumber, count(*) n_rows from lineitem group by all having count(*) > 1")
+def v02_duplicate_keys(spark, d):
+    return V.duplicate_keys(B.read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("with " + B.DETAIL + """, have as (select distinct region, year, subarea from detail), want as (select n_name region, y::int as year, s subarea from nation, range(1995, 2003) t(y), (select distinct p_type s from part))
+select want.*, 'missing' problem from want anti join have using (region, year, subarea) union all select have.*, 'unexpected' from have anti join want using (region, year, subarea)""")
+def v03_grid_gaps(spark, d):
+    det = B.detail(spark, d)
+    regions = [r[0] for r in B.read(spark, d, "nation").select("n_name").collect()]
+    subs = [r[0] for r in B.read(spark, d, "part").select("p_type").distinct().collect()]
+    return V.grid_gaps(det.select("region", "year", "subarea"), {"region": regions, "year": list(range(1995, 2003)), "subarea": subs}).select("region", "year", "subarea", "problem")
+
+
+@query("""with y as (select distinct o_custkey, year(o_orderdate)::int as year from orders), l as (select *, lag(year) over (partition by o_custkey order by year) previous_year from y)
+select o_custkey, previous_year, year from l where year - previous_year <> 1""")
+def v04_year_gaps(spark, d):
+    y = B.read(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("year")).distinct()
+    return V.year_gaps(y, ["o_custkey"], "year").select("o_custkey", "previous_year", "year")
+
+
+@query("select count(*) filter (not (l_quantity > 0))::bigint l_quantity, count(*) filter (not (l_discount between 0 and 0.05))::bigint l_discount, count(*) filter (not (l_tax >= 0))::bigint l_tax from lineitem")
+def v05_domain_violations(spark, d):
+    return V.domain_violations(B.read(spark, d, "lineitem"), {"l_quantity": "positive", "l_discount": (0, 0.05), "l_tax": "non_negative"})
+
+
+@query("select o_custkey, count(distinct o_orderpriority)::bigint n_values from orders group by 1 having count(distinct o_orderpriority) > 1")
+def v07_fd_violations(spark, d):
+    return V.fd_violations(B.read(spark, d, "orders"), ["o_custkey"], "o_orderpriority")
+
+
+@query("select c_nationkey, list_sort(list(distinct c_mktsegment))::varchar found from customer group by 1 having list_sort(list(distinct c_mktsegment)) <> ['BUILDING', 'MACHINERY']")
+def v08_group_sets(spark, d):
+    bad = V.group_set_violations(B.read(spark, d, "customer"), ["c_nationkey"], "c_mktsegment", ["BUILDING", "MACHINERY"])
+    return bad.select("c_nationkey", F.concat(F.lit("["), F.array_join("found", ", "), F.lit("]")).alias("found"))
+
+
+@query("""select 'lineitem' section, n "check", '0' expected, v::varchar actual, case when v = 0 then 'PASS' else 'FAIL' end verdict, '' note from
+(select unnest(['null quantity', 'returned']) n, unnest([count(*) filter (l_quantity is null), count(*) filter (l_returnflag = 'R')]) v from lineitem)""")
+def v09_expectations(spark, d):
+    li = B.read(spark, d, "lineitem")
+    return V.Checks(spark).add_counts("lineitem", li, {"null quantity": (F.col("l_quantity").isNull(), 0), "returned": (F.col("l_returnflag") == "R", 0)}).to_df()
+
+
+@query("""with a as (select o_custkey k, sum(o_totalprice) v from orders where o_orderkey % 10 <> 0 group by 1), b as (select o_custkey k, sum(o_totalprice) v from orders group by 1)
+select coalesce(a.k, b.k) o_custkey, round(a.v, 2) left_total, round(b.v, 2) right_total, round(case when abs(a.v - b.v) <= 1e-6 then 0 else a.v - b.v end, 2) diff,
+case when a.k is null then 'right only' when b.k is null then 'left only' when abs(a.v - b.v) <= 1e-6 then 'equal' else 'different' end status from a full join b on a.k = b.k""")
+def v10_reconcile(spark, d):
+    o = B.read(spark, d, "orders")
+    return rnd(V.reconcile(o.where("o_orderkey % 10 <> 0"), o, ["o_custkey"], "o_totalprice"), 2)
+
+
+_V11 = """a as (select c_custkey k, c_acctbal v from customer where c_custkey % 7 <> 0), b as (select c_custkey k, c_acctbal + case when c_custkey % 5 = 0 then 1 else 0 end v from customer where c_custkey % 11 <> 0),
+det as (select coalesce(a.k, b.k) c_custkey, abs(a.v - b.v) dd, case when a.k is null then 'right only' when b.k is null then 'left only' when abs(a.v - b.v) <= 1e-9 then 'equal' else 'mismatch' end status from a full join b on a.k = b.k)"""
+
+
+@query("with " + _V11 + """ select count(*)::bigint n_keys, count(*) filter (status = 'equal')::bigint equal, count(*) filter (status = 'mismatch')::bigint mismatch, count(*) filter (status = 'left only')::bigint left_only,
+count(*) filter (status = 'right only')::bigint right_only, round(max(dd), 4) max_abs_diff from det""")
+def v11_compare_tables(spark, d):
+    c = B.read(spark, d, "customer")
+    other = c.where("c_custkey % 11 <> 0").withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0))
+    _, summary = V.compare_keyed(c.where("c_custkey % 7 <> 0"), other, ["c_custkey"], "c_acctbal")
+    return rnd(summary.select("n_keys", "equal", "mismatch", "left_only", "right_only", "max_abs_diff"))
+
+
+@query("""with a as (select l_returnflag f, l_linestatus s, count(*) * 2 n from lineitem group by all), b as (select l_returnflag f, l_linestatus s, count(*) n from (select * from lineitem union all select * from lineitem where l_linenumber <> 1) group by all)
+select coalesce(a.f, b.f) l_returnflag, coalesce(a.s, b.s) l_linestatus, coalesce(a.n, 0)::bigint n_left, coalesce(b.n, 0)::bigint n_right from a full join b on a.f = b.f and a.s = b.s where coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def v12_multiset_diff(spark, d):
+    li = B.read(spark, d, "lineitem")
+    return V.multiset_diff(li, li.unionByName(li.where("l_linenumber <> 1")), ["l_returnflag", "l_linestatus"], factor=2)
+
+
+@query("with " + B.SUBPANEL + ", sh as (select region, year, budget / sum(budget) over (partition by region, year) s from subpanel) select region, year, round(sum(s), 6) total, count(*) filter (not (s between 0 and 1))::bigint n_bad, abs(sum(s) - 1) <= 1e-9 passed from sh group by all")
+def v13_check_shares(spark, d):
+    sh = W.share(B.subpanel(spark, d), ["region", "year"], "budget", check=False)
+    return rnd(V.check_shares(sh, ["region", "year"], "share"), 6)
+
+
+@query("""with b as (select p_partkey, 1 + (p_size % 20) / 20.0 m from part), v as (select m, 1 - abs(m - 2.5) / 2 v, round(1 - abs(m - 2.5) / 2, 4) pub from b)
+select count(*)::bigint n, count(*) filter (m >= 2.5)::bigint n_above, count(*) filter (m < 2.5)::bigint n_below, round(max(abs(v - pub)), 6) max_abs_diff, true safe from v""")
+def v14_no_crossing(spark, d):
+    p = B.read(spark, d, "part").select((1 + (F.col("p_size") % 20) / 20.0).alias("m")).withColumn("pub", F.round(1 - F.abs(F.col("m") - 2.5) / 2, 4))
+    return rnd(V.check_no_crossing(p, "m", 2.5, "pub"), 6)
+
+
+# ---------------------------------------------------------------- scalar functions
+
+
+@query("with " + B.OUTLINE + " select region, src_row, item_name, row_type from outline")
+def c01_classify_row(spark, d):
+    return B.outline(spark, d).select("region", "src_row", "item_name", X.classify_row(F.col("item_name")).alias("row_type"))
+
+
+@query("with " + B.OUTLINE + """ select region, src_row, case when src_row % 1000000 between 10 and 40 and row_type = 'leaf' then 'noted' when row_type = 'leaf' and item_name like '%7' then 'seven' else row_type end row_type from outline""")
+def c02_row_type_rules(spark, d):
+    rules = spark.createDataFrame([(1, None, None, None, None, None, "7$", "seven")], "priority int, year int, region string, row_lo long, row_hi long, name string, regex string, new_type string")
+    rows = B.outline(spark, d).withColumn("row_type", X.classify_row(F.col("item_name")))
+    low = rows.where("row_type = 'leaf' and src_row % 1000000 between 10 and 40").select(F.lit(2).alias("priority"), "year", "region", F.col("src_row").alias("row_lo"), F.col("src_row").alias("row_hi"), F.col("item_name").alias("name"), F.lit(None).cast("string").alias("regex"), F.lit("noted").alias("new_type"))
+    heads = rows.where("row_type <> 'leaf'")
+    leaves = C.apply_row_type_rules(rows.where("row_type = 'leaf'"), rules.unionByName(low))
+    return leaves.select("region", "src_row", "row_type").unionByName(heads.select("region", "src_row", "row_type"))
+
+
+@query(r"""select doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) cleaned from documents""")
+def c05_clean_text(spark, d):
+    return B.read(spark, d, "documents").select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
+
+
+@query("with " + B.RAW + " select row_id, case when raw = '-' then 0.0 else try_cast(replace(raw, ',', '') as double) end amount from raw")
+def c06_parse_amount(spark, d):
+    return B.raw_amounts(spark, d).select("row_id", X.parse_amount(F.col("raw")).alias("amount"))
+
+
+@query("with " + B.PANEL + """ select region, year, round(budget - p, 4) change, round(case when p <> 0 then (budget - p) / p * 100 end, 1) rate from (select *, lag(budget) over (partition by region order by year) p from panel)""")
+def c08_budget_change(spark, d):
+    from pyspark.sql import Window
+
+    p = B.panel(spark, d).withColumn("p", F.lag("budget").over(Window.partitionBy("region").orderBy("year")))
+    x = X.budget_change(F.col("budget"), F.col("p"))
+    return rnd(p.select("region", "year", x["change"].alias("change"), x["rate"].alias("rate")), 4, "change")
+
+
+@query(r"""select doc_id, length(regexp_replace(lower(text), '[^0-9a-z가-힣]', '', 'g'))::int n from documents""")
+def c09_keyword_key(spark, d):
+    return B.read(spark, d, "documents").select("doc_id", F.length(X.keyword_key(F.col("text"))).alias("n"))
+
+
+@query("""with a as (select n_name alias, r_name region from nation join region on n_regionkey = r_regionkey where n_nationkey % 2 = 0)
+select c_custkey, coalesce(a.region, case when starts_with(n_name, 'NATION_1') then 'ONE' when starts_with(n_name, 'NATION') then 'ANY' end) region from customer join nation on c_nationkey = n_nationkey left join a on a.alias = n_name""")
+def c11_map_region(spark, d):
+    c, n, r = (B.read(spark, d, t) for t in ("customer", "nation", "region"))
+    alias = n.where("n_nationkey % 2 = 0").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("alias"), F.col("r_name").alias("region"))
+    pre = spark.createDataFrame([("NATION", "ANY"), ("NATION_1", "ONE")], "prefix string, region string")
+    return C.map_region(c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name"), "n_name", alias, pre).select("c_custkey", "region")
+
+
+@query("with " + B.RAW + """, x as (select *, case when raw = '-' then 0.0 else try_cast(replace(raw, ',', '') as double) end amount from raw)
+select o_orderpriority region, count(*)::bigint n, count(amount)::bigint n_amount, count(*) filter (raw is null)::bigint n_missing, count(*) filter (raw is not null and amount is null)::bigint n_text from x group by 1""")
+def c14_extract_leaves(spark, d):
+    raw = B.raw_amounts(spark, d).select(F.col("o_orderpriority").alias("region"), "year", F.col("row_id").alias("src_row"), F.lit("some item").alias("item_name"), F.col("raw").alias("budget_cur_raw"))
+    leaf = C.extract_leaves(raw)
+    return leaf.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.count("amount").alias("n_amount"), F.count_if("amount_missing").alias("n_missing"), F.count_if("non_numeric").alias("n_text"))
+
+
+@query(r"""select doc_id, len(regexp_extract_all(text, '[0-9]+'))::int n_numbers, coalesce(array_to_string(regexp_extract_all(text, '[0-9]+'), '|'), '') numbers from documents""")
+def c18_extract_numbers(spark, d):
+    n = X.extract_numbers(F.col("text"))
+    return B.read(spark, d, "documents").select("doc_id", F.size(n).alias("n_numbers"), F.array_join(n, "|").alias("numbers"))
+
+
+@query("with " + B.REWRITTEN + r""" select doc_id, case when trim(cleaned) = '' then 'blank' when regexp_extract_all(original, '[0-9]+') <> regexp_extract_all(cleaned, '[0-9]+') then 'numbers' else 'kept' end verdict from rewritten""")
+def c19_preservation(spark, d):
+    flags = X.preservation_flags(F.col("original"), F.col("cleaned"))
+    verdict = F.when(F.array_contains(flags, "blank result"), "blank").when(F.array_contains(flags, "numbers differ"), "numbers").otherwise("kept")
+    return B.rewritten(spark, d).select("doc_id", verdict.alias("verdict"))
+
+
+@query("with " + B.REWRITTEN + r""" select doc_id, round_even(length(regexp_replace(cleaned, '[ \t\n\x0B\f\r]+', '', 'g'))::double / nullif(length(regexp_replace(original, '[ \t\n\x0B\f\r]+', '', 'g')), 0), 4) ratio from rewritten""")
+def c37_length_ratio(spark, d):
+    return B.rewritten(spark, d).select("doc_id", X.length_ratio(F.col("original"), F.col("cleaned")).alias("ratio"))
+
+
+@query()
+def c20_audit_candidates(spark, d):
+    return C.reason_histogram(C.audit_candidates(B.rewritten(spark, d), "original", "cleaned"))
+
+
+@query("select o_orderkey, case when year(o_orderdate) between 1995 and 1996 then 'first' when year(o_orderdate) between 1997 and 1999 then 'second' else 'out of range' end period from orders")
+def c23_period_of_year(spark, d):
+    return B.read(spark, d, "orders").select("o_orderkey", X.period_of(F.year("o_orderdate"), [(1995, 1996, "first"), (1997, 1999, "second")]).alias("period"))
+
+
+@query("""select source, 'preferred' text_source, count(*) filter (trim(text) <> '')::bigint n from documents group by 1""")
+def c24_coalesce_text(spark, d):
+    out, _ = C.coalesce_text(B.read(spark, d, "documents").withColumn("fallback", F.lit(None).cast("string")).select("source", F.col("text").alias("t"), "fallback"), "t", "fallback")
+    return out.groupBy("source", "text_source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select d.doc_id, case when l.quality is not null then 'q' || l.quality else d.source end as label, case when l.quality is not null then 'reviewed' else 'predicted' end label_source from documents d left join labels l using (doc_id)""")
+def c28_select_label(spark, d):
+    docs = B.read(spark, d, "documents").join(B.read(spark, d, "labels"), "doc_id", "left")
+    rows = docs.select("doc_id", F.col("source").alias("pred_label"), F.when(F.col("quality").isNotNull(), F.concat(F.lit("q"), F.col("quality").cast("string"))).alias("review_label"), F.when(F.col("quality").isNotNull(), "confirmed").alias("status"), F.lit(None).cast("string").alias("note"))
+    taxonomy = spark.createDataFrame([("q0", "low"), ("q1", "high")], "child string, parent string")
+    return C.select_label(rows, taxonomy).select("doc_id", "label", "label_source")
+
+
+@query("""with p as (select p_partkey, (p_size % 7)::double b, (p_size % 5)::double r, case p_size % 3 when 0 then 'higher' when 1 then 'lower' else 'target' end dir from part),
+g as (select *, case dir when 'higher' then b - r when 'lower' then r - b else abs(r - 3) - abs(b - 3) end gain from p) select p_partkey, case when abs(gain) <= 1e-12 then 'same' when gain > 0 then 'improved' else 'worsened' end verdict from g""")
+def c31_direction_result(spark, d):
+    k = F.col("p_size")
+    way = F.when(k % 3 == 0, "higher").when(k % 3 == 1, "lower").otherwise("target")
+    return B.read(spark, d, "part").select("p_partkey", X.direction_result((k % 7).cast("double"), (k % 5).cast("double"), way, F.lit(3.0)).alias("verdict"))
+
+
+@query("select c_custkey, round(ln(1 + abs(c_acctbal)), 6) log_level, round(exp(c_acctbal / 10000) - 1, 6) effect from customer")
+def c36_log_transform(spark, d):
+    return rnd(B.read(spark, d, "customer").select("c_custkey", F.log1p(F.abs("c_acctbal")).alias("log_level"), F.expm1(F.col("c_acctbal") / 10000).alias("effect")), 6)
+
+
+# ---------------------------------------------------------------- duplicates
+
+
+@query("""with x as (select event_id, event_type, user_id, lag(event_type) over w p, lag(user_id) over w q from events window w as (order by event_id)) select event_id, event_type, user_id from x where event_type = p and user_id = q""")
+def d02_adjacent_duplicates(spark, d):
+    e = B.read(spark, d, "events").withColumn("part", F.floor(F.col("event_id") / 100_000_000))
+    return C.adjacent_duplicates(e.select("part", "event_id", "event_type", "user_id"), "event_id", ["part"]).select("event_id", "event_type", "user_id")
+
+
+@query("""with r as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity) pos from lineitem)
+select l_orderkey, count(*)::bigint n_blocks, round(sum(amount), 2) amount from (select l_orderkey, sum(l_extendedprice) amount from r group by l_orderkey, pos) group by 1""")
+def d03_collapse_blocks(spark, d):
+    from pyspark.sql import Window
+
+    li = B.read(spark, d, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    # Equal tokens everywhere: every row repeats the one before and starts a block of its own.
+    rows = li.withColumn("pos", F.row_number().over(order)).select("l_orderkey", "pos", F.lit("item").alias("item_name"), F.lit("국비").alias("funding"), F.col("l_extendedprice").alias("amount"))
+    out = C.collapse_blocks(rows, ["item_name"], "pos", "funding", ["amount"], part=["l_orderkey"])
+    return rnd(out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("amount").alias("amount")), 2)
+
+
+@query("""select 'line' spec, count(*)::bigint n_rows, count(distinct (l_orderkey, l_linenumber))::bigint n_distinct, (count(*) - count(distinct (l_orderkey, l_linenumber)))::bigint n_surplus from lineitem
+union all select 'part', count(*), count(distinct l_partkey), count(*) - count(distinct l_partkey) from lineitem""")
+def d04_duplicate_profile(spark, d):
+    return C.duplicate_profile(B.read(spark, d, "lineitem"), {"line": ["l_orderkey", "l_linenumber"], "part": ["l_partkey"]})
+
+
+@query("select n_regionkey, n_regionkey * 2 as twice from nation group by 1")
+def d05_collapse_consistent(spark, d):
+    n = B.read(spark, d, "nation").withColumn("twice", F.col("n_regionkey") * 2)
+    return C.collapse_consistent(n, ["n_regionkey"], ["twice"])
+
+
+@query("select o_custkey, min(o_orderkey) o_orderkey from orders group by 1")
+def d06_keep_first(spark, d):
+    return C.keep_first(B.read(spark, d, "orders"), ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+# ---------------------------------------------------------------- joins
+
+
+@query("select c_custkey, c_name, n_name, n_name is not null matched from customer left join (select * from nation where n_nationkey % 4 <> 0) n on c_nationkey = n_nationkey")
+def j01_join_checked(spark, d):
+    n = B.read(spark, d, "nation").where("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return J.join_checked(B.read(spark, d, "customer"), n, ["c_nationkey"]).select("c_custkey", "c_name", "n_name", "matched")
+
+
+@query("select s_suppkey, n_name from supplier join nation on s_nationkey = n_nationkey")
+def j02_lookup_join(spark, d):
+    n = B.read(spark, d, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
+    return J.lookup_join(B.read(spark, d, "supplier"), n, ["s_nationkey"], "n_name").select("s_suppkey", "n_name")
+
+
+@query("with " + B.PANEL + " select a.region, a.year, a.budget, b.outcome, b.year target_year from panel a join panel b on a.region = b.region and b.year = a.year + 2")
+def j05_offset_join(spark, d):
+    p = B.panel(spark, d)
+    return J.offset_join(p.select("region", "year", "budget"), p.select("region", "year", "outcome"), ["region"], k=2)
+
+
+@query("with " + B.PANEL + """, c as (select region, year, lead(year) over w ny, lead(budget) over w - budget dx, lead(outcome) over w - outcome dy from panel window w as (partition by region order by year)),
+k as (select * from c where ny = year + 1) select a.region, a.year base_year, round(a.dx, 4) dx, round(b.dy, 6) dy, false flag from k a join k b on a.region = b.region and b.year = a.year + 2""")
+def j06_change_offset_join(spark, d):
+    p = B.panel(spark, d)
+    out = J.change_offset_join(p.select("region", "year", F.col("budget").alias("x")), p.select("region", "year", F.col("outcome").alias("y")), ["region"])
+    return rnd(rnd(out, 4, "dx"), 6, "dy").select("region", "base_year", "dx", "dy", "flag")
+
+
+@query("with " + B.SUBPANEL + """, want as (select n_name region, y::int as year, s subarea from nation, range(1995, 2004) t(y), (select distinct p_type s from part))
+select want.*, coalesce(budget, 0) budget from want left join (select region, year, subarea, budget from subpanel) using (region, year, subarea)""")
+def j07_grid_fill(spark, d):
+    sub = B.subpanel(spark, d).select("region", "year", "subarea", "budget")
+    regions = [r[0] for r in B.read(spark, d, "nation").select("n_name").collect()]
+    return J.fill_grid(sub, {"region": regions, "year": list(range(1995, 2004)), "subarea": list(B.AREAS)}, ["budget"])
+
+
+@query("with " + B.INDICATORS + " select indicator_id, region, year, (nk + year) % 7 = 0 block from indicators where value is null")
+def j08_apply_policy(spark, d):
+    p = B.indicators(spark, d)
+    miss = p.where("value is null")
+    rules = miss.groupBy("region", "year", ((F.col("nk") + F.col("year")) % 7 == 0).alias("block")).agg(F.collect_set("indicator_id").alias("indicator_ids"))
+    rules = rules.select(F.array("region").alias("regions"), F.array("year").alias("years"), "indicator_ids", "block")
+    return J.apply_policy(p.select("indicator_id", "region", "year", "value"), rules)
+
+
+@query("select c_custkey, case when c_custkey % 10 = 0 then 1.5 when c_custkey % 3 = 0 then null else c_acctbal end c_acctbal from customer")
+def j10_guarded_update(spark, d):
+    c = B.read(spark, d, "customer").select("c_custkey", F.when((F.col("c_custkey") % 10 != 0) & (F.col("c_custkey") % 3 != 0), F.col("c_acctbal")).alias("c_acctbal"))
+    return J.guarded_update(c, c.where("c_custkey % 10 = 0").select("c_custkey", F.lit(1.5).alias("new_value")), ["c_custkey"], "c_acctbal")[0]
+
+
+@query("select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_custkey % 5 = 0)")
+def j11_guarded_delete(spark, d):
+    o, gone = B.read(spark, d, "orders"), B.read(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    n = o.join(gone, "o_custkey", "left_semi").count()
+    return J.guarded_delete(o, gone, ["o_custkey"], n)[0].select("o_orderkey", "o_custkey")
+
+
+@query("select p_partkey, a, not (ends_with(p_name, a)) false_match from part, (values ('ring'), ('red'), ('bolt')) t(a) where contains(p_name, a)")
+def j14_containment(spark, d):
+    p = B.read(spark, d, "part").withColumn("tail", F.regexp_extract("p_name", r"(\S+)$", 1))
+    alias = spark.createDataFrame([("ring",), ("red",), ("bolt",)], "alias string").withColumn("region", F.col("alias"))
+    return J.containment_matches(p, "p_name", alias, "tail").select("p_partkey", F.col("alias").alias("a"), "false_match")
+
+
+@query()
+def j15_near_duplicates(spark, d):
+    p = B.read(spark, d, "part").select("p_type", "p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("name"))
+    out = J.near_duplicates(p, ["p_type"], "name", "p_partkey", 94)
+    return out.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least"))
+
+
+@query("""with c as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) k from orders), z as (select o_custkey, k from c where o_orderkey % 50 = 0)
+select c.o_custkey, c.o_orderkey, z.k centre, (c.k - z.k)::int as "offset" from c join z on c.o_custkey = z.o_custkey and abs(c.k - z.k) <= 2""")
+def j19_context_rows(spark, d):
+    from pyspark.sql import Window
+
+    c = B.read(spark, d, "orders").withColumn("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long"))
+    return J.context_rows(c.select("o_custkey", "o_orderkey", "k"), c.where("o_orderkey % 50 = 0"), "k", ["o_custkey"], 2).select("o_custkey", "o_orderkey", "centre", "offset")
+
+
+@query("""with a as (select case when l_linenumber = 3 then null else l_linenumber end k, count(*) n from lineitem group by 1), b as (select case when l_linenumber % 3 = 0 then null else l_linenumber end k, sum(l_quantity) q from lineitem group by 1)
+select coalesce(a.k, b.k)::int k, a.n::bigint n, b.q, case when a.n is null then 'right only' when b.q is null then 'left only' else 'both' end join_state from a full join b on a.k is not distinct from b.k""")
+def j20_null_safe_join(spark, d):
+    li = B.read(spark, d, "lineitem")
+    a = li.groupBy(F.when(F.col("l_linenumber") != 3, F.col("l_linenumber")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    b = li.groupBy(F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linenumber")).alias("k")).agg(F.sum("l_quantity").alias("q"))
+    return J.join_null_safe(a, b, ["k"], "full_outer")
+
+
+# ---------------------------------------------------------------- aggregates
+
+
+@query("with " + B.DETAIL + " select region, year, round(sum(amount), 4) budget, count(*)::bigint n_items, count(amount)::bigint n_amounts, 0::bigint n_missing, 0::bigint n_non_numeric, 0::bigint n_negative from detail group by all")
+def a01_budget_panel(spark, d):
+    return rnd(A.budget_panel(B.detail(spark, d)), 4)
+
+
+@query("with " + B.OUTLINE + """, x as (select o.*, case when row_type = 'leaf' then (src_row // 1000000)::bigint else null end nk from outline o),
+leaf as (select region, nk, sum(budget) leaf_sum from x where row_type = 'leaf' group by all), sub as (select region, src_row // 1000000 nk, item_name medium_head, budget subtotal from x where row_type = 'medium_subtotal')
+select s.region, medium_head, round(subtotal, 2) subtotal, round(leaf_sum, 2) leaf_sum, round(leaf_sum - subtotal, 2) diff, case when abs(leaf_sum - subtotal) <= 0.5 then 'match' else 'mismatch' end result from sub s join leaf l using (region, nk)""")
+def a03_subtotal_qa(spark, d):
+    rows = B.outline(spark, d).withColumn("row_type", X.classify_row(F.col("item_name")))
+    rows = C.assign_headings(rows, ["region", "year"])
+    qa = A.subtotal_qa(rows, "budget", tol=0.5)
+    return rnd(qa.select("region", "medium_head", "subtotal", "leaf_sum", "diff", "result"), 2)
+
+
+@query("with " + B.DETAIL + """, want as (select n_name region, y::int as year, s.area from nation, range(1995, 2003) t(y), (select distinct area from detail) s) select want.*, round(coalesce(budget, 0), 4) budget from want left join (select region, year, area, sum(amount) budget from detail group by all) using (region, year, area)""")
+def a04_area_panels(spark, d):
+    regions = [r[0] for r in B.read(spark, d, "nation").select("n_name").collect()]
+    taxonomy = spark.createDataFrame([(v, k) for k, v in B.AREAS.items()], "area string, subarea string")
+    area, _ = A.area_panels(B.detail(spark, d), {"region": regions, "year": list(range(1995, 2003))}, taxonomy)
+    return rnd(area.select("region", "year", "area", "budget"), 4)
+
+
+@query("with " + B.INDICATORS + " select region, year, round(case when count(value) = count(*) then sum(value) end, 6) total from indicators group by all")
+def a05_complete_sum(spark, d):
+    return rnd(B.indicators(spark, d).groupBy("region", "year").agg(A.complete_sum("value").alias("total")), 6)
+
+
+@query("with " + B.SUBPANEL + " select year, area, subarea, round(sum(budget), 4) total, round(sum(budget) / sum(sum(budget)) over (partition by year) * 100, 4) share_pct from subpanel group by year, area, subarea")
+def a06_composition(spark, d):
+    return rnd(A.composition(B.subpanel(spark, d)), 4)
+
+
+@query("with " + B.DETAIL + " select region, year, l_returnflag label_source, count(*)::bigint n, round(sum(amount), 4) amount, round(count(*) / sum(count(*)) over (partition by region, year), 6) share_n, round(sum(amount) / sum(sum(amount)) over (partition by region, year), 6) share_amount from detail group by region, year, l_returnflag")
+def a07_label_source_summary(spark, d):
+    return rnd(rnd(A.label_source_summary(B.detail(spark, d).withColumnRenamed("l_returnflag", "label_source")), 4, "amount"), 6, "share_n", "share_amount")
+
+
+@query("select event_type, round(100 * coalesce(sum(case when value > 50 then value end), 0) / sum(case when user_id % 2 = 0 then value end), 4) rate from events where user_id % 2 = 0 group by 1")
+def a09_weighted_rate(spark, d):
+    return rnd(A.weighted_rate(B.read(spark, d, "events"), F.col("value") > 50, F.col("user_id") % 2 == 0, "value", ["event_type"]))
+
+
+@query("""with b as (select c_nationkey region, count(*) filter (c_custkey % 2 = 0) n from customer group by 1), a as (select c_nationkey region, count(*) n from customer group by 1)
+select a.region, round((a.n + b.n) / 2.0, 4) raw, round((a.n + b.n) / 2.0 * 1000 / sum((a.n + b.n) / 2.0) over (), 4) raked, round((a.n + b.n) / 2.0 * 1000 / sum((a.n + b.n) / 2.0) over () / a.n * 100, 4) rate from a join b using (region)""")
+def a13_raking(spark, d):
+    c = B.read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("region"))
+    before, after = c.agg(F.count_if(F.col("c_custkey") % 2 == 0).alias("n")), c.agg(F.count(F.lit(1)).alias("n"))
+    totals = spark.createDataFrame([(2000, 1000.0)], "year int, total double")
+    den = after.select("region", F.lit(2000).alias("year"), F.col("n").alias("denominator"))
+    return rnd(A.rake(before, after, totals, den).select("region", "raw", "raked", "rate"))
+
+
+@query("with " + B.PANEL + """, c as (select region, year, lead(year) over w ny, lead(budget) over w - budget dx, lead(outcome) over w - outcome dy from panel window w as (partition by region order by year)),
+k as (select * from c where ny = year + 1), e as (select a.region, a.dx, b.dy from k a join k b on a.region = b.region and b.year = a.year + 2 where a.dx < 0)
+select region, count(*)::bigint n_events, count(*) filter (dy > 0)::bigint n_response, round(count(*) filter (dy > 0) * 100.0 / count(*), 4) response_rate from e group by 1""")
+def a14_event_response(spark, d):
+    p = B.panel(spark, d)
+    out = J.change_offset_join(p.select("region", "year", F.col("budget").alias("x")), p.select("region", "year", F.col("outcome").alias("y")), ["region"])
+    return rnd(A.event_response(out, ["region"]).select("region", "n_events", "n_response", "response_rate"))
+
+
+@query("with " + B.SUBPANEL + """, w as (select right(region, 1)::int % 3 cluster, region, year, case when count(distinct subarea) = 6 then sum(budget) end total from subpanel group by all) select cluster::int cluster, year, round(avg(total), 3) mean_total, count(total)::bigint n_regions from w group by all""")
+def a15_cluster_trend(spark, d):
+    sub = B.subpanel(spark, d).withColumn("cluster", F.right(F.col("region"), F.lit(1)).cast("int") % 3).withColumnRenamed("subarea", "category")
+    return rnd(A.cluster_trend(sub, 6, value="budget"), 3)
+
+
+@query("with " + B.SUBPANEL + " select subarea, year, round(quantile_cont(budget, 0.25), 3) q1, round(quantile_cont(budget, 0.5), 3) median, round(quantile_cont(budget, 0.75), 3) q3, 0::bigint n_missing, 0::bigint n_outliers from subpanel group by all")
+def a16_distribution_summary(spark, d):
+    return rnd(A.distribution_summary(B.subpanel(spark, d), ["subarea", "year"], "budget"), 3)
+
+
+@query("""with v as (select value v, (day(ts) <= 15)::int e from events), r as (select min(v) lo, max(v) hi from v), b as (select least(floor((v - lo) / ((hi - lo) / 10)), 9)::int bin, e from v, r),
+c as (select i bin, coalesce(sum(e), 0) ne, coalesce(sum(1 - e), 0) na from range(10) t(i) left join b on b.bin = i group by 1), p as (select case when ne = 0 then 1e-4 else ne / sum(ne) over () end pe, case when na = 0 then 1e-4 else na / sum(na) over () end pa from c)
+select round(sum((pa - pe) * ln(pa / pe)), 6) psi from p""")
+def a17_psi(spark, d):
+    e = B.read(spark, d, "events")
+    return rnd(S.psi(e.where(F.dayofmonth("ts") <= 15), e.where(F.dayofmonth("ts") > 15), "value"), 6)
+
+
+@query("""select a, b, round(r, 6) r, n from (select unnest([{'a': 'l_quantity', 'b': 'l_extendedprice', 'r': corr(l_quantity, l_extendedprice), 'n': count(*)}, {'a': 'l_extendedprice', 'b': 'l_quantity', 'r': corr(l_quantity, l_extendedprice), 'n': count(*)},
+{'a': 'l_quantity', 'b': 'l_quantity', 'r': 1.0, 'n': count(*)}, {'a': 'l_extendedprice', 'b': 'l_extendedprice', 'r': 1.0, 'n': count(*)}], recursive := true) from lineitem)""")
+def a19_correlation(spark, d):
+    return rnd(S.corr_matrix(B.read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]), 6)
+
+
+@query("""with r as (select *, rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 a, rank() over (order by l_discount) + (count(*) over (partition by l_discount) - 1) / 2.0 b from lineitem) select round(corr(a, b), 6) r from r""")
+def a19_spearman(spark, d):
+    return rnd(S.corr_matrix(B.read(spark, d, "lineitem"), ["l_quantity", "l_discount"], "spearman").where("a = 'l_quantity' and b = 'l_discount'").select("r"), 6)
+
+
+@query("with " + B.PANEL + ", w as (select budget - avg(budget) over (partition by region) x, outcome - avg(outcome) over (partition by region) y from panel) select round(corr(x, y), 6) r from w")
+def a20_within_correlation(spark, d):
+    return rnd(S.within_corr(B.panel(spark, d), ["budget", "outcome"]).where("a = 'budget' and b = 'outcome'").select("r"), 6)
+
+
+@query("with " + B.PANEL + " select round(1 / (1 - power(corr(budget, outcome), 2)), 6) vif, c as \"column\" from panel, (values ('budget'), ('outcome')) t(c) group by c")
+def a21_vif(spark, d):
+    return rnd(spark.createDataFrame(S.vif(B.panel(spark, d), ["budget", "outcome"])).select("column", "vif"), 6)
+
+
+@query("with " + B.PANEL + " select region, count(*)::bigint n, round(corr(budget, outcome), 6) pearson from panel group by 1")
+def a23_grouped_correlation(spark, d):
+    return rnd(S.group_corr(B.panel(spark, d), ["region"], "budget", "outcome").select("region", "n", "pearson"), 6)
+
+
+@query("""with e as (select l_extendedprice y, l_quantity * 1000 p from lineitem) select round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)), 6) r2, round(sqrt(avg((y - p) * (y - p))), 3) rmse, round(avg(abs(y - p)), 3) mae, round(avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)), 6) mape from e""")
+def a24_regression_metrics(spark, d):
+    li = B.read(spark, d, "lineitem").withColumn("p", F.col("l_quantity") * 1000)
+    return rnd(rnd(S.regression_metrics(li, "l_extendedprice", "p"), 3, "rmse", "mae"), 6, "r2", "mape")
+
+
+@query("""with x as (select l_returnflag y, case when l_quantity > 40 then 'A' when l_quantity > 20 then 'N' else 'R' end p from lineitem), c as (select k, (select count(*) from x where y = k) a, (select count(*) from x where p = k) b, (select count(*) from x where y = k and p = k) h from (select distinct y k from x)),
+f as (select *, coalesce(2.0 * h / nullif(a + b, 0), 0) f1 from c) select round(sum(h) / sum(a), 6) accuracy, round(avg(f1), 6) macro_f1, round(sum(f1 * a) / sum(a), 6) weighted_f1 from f""")
+def a25_classification_metrics(spark, d):
+    q = F.col("l_quantity")
+    li = B.read(spark, d, "lineitem").withColumn("p", F.when(q > 40, "A").when(q > 20, "N").otherwise("R"))
+    return rnd(S.classification_metrics(li, "l_returnflag", "p"), 6)
+
+
+@query("""with e as (select l_extendedprice - l_quantity * 1000 e from lineitem) select round(avg(e), 3) mean, round(stddev_pop(e), 3) std, round(min(e), 2) min, round(max(e), 2) max, round(skewness(e), 5) skew, round(kurtosis(e), 5) kurtosis from e""")
+def a26_residual_summary(spark, d):
+    li = B.read(spark, d, "lineitem").withColumn("p", F.col("l_quantity") * 1000)
+    return rnd(rnd(rnd(S.residual_summary(li, "l_extendedprice", "p"), 5, "skew", "kurtosis"), 3, "mean", "std"), 2, "min", "max")
+
+
+@query("select lang, source, count(*)::bigint n_rows, count(distinct n_chars)::bigint n_labels, round(avg(n_chars / 10000.0), 6) mean_confidence, count(*) filter (n_chars / 10000.0 < 0.1)::bigint n_low, round(count(*) filter (n_chars / 10000.0 < 0.1) / count(*), 6) share_low from documents group by all")
+def a27_prediction_qa(spark, d):
+    docs = B.read(spark, d, "documents").withColumn("confidence", F.col("n_chars") / 10000.0)
+    return rnd(A.prediction_qa(docs, ["lang", "source"], "n_chars", low=0.1), 6)
+
+
+_WORDS = r"""tok as (select p_type g, p_partkey id, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: length(w) >= 2)) term from part), tf as (select g, id, term, count(*) tf from tok group by all),
+dfs as (select term, count(*) df from tf group by 1), raw as (select tf.*, tf.tf * (ln((1 + (select count(*) from part)) / (1 + df)::double) + 1) raw from tf join dfs using (term)), w as (select *, raw / sqrt(sum(raw * raw) over (partition by id)) wt from raw),
+s as (select g, term, sum(wt) s, count(*) f from w group by all), k as (select p_type g, count(*) n from part group by 1)"""
+
+
+@query("with " + _WORDS + " select * from (select g p_type, term, f::bigint doc_freq, round(s / n, 6) score, row_number() over (partition by g order by round(s / n, 9) desc, term)::int place from s join k using (g)) where place <= 5")
+def a28_group_keywords(spark, d):
+    p = B.read(spark, d, "part")
+    return rnd(T.group_keywords(p, "p_type", "p_partkey", T.word_tokens(F.col("p_name")), n=5), 6).select("p_type", "term", "doc_freq", "score", "place")
+
+
+@query("with " + B.SUBPANEL + """, s as (select subarea, sum(case when year = 1995 then budget end) a, sum(case when year = 2000 then budget end) b, sum(case when year between 1995 and 1997 then budget end) e, sum(case when year between 1998 and 2000 then budget end) l from subpanel group by 1),
+x as (select subarea, a / sum(a) over () * 100 a, b / sum(b) over () * 100 b, e / sum(e) over () * 100 e, l / sum(l) over () * 100 l from s) select subarea, round(b - a, 4) change_year, round(l - e, 4) change_period, rank() over (order by abs(l - e) desc)::int as rank from x""")
+def a30_share_change(spark, d):
+    return rnd(A.share_change(B.subpanel(spark, d), 1995, 2000, (1995, 1997), (1998, 2000)).select("subarea", "change_year", "change_period", "rank"))
+
+
+@query("with " + B.INDICATORS + """, cov as (select indicator_id, year, count(value) n from indicators group by all), best as (select indicator_id, min(year) f, max(year) l from (select *, max(n) over (partition by indicator_id) m from cov) where n = m group by 1),
+x as (select i.indicator_id, i.region, round(max(case when year = f then value end), 7) first_value, round(max(case when year = l then value end), 7) last_value, count(value)::bigint n_observed from indicators i join best using (indicator_id) group by all)
+select *, round(last_value - first_value, 7) change from x""")
+def a31_region_summary(spark, d):
+    long = B.indicators(spark, d).select("indicator_id", "region", "year", "value")
+    dirs = B.indicators(spark, d).select("indicator_id", F.when(F.col("direction") == "positive", "higher").otherwise("lower").alias("direction")).distinct()
+    return rnd(A.indicator_region_summary(long, dirs).select("indicator_id", "region", "first_value", "last_value", "n_observed", "change").withColumns({"first_value": F.round("first_value", 7), "last_value": F.round("last_value", 7)}), 7, "change")
+
+
+@query("with " + B.SUBPANEL + """, t as (select region, year, sum(budget) total from subpanel group by all), l as (select *, ln(1 + total) x from t), z as (select *, (x - avg(x) over ()) / stddev_pop(x) over () z from l), s as (select *, (z - min(z) over ()) / (max(z) over () - min(z) over ()) * 100 score from z)
+select region, year, round(score, 4) score, rank() over (partition by year order by score desc)::int as rank from s""")
+def a32_composite_score(spark, d):
+    return rnd(A.composite_score(B.subpanel(spark, d)).select("region", "year", "score", "rank"))
+
+
+# ---------------------------------------------------------------- windows
+
+
+@query("with " + B.PANEL + " select region, year, lag(budget) over w budget_lag1, lag(budget, 2) over w budget_lag2, lead(budget) over w budget_lead1 from panel window w as (partition by region order by year)")
+def w01_lag_lead(spark, d):
+    return W.lags(B.panel(spark, d), ["region"], "year", "budget", [1, 2, -1], check=False).select("region", "year", "budget_lag1", "budget_lag2", "budget_lead1")
+
+
+@query("with " + B.PANEL + " select region, year, round(budget - lag(budget) over w, 4) budget_diff, round((budget - lag(budget) over w) / lag(budget) over w * 100, 4) budget_pct from panel window w as (partition by region order by year)")
+def w02_yoy(spark, d):
+    return rnd(rnd(W.yoy(B.panel(spark, d), ["region"], "year", "budget", consecutive=False).select("region", "year", "budget_diff", "budget_pct"), 4, "budget_diff"), 4, "budget_pct")
+
+
+@query("with " + B.PANEL + " select region, year, round(case when count(budget) over w = 3 then avg(budget) over w end, 2) m from panel window w as (partition by region order by year rows between 2 preceding and current row)")
+def w03_rolling_mean(spark, d):
+    return rnd(W.rolling(B.panel(spark, d), ["region"], "year", "budget", 3, "m").select("region", "year", "m"), 2)
+
+
+@query("with " + B.PANEL + " select region, year, rank() over (partition by year order by budget desc)::int as rank, round((count(*) over (partition by year) - rank() over (partition by year order by budget desc)) * 100.0 / (count(*) over (partition by year) - 1), 4) rank_score from panel")
+def w04_rank_min(spark, d):
+    return rnd(W.rank_min(B.panel(spark, d), ["year"], "budget").select("region", "year", "rank", "rank_score"))
+
+
+@query("with " + B.PANEL + " select region, year, round((budget - avg(budget) over ()) / stddev_pop(budget) over (), 6) z from panel")
+def w05_zscore(spark, d):
+    return rnd(W.zscore(B.panel(spark, d), "budget", out="z").select("region", "year", "z"), 6)
+
+
+@query("with " + B.SUBPANEL + " select region, year, subarea, round((budget - min(budget) over w) / (max(budget) over w - min(budget) over w) * 100, 5) score from subpanel window w as (partition by subarea)")
+def w06_minmax(spark, d):
+    return rnd(W.minmax(B.subpanel(spark, d), "budget", ["subarea"], "score").select("region", "year", "subarea", "score"), 5)
+
+
+@query("with " + B.SUBPANEL + " select region, year, subarea, round(budget / sum(budget) over (partition by region, year), 6) share from subpanel")
+def w07_share(spark, d):
+    return rnd(W.share(B.subpanel(spark, d), ["region", "year"], "budget").select("region", "year", "subarea", "share"), 6)
+
+
+@query("with " + B.OUTLINE + " select region, src_row, last_value(case when row_type = 'medium_subtotal' then item_name end ignore nulls) over (partition by region order by src_row) medium_head from outline")
+def w08_forward_fill(spark, d):
+    rows = B.outline(spark, d).withColumn("row_type", X.classify_row(F.col("item_name")))
+    return C.assign_headings(rows, ["region", "year"]).select("region", "src_row", "medium_head")
+
+
+_IMPUTE = """, s0 as (select *, count(value) over e n, min(case when value is not null then year end) over e f, max(case when value is not null then year end) over e l, sum(blocked::int) over (partition by indicator_id, region order by year) seg from indicators window e as (partition by indicator_id, region)),
+s1 as (select *, last_value(case when value is not null and not blocked then year end ignore nulls) over lo ly, last_value(case when value is not null and not blocked then value end ignore nulls) over lo lv,
+  first_value(case when value is not null and not blocked then year end ignore nulls) over hi hy, first_value(case when value is not null and not blocked then value end ignore nulls) over hi hv,
+  max(case when year = f then value end) over (partition by indicator_id, region) fv, max(case when year = l then value end) over (partition by indicator_id, region) tv from s0
+  window lo as (partition by indicator_id, region, seg order by year rows between unbounded preceding and current row), hi as (partition by indicator_id, region, seg order by year rows between current row and unbounded following)),
+s2 as (select *, case when value is not null then 'observed' when blocked then 'structural' when n = 0 then 'all missing' when n = 1 then 'single year' when year < f then 'leading' when year > l then 'trailing' else 'intermediate' end position from s1)"""
+
+
+@query("with " + B.INDICATORS + _IMPUTE + """ select indicator_id, region, year, position, round(case position when 'leading' then fv when 'trailing' then tv when 'intermediate' then lv + (hv - lv) * (year - ly) / nullif(hy - ly, 0) when 'observed' then value end, 7) value_filled from s2""")
+def w09_impute_series(spark, d):
+    out = M.impute_series(B.indicators(spark, d), ["indicator_id", "region"])
+    return rnd(out.select("indicator_id", "region", "year", "position", "value_filled"), 7)
+
+
+@query("with " + B.INDICATORS + _IMPUTE + " select indicator_id, region, year, position, round(case position when 'leading' then fv else tv end, 6) main_value, null::double alt_value from s2 where position in ('leading', 'trailing')")
+def w10_scenarios(spark, d):
+    main, alt = M.impute_scenarios(B.indicators(spark, d), ["indicator_id", "region"])
+    return rnd(M.sensitivity(main, alt, ["indicator_id", "region", "year"]).select("indicator_id", "region", "year", "position", "main_value", "alt_value"), 6)
+
+
+@query("with " + B.INDICATORS + """, p as (select *, last_value(case when value is not null then year end ignore nulls) over (partition by indicator_id, region order by year) p, first_value(case when value is not null then year end ignore nulls) over (partition by indicator_id, region order by year rows between current row and unbounded following) q from indicators),
+x as (select *, count(*) filter (value is null) over (partition by indicator_id, region, p, q) run_length from p)
+select indicator_id, region, year, case when p is null and q is null then 'all missing' when p is null then 'leading' when q is null then 'trailing' else 'intermediate' end position,
+case when q is null or (p is not null and year - p <= q - year) then p else q end nearest_year, run_length::bigint run_length from x where value is null""")
+def w11_missing_position(spark, d):
+    return M.missing_position(B.indicators(spark, d), ["indicator_id", "region"]).select("indicator_id", "region", "year", "position", "nearest_year", "run_length")
+
+
+@query("with " + B.INDICATORS + " select indicator_id, region, year, round(full_value - avg(full_value) over (partition by region) - avg(full_value) over (partition by year) + avg(full_value) over (), 3) resid from indicators where indicator_id = 'BUILDING'")
+def w12_two_way_demean(spark, d):
+    out = W.two_way_demean(B.indicators(spark, d).where("indicator_id = 'BUILDING'"), "region", "year", ["full_value"], check=False)
+    return rnd(out.select("indicator_id", "region", "year", F.col("full_value_resid").alias("resid")), 3)
+
+
+@query("with q as (select event_type, quantile_cont(value, 0.25) a, quantile_cont(value, 0.75) b from events group by 1) select event_id, event_type, value < a - 1.5 * (b - a) or value > b + 1.5 * (b - a) outlier from events join q using (event_type)")
+def w13_iqr_outlier(spark, d):
+    return W.iqr_flag(B.read(spark, d, "events"), ["event_type"], "value").select("event_id", "event_type", "outlier")
+
+
+@query("with e as (select quantile_cont(c_acctbal, 1 / 3.0::double) a, quantile_cont(c_acctbal, 2 / 3.0::double) b from customer) select c_custkey, case when c_acctbal <= a then 'low' when c_acctbal <= b then 'mid' else 'high' end bin from customer, e")
+def w14_tercile(spark, d):
+    return W.qcut(B.read(spark, d, "customer"), "c_acctbal", ["low", "mid", "high"]).select("c_custkey", "bin")
+
+
+@query("""with s as (select event_type, ts::date d, sum(value) v from events group by all) select event_type, d::varchar d, round(lag(v) over w, 3) lag1, round(case when count(v) over f = 7 then avg(v) over f end, 3) mean7, round(case when count(v) over f = 7 then stddev_samp(v) over f end, 3) std7, (isodow(d) >= 6)::int is_weekend
+from s window w as (partition by event_type order by d), f as (partition by event_type order by d rows between 7 preceding and 1 preceding)""")
+def w15_time_features(spark, d):
+    s = B.read(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("d")).agg(F.sum("value").alias("v"))
+    out = W.time_features(s, ["event_type"], "d", "v")
+    return rnd(out.select("event_type", F.col("d").cast("string").alias("d"), F.col("v_lag1").alias("lag1"), F.col("v_mean7").alias("mean7"), F.col("v_std7").alias("std7"), "is_weekend"), 3)
+
+
+@query("select * from (select o_orderpriority, o_orderkey, o_totalprice, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey)::int place from orders) where place <= 3")
+def w16_top_n(spark, d):
+    return W.top_n(B.read(spark, d, "orders"), ["o_orderpriority"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3).select("o_orderpriority", "o_orderkey", "o_totalprice", "place")
+
+
+@query("with " + B.PANEL + ", " + B.CPI + ", " + B.POPULATION + """, r as (select p.region, p.year, budget * 100.0 / cpi as real, budget * 100.0 / cpi / population pc from panel p join cpi c on p.year = c.year join population o on p.region = o.region),
+l as (select *, ln(1 + real) lr, ln(1 + pc) lp from r), z as (select *, (lr - avg(lr) over ()) / stddev_pop(lr) over () zr, (lp - avg(lp) over ()) / stddev_pop(lp) over () zp from l), s as (select *, (zp - min(zp) over ()) / (max(zp) over () - min(zp) over ()) * 100 score from z)
+select region, year, round(real, 2) as real, round(zr, 6) log_real_z, round(zp, 6) log_per_capita_z, round(score, 4) score, rank() over (partition by year order by score desc)::int as rank, round((real - lag(real) over w) / lag(real) over w * 100, 4) real_pct from s window w as (partition by region order by year)""")
+def w17_fiscal_index(spark, d):
+    pop = B.panel(spark, d).select("region", "year").join(B.population(spark, d), "region")
+    out = W.fiscal_index(B.panel(spark, d).select("region", "year", "budget"), B.cpi(spark), pop, B.BASE_YEAR)
+    out = out.select("region", "year", "real", "log_real_z", "log_per_capita_z", "score", "rank", "real_pct")
+    return rnd(rnd(rnd(out, 6, "log_real_z", "log_per_capita_z"), 4, "score", "real_pct"), 2, "real")
+
+
+# ---------------------------------------------------------------- sets and reshaping
+
+
+@query("select o_custkey, case when o_custkey % 2 = 0 and o_custkey % 3 = 0 then 'both' when o_custkey % 2 = 0 then 'left' else 'right' end side from (select distinct o_custkey from orders where o_custkey % 2 = 0 or o_custkey % 3 = 0)")
+def x04_key_diff(spark, d):
+    o = B.read(spark, d, "orders")
+    return R.key_diff(o.where("o_custkey % 2 = 0"), o.where("o_custkey % 3 = 0"), ["o_custkey"])
+
+
+@query("with " + B.SUBPANEL + " select region, year::int as year, subarea, budget from subpanel")
+def r01_unpivot(spark, d):
+    wide = B.subpanel(spark, d).groupBy("region", "subarea").pivot("year", B.YEARS).agg(F.first("budget"))
+    return R.unpivot_years(wide, ["region", "subarea"], value="budget").where("observed").select("region", "year", "subarea", "budget")
+
+
+@query("with " + B.SUBPANEL + " select region, year, sum(case subarea when 'PROMO' then budget end) \"PROMO\", sum(case subarea when 'SMALL' then budget end) \"SMALL\" from subpanel where year between 1996 and 2000 group by all having count(*) filter (subarea in ('PROMO', 'SMALL')) = 2")
+def r02_pivot_strict(spark, d):
+    sub = B.subpanel(spark, d).where("year between 1996 and 2000 and subarea in ('PROMO', 'SMALL')")
+    whole = sub.groupBy("region", "year").agg(F.count(F.lit(1)).alias("k")).where("k = 2")
+    return R.pivot_strict(sub.join(whole, ["region", "year"], "left_semi"), ["region", "year"], "subarea", "budget", ["PROMO", "SMALL"])
+
+
+# ---------------------------------------------------------------- index
+
+
+@query("with " + B.INDICATORS + ", " + B.CPI + " select indicator_id, region, i.year, round(case when indicator_id in ('BUILDING', 'MACHINERY') then full_value * 100 / cpi else full_value end, 6) as value from indicators i join cpi c on i.year = c.year")
+def i02_deflate(spark, d):
+    out = I.deflate(B.indicators(spark, d).select("indicator_id", "region", "year", F.col("full_value").alias("value")), B.cpi(spark), ["BUILDING", "MACHINERY"])
+    return rnd(out.select("indicator_id", "region", "year", "value"), 6)
+
+
+@query("with " + B.CPI + """, y as (select year(o_orderdate)::int as year, count(*) n from orders group by 1) select c.year::int as year, round_even(cpi / (select cpi from cpi where year = 2000) * 100, 6) cpi, n::bigint n_orders from cpi c join y on c.year = y.year""")
+def i03_rebase_cpi(spark, d):
+    y = B.read(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return I.rebase_cpi(B.cpi(spark), 2000).join(y, "year").select("year", "cpi", "n_orders")
+
+
+_STD = """, st as (select *, (v - avg(v) over w) / stddev_pop(v) over w z from (select *, full_value v from indicators) window w as (partition by indicator_id{y})),
+sc as (select *, case when direction = 'negative' then 100 - s else s end ds from (select *, coalesce((z - min(z) over w) / nullif(max(z) over w - min(z) over w, 0) * 100, 50) s from st window w as (partition by indicator_id{y})))"""
+
+
+def _scores(spark, d, method):
+    return I.standardize(B.indicators(spark, d).drop("value").withColumnRenamed("full_value", "value"), method)
+
+
+@query("with " + B.INDICATORS + _STD.format(y="") + " select indicator_id, region, year, round(z, 5) z_score, round(ds, 4) directional_score from sc")
+def i04_standardize(spark, d):
+    return rnd(rnd(_scores(spark, d, "pooled").select("indicator_id", "region", "year", "z_score", "directional_score"), 5, "z_score"), 4, "directional_score")
+
+
+_FULL = ", ok as (select region, year from indicators group by all having count(*) = 5)"
+
+
+@query("with " + B.INDICATORS + ", " + B.WEIGHTS + _STD.format(y="") + _FULL + ", f as (select region, year, sum(ds * weight) x from sc join weights using (indicator_id) join ok using (region, year) group by all) select region, year, round(x, 4) index_score, rank() over (partition by year order by round(x, 9) desc)::int as rank from f")
+def i05_weighted_index(spark, d):
+    sc = _scores(spark, d, "pooled")
+    ok = sc.groupBy("region", "year").agg(F.count(F.lit(1)).alias("k")).where("k = 5")
+    return rnd(I.compute_index(sc.join(ok, ["region", "year"], "left_semi"), B.weights(spark)).final)
+
+
+@query("with " + B.INDICATORS + ", " + B.WEIGHTS + _STD.format(y="") + _FULL + " select region, year, category, round(sum(ds * weight) / sum(weight), 4) score from sc join weights using (indicator_id) join ok using (region, year) group by all")
+def i05_category_scores(spark, d):
+    sc = _scores(spark, d, "pooled")
+    ok = sc.groupBy("region", "year").agg(F.count(F.lit(1)).alias("k")).where("k = 5")
+    return rnd(I.compute_index(sc.join(ok, ["region", "year"], "left_semi"), B.weights(spark)).categories.select("region", "year", "category", "score"))
+
+
+@query()
+def i06_scenarios(spark, d):
+    a, b = (I.compute_index(_scores(spark, d, m), B.weights(spark), check=False).final for m in ("pooled", "yearly"))
+    return I.scenario_agreement(I.compare_scenarios(a, b))
+
+
+@query()
+def i07_weight_transfer(spark, d):
+    rows = B.indicators(spark, d).select("region", "year", "indicator_id", "category", "subcategory", "direction", F.col("full_value").alias("value"))
+    ok = rows.groupBy("region", "year").agg(F.count(F.lit(1)).alias("k")).where("k = 5")
+    return I.transfer_weight(rows.join(ok, ["region", "year"], "left_semi"), B.weights(spark), "BUILDING", "FURNITURE", [1996]).final
+
+
+@query()
+def v16_verify_index(spark, d):
+    return I.verify_index(I.compute_index(_scores(spark, d, "pooled"), B.weights(spark), check=False))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query()
+def t01_char_ngrams(spark, d):
+    return B.read(spark, d, "part").select("p_type", F.explode(T.char_ngrams(F.col("p_name"))).alias("g")).groupBy("p_type", "g").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with " + _WORDS + " select id p_partkey, term, round(wt, 6) weight from w")
+def t02_tfidf(spark, d):
+    w = T.tfidf(B.read(spark, d, "part"), "p_partkey", T.word_tokens(F.col("p_name")))
+    return rnd(w.select(F.col("doc_id").alias("p_partkey"), "term", "weight"), 6)
+
+
+@query("""with recursive n as (select p_name t, count(*) c from part group by 1), tok as (select t, unnest(list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda w: length(w) >= 2)) term from n), tf as (select t, term, count(*) tf from tok group by all), dfs as (select term, count(*) df from tf group by 1),
+raw as (select tf.*, tf.tf * (ln((1 + (select count(*) from n)) / (1 + df)::double) + 1) raw from tf join dfs using (term)), w as (select *, raw / sqrt(sum(raw * raw) over (partition by t)) wt from raw)
+select a.t a, b.t b, round(sum(a.wt * b.wt), 5) cosine from w a join w b on a.term = b.term and a.t < b.t group by all having sum(a.wt * b.wt) >= 0.6""")
+def t03_cosine_pairs(spark, d):
+    names = B.read(spark, d, "part").select(F.col("p_name").alias("doc_id")).distinct()
+    return rnd(T.cosine_pairs(T.tfidf(names, "doc_id", T.word_tokens(F.col("doc_id"))), 0.6), 5)
+
+
+@query()
+def t04_representatives(spark, d):
+    names = B.read(spark, d, "part").groupBy(F.col("p_name").alias("text")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(""))
+    return T.representative_texts(names, 0.6).select("text", "rep", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def t05_connected_groups(spark, d):
+    names = B.read(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
+    return T.connected_groups(names, "id", "p_name", 0.6).select("id", "p_name", "group_id", "group_size", "needs_review")
+
+
+# ---------------------------------------------------------------- panel statistics
+
+
+@query()
+def m01_two_way_fe(spark, d):
+    return S.two_way_fe(B.panel(spark, d).withColumn("log_budget", F.log1p("budget")), "outcome", "log_budget")
+
+
+@query()
+def m03_fe_grid(spark, d):
+    sub = B.subpanel(spark, d).join(B.panel(spark, d).select("region", "year", "outcome"), ["region", "year"]).withColumn("x", F.log1p("budget")).withColumn("flag", F.col("year") == 2001)
+    return S.fe_grid(sub, [("level", "outcome", "x")], flag="flag", by=["subarea"])
+
+
+@query()
+def m05_subgroup_fe(spark, d):
+    sub = B.subpanel(spark, d).join(B.panel(spark, d).select("region", "year", "outcome"), ["region", "year"]).withColumn("x", F.log1p("budget")).withColumn("cluster", F.right(F.col("region"), F.lit(1)).cast("int") % 3)
+    return S.subgroup_fe(sub, "outcome", "x", ["cluster", "subarea"], ["cluster"])
+
+
+@query()
+def m06_interactions(spark, d):
+    p = B.panel(spark, d).withColumn("x", F.log1p("budget")).withColumn("cluster", F.right(F.col("region"), F.lit(1)).cast("int") % 3)
+    slopes, diffs = S.interaction_fe(p, "outcome", "x", "cluster", [0, 1, 2])
+    return slopes.unionByName(diffs)
+
+
+@query()
+def m07_region_slopes(spark, d):
+    return S.region_slopes(B.panel(spark, d).withColumn("x", F.log1p("budget")), "outcome", "x")
+
+
+@query("""with p as (select p_type f, (p_size / 51.0) p, p_partkey from part), r as (select *, row_number() over (partition by f order by p, p_partkey) i, count(*) over (partition by f) m from p),
+q as (select *, min(p * m / i) over (partition by f order by p, p_partkey rows between current row and unbounded following) q from r) select f p_type, p_partkey, round(least(min(q) over (partition by f, p), 1), 6) q from q""")
+def m08_bh_adjust(spark, d):
+    p = B.read(spark, d, "part").select("p_type", "p_partkey", (F.col("p_size") / 51.0).alias("p"))
+    from pyspark.sql import Window
+
+    out = S.bh(p, ["p_type"])
+    # Equal p share the smallest q of their tie.
+    return rnd(out.withColumn("q", F.min("q").over(Window.partitionBy("p_type", "p"))).select("p_type", "p_partkey", "q"), 6)
+
+
+@query()
+def m09_leave_one_out(spark, d):
+    return S.leave_one_out(B.panel(spark, d).withColumn("x", F.log1p("budget")), "outcome", "x")
+
+
+@query("""with c as (select p_type a, p_size % 4 b, count(*) n from part group by all), s as (select sum(n * (n - 1) / 2.0) cell, sum(n) t from c), x as (select sum(n * (n - 1) / 2.0) sa from (select sum(n) n from c group by a)), y as (select sum(n * (n - 1) / 2.0) sb from (select sum(n) n from c group by b))
+select round((cell - sa * sb / (t * (t - 1) / 2.0)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2.0)), 6) ari from s, x, y""")
+def m11_adjusted_rand(spark, d):
+    return rnd(S.adjusted_rand(B.read(spark, d, "part").withColumn("b", F.col("p_size") % 4), "p_type", "b"), 6)
+
+
+@query()
+def m10_kmeans_profiles(spark, d):
+    from gridloom.operators.learning import kmeans_profiles
+
+    wide = B.subpanel(spark, d).groupBy("region").pivot("subarea", list(B.AREAS)).agg(F.avg("budget"))
+    return kmeans_profiles(wide.fillna(0.0), "region", list(B.AREAS), 3)[0].select("region", "cluster")
+
+
+@query()
+def m14_alignment_panel(spark, d):
+    p = B.panel(spark, d)
+    return S.alignment_panel(p.select("region", "year", "budget"), p.select("region", "year", "outcome"), "budget", "outcome")[0]
+
+
+@query()
+def e01_incremental(spark, d):
+    from gridloom.streaming.incremental import incremental_apply, source_hash
+
+    rows = B.read(spark, d, "conversations").select("conv_id", "turn", "text")
+    state = rows.where("turn = 0").select("conv_id", "turn", source_hash("text").alias("source_sha"), F.col("text").alias("refined"), F.lit("success").alias("status"), F.lit(0).cast("long").alias("batch"))
+    _, _, summary = incremental_apply(rows, state, lambda s: s, ["conv_id", "turn"], "text", 1)
+    return summary
+
+
+@query()
+def t06_text_classifier(spark, d):
+    from gridloom.operators.learning import fit_text_classifier, predict_labels
+
+    p = B.read(spark, d, "part").select("p_partkey", "p_name", F.regexp_extract("p_name", r"(\S+)$", 1).alias("label"))
+    clf = fit_text_classifier(p, "p_partkey", "p_name", "label", max_iter=10)
+    return predict_labels(clf, p, "p_partkey", "p_name").select("p_partkey", "label", "pred_label", "low_confidence")
