@@ -14,9 +14,11 @@ Verification.  For candidate pairs, the partial overlaps of the fragments are co
 per pair.
 
 Groups.  Equal sets are one node.  Within the sets that share a key, each is compared with one leader, not
-with each other; links are contracted to components, and only sets of different components that still share
-a key are compared further, at the last exactly in pairs.  So a group of near copies costs its size, not
-its square, and no link that joins two components is lost.
+with each other, and the links are contracted to components.  Where the sets of a leader are not all in one
+component, they are compared by their differences from the leader: for sets A, B and a leader L,
+A xor B = (A xor L) xor (B xor L), and these differences are short for near copies.  That is done in cells
+of two bounded blocks, which return a spanning forest of the links, never the pairs.  So no pair is
+written out for a group, and no link that joins two components is lost.
 
 Defined cases: a null or wordless text has the empty set and links with nothing; fewer words than n give the
 whole sequence as one shingle; repeated rows have equal sets and one component; an empty table gives an
@@ -40,8 +42,8 @@ from gridloom.operators.graph import connected_components
 OVERLAP_CUTS = 4
 #: Hash seeds tried for sets with empty fragments.
 SEEDS = 4
-#: Leader rounds before the remaining pairs are compared one by one.
-ROUNDS = 3
+#: Sets of a block; a cell holds two at most.
+BLOCK = 1024
 SALTS = 32
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -157,25 +159,88 @@ def _parts(texts: DataFrame, n: int) -> DataFrame:
             for sig, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 whole = shingle_set(text, n)
                 for cut, part in enumerate(np.split(whole, np.searchsorted(whole, edges))):
-                    if len(part):
-                        sigs.append(sig)
-                        cuts.append(cut)
-                        hashes.append(part.view(np.int64))
+                    sigs.append(sig)
+                    cuts.append(cut)
+                    hashes.append(part.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(cuts, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], schema=schema)
 
     return texts.select("sig", F.col("text").cast("binary").alias("text")).mapInArrow(work, "sig long, cut int, hashes array<long>")
 
 
+def _paired(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs ``(a, b, ...)`` with the fragments ``ha`` and ``hb`` of both sets, a row per cut."""
+    left = parts.select(F.col("sig").alias("a"), "cut", F.col("hashes").alias("ha"))
+    right = parts.select(F.col("sig").alias("b"), "cut", F.col("hashes").alias("hb"))
+    return pairs.join(right, "b").join(left, ["a", "cut"])
+
+
 def _verified(pairs: DataFrame, parts: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Of ``(a, b, na, nb)``, the pairs that link: partial overlaps per fragment, summed per pair."""
     p, q = t
-    left = parts.select(F.col("sig").alias("a"), "cut", F.col("hashes").alias("ha"))
-    right = parts.select(F.col("sig").alias("b"), "cut", F.col("hashes").alias("hb"))
-    both = pairs.join(right, "b").join(left, ["a", "cut"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("part"))
+    both = _paired(pairs, parts).select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("part"))
     sums = both.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
     return sums.where(F.col("common") * q >= p * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def common_counts(rows: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the pairwise intersections of sorted sets."""
+    m = len(rows)
+    out = np.zeros((m, m), dtype=np.float32)
+    owner = np.repeat(np.arange(m), [len(r) for r in rows])
+    values = np.concatenate(rows) if m else np.zeros(0, dtype=np.int64)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
+    counts = np.diff(np.concatenate([starts, [len(values)]]))
+    for size in range(2, 17):  # rare values: their pairs one by one
+        at = starts[counts == size]
+        if len(at):
+            members = owner[at[:, None] + np.arange(size)[None, :]]
+            for x in range(size):
+                for y in range(size):
+                    np.add.at(out, (members[:, x], members[:, y]), 1)
+    often = np.flatnonzero(counts > 16)  # common values: as columns of a matrix
+    for i in range(0, len(often), 2048):
+        dense = np.zeros((m, min(2048, len(often) - i)), dtype=np.float32)
+        for col, k in enumerate(often[i : i + 2048]):
+            dense[owner[starts[k] : starts[k] + counts[k]], col] = 1
+        out += dense @ dense.T
+    return out.astype(np.int64)
+
+
+def _compared(stars: DataFrame, parts: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Links ``(a, b)`` among the sets of each leader, from their differences to it; a forest per cell."""
+    p, q = t
+    gone = F.concat(F.array_except("ha", "hb"), F.array_except("hb", "ha"))
+    deltas = _paired(stars, parts).select("a", "b", "nb", gone.alias("part")).groupBy("a", "b", "nb").agg(F.flatten(F.collect_list("part")).alias("delta"))
+    deltas = materialize(deltas, "jaccard-deltas")
+    sizes = deltas.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = deltas.join(materialize(sizes, "jaccard-sizes"), "a").withColumn("blk", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("a", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "b", "nb", "delta")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        ids, n = rows["b"].to_numpy(), rows["nb"].to_numpy().astype(np.int64)
+        sets = [np.asarray(x, dtype=np.int64) for x in rows["delta"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        apart = size[:, None] + size[None, :] - 2 * common_counts(sets)
+        total = n[:, None] + n[None, :]
+        common = (total - apart) // 2
+        hit = common * q >= p * (total - common)
+        label = np.arange(len(ids))
+        while True:
+            low = np.where(hit, label[None, :], len(ids)).min(axis=1)
+            low = np.minimum(low, label)
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        some = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[label[some]]), "b": pa.array(ids[some])})
+
+    return dealt.groupBy("a", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` (with ``sig``) with their component ``c``."""
     comp = connected_components(links, "a", "b").withColumnRenamed("node", "sig")
@@ -204,29 +269,14 @@ def jaccard_groups(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, "doc_id").select("sig", "text")
     parts = materialize(_parts(texts, n), "jaccard-parts").dropDuplicates(["sig", "cut"])
 
-    pairs = shared.where(F.col("sig") != F.col("lead")).select(F.col("lead").alias("a"), F.col("sig").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb"))
-    links = materialize(_verified(pairs.where(fits(F.col("na"), F.col("nb"))).distinct(), parts, t), "jaccard-links")
-    members = shared.select("key", "sig", "n")
-    for turn in range(1, ROUNDS + 1):
-        placed = _roots(members, links)
-        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        members = materialize(placed.join(mixed, "key", "left_semi"), "jaccard-open")
-        if members.isEmpty():
-            break
-        if turn < ROUNDS:
-            # The next leader of a key, by another order of the sets; only other components are compared with it.
-            lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), "sig", "n", "c")).alias("l"))
-            pairs = members.join(lead, "key").where("c <> l.c").select(F.col("l.sig").alias("x"), F.col("l.n").alias("nx"), F.col("sig").alias("y"), F.col("n").alias("ny"))
-        else:
-            # The exact rest: sets of different components that share a key.
-            other = members.select("key", F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-            pairs = members.select("key", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx")).join(other, "key").where("cx < cy").select("x", "nx", "y", "ny")
-        up = F.col("x") < F.col("y")
-        pick = lambda u, v: F.when(up, F.col(u)).otherwise(F.col(v))  # noqa: E731, B023
-        pairs = pairs.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("nx", "ny").alias("na"), pick("ny", "nx").alias("nb"))
-        fresh = _verified(pairs.where(fits(F.col("na"), F.col("nb"))).distinct(), parts, t)
-        links = materialize(links.unionByName(fresh).distinct(), "jaccard-links")
-        members = members.select("key", "sig", "n")
+    stars = shared.where(F.col("sig") != F.col("lead")).select(F.col("lead").alias("a"), F.col("sig").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb"))
+    stars = materialize(stars.distinct(), "jaccard-stars")
+    links = materialize(_verified(stars.where(fits(F.col("na"), F.col("nb"))), parts, t), "jaccard-links")
+    # Leaders whose sets are in several components.
+    spread = _roots(stars.select("a", F.col("b").alias("sig")), links).groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k"))
+    open_ = materialize(stars.join(spread.where("lo <> hi and k > 1").select("a"), "a", "left_semi"), "jaccard-open")
+    if not open_.isEmpty():
+        links = materialize(links.unionByName(_compared(open_, parts, t)), "jaccard-links")
 
     # Smallest doc_id of every component, brought back to the rows over SALTS keys.
     comp = connected_components(links, "a", "b").withColumnRenamed("node", "sig")
@@ -239,6 +289,6 @@ def jaccard_groups(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     rows = sets.select("doc_id", "n", "sig", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     out = rows.join(materialize(lookup, "jaccard-lookup"), ["sig", "salt"], "left")
     alone = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))
-    for table in (shared, parts, members):
+    for table in (shared, stars, open_):
         discard(table)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), alone.alias("component_id"))
