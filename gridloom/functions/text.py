@@ -8,6 +8,7 @@ from collections.abc import Iterable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from gridloom.functions import patterns as P
 
@@ -52,12 +53,12 @@ def budget_change(cur: Column, prev: Column, digits: int = 1) -> Column:
     return F.struct(change.alias("change"), F.bround(F.try_divide(change, F.nullif(prev, F.lit(0.0))) * 100, digits).alias("rate"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -215,7 +216,7 @@ def undetermined_reason(state: Column, subtotal: Column, leaf_sum: Column) -> Co
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two texts without white space; use it on rows that changed only."""
     from difflib import SequenceMatcher
@@ -224,7 +225,7 @@ def matching_block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, squeeze(x), squeeze(y), autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * 2 * (longest common subsequence) / (both lengths)."""
     import numpy as np

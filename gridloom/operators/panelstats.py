@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gridloom.operators.checks import CheckFailed, assert_unique, fail_if_any
 from gridloom.operators.windows import rank_min, two_way_demean, zscore
@@ -49,7 +50,7 @@ def t_quantile(p: float, df: int) -> float:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation by the t transform; null for fewer than three pairs."""
 
