@@ -875,3 +875,352 @@ def t06_text_classifier(spark, d):
     p = B.read(spark, d, "part").select("p_partkey", "p_name", F.regexp_extract("p_name", r"(\S+)$", 1).alias("label"))
     clf = fit_text_classifier(p, "p_partkey", "p_name", "label", max_iter=10)
     return predict_labels(clf, p, "p_partkey", "p_name").select("p_partkey", "label", "pred_label", "low_confidence")
+
+
+# ---------------------------------------------------------------- the rest of the inventory
+
+
+@query("select distinct year(o_orderdate)::int as year, o_orderpriority from orders where o_orderpriority not in ('1-URGENT', '2-HIGH')")
+def v06_outside_taxonomy(spark, d):
+    o = B.read(spark, d, "orders").select(F.year("o_orderdate").alias("year"), "o_orderpriority").distinct()
+    known = spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "o_orderpriority string")
+    return o.join(known, "o_orderpriority", "left_anti").select("year", "o_orderpriority")
+
+
+@query("""select t.c "check", t.n::bigint n_bad, t.n = 0 passed from (values ('observed changed', 0), ('blocked filled', 0), ('edge empty in main', 0), ('edge filled in alternative', 0)) t(c, n)""")
+def v15_verify_imputation(spark, d):
+    ind = B.indicators(spark, d)
+    main, alt = M.impute_scenarios(ind, ["indicator_id", "region"])
+    return V.verify_imputation(ind, main, alt, ["indicator_id", "region", "year"], "value", "blocked")
+
+
+@query("select count(*)::bigint n, count(*) filter (trim(o_orderstatus) <> 'F')::bigint n_other from orders")
+def v17_status_gate(spark, d):
+    return B.read(spark, d, "orders").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.trim("o_orderstatus") != "F").alias("n_other"))
+
+
+@query("with " + B.OUTLINE + r""" select region, src_row, nullif(regexp_extract(item_name, '^\d+[-\d]*\.\s*(.+?)\s*\((공통)\)$', 2), '') major_head, case when regexp_matches(item_name, '^\d+[-\d]*\.\s*(.+?)\s*\((공통)\)$') then regexp_extract(item_name, '^\d+[-\d]*\.\s*(.+?)\s*\((공통)\)$', 1) else item_name end medium_head from outline""")
+def c03_backfill_heading(spark, d):
+    rows = B.outline(spark, d).select("region", "src_row", F.lit(None).cast("string").alias("major_head"), F.col("item_name").alias("medium_head"))
+    return C.backfill_heading(rows, r"^\d+[-\d]*\.\s*(.+?)\s*\((공통)\)$")
+
+
+@query("""with m as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_quantity = 1 then '공통사업' end mark from lineitem),
+f as (select *, max(mark is not null) over (partition by l_orderkey) has, last_value(mark ignore nulls) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding) n from m)
+select l_orderkey, count(*)::bigint n_rows, count(*) filter (has and n is not null)::bigint n_marked from f group by 1""")
+def c04_realign_headings(spark, d):
+    from pyspark.sql import Window
+
+    li = B.read(spark, d, "lineitem").withColumn("src_row", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    rows = li.select(F.col("l_orderkey").alias("region"), "src_row", F.when(F.col("l_quantity") == 1, "[공 통 사 업] x").otherwise("item").alias("item_name"), F.lit("none").alias("major_head"), F.lit("m").alias("medium_head"))
+    out = C.realign_headings(rows)
+    return out.groupBy(F.col("region").alias("l_orderkey")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("major_head") == "공통사업").alias("n_marked"))
+
+
+@query("with " + B.RAW + " select row_id, try_cast(case when raw in ('-', 'n/a') then null else replace(raw, ',', '') end as double) amount from raw")
+def c07_parse_numeric_strict(spark, d):
+    raw = B.raw_amounts(spark, d).select("row_id", F.col("raw").alias("amount"))
+    return C.parse_numeric_strict(raw, "amount", ("-", "n/a"))
+
+
+@query("select year(o_orderdate)::bigint as year, trim(o_orderpriority) region, o_orderkey::varchar src_row from orders")
+def c10_normalize_keys(spark, d):
+    o = B.read(spark, d, "orders").select(F.year("o_orderdate").cast("string").alias("year"), F.concat(F.lit(" "), "o_orderpriority").alias("region"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".0")).alias("src_row"))
+    return C.normalize_keys(o)
+
+
+@query("select p_partkey, regexp_replace(p_name, '^(red|hot) (.+)$', '\\2(\\1)') title from part")
+def c12_rewrite_titles(spark, d):
+    return B.read(spark, d, "part").select("p_partkey", X.rewrite_titles(F.col("p_name"), [(r"^(red|hot) (.+)$", "$2($1)")]).alias("title"))
+
+
+@query("""with c as (select c_nationkey region, c_custkey src_row, c_name body, lead(c_custkey) over (partition by c_nationkey order by c_custkey) nxt, lead(c_name) over (partition by c_nationkey order by c_custkey) more from customer)
+select region, src_row, case when src_row % 10 = 0 and nxt is not null then body || ' ' || more else body end body from c""")
+def c13_merge_continuations(spark, d):
+    from pyspark.sql import Window
+
+    c = B.read(spark, d, "customer").select(F.col("c_nationkey").alias("region"), F.lit(1).alias("year"), F.col("c_custkey").alias("src_row"), F.col("c_name").alias("body"))
+    nxt = c.withColumn("more", F.lead("src_row").over(Window.partitionBy("region").orderBy("src_row"))).where("src_row % 10 = 0 and more is not null")
+    links = nxt.select("region", "year", F.col("more").alias("src_row"), F.col("src_row").alias("target_row"))
+    return C.merge_continuations(c, links).select("region", "src_row", "body")
+
+
+@query("""select p_partkey, '지원대상 : ' || p_name || ' 지원내용 : ' || p_brand body, 'match' pattern, p_name target, p_brand content from part""")
+def c15_to_c17_labels(spark, d):
+    raw = F.concat(F.lit("(지원대상) "), "p_name", F.lit(" ○ (지원내용) "), "p_brand")
+    tidy = X.dedup_label(raw)
+    part = X.split_labeled(tidy)
+    return B.read(spark, d, "part").select("p_partkey", tidy.alias("body"), X.check_pattern(tidy).alias("pattern"), part["target"].alias("target"), part["content"].alias("content"))
+
+
+@query("select p_type, count(*)::bigint n, sum((p_size % 3 = 0)::int)::bigint n_changed, false lost from part group by 1")
+def c21_normalize_bullets(spark, d):
+    p = B.read(spark, d, "part").withColumn("body", F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("○ "), "p_name", F.lit(" "), F.col("p_size").cast("string"))).otherwise(F.col("p_name")))
+    out = C.normalize_bullets(p, ["body"])
+    return out.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.sum("n_changed").alias("n_changed"), F.bool_or("lost").alias("lost"))
+
+
+@query("select p_partkey, p_size % 4 = 0 rerun, p_size % 2 = 0 flag, case when p_size % 5 = 0 then 'tail' else p_name end stripped from part")
+def c22_c27_c30_helpers(spark, d):
+    s = F.col("p_size")
+    text = F.when(s % 4 == 0, F.concat("p_name", F.lit(" (대상) x"))).otherwise(F.col("p_name"))
+    flag = F.when(s % 2 == 0, "Yes").otherwise("0")
+    label = F.when(s % 5 == 0, F.lit("head: tail")).otherwise(F.col("p_name"))
+    return B.read(spark, d, "part").select("p_partkey", X.needs_rerun(text).alias("rerun"), X.parse_flag(flag).alias("flag"), X.strip_prefix_label(label, "head:").alias("stripped"))
+
+
+@query("select p_partkey, p_name || ' ' || p_brand model_text from part")
+def c25_build_text(spark, d):
+    return C.build_text(B.read(spark, d, "part"), ["p_name", "p_brand"], ["p_name"]).select("p_partkey", "model_text")
+
+
+@query("select n_name region, n_nationkey code from nation")
+def c26_harmonize(spark, d):
+    return C.harmonize(B.read(spark, d, "nation"), {"region": ["name", "n_name"], "code": ["n_nationkey", "id"]}).select("region", "code")
+
+
+@query("select d.doc_id, l.quality label from documents d join labels l using (doc_id) where l.toxic = 0")
+def c29_training_rows(spark, d):
+    rows = B.read(spark, d, "documents").join(B.read(spark, d, "labels"), "doc_id").select("doc_id", F.lit(2020).alias("year"), F.lit("confirmed").alias("status"), F.when(F.col("toxic") == 1, "toxic").alias("note"), F.col("quality").alias("label"))
+    return C.training_rows(rows, [2020], ["confirmed"], ["doc_id"])[0].select("doc_id", "label")
+
+
+@query("select o_orderkey, o_orderstatus <> case when o_orderkey % 9 = 0 then 'X' else o_orderstatus end changed from orders")
+def c32_changed_flags(spark, d):
+    cur = F.when(F.col("o_orderkey") % 9 == 0, "X").otherwise(F.col("o_orderstatus"))
+    return B.read(spark, d, "orders").select("o_orderkey", X.changed(F.col("o_orderstatus"), cur, F.lit(False)).alias("changed"))
+
+
+@query()
+def c33_similarity_ratio(spark, d):
+    p = B.read(spark, d, "part").select("p_partkey", "p_name", F.regexp_replace("p_name", "ring", "rings").alias("after"))
+    return rnd(C.similarity_of_changes(p, "p_name", "after").select("p_partkey", "ratio"), 6)
+
+
+@query("select p_partkey, p_size::int a, (p_size % 7)::int b from part")
+def c34_natural_sort_key(spark, d):
+    key = X.natural_key(F.concat(F.col("p_size").cast("string"), F.lit("-"), (F.col("p_size") % 7).cast("string"), F.lit(". x")))
+    return B.read(spark, d, "part").select("p_partkey", key["a"].alias("a"), key["b"].alias("b"))
+
+
+@query("with " + B.PANEL + """, s as (select *, case when year % 3 = 0 then 'leaf only' when year % 3 = 1 then 'subtotal only' else 'both' end state from panel)
+select region, year, case state when 'leaf only' then 'no subtotal row' when 'subtotal only' then 'no leaf rows' end reason from s""")
+def c35_undetermined_reason(spark, d):
+    p = B.panel(spark, d).withColumn("state", F.when(F.col("year") % 3 == 0, "leaf only").when(F.col("year") % 3 == 1, "subtotal only").otherwise("both"))
+    return p.select("region", "year", X.undetermined_reason(F.col("state"), F.col("budget"), F.col("budget")).alias("reason"))
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderkey % 100 <> 1")
+def d01_confirmed_duplicates(spark, d):
+    o = B.read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    twice = o.withColumn("copy", F.lit(0)).unionByName(o.where("o_orderkey % 100 = 1").withColumn("copy", F.lit(1)))
+    marked = twice.withColumn("drop_me", F.col("o_orderkey") % 100 == 1)
+    # Both rows of a pair are listed, so only rows without a twin stay.
+    return C.drop_confirmed_duplicates(marked, [True], "drop_me", ignore=["copy"]).select("o_orderkey", "o_custkey")
+
+
+@query("select d.doc_id, d.source, l.quality from documents d join labels l using (doc_id)")
+def j03_attach_labels(spark, d):
+    lab = B.read(spark, d, "labels").select("doc_id", "quality")
+    docs = B.read(spark, d, "documents").select("doc_id", "source").join(lab.select("doc_id"), "doc_id", "left_semi")
+    return J.attach_labels(docs, lab, ["doc_id"])
+
+
+@query("with " + B.SUBPANEL + ", p as (select region, year, round(avg(l_discount), 8) outcome from detail group by all) select s.region, s.year, s.subarea, s.budget, p.outcome, a.budget s_lag, b.budget f_lag from subpanel s join p using (region, year) left join subpanel a on a.region = s.region and a.subarea = s.subarea and a.year = s.year - 1 left join subpanel b on b.region = s.region and b.subarea = s.subarea and b.year = s.year - 2")
+def j04_regression_sample(spark, d):
+    sub = B.subpanel(spark, d).drop("area")
+    lag = lambda k, n: sub.select("region", "subarea", (F.col("year") + k).alias("year"), F.col("budget").alias(n))
+    return J.build_sample(sub, B.panel(spark, d).select("region", "year", "outcome"), lag(1, "s_lag"), lag(2, "f_lag"))
+
+
+@query("with " + B.INDICATORS + " select indicator_id, region, year, value is null and (nk + year) % 7 = 0 block from indicators")
+def j09_attach_policy(spark, d):
+    p = B.indicators(spark, d)
+    policy = p.where("value is null").select("indicator_id", "region", "year", ((F.col("nk") + F.col("year")) % 7 == 0).alias("block"))
+    return J.attach_policy(p.select("indicator_id", "region", "year", "value"), policy).select("indicator_id", "region", "year", "block")
+
+
+@query("select c_custkey, case when c_custkey % 20 = 0 then 'FIXED' else c_name end c_name from customer")
+def j12_text_corrections(spark, d):
+    c = B.read(spark, d, "customer").select("c_custkey", "c_name")
+    rules = c.where("c_custkey % 20 = 0").select("c_custkey", F.col("c_name").alias("before"), F.lit("FIXED").alias("after"))
+    return J.apply_corrections({"wide": (c, 1)}, rules, ["c_custkey"], "c_name")["wide"]
+
+
+@query("select c_nationkey region, c_custkey l_row, c_custkey + 7 r_row, 'unique' how from customer")
+def j13_anchored_match(spark, d):
+    c = B.read(spark, d, "customer").select(F.col("c_nationkey").alias("region"), F.col("c_custkey").alias("src_row"), F.col("c_name").alias("v"))
+    return J.anchored_match(c, c.withColumn("src_row", F.col("src_row") + 7), "v")
+
+
+@query("select d.doc_id, l.quality is not null reviewed, d.doc_id % 4 = 0 text_changed, l.quality is not null and d.doc_id % 4 = 0 recheck from documents d left join labels l using (doc_id)")
+def j16_review_master(spark, d):
+    docs = B.read(spark, d, "documents").select("doc_id", F.col("source").alias("body"))
+    lab = B.read(spark, d, "labels")
+    old = docs.withColumn("body", F.when(F.col("doc_id") % 4 == 0, "other").otherwise(F.col("body")))
+    out = J.build_review_master(docs, lab.select("doc_id", F.lit("done").alias("review")), old, lab.select("doc_id", "quality"), ["doc_id"], "body")
+    return out.select("doc_id", "reviewed", "text_changed", "recheck")
+
+
+@query("select o_orderkey, 2020 as year, case when o_orderkey % 3 = 0 then o_orderpriority end review_label from orders")
+def j17_transfer_progress(spark, d):
+    o = B.read(spark, d, "orders").select("o_orderkey", F.lit(2020).alias("year"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise(" ").alias("review_label"))
+    new = o.withColumn("review_label", F.lit(None).cast("string"))
+    return J.transfer_progress(o, new, ["o_orderkey", "year"], cols=["review_label"])
+
+
+@query("select o_orderkey, o_totalprice amount, o_orderkey % 2 = 0 labelled from orders where o_orderkey % 10 in (3, 4)")
+def j18_change_impact(spark, d):
+    o = B.read(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("amount"))
+    ch = [o.where(f"o_orderkey % 10 = {k}").select("o_orderkey", "o_orderstatus") for k in (3, 4)]
+    labels = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("x").alias("label"))
+    return J.change_impact(ch, o, labels, ["o_orderkey"], ["o_orderstatus"]).select("o_orderkey", "amount", "labelled")
+
+
+@query("select o_orderpriority region, count(*) filter (o_orderstatus = 'F')::bigint n_match, count(*) filter (o_orderstatus = 'O')::bigint n_mismatch, max(o_totalprice) max_abs_rate from orders group by 1")
+def a02_qa_panel(spark, d):
+    s = F.col("o_orderstatus")
+    qa = B.read(spark, d, "orders").select(F.col("o_orderpriority").alias("region"), F.when(s == "F", "match").when(s == "O", "mismatch").otherwise("undetermined").alias("result"), F.lit("allowed").alias("tolerance_result"), F.col("o_totalprice").alias("abs_rate"))
+    return A.qa_panel(qa, ["region"]).select("region", "n_match", "n_mismatch", "max_abs_rate")
+
+
+@query("select c_mktsegment region, count(*)::bigint n_rows, count(distinct c_nationkey)::bigint n_areas, 0::bigint n_blank, 0::bigint n_duplicate_rows from customer group by 1")
+def a08_consolidation_qa(spark, d):
+    c = B.read(spark, d, "customer").select(F.col("c_mktsegment").alias("region"), F.col("c_name").alias("body"), F.col("c_nationkey").alias("area"), F.col("c_custkey").alias("src_row"))
+    return A.consolidation_qa(c).select("region", "n_rows", "n_areas", "n_blank", "n_duplicate_rows")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_discount * 1 + l_tax * 5) / nullif(l_discount + l_tax, 0), 6) mean_score from lineitem")
+def a10_response_mean(spark, d):
+    out = A.weighted_response_mean(B.read(spark, d, "lineitem"), {"l_discount": 1.0, "l_tax": 5.0})
+    return rnd(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "mean_score"), 6)
+
+
+@query("""with g as (select p_type region, p_size age, count(*) n from part where p_size between 1 and 3 group by all), ok as (select region from g group by 1 having count(*) = 3) select region, 2020 as year, sum(n)::bigint population from g join ok using (region) group by 1""")
+def a11_population(spark, d):
+    g = B.read(spark, d, "part").where("p_size between 1 and 3").groupBy(F.col("p_type").alias("region"), F.col("p_size").alias("age")).agg(F.count(F.lit(1)).alias("2020년"))
+    ok = g.groupBy("region").agg(F.count(F.lit(1)).alias("k")).where("k = 3")
+    return A.population(g.join(ok, "region", "left_semi"), [1, 2, 3], years=["2020년"])
+
+
+@query("with " + B.PANEL + " select region, year, round(n / nullif(case when year = 1999 then 0 else 50 end, 0) * 100.0, 4) rate, case when year = 1999 then 'zero denominator' end note from panel")
+def a12_ratio_table(spark, d):
+    p = B.panel(spark, d)
+    den = p.select("region", "year", F.when(F.col("year") == 1999, 0.0).otherwise(50.0).alias("denominator"))
+    return rnd(A.ratio_table(p.select("region", "year", F.col("n").cast("double").alias("numerator")), den).select("region", "year", "rate", "note"))
+
+
+@query("select 'l_quantity' feature, false flagged union all select 'l_discount', false")
+def a18_feature_report(spark, d):
+    li = B.read(spark, d, "lineitem")
+    return S.feature_report(li.where("l_orderkey % 2 = 0"), li.where("l_orderkey % 2 = 1"), ["l_quantity", "l_discount"])[0].select("feature", "flagged")
+
+
+@query("select 'l_extendedprice' a, 'l_quantity' b from lineitem having corr(l_extendedprice, l_quantity) >= 0.5")
+def a22_high_corr_pairs(spark, d):
+    return S.high_corr_pairs(S.corr_matrix(B.read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]), 0.5).select("a", "b")
+
+
+@query("with " + _WORDS + """, r as (select *, row_number() over (partition by g order by round(s / n, 9) desc, term) p from s join k using (g)), f as (select *, row_number() over (partition by g order by f desc, term) p2 from s)
+select r.g p_type, count(*)::bigint n_common, round(count(*) / 5.0, 6) overlap from r join f on r.g = f.g and r.term = f.term where p <= 5 and p2 <= 5 group by 1""")
+def a29_ranking_overlap(spark, d):
+    p = B.read(spark, d, "part")
+    a = T.group_keywords(p, "p_type", "p_partkey", T.word_tokens(F.col("p_name")), n=1000)
+    by_freq = W.top_n(a, ["p_type"], [F.col("doc_freq").desc(), F.col("term")], 5, "rank2").select("p_type", "term", F.col("rank2").alias("place"))
+    return rnd(A.ranking_overlap(a.where("place <= 5").select("p_type", "term", "place"), by_freq, "p_type").select("p_type", "n_common", "overlap"), 6)
+
+
+@query("""select c "check", v as value from (select unnest(['rows', 'max_quantity']) c, unnest([count(*)::varchar, max(l_quantity)::varchar]) v from lineitem)""")
+def a33_panel_summary(spark, d):
+    return A.panel_summary(B.read(spark, d, "lineitem"), {"rows": F.count(F.lit(1)), "max_quantity": F.max("l_quantity")})
+
+
+@query("select n_nationkey, n_name, row_number() over (order by case n_regionkey when 3 then 1 when 1 then 2 else 3 end, n_nationkey)::int place from nation")
+def x01_ordered_output(spark, d):
+    from pyspark.sql import Window
+
+    key = F.array_position(F.array(F.lit(3), F.lit(1)), F.col("n_regionkey"))
+    order = Window.orderBy(F.when(key > 0, key).asc_nulls_last(), "n_nationkey")
+    return R.order_by_list(B.read(spark, d, "nation"), "n_regionkey", [3, 1], "n_nationkey").select("n_nationkey", "n_name", F.row_number().over(order).alias("place"))
+
+
+@query("select 'c' side, c_name as name, c_acctbal, null::varchar extra from customer union all select 's', s_name, s_acctbal, 'x' from supplier")
+def x03_union_tables(spark, d):
+    c = B.read(spark, d, "customer").select(F.lit("c").alias("side"), F.col("c_name").alias("name"), "c_acctbal")
+    s = B.read(spark, d, "supplier").select(F.lit("s").alias("side"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("c_acctbal"), F.lit("x").alias("extra"))
+    return R.union_all([c, s])
+
+
+@query("with " + B.INDICATORS + " select region, year, indicator_id, category, subcategory, direction, value from indicators")
+def i01_prepare_panel(spark, d):
+    return I.prepare_index_input(B.indicators(spark, d).withColumnRenamed("indicator_id", "code"), {"indicator_id": "code"})
+
+
+@query()
+def i08_yearly_agreement(spark, d):
+    a, b = (I.compute_index(_scores(spark, d, m), B.weights(spark), check=False).final for m in ("pooled", "yearly"))
+    return I.compare_scenarios(a, b)
+
+
+@query()
+def m02_fe_summary(spark, d):
+    p = B.panel(spark, d).withColumn("x", F.log1p("budget"))
+    return S.two_way_fe(p, "outcome", "x").select("term", "coef", "se", "t", "p", "ci_low", "ci_high", "n", "resid_df", "inference_df")
+
+
+@query()
+def m04_mutual_controls(spark, d):
+    wide = B.subpanel(spark, d).groupBy("region", "year").pivot("area", ["CORE", "MID", "OTHER"]).agg(F.log1p(F.sum("budget"))).dropna()
+    return S.two_way_fe(wide.join(B.panel(spark, d).select("region", "year", "outcome"), ["region", "year"]), "outcome", ["CORE", "MID", "OTHER"])
+
+
+@query()
+def m12_elbow(spark, d):
+    from gridloom.operators.learning import elbow
+
+    wide = B.subpanel(spark, d).groupBy("region").pivot("subarea", list(B.AREAS)).agg(F.avg("budget"))
+    return elbow(wide.fillna(0.0), "region", list(B.AREAS)[:3], 3)
+
+
+@query()
+def m13_denominator_sensitivity(spark, d):
+    p = B.panel(spark, d).withColumn("g", F.right(F.col("region"), F.lit(1)).cast("int") % 2).withColumn("x1", F.log1p(F.col("budget") / F.col("n"))).withColumn("x2", F.log1p("budget"))
+    a, b = (S.two_way_fe(p, "outcome", x, by=["g"]) for x in ("x1", "x2"))
+    return S.compare_models(a, b, ["g"])
+
+
+@query()
+def t07_grouped_cv(spark, d):
+    from gridloom.operators.learning import group_cv
+
+    p = B.read(spark, d, "part").select("p_partkey", "p_name", "p_type", F.regexp_extract("p_name", r"(\S+)$", 1).alias("label"))
+    return group_cv(p, "p_partkey", "p_name", "label", "p_type", k=2, max_iter=5)[1]
+
+
+@query()
+def t10_preprocess(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    from gridloom.operators.learning import preprocessor
+
+    c = B.read(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    out = preprocessor(["c_acctbal"], ["c_mktsegment"]).fit(c).transform(c)
+    return rnd(out.select("c_custkey", vector_to_array("features")[0].alias("scaled")), 6)
+
+
+@query("select d.doc_id src_row, d.source || ' ' || d.lang model_text from documents d where doc_id not in (select doc_id from labels)")
+def t12_prediction_targets(spark, d):
+    from gridloom.operators.learning import prediction_targets
+
+    rows = B.read(spark, d, "documents").select(F.col("doc_id").alias("src_row"), F.lit(2020).alias("year"), "source", "lang")
+    done = B.read(spark, d, "labels").select(F.col("doc_id").alias("src_row"), F.lit(2020).alias("year"))
+    return prediction_targets(rows, [2020], done, ["source", "lang"], keys=("year", "src_row")).select("src_row", "model_text")
+
+
+@query()
+def u02_grouped_trend(spark, d):
+    def last(seen, years):
+        return [float(seen.iloc[-1])] * len(years)
+
+    out = M.impute_series(B.indicators(spark, d), ["indicator_id", "region"], leading="trend", trailing="trend", trend=last)
+    return rnd(out.where("position in ('leading', 'trailing')").select("indicator_id", "region", "year", "position", "value_filled"))
