@@ -7,6 +7,7 @@ A written table survives lost executors, which a local checkpoint does not.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,16 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done.
+
+    Spark removes them once the plan is garbage on the driver; on a driver with much memory that may be long
+    after the table they led to was written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` that no later plan reads."""
     path = getattr(df, "_gridloom_path", None)
