@@ -31,10 +31,10 @@ from gridloom.llm.vectors import block, usable
 from gridloom.operators.graph import connected_components
 
 RANGE = 0.93
-#: Nodes of a block; a cell holds two at most.
-BLOCK = 2048
-#: A label with more nodes than this is clustered.
-CLUSTERED = 16_384
+#: A shard up to twice this size is one cell; a larger one is dealt over blocks of it, two to a cell.
+BLOCK = 4096
+#: A label with more nodes than this is clustered into shards of about SHARD nodes.
+CLUSTERED, SHARD = 8192, 6000
 #: Nearest clusters that a node joins, and the most vectors per label that centres are fitted on.
 OVERLAP, SAMPLE = 3, 20_000
 CANDIDATES, DEGREE, ALPHA, BEAM, FAR = 40, 20, 1.2, 24, 8
@@ -173,7 +173,7 @@ def _cells(nodes: DataFrame) -> DataFrame:
         share = min(1.0, SAMPLE / r["n"])
         got = nodes.where((F.col("label") == r["label"]) & (F.pmod(F.col("node"), F.lit(1_000_000)) < int(1_000_000 * share))).select("embedding").limit(2 * SAMPLE).toPandas()
         x = np.stack(got["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)))
-        centres[r["label"]] = centres_of(x / np.linalg.norm(x, axis=1)[:, None], min(1024, max(OVERLAP + 1, -(-r["n"] // (2 * BLOCK)))))
+        centres[r["label"]] = centres_of(x / np.linalg.norm(x, axis=1)[:, None], min(1024, max(OVERLAP + 1, -(-r["n"] * OVERLAP // SHARD))))
     sent = spark.sparkContext.broadcast(centres)  # 1024 centres per large label at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def _cells(nodes: DataFrame) -> DataFrame:
 
     kinds = ", ".join(f"{c} {k}" for c, k in nodes.dtypes)
     placed = materialize(nodes.mapInArrow(assign, f"{kinds}, shards array<int>"), "vg-placed").withColumn("shard", F.explode("shards"))
-    blocks = placed.groupBy("label", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = placed.groupBy("label", "shard").agg(F.when(F.count(F.lit(1)) <= 2 * BLOCK, 1).otherwise(F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
     placed = placed.join(materialize(blocks, "vg-blocks"), ["label", "shard"]).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Block b takes part in the cells (b, j >= b) and (i < b, b).
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

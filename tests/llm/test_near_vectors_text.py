@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridloom.llm import vectorgraph
 from gridloom.llm.ann import hadamard, nearest, recall_of
 from gridloom.llm.html import main_text
 from gridloom.llm.jaccard import common_counts, fragment_keys, jaccard_groups, shingle_set, size_classes
@@ -127,7 +128,12 @@ def test_hadamard_keeps_lengths():
     assert np.linalg.norm(hadamard(x), axis=1) == pytest.approx(np.linalg.norm(x, axis=1))
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("clustered", [False, True])
+def test_near_vectors(spark, clustered, monkeypatch):
+    if clustered:  # these bounds are read on the driver
+        monkeypatch.setattr(vectorgraph, "CLUSTERED", 100)
+        monkeypatch.setattr(vectorgraph, "SHARD", 100)
+        monkeypatch.setattr(vectorgraph, "BLOCK", 40)
     data, df = vectors(spark)
     x = np.array([d[1] for d in data], dtype=np.float32).astype(np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
