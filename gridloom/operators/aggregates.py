@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as X
+from gridloom.functions.staging import materialize
 from gridloom.operators.checks import assert_group_sets, fail_if_any, grid
 from gridloom.operators.joins import fill_keys, join_checked, join_null_safe
 from gridloom.operators.rows import collapse_consistent
@@ -214,6 +215,7 @@ def indicator_region_summary(long: DataFrame, directions: DataFrame, outlier: st
 def composite_score(df: DataFrame, value: str = "budget") -> DataFrame:
     """Category sums per region and year, their log, pooled z, 0-100 score and yearly rank."""
     out = df.groupBy("region", "year").agg(F.sum(value).alias("total")).withColumn("log_total", F.log1p("total"))
+    out = materialize(out, "composite-panel")  # read by the statistics, computed once
     return rank_min(minmax(zscore(out, "log_total"), "log_total_z", out="score"), ["year"], "score").drop("rank_score")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.staging import materialize
 from gridloom.operators.checks import CheckFailed, assert_contiguous, fail_if_any
 from gridloom.operators.rows import forward_fill  # noqa: F401  (W8)
 
@@ -137,6 +138,8 @@ def fiscal_index(panel: DataFrame, cpi: DataFrame, population: DataFrame, base_y
 
     out = deflate_budget(panel, cpi, budget, base_year, year).join(population, [region, year])
     out = out.withColumn("real_per_capita", F.col("real") / F.nullif(F.col("population"), F.lit(0))).withColumn("log_real", F.log1p("real")).withColumn("log_per_capita", F.log1p("real_per_capita"))
+    # The statistics below read the panel several times; it is computed once (a row per region and year).
+    out = materialize(out, "fiscal-panel")
     out = minmax(zscore(zscore(out, "log_real"), "log_per_capita"), "log_per_capita_z", out="score", check=False)
     out = rank_min(out, [year], "score", desc=True)
     out = yoy(out, [region], year, "real")
