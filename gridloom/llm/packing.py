@@ -30,53 +30,67 @@ from gridloom.llm.tokens import encoder
 WINDOW = 2048
 PIECE = 512
 #: Pieces of a group, about.
-GROUP = 4096
+GROUP = 1536
 PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
+def differencing(sizes: np.ndarray, k: int) -> list[np.ndarray]:
     """Karmarkar-Karp: indices of ``sizes`` in ``k`` windows of nearly equal sums.
 
     A partial partition keeps only its non-empty windows, in descending order of their sums; its spread is
-    the fullest window less the emptiest (0 while a window is empty).
+    the fullest window less the emptiest (0 while a window is empty).  A window is a number: below n a
+    single piece, from n on the union of two windows.
     """
+    n = len(sizes)
     if k <= 1:
-        return [list(range(len(sizes)))]
-    parts: dict[int, tuple[np.ndarray, list[list[int]]]] = {i: (np.array([s], dtype=np.int64), [[i]]) for i, s in enumerate(sizes)}
+        return [np.arange(n)]
+    parts: dict[int, tuple[np.ndarray, np.ndarray]] = {i: (sizes[i : i + 1].astype(np.int64), np.array([i])) for i in range(n)}
     heap = [(-int(s), i) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    fresh = len(sizes)
+    unions: list[tuple[np.ndarray, np.ndarray]] = []
+    fresh, windows = n, n
     while len(heap) > 1:
         (_, i), (_, j) = heapq.heappop(heap), heapq.heappop(heap)
         (a, wa), (b, wb) = parts.pop(i), parts.pop(j)
         both = len(a) + len(b) - k
         if both <= 0:
-            sums, wins = np.concatenate([a, b]), wa + wb
+            sums, wins = np.concatenate([a, b]), np.concatenate([wa, wb])
         else:
             # The last ``both`` windows of a (its emptiest) meet the last of b in reverse order.
             keep_a, keep_b = len(a) - both, len(b) - both
             sums = np.concatenate([a[:keep_a], b[:keep_b], a[keep_a:] + b[keep_b:][::-1]])
-            wins = wa[:keep_a] + wb[:keep_b] + [x + y for x, y in zip(wa[keep_a:], wb[keep_b:][::-1], strict=True)]
+            wins = np.concatenate([wa[:keep_a], wb[:keep_b], np.arange(windows, windows + both)])
+            unions.append((wa[keep_a:], wb[keep_b:][::-1]))
+            windows += both
         order = np.argsort(-sums, kind="stable")
-        sums, wins = sums[order], [wins[x] for x in order]
-        spread = int(sums[0] - (sums[-1] if len(sums) == k else 0))
+        sums, wins = sums[order], wins[order]
         parts[fresh] = (sums, wins)
-        heapq.heappush(heap, (-spread, fresh))
+        heapq.heappush(heap, (-int(sums[0] - (sums[-1] if len(sums) == k else 0)), fresh))
         fresh += 1
-    (_, last) = heap[0]
-    return parts[last][1]
-
-
-def windows_of(sizes: np.ndarray, window: int = WINDOW) -> list[list[int]]:
+    # From the last unions back to the pieces, every piece learns its window.
+    owner = np.full(windows, -1)
+    last = parts[heap[0][1]][1]
+    owner[last] = np.arange(len(last))
+    top = windows
+    for left, right in reversed(unions):
+        at = owner[top - len(left) : top]
+        owner[left], owner[right] = at, at
+        top -= len(left)
+    order = np.argsort(owner[:n], kind="stable")
+    return np.split(order, np.searchsorted(owner[:n][order], np.arange(1, len(last))))
+
+
+def windows_of(sizes: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
     """Partition into windows of at most ``window``; the count rises until the fullest one fits."""
     if not len(sizes):
         return []
     k = max(1, -(-int(sizes.sum()) // window))
     while True:
         wins = differencing(sizes, k)
-        if max(int(sizes[w].sum()) for w in wins) <= window:
+        fullest = max(int(sizes[w].sum()) for w in wins)
+        if fullest <= window:
             return wins
-        k += max(1, k // 400)
+        k += max(1, k * (fullest - window) // (2 * window))
 
 
 def cut_document(ids: bytes, window: int = WINDOW, piece: int = PIECE) -> list[tuple[int, int, int]]:
