@@ -11,23 +11,13 @@ import re
 
 import numpy as np
 
-#: Entries of the cache of one Python worker, after which it starts anew.
-CACHE = 300_000
+#: Most entries of each cache of a Python worker (about 200 MB); words beyond it are encoded each time.
+CACHE = 1_000_000
 
-_BESIDE_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-
-
-class _Words(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, part):
-        if len(self) >= CACHE:
-            self.clear()
-        got = self[part] = self.encode(part)
-        return got
+#: White space that is neither a space, a tab nor a line end.
+_RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 
 
 class TokenEncoder:
@@ -42,25 +32,59 @@ class TokenEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drops_space = drops_space
-        self.first = _Words(lambda x: self._ids(x))
-        self.behind_space = _Words(lambda x: self._ids(" " + x))
-        self.raw = _Words(lambda x: self._ids(x.decode()))
+        self.known: dict[str, bytes] = {}
+        # Tokens that begin with a space (written as this letter in the vocabulary).
+        vocab = self.tokenizer.get_vocab()
+        self.starts_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.starts_word[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _behind_space(self, parts: list[str]) -> bytes:
+        """Ids of parts that each follow a space, put together."""
+        got = list(map(self.known.get, parts))
+        if None in got:
+            new = list({p for p, g in zip(parts, got, strict=True) if g is None})
+            found = dict(zip(new, self._each(new), strict=True))
+            if len(self.known) < CACHE:
+                self.known.update(found)
+            got = [found[p] if g is None else g for p, g in zip(parts, got, strict=True)]
+        return b"".join(got)
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part: all are encoded as one text and told apart again."""
+        if not self.drops_space:
+            spaced = [p for p in parts if " " in p]
+            if spaced:  # a space inside would look like the start of a part
+                alone = {p: self._ids(" " + p) for p in spaced}
+                plain = [p for p in parts if p not in alone]
+                alone.update(zip(plain, self._each(plain) if plain else [], strict=True))
+                return [alone[p] for p in parts]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+            owner = np.cumsum(self.starts_word[ids]) - 1
+        else:
+            enc = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+            ids = np.array(enc.ids, dtype="<u4")
+            starts = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+            owner = np.searchsorted(starts, np.array([a for a, _ in enc.offsets], dtype=np.int64), side="right") - 1
+        ends = np.searchsorted(owner, np.arange(len(parts)), side="right")
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
     def encode(self, text: str | None, end: bytes = b"") -> bytes:
         if not text:
             return end
         if self.drops_space:
-            return b"".join(map(self.raw.__getitem__, text.encode().split())) + end
-        if _BESIDE_SPACE.search(text):
+            parts = [p.decode() for p in text.encode().split()] if _RARE.search(text) else text.split()
+            return self._behind_space(parts) + end if parts else end
+        if any(x in text for x in _BESIDE) or text[0].isspace() or text[-1].isspace() or _RARE.search(text):
             parts = _SAFE.split(text)
             rest = [p[1:] for p in parts[1:]]
         else:
             parts = text.split(" ")
             rest = parts[1:]
-        return self.first[parts[0]] + b"".join(map(self.behind_space.__getitem__, rest)) + end
+        return self._ids(parts[0]) + (self._behind_space(rest) if rest else b"") + end
 
 
 _ENCODERS: dict[tuple[str, bool], TokenEncoder] = {}
