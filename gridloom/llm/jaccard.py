@@ -20,6 +20,10 @@ A xor B = (A xor L) xor (B xor L), and these differences are short for near copi
 of two bounded blocks, which return a spanning forest of the links, never the pairs.  So no pair is
 written out for a group, and no link that joins two components is lost.
 
+Candidates among long texts that only share passages are the cost of this design: their fragments are read in
+full to be refused.  The input must be a table
+scan, whose rows keep their places when it is read again.
+
 Defined cases: a null or wordless text has the empty set and links with nothing; fewer words than n give the
 whole sequence as one shingle; repeated rows have equal sets and one component; an empty table gives an
 empty result; other columns are not read.
@@ -35,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.staging import discard, materialize
+from gridloom.functions.staging import discard, materialize, release
 from gridloom.operators.graph import connected_components
 
 #: Cuts of the global order for counting overlaps.
@@ -122,7 +126,7 @@ def fragment_keys(hashes: np.ndarray, level: int, last: int, t: tuple[int, int])
 
 def _sets(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     """``(doc_id, row, n, sig, keys)``; within a task, only the first of equal sets carries its keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("keys", pa.list_(pa.int64()))])
     bounds = size_classes(1 << 40, t)
     firsts = np.array([a for a, _ in bounds])
 
@@ -130,7 +134,7 @@ def _sets(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             sizes, sigs, keys = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 hashes = shingle_set(text, n)
                 sig = xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
                 sizes.append(len(hashes))
@@ -142,10 +146,10 @@ def _sets(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
                 level = int(np.searchsorted(firsts, len(hashes), side="right")) - 1
                 parts = [k for j in (level, level + 1) for k in fragment_keys(hashes, j, bounds[j][1], t)]
                 keys.append(np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(sigs, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(sigs, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n int, sig long, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(work, "doc_id long, row long, n int, sig long, keys array<long>")
 
 
 def _parts(texts: DataFrame, n: int) -> DataFrame:
@@ -158,6 +162,8 @@ def _parts(texts: DataFrame, n: int) -> DataFrame:
             sigs, cuts, hashes = [], [], []
             for sig, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 whole = shingle_set(text, n)
+                if xxhash.xxh3_64_intdigest(whole.tobytes()) - (1 << 63) != sig:
+                    raise ValueError("rows changed places between two reads; give a table, not a plan")
                 for cut, part in enumerate(np.split(whole, np.searchsorted(whole, edges))):
                     sigs.append(sig)
                     cuts.append(cut)
@@ -214,6 +220,7 @@ def _compared(stars: DataFrame, parts: DataFrame, t: tuple[int, int]) -> DataFra
     gone = F.concat(F.array_except("ha", "hb"), F.array_except("hb", "ha"))
     deltas = _paired(stars, parts).select("a", "b", "nb", gone.alias("part")).groupBy("a", "b", "nb").agg(F.flatten(F.collect_list("part")).alias("delta"))
     deltas = materialize(deltas, "jaccard-deltas")
+    release(parts.sparkSession)
     sizes = deltas.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = deltas.join(materialize(sizes, "jaccard-sizes"), "a").withColumn("blk", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -261,17 +268,24 @@ def jaccard_groups(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
 
     shared = keyed.withColumn("lead", F.min(size).over(Window.partitionBy("key"))).withColumn("tail", F.max("sig").over(Window.partitionBy("key")))
     shared = materialize(shared.where("lead.sig <> tail").select("key", "sig", "n", F.col("lead.sig").alias("lead"), F.col("lead.n").alias("lead_n")).distinct(), "jaccard-shared")
+    # The keys have done their work; their table and their shuffle go.
+    whole, sets = sets, materialize(sets.select("doc_id", "row", "n", "sig", F.col("keys").isNotNull().alias("first")), "jaccard-ids")
+    discard(whole)
+    del keyed
+    release(docs.sparkSession)
     fits = lambda x, y: (F.least(x, y) * q >= F.greatest(x, y) * p)
 
     # One text of every set that shares a key, cut along the order.
     wanted = shared.select("sig").distinct()
-    reps = sets.where("n > 0 and keys is not null").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, "doc_id").select("sig", "text")
-    parts = materialize(_parts(texts, n), "jaccard-parts").dropDuplicates(["sig", "cut"])
+    reps = sets.where("n > 0 and first").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("row").alias("row"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text").join(reps, "row").select("sig", "text")
+    parts = materialize(_parts(texts, n), "jaccard-parts")
 
+    release(docs.sparkSession)
     stars = shared.where(F.col("sig") != F.col("lead")).select(F.col("lead").alias("a"), F.col("sig").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb"))
     stars = materialize(stars.distinct(), "jaccard-stars")
     links = materialize(_verified(stars.where(fits(F.col("na"), F.col("nb"))), parts, t), "jaccard-links")
+    release(docs.sparkSession)
     # Leaders whose sets are in several components.
     spread = _roots(stars.select("a", F.col("b").alias("sig")), links).groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k"))
     open_ = materialize(stars.join(spread.where("lo <> hi and k > 1").select("a"), "a", "left_semi"), "jaccard-open")
