@@ -1,12 +1,15 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors are compared within their label.  Equal vectors are one node with a multiplicity.  A large label is
-clustered (centres fitted on a bounded sample) and every node joins its ``OVERLAP`` nearest clusters; a
-shard with many nodes is dealt over blocks, and cells of two blocks at most do the work, so no task holds
-an unbounded group.  In every cell the nodes' candidate neighbours are thinned by robust pruning; the
+clustered (centres fitted on a bounded sample).  Queries of that sample are compared with all nodes of the
+label, and centres that part a pair within the range are merged into one shard until no such pair is parted:
+a dense region, whatever its size, is one shard.  Every node joins its ``OVERLAP`` nearest shards; a
+shard with many nodes is dealt over blocks so that each two of them meet, and cells of two blocks at most do
+the work, so no task holds an unbounded group.  In every cell the nodes' candidate neighbours are thinned by robust pruning; the
 adjacency lists of all cells are united per node; then each node searches the united graph of its cell: a
 greedy beam search from the cell's medoid (and the node itself), widened to every node within the range
-until no unexpanded node in range is left.  All links are verified by the exact cosine.
+until no unexpanded node in range is left (a node with so many in range that their lists exceed the cell
+reads the whole cell instead).  All links are verified by the exact cosine.
 
 A pair that several cells see is counted in one of them only (the smallest shard that both are in), so link
 counts need no table of pairs: a cell returns counts and a spanning forest.
@@ -37,6 +40,8 @@ BLOCK = 4096
 CLUSTERED, SHARD = 8192, 6000
 #: Nearest clusters that a node joins, and the most vectors per label that centres are fitted on.
 OVERLAP, SAMPLE = 3, 20_000
+#: Nodes of a large label's sample whose pairs the merging of its centres goes by.
+AUDITED = 2_000
 CANDIDATES, DEGREE, ALPHA, BEAM, FAR = 40, 20, 1.2, 24, 8
 SALTS = 32
 
@@ -127,6 +132,11 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, reach: float) -> np.ndarr
         front |= here  # nodes in range are expanded anew: their neighbours may have left the beam
         tried = np.zeros((m, n), dtype=bool)
         while True:  # widen: every node in range is expanded once
+            # Reading the lists of so many nodes costs more than all nodes of the cell, which is exact.
+            dense = np.flatnonzero((here.sum(axis=1) * safe.shape[1] > n) & (front & ~tried).any(axis=1))
+            if len(dense):
+                here[dense] = x[q[dense]] @ x.T >= reach
+                front[dense] = False
             a, v = np.nonzero(front & ~tried)
             if not len(a):
                 break
@@ -149,32 +159,98 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, reach: float) -> np.ndarr
 
 def _forest(hit: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each node."""
-    label = np.arange(len(hit))
-    a, b = np.nonzero(hit)
-    while len(a):
-        low = label.copy()
-        np.minimum.at(low, a, label[b])
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
+    label = np.full(len(hit), -1, dtype=np.int64)
+    for root in range(len(hit)):
+        if label[root] >= 0:
+            continue
+        label[root], front = root, np.array([root])
+        while len(front):
+            reached = np.zeros(len(hit), dtype=bool)
+            for k in range(0, len(front), 1024):
+                reached |= hit[front[k : k + 1024]].any(axis=0)
+            front = np.flatnonzero(reached & (label < 0))
+            label[front] = root
     return label
 
 
-_CELL = "label int, shard int, i int, j int"
-
-
-def _cells(nodes: DataFrame) -> DataFrame:
+def _owned(hit: np.ndarray, blk: np.ndarray, shards: list[list[int]], shard: int, i: int, j: int) -> None:
+    """Leave only the pairs that this cell owns: its shard is the smallest of both, its blocks are theirs."""
+    if i != j:
+        for one in (i, j):
+            at = np.flatnonzero(blk == one)
+            hit[np.ix_(at, at)] = False
+    members: dict[int, list[int]] = {}
+    for k, row in enumerate(shards):
+        for other in row:
+            if other < shard:
+                members.setdefault(other, []).append(k)
+    for at in members.values():
+        hit[np.ix_(at, at)] = False
+
+
+def nearest_shards(x: np.ndarray, centres: np.ndarray, merged: np.ndarray) -> np.ndarray:
+    """The OVERLAP nearest shards of each row, ascending; a shard is as near as its nearest centre."""
+    order = np.argsort(merged, kind="stable")
+    names, starts = np.unique(merged[order], return_index=True)
+    sims = np.maximum.reduceat((x @ centres.T)[:, order], starts, axis=1)
+    if len(names) <= OVERLAP:
+        return np.tile(names, (len(x), 1))
+    return np.sort(names[np.argpartition(-sims, OVERLAP - 1, axis=1)[:, :OVERLAP]], axis=1)
+
+
+def _parted(x: np.ndarray, asked: np.ndarray, centres: np.ndarray, merged: np.ndarray, reach: float) -> np.ndarray:
+    """Pairs of shards (nearest to either end) of pairs within the range that share no shard."""
+    mine, theirs = nearest_shards(x, centres, merged), nearest_shards(asked, centres, merged)
+    near, near_q = merged[(x @ centres.T).argmax(axis=1)], merged[(asked @ centres.T).argmax(axis=1)]
+    out = [np.zeros((0, 2), dtype=np.int64)]
+    for k in range(0, len(asked), 256):
+        a, b = np.nonzero((asked[k : k + 256] @ x.T >= reach) & (near_q[k : k + 256, None] != near[None, :]))
+        apart = ~(theirs[k + a][:, :, None] == mine[b][:, None, :]).any(axis=(1, 2))
+        out.append(np.unique(np.stack([near_q[k + a[apart]], near[b[apart]]], axis=1), axis=0))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _merged(nodes: DataFrame, centres: dict[int, np.ndarray], asked: dict[int, np.ndarray], reach: float) -> dict[int, np.ndarray]:
+    """The shard of every centre: centres merged until no audited pair within the range is parted."""
+    merged = {label: np.arange(len(c)) for label, c in centres.items()}
+    left = set(centres)
+    while left:
+        sent = nodes.sparkSession.sparkContext.broadcast({label: (centres[label], asked[label], merged[label]) for label in left})
+
+        def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for label, (c, q, m) in sent.value.items():
+                    part = batch.filter(pa.array(batch["label"].to_numpy() == label))
+                    for k in range(0, part.num_rows, 4096):
+                        x = block(part["embedding"].slice(k, 4096))
+                        pairs = _parted(x / np.linalg.norm(x, axis=1)[:, None], q, c, m, reach)
+                        if len(pairs):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), label, dtype=np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["label", "a", "b"])
+
+        found = nodes.select("label", "embedding").mapInArrow(audit, "label int, a long, b long").distinct().collect()  # pairs of shards
+        for r in found:
+            m = merged[r["label"]]
+            a, b = m[r["a"]], m[r["b"]]
+            m[m == max(a, b)] = min(a, b)
+        left = {r["label"] for r in found}
+    return merged
+
+
+def _cells(nodes: DataFrame, reach: float) -> DataFrame:
     """Nodes dealt to cells, with ``shards`` (all shards of the node) and ``blk`` (its block in this one)."""
     spark = nodes.sparkSession
     sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CLUSTERED).collect()  # one row per large label
     centres: dict[int, np.ndarray] = {}
+    asked: dict[int, np.ndarray] = {}
     for r in sizes:
         share = min(1.0, SAMPLE / r["n"])
         got = nodes.where((F.col("label") == r["label"]) & (F.pmod(F.col("node"), F.lit(1_000_000)) < int(1_000_000 * share))).select("embedding").limit(2 * SAMPLE).toPandas()
         x = np.stack(got["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)))
-        centres[r["label"]] = centres_of(x / np.linalg.norm(x, axis=1)[:, None], min(1024, max(OVERLAP + 1, -(-r["n"] * OVERLAP // SHARD))))
-    sent = spark.sparkContext.broadcast(centres)  # 1024 centres per large label at most
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        asked[r["label"]] = x[np.random.default_rng(7).permutation(len(x))[:AUDITED]]
+        centres[r["label"]] = centres_of(x, min(1024, max(OVERLAP + 1, -(-r["n"] * OVERLAP // SHARD))))
+    merged = _merged(nodes, centres, asked, reach)
+    sent = spark.sparkContext.broadcast({label: (c, merged[label]) for label, c in centres.items()})  # 1024 centres per large label at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,11 +258,10 @@ def _cells(nodes: DataFrame) -> DataFrame:
                 continue
             x, labels = block(batch["embedding"]), batch["label"].to_numpy()
             shards: list[np.ndarray] = [np.zeros(1, dtype=np.int32)] * len(x)
-            for label, c in sent.value.items():
+            for label, (c, m) in sent.value.items():
                 at = np.flatnonzero(labels == label)
                 if len(at):
-                    top = np.argpartition(-(x[at] @ c.T), OVERLAP - 1, axis=1)[:, :OVERLAP]
-                    for k, row in zip(at, np.sort(top, axis=1), strict=True):
+                    for k, row in zip(at, nearest_shards(x[at], c, m), strict=True):
                         shards[k] = row.astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards, pa.list_(pa.int32()))], names=[*batch.schema.names, "shards"])
 
@@ -206,7 +281,7 @@ def near_vectors(vectors: DataFrame, reach: float = RANGE, vec_id: str = "vec_id
     rows = rows.withColumn("node", F.when(good, F.xxhash64("label", "embedding")))
     groups = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     nodes = materialize(groups, "vg-nodes")
-    cells = materialize(_cells(nodes.select("node", "copies", "label", "embedding")), "vg-cells")
+    cells = materialize(_cells(nodes.select("node", "copies", "label", "embedding"), reach), "vg-cells")
     keys = ["label", "shard", "i", "j"]
 
     def graph(t: pa.Table) -> pa.Table:
@@ -233,19 +308,12 @@ def near_vectors(vectors: DataFrame, reach: float = RANGE, vec_id: str = "vec_id
             at = at[ids[at] == np.asarray(row, dtype=np.int64)]
             adjacency[k, : len(at)] = at
         hit = range_search(x, adjacency, reach)
-        # Only pairs that this cell owns: its shard is the smallest of both, its blocks are theirs.
         shard, i, j = (t[c][0].as_py() for c in ("shard", "i", "j"))
-        a, b = np.nonzero(hit)
-        blk, shards = t["blk"].to_numpy(), [set(s) for s in t["shards"].to_pylist()]
-        own = (np.minimum(blk[a], blk[b]) == i) & (np.maximum(blk[a], blk[b]) == j)
-        a, b = a[own], b[own]
-        own = np.fromiter((min(shards[p] & shards[q]) == shard for p, q in zip(a, b, strict=True)), dtype=bool, count=len(a))
-        a, b = a[own], b[own]
-        kept = np.zeros_like(hit)
-        kept[a, b] = True
-        counts = np.bincount(a, weights=t["copies"].to_numpy()[b], minlength=len(ids)).astype(np.int64)
+        _owned(hit, t["blk"].to_numpy(), t["shards"].to_pylist(), shard, i, j)
+        copies = t["copies"].to_numpy().astype(np.float64)
+        counts = np.concatenate([hit[k : k + 512] @ copies for k in range(0, len(ids), 512)]).astype(np.int64)
         some = np.flatnonzero(counts)
-        return pa.table({"node": pa.array(ids[some]), "part": pa.array(counts[some]), "root": pa.array(ids[_forest(kept)][some])})
+        return pa.table({"node": pa.array(ids[some]), "part": pa.array(counts[some]), "root": pa.array(ids[_forest(hit)][some])})
 
     found = cells.join(united, "node").groupBy(*keys).applyInArrow(search, "node long, part long, root long")
     found = materialize(found, "vg-found")

@@ -149,6 +149,20 @@ def test_near_vectors(spark, clustered, monkeypatch):
     assert near_vectors(df.where("false")).count() == 0
 
 
+def test_dense_group_larger_than_its_shards(spark, monkeypatch):
+    for name, size in (("CLUSTERED", 400), ("SHARD", 300), ("BLOCK", 200)):
+        monkeypatch.setattr(vectorgraph, name, size)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.eye(64)[0] + rng.normal(size=(1500, 64)) * np.sqrt((1 / 0.97 - 1) / 64), rng.normal(size=(300, 64))])
+    df = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], VEC)
+    x = x.astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    true = (x @ x.T >= 0.93).sum(axis=1) - 1
+    got = near_vectors(df).toPandas().set_index("vec_id").loc[range(1800)]
+    assert (got["n_links"] <= true).all() and got["n_links"].sum() >= 0.999 * true.sum()
+    assert got.loc[range(1500), "component_id"].eq(0).all() and got["kept"].sum() == 301
+
+
 PAGE = "<html><head><title>T</title><script>var a='<p>';</script></head><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy now please</div>{}<footer>c</footer></body>"
 
 
