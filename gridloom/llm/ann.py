@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are lifted to the unit sphere so that the largest inner product is the smallest angle.  Each of
+Candidates are parted into ranges of length, each a factor ``STEP`` wide, and lifted to the unit sphere by the
+longest of their range, so that in a range the largest inner product is the smallest angle; a query looks into
+every range.  Ranges of few vectors are scanned whole.  Each of
 ``tables`` hash functions is a pseudo-rotation (three rounds of random signs and a fast Hadamard
 transform); a vector's bucket is its nearest signed axis.  A query looks into its ``probes`` nearest signed
 axes of every table; the vectors found there are ranked by the exact inner product of the original vectors.
+A query that finds fewer than ``k`` vectors, or than there are, is compared with all of them.
 
 Buckets are joined in cells of bounded size: a bucket with many vectors is dealt over several cells, and
 each cell returns at most ``k`` neighbours per query, so no group is unbounded and nothing is capped.
@@ -32,6 +35,8 @@ TABLES = 12
 PROBES = 16
 #: Vectors of a cell, about; and queries of a cell.
 CELL = 8192
+#: Lengths of a range differ by this factor at most; a range of at most WHOLE vectors is scanned whole.
+STEP, WHOLE = 2**0.5, 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -59,12 +64,12 @@ def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return padded
 
 
-def lift(x: np.ndarray, longest: float, query: bool) -> np.ndarray:
+def lift(x: np.ndarray, longest: float | np.ndarray, query: bool) -> np.ndarray:
     """Unit vectors whose angles order the inner products: candidates get one more coordinate."""
     norm = np.linalg.norm(x, axis=1)
     if query:
         return np.column_stack([x / norm[:, None], np.zeros(len(x))])
-    scaled = x / longest
+    scaled = x / np.reshape(longest, (-1, 1))
     return np.column_stack([scaled, np.sqrt(np.maximum(0.0, 1 - (norm / longest) ** 2))])
 
 
@@ -76,19 +81,21 @@ def axes(rotated: np.ndarray, probes: int) -> np.ndarray:
     return np.take_along_axis(best, np.argsort(-np.take_along_axis(both, best, axis=1), axis=1), axis=1)
 
 
-def _hashed(rows: DataFrame, longest: float, signs: np.ndarray, probes: int, query: bool) -> DataFrame:
+def _hashed(rows: DataFrame, longest: dict[int, float], signs: np.ndarray, probes: int, query: bool) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = lift(block(batch.column(2)), longest, query)
+            top = 1.0 if query else np.array([longest[b] for b in batch["band"].to_pylist()])
+            unit = lift(block(batch["embedding"]), top, query)
             for t, s in enumerate(signs):
                 found = axes(rotate(unit, s), probes)
                 at = pa.array(np.repeat(np.arange(batch.num_rows), found.shape[1]))
                 taken = batch.take(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(found.size, t, dtype=np.int32)), pa.array(found.ravel().astype(np.int32)), *taken.columns], names=["tab", "bucket", "row", "vec_id", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(found.size, t, dtype=np.int32)), pa.array(found.ravel().astype(np.int32)), *taken.columns], names=["tab", "bucket", *batch.schema.names])
 
-    return rows.mapInArrow(work, f"tab int, bucket int, row long, vec_id long, embedding {dict(rows.dtypes)['embedding']}")
+    kinds = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
+    return rows.mapInArrow(work, f"tab int, bucket int, {kinds}")
 
 
 def _usable_rows(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -116,26 +123,54 @@ def top_k(q_id: np.ndarray, q_row: np.ndarray, q: np.ndarray, x_id: np.ndarray,
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES, seed: int = 3, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k candidates of largest inner product found per query."""
-    rows = materialize(_usable_rows(vectors, vec_id, embedding), "ann-rows")
-    facts = rows.select(F.max(F.size("embedding")).alias("dim"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).alias("longest")).first()
-    out = "query_row long, query_id long, row long, vec_id long, score double"
+    rows = _usable_rows(vectors, vec_id, embedding)
+    rows = materialize(rows.withColumn("norm", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))), "ann-rows")
+    facts = rows.select(F.max(F.size("embedding")).alias("dim"), F.max("norm").alias("longest"), F.count(F.lit(1)).alias("n")).first()
     if facts["dim"] is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     signs = rotations(facts["dim"] + 1, tables, seed)
-    asked = rows.where(is_query)
-    found = _hashed(rows, facts["longest"], signs, 1, False)
-    asks = _hashed(asked, facts["longest"], signs, probes, True)
+    band = F.floor(F.log(F.lit(facts["longest"]) / F.col("norm")) / float(np.log(STEP))).cast("int")
+    rows = rows.withColumn("band", F.greatest(band, F.lit(0)))
+    # One row per range: some hundreds at most, as lengths are floats.
+    bands = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest")).collect()
+    longest = {r["band"]: r["longest"] for r in bands if r["n"] > WHOLE}
+    rows = rows.drop("norm")
+    asked = rows.where(is_query).drop("band")
+    whole = rows.where(~F.col("band").isin(list(longest))).withColumn("band", F.lit(-1))
+    one = lambda t: t.select(F.lit(-1).alias("tab"), F.lit(0).alias("bucket"), *t.columns)
+    found, asks = one(whole), one(asked)
+    if longest:
+        found = found.unionByName(_hashed(rows.where(F.col("band").isin(list(longest))), longest, signs, 1, False))
+        asks = asks.unionByName(_hashed(asked, longest, signs, probes, True))
+    best = materialize(_ranked(_matched(asks, found, k), k), "ann-best")
+    had = best.groupBy("query_row").agg(F.count(F.lit(1)).alias("had"))
+    short = asked.join(had, F.col("row") == F.col("query_row"), "left").where(F.coalesce("had", F.lit(0)) < min(k, facts["n"] - 1)).select(*asked.columns)
+    short = materialize(short, "ann-short")
+    if not short.isEmpty():
+        again = _ranked(_matched(one(short), one(rows.withColumn("band", F.lit(-1))), k), k)
+        best = best.join(short.select(F.col("row").alias("query_row")), "query_row", "left_anti").unionByName(again)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    hits = hits.groupBy("query_row", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
 
-    # Cells: at most tables x 2 x width buckets are counted; large ones are dealt over several cells.
-    counts = materialize(found.groupBy("tab", "bucket").agg(F.count(F.lit(1)).alias("nx")), "ann-counts")
+def _matched(asks: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The k best of every cell for its queries."""
+    out = "query_row long, query_id long, row long, vec_id long, score double"
+    # Cells: at most ranges x tables x 2 x width buckets are counted; large ones are dealt over several cells.
+    counts = materialize(found.groupBy("band", "tab", "bucket").agg(F.count(F.lit(1)).alias("nx")), "ann-counts")
     counts_q = materialize(asks.groupBy("tab", "bucket").agg(F.count(F.lit(1)).alias("nq")), "ann-counts-q")
-    grid = counts.join(counts_q, ["tab", "bucket"]).select("tab", "bucket", F.ceil(F.col("nx") / CELL).cast("int").alias("cx"), F.ceil(F.col("nq") / CELL).cast("int").alias("cq"))
-    grid = F.broadcast(grid)  # one row per bucket: tables x 2 x width at most
-    found = found.join(grid, ["tab", "bucket"]).withColumn("i", F.pmod(F.xxhash64("row"), F.col("cx")).cast("int"))
+    grid = counts.join(counts_q, ["tab", "bucket"]).select("band", "tab", "bucket", F.ceil(F.col("nx") / CELL).cast("int").alias("cx"), F.ceil(F.col("nq") / CELL).cast("int").alias("cq"))
+    grid = F.broadcast(grid)  # one row per bucket: ranges x tables x 2 x width at most
+    found = found.join(grid, ["band", "tab", "bucket"]).withColumn("i", F.pmod(F.xxhash64("row"), F.col("cx")).cast("int"))
     found = found.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cq") - 1)))
     asks = asks.join(grid, ["tab", "bucket"]).withColumn("j", F.pmod(F.xxhash64("row"), F.col("cq")).cast("int"))
     asks = asks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cx") - 1)))
-    cell = ["tab", "bucket", "i", "j"]
+    cell = ["band", "tab", "bucket", "i", "j"]
     # Both sides come from one table: names of their own keep the cogroup's columns apart.
     asks = asks.select(*[F.col(c).alias(c) for c in (*cell, "row", "vec_id", "embedding")])
     found = found.select(*[F.col(c).alias(c) for c in (*cell, "row", "vec_id", "embedding")])
@@ -150,11 +185,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABL
         parts = top_k(ids(q), ints(q, "row"), block(q["embedding"]), ids(x), ints(x, "row"), block(x["embedding"]), k)
         return pa.table({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(names)})
 
-    hits = asks.groupBy(*cell).cogroup(found.groupBy(*cell)).applyInArrow(rank, out)
-    hits = hits.groupBy("query_row", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
-    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return asks.groupBy(*cell).cogroup(found.groupBy(*cell)).applyInArrow(rank, out)
 
 
 def recall_of(result: DataFrame, vectors: DataFrame, is_query: Column, k: int = K, sample: int = 200, vec_id: str = "vec_id", embedding: str = "embedding") -> float:

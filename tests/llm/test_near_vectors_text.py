@@ -123,6 +123,22 @@ def test_nearest(spark):
     assert nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("lengths", ["one long", "spread", "few"])
+def test_nearest_of_any_length(spark, lengths):
+    rng = np.random.default_rng(6)
+    n = 30 if lengths == "few" else 3000
+    x = rng.normal(size=(100, 64))[rng.integers(0, 100, n)] + rng.normal(size=(n, 64)) * 0.4
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if lengths == "one long":
+        x[7] *= 20
+    elif lengths == "spread":
+        x *= np.exp(rng.normal(size=(n, 1)))
+    df = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], VEC)
+    asked = F.col("vec_id") % 20 == 0
+    out = nearest(df, asked).localCheckpoint()
+    assert out.count() == 20 * len(range(0, n, 20)) and recall_of(out, df, asked) >= 0.9
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.linalg.norm(hadamard(x), axis=1) == pytest.approx(np.linalg.norm(x, axis=1))
