@@ -3,11 +3,13 @@
 Markup is stripped so that every block of a page is a line.  Lines inside boilerplate (scripts, styles,
 forms, menus, headers, footers, sidebars, notices, adverts, reader comments) and the text of links in bare
 link lists count as empty.  The text lengths of lines are summed over windows of ``WINDOW`` lines; the main
-text starts where the sums surge from nothing, and ends where they dive back to it.  Every line between a
-surge and its dive is kept whole.  Where the page names its article, only lines inside it count.
+text starts where the sums surge over a level, and ends where they dive below it.  Every line between a
+surge and its dive is kept whole; short lines of the first window, before the text, are kept only as headings.
+Where the page names its article, all lines inside it are kept, and no others.
 
 Defined cases: a null page, and one without text, give an empty string; unclosed tags end with their parent
-block or with the page; text outside any tag counts as a block.
+block or with the page; text outside any tag counts as a block.  The page, ``main`` and ``article`` are never
+dropped by their names; an article that stands in dropped blocks only is taken out of them.
 """
 
 from __future__ import annotations
@@ -23,12 +25,15 @@ from pyspark.sql import functions as F
 
 #: Lines of a window, and the blank lines that stand for a removed block.
 WINDOW = 3
-#: A surge is a window sum above this share of the page's largest window sum.
-SURGE = 0.0
+#: A surge is a window sum above this share of the page's largest one, or above SURE characters.
+SURGE, SURE = 0.0, 80
 
 _RAW = "script|style|noscript|template|textarea|svg|iframe|object|select"
+#: Raw elements that hold the rest of the page if they are not closed; the others are empty then.
+_OPEN = frozenset(["script", "style"])
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW.split("|")}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<({_RAW})\b[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 #: Elements that start a block of their own.
@@ -38,17 +43,35 @@ _BLOCK = frozenset(
 )
 _DROP = frozenset("nav header footer aside form button head menu dialog label fieldset legend input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a name never drops, and those that an article inside takes its place from.
+_KEEP, _WRAP = frozenset("html body main article".split()), frozenset(["form"])
 _BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|header|footer|side-?bar|breadcrumbs?|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|social|"
-    r"related|recommend\w*|comments?|replies|disqus|respond|login|search|pagination|pager|toolbar|widget|skip|masthead|copyright)(?:$|[\s_-])",
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|header|footer|side-?bar|breadcrumbs?|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|social|"
+    r"related|recommend\w*|comments?|replies|disqus|respond|login|search|pagination|pager|toolbar|widget|skip|masthead|copyright",
     re.I,
 )
+#: Parts that a compound name may hold besides bad ones; with any other part it names something else.
+_NEUTRAL = re.compile(r"site|global|main|top|bottom|left|right|primary|secondary|wrap(?:per)?|container|inner|outer|box|bar|block|area|section|slot|list|links?|items?|buttons?|icons?|media|posts?|articles?|form|text|to|\d*", re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
-def page_lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, counted length, inside the article) of every block; removed blocks leave blank lines."""
-    lines: list[tuple[str, int, bool]] = []
+def bad_name(names: str) -> bool:
+    """Whether one of the names, as a whole, is that of boilerplate."""
+    for name in names.split():
+        parts = re.split(r"[_-]+", name)
+        bad = [bool(_BAD.fullmatch(part)) for part in parts]
+        if _BAD.fullmatch(name) or (any(bad) and all(b or _NEUTRAL.fullmatch(part) for b, part in zip(bad, parts, strict=True))):
+            return True
+    return False
+
+
+def page_lines(html: str, rescue: bool = False) -> list[tuple[str, int, bool, bool]]:
+    """(text, counted length, inside the article, heading) of every block; removed blocks leave blank lines.
+
+    With ``rescue``, an article ends the drop of the blocks around it that their names, or a form, dropped.
+    """
+    lines: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, dropped, article
     text: list[str] = []
     linked: list[int] = [0]
@@ -62,9 +85,9 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
             # A block that is nothing but links is part of a list of links.
             bare = linked[0] >= len("".join("".join(text).split())) > 0
             if dropped:
-                lines.extend([("", 0, False)] * WINDOW)
+                lines.extend([("", 0, False, False)] * WINDOW)
             else:
-                lines.append((whole, 0 if bare and not article else len(whole), article))
+                lines.append((whole, 0 if bare and not article else len(whole), article, any(t in _HEADING for t, _, _ in stack)))
         text.clear()
         linked[0] = 0
 
@@ -74,10 +97,22 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
             linked[0] += len("".join(piece.split()))
 
     at = 0
-    for m in _TOKEN.finditer(html):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(html, at):
         if m.start() > at:
             add(html[at : m.start()])
         at = m.end()
+        if m[1]:
+            raw = m[1].lower()
+            if raw not in _OPEN and (m[0].endswith("/>") or raw in unclosed):
+                continue
+            if end := _CLOSE[raw].search(html, at):
+                at = end.end()
+            elif raw in _OPEN:
+                at = len(html)
+            else:
+                unclosed.add(raw)
+            continue
         tag = (m[3] or "").lower()
         if not tag:
             continue
@@ -101,7 +136,9 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
                 while stack and stack[-1][0] == "p":
                     stack.pop()
             names = " ".join(x.strip("\"'") for x in _NAMED.findall(m[4] or ""))
-            stack.append((tag, tag in _DROP or bool(names and _BAD.search(names)), tag in ("article", "main")))
+            if rescue and tag in ("article", "main"):
+                stack[:] = [(t, d and t in _DROP - _WRAP, a) for t, d, a in stack]
+            stack.append((tag, tag in _DROP or (tag not in _KEEP and bad_name(names)), tag in ("article", "main")))
     if at < len(html):
         add(html[at:])
     flush()
@@ -111,22 +148,31 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
 def main_text(html: str | None) -> str:
     """Lines between each surge of the window sums and the dive behind it."""
     lines = page_lines(html or "")
-    if any(a and n for _, n, a in lines):
-        lines = [(t, n if a else 0, a) for t, n, a in lines]
-    lengths = np.array([n for _, n, _ in lines], dtype=np.int64)
+    article = any(a and n for _, n, a, _ in lines)
+    if not article and re.search(r"<(?:article|main)\b", html or "", re.I):
+        saved = page_lines(html or "", rescue=True)
+        article = any(a and n for _, n, a, _ in saved)
+        lines = saved if article else lines
+    if article:
+        return "\n".join(t for t, n, a, _ in lines if n and a)
+    lengths = np.array([n for _, n, _, _ in lines], dtype=np.int64)
     if not lengths.any():
         return ""
     sums = np.convolve(lengths, np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]  # of a line and those behind it
-    level = SURGE * sums.max()
+    level = min(SURGE * sums.max(), SURE)
     kept, i, n = [], 0, len(lines)
     while i < n:
         if sums[i] > level and lengths[i] > 0:  # surge
             j = i
             while j < n and sums[j] > level:  # until the dive
                 j += 1
-            kept += [t for t, m, _ in lines[i:j] if m]
+            # The first windows reach back over short lines in front of the text.
+            while i < j and lengths[i] * WINDOW <= level and not lines[i][3]:
+                i += 1
+            kept += [t for t, m, _, _ in lines[i:j] if m]
             i = j
-        i += 1
+        else:
+            i += 1
     return "\n".join(kept)
 
 

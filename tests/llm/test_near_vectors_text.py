@@ -196,6 +196,23 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+LONG = "A sentence of the text that is long enough to be told from the short blocks around it. " * 3
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<body class='single-post no-sidebar'>{}</body>", "<body class='has-sidebar'>{}</body>", "<article class='post comments-open'>{}</article>", "<div class='site-content with-sidebar'>{}</div>",
+        "<main class='main search'>{}</main>", "<article><div class='page-header'>{}</div></article>", "<div class='entry-header'>{}</div>", "<div class='widget'><article>{}</article></div>",
+        "<svg/>{}", "<object/>{}", "<iframe src='x'>{}", "<select>{}", "{}<div class='site-footer'>c</div><div class='cookie-banner'>c</div>", "{}<div class=related><article>teaser</article></div>",
+    ],
+)
+def test_names_do_not_drop_the_article(html):
+    if "related" in html:
+        html = f"<article>{html.replace('<div', '</article><div', 1)}"
+    assert main_text(html.format(f"<p>{LONG}</p>")) == LONG.strip()
+
+
 def rated(spark):
     rng = np.random.default_rng(1)
     words = [f"word{i}" for i in range(200)]
