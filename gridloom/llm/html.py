@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Lines of a window, and the blank lines that stand for a removed block.
 WINDOW = 3
 #: A surge is a window sum above this share of the page's largest one, or above SURE characters.
-SURGE, SURE = 0.0, 80
+SURGE, SURE = 0.3, 80
 
 _RAW = "script|style|noscript|template|textarea|svg|iframe|object|select"
 #: Raw elements that hold the rest of the page if they are not closed; the others are empty then.

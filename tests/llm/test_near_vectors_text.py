@@ -199,6 +199,12 @@ def test_main_text(html, text):
 LONG = "A sentence of the text that is long enough to be told from the short blocks around it. " * 3
 
 
+def test_short_unnamed_blocks_around_the_text():
+    menu = "".join(f"<div>Item {i}</div>" for i in range(6))
+    html = f"<body>{menu}<h1>Head</h1><p>{LONG}</p><p>Yes.</p><p>No.</p><p>{LONG}</p>{menu}</body>"
+    assert main_text(html) == f"Head\n{LONG.strip()}\nYes.\nNo.\n{LONG.strip()}"
+
+
 @pytest.mark.parametrize(
     "html",
     [
