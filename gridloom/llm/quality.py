@@ -5,7 +5,8 @@ grades and ordered thresholds cut its score: P(grade <= j) = sigmoid(threshold_j
 link.  The expected grade and the tail probability P(grade >= g) follow.
 
 Features of a text: its distinct words, the shapes of its words (letters, capitals, digits, marks) by share,
-and how much of it repeats.  Every text is read in whole.
+and how much of it repeats.  Every text is read in whole; a word of more than ``PIECE`` bytes (scripts without
+spaces, encoded data) counts as consecutive pieces.
 
 The model is fitted on a bounded sample of rated rows (``max_rated``, those of the smallest id hashes);
 scoring covers all rows.  Defined cases: a null or empty text has only the bias feature and is scored like
@@ -32,6 +33,8 @@ MAX_RATED = 10_000
 KEEP_TAIL = 0.5
 #: Scales of the feature families: word present, share of a shape, share of a word start.
 BARE, SHAPE, START = 0.1, 8.0, 8.0
+#: Most bytes of a word that is not cut.
+PIECE = 40
 #: A slot counts from this number of rated texts on.
 MIN_TEXTS = 12
 
@@ -51,7 +54,7 @@ class _Words(dict):
         self.slots = np.zeros((300_000, 4), dtype=np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        shape = word[:40]
+        shape = word
         for pattern, letter in _SHAPES:
             shape = pattern.sub(letter, shape)
         bare = _EDGE.sub(b"", word).lower()
@@ -67,11 +70,25 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _pieces(word: bytes) -> Iterator[bytes]:
+    """The word in pieces of at most PIECE bytes, cut between characters."""
+    at = 0
+    while len(word) - at > PIECE:
+        end = at + PIECE
+        while end > at + PIECE - 4 and word[end] & 0xC0 == 0x80:
+            end -= 1
+        yield word[at:end]
+        at = end
+    yield word[at:]
+
+
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a text; slot 0 is the bias."""
     words = text.split()
     if not words:
         return np.zeros(1, dtype=np.int64), np.ones(1)
+    if max(map(len, words)) > PIECE:
+        words = [piece for word in words for piece in _pieces(word)]
     if len(_WORDS) > 300_000:  # between two texts the cache may start anew
         _WORDS.clear()
     rows = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.int64, count=len(words))

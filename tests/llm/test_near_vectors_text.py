@@ -8,7 +8,7 @@ from gridloom.llm import vectorgraph
 from gridloom.llm.ann import hadamard, nearest, recall_of
 from gridloom.llm.html import main_text
 from gridloom.llm.jaccard import common_counts, fragment_keys, jaccard_groups, shingle_set, size_classes
-from gridloom.llm.quality import document_grade, fit_ordinal, fit_quality, score_quality
+from gridloom.llm.quality import _pieces, document_grade, fit_ordinal, fit_quality, score_quality
 from gridloom.llm.vectorgraph import audit_links, near_vectors
 
 
@@ -247,5 +247,17 @@ def test_quality_on_held_out_rows(spark):
     assert score_quality(odd, prior).select("tail_prob").distinct().count() == 1
 
 
+def test_words_without_spaces_are_read_in_whole():
+    rng = np.random.default_rng(8)
+    start = "".join(rng.choice(list("abcdefgh"), 40))
+    texts = [start + "".join(rng.choice(list("abcdefgh" if i % 2 else "0123AB+/"), 600)) for i in range(200)]
+    grades = np.arange(200) % 2
+    model = fit_ordinal([x.encode() for x in texts[:140]], grades[:140], 2)
+    good = model.tails(model.score([x.encode() for x in texts[140:]]))[:, 0] >= 0.5
+    assert (good == (grades[140:] == 1)).mean() > 0.95
+    thai = "x" + "\u0e01" * 50
+    assert [p.decode() for p in _pieces(thai.encode())] == [thai[:14], *(thai[k : k + 13] for k in (14, 27, 40))]
+
+
 def test_one_grade_gives_the_prior():
     assert not fit_ordinal([b"a b", b"c d"], np.array([1, 1]), 3).weights.any()
