@@ -1,19 +1,23 @@
 """Intermediate tables in the folder that the cluster shares.
 
 Long plans are cut by writing a table and reading it back.  The folder is the one named in
-``spark.checkpoint.dir``; only where that is unset (unit tests, notebooks) a temporary one is made.
-A written table survives lost executors, which a local checkpoint does not.
+``spark.checkpoint.dir``, or the checkpoint folder of the context; only a local master without either (unit
+tests, notebooks) gets a temporary one.  A written table survives lost executors, which a local checkpoint
+does not.
 """
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Spark's own setting: the shuffle files of a query are removed once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = context.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="gridloom-")
     return _OWN[app]
@@ -32,30 +42,42 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return the table read back."""
+    """Write ``df`` as Parquet into the shared folder and return the table read back.
+
+    The shuffles of the plan have done their work then, and Spark removes their files.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridloom_path = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are done.
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a number per row that is the same in every plan made from the result.
 
-    Spark removes them once the plan is garbage on the driver; on a driver with much memory that may be long
-    after the table they led to was written.
+    The rows of a table scan keep their places whenever they are read.  Those of any other plan may not
+    (a shuffle that is computed again brings them in another order), so such a plan is written first.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize` that no later plan reads."""
-    path = getattr(df, "_gridloom_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {re.sub(r"^[\s:+-]*", "", line).split(" ")[0].split("[")[0] for line in plan.splitlines()}
+    if not nodes <= {"Relation", "LocalRelation", "Project", "Filter"}:
+        df = materialize(df, "numbered")
+    return df.withColumn(column, F.monotonically_increasing_id())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize` that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_gridloom_path", None)
+        if path:
+            spark = df.sparkSession
+            jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
