@@ -5,28 +5,32 @@ order.  The order is cut into fragments, and two sets are compared fragment by f
 
 Candidates.  Two sets with Jaccard >= t and sizes a, b differ in at most D = (1-t)/(1+t) (a+b) n-grams.  If
 the order is cut into more than D fragments, at least one fragment is untouched, that is, equal in both
-sets.  Sizes fall into classes whose bounds grow by 1/t, so partners are in the same or in adjacent
+sets.  Sizes fall into classes whose bounds grow by 3/2, so partners are in the same or in adjacent
 classes; each class has its own number of fragments, and a set emits one key per non-empty fragment for its
-own class and for the next.  Equal empty fragments say nothing, so a set with too many empty ones is cut
-anew under another hash seed (and at last emits its empty fragments too).  No pair is lost.
+own class and, if it can have partners there, for the next.  Equal empty fragments say nothing, so a set
+with too many empty ones is cut anew under another hash seed (and at last emits its empty fragments too).
+No pair is lost.  Keys are pre-aggregated to the leader of each; the keys that more than one set holds are
+joined back, which Spark can split where a key is hot.
 
-Verification.  For candidate pairs, the partial overlaps of the fragments are counted separately and summed
+Sketches.  A set carries the parities of its hashes over two to four bits per n-gram.  The parities of two
+sets differ in at most as many bits as the sets in n-grams, so a pair whose parities differ in more than D
+bits is refused before any set is read.  No link is lost by that either.
+
+Verification.  For the pairs left, the partial overlaps of the fragments are counted separately and summed
 per pair.
 
 Groups.  Equal sets are one node.  Within the sets that share a key, each is compared with one leader, not
-with each other, and the links are contracted to components.  Where the sets of a leader are not all in one
-component, they are compared by their differences from the leader: for sets A, B and a leader L,
-A xor B = (A xor L) xor (B xor L), and these differences are short for near copies.  That is done in cells
-of two bounded blocks, which return a spanning forest of the links, never the pairs.  So no pair is
-written out for a group, and no link that joins two components is lost.
-
-Candidates among long texts that only share passages are the cost of this design: their fragments are read in
-full to be refused.  The input must be a table
-scan, whose rows keep their places when it is read again.
+with each other, and the links are contracted to components.  Where some sets of a leader are in other
+components than the leader, the parities tell which of them may link across components; only those are
+compared by their differences from the leader: for sets A, B and a leader L,
+A xor B = (A xor L) xor (B xor L), and these differences are short for near copies.  Both steps work in
+cells of bounded blocks, which return members or a spanning forest of the links, never the pairs.  So no
+pair is written out for a group, and no link that joins two components is lost.
 
 Defined cases: a null or wordless text has the empty set and links with nothing; fewer words than n give the
-whole sequence as one shingle; repeated rows have equal sets and one component; an empty table gives an
-empty result; other columns are not read.
+whole sequence as one shingle; very long texts are one set like others; repeated rows have equal sets and one
+component; ties do not arise (the leader of a key is its smallest set hash); an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,18 +40,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.staging import discard, materialize, release
+from gridloom.functions.staging import discard, materialize, numbered
 from gridloom.operators.graph import connected_components
 
 #: Cuts of the global order for counting overlaps.
-OVERLAP_CUTS = 4
+OVERLAP_CUTS = 8
 #: Hash seeds tried for sets with empty fragments.
 SEEDS = 4
-#: Sets of a block; a cell holds two at most.
-BLOCK = 1024
+#: Sets of a block that are compared, and of one whose parities are; a cell holds two at most.
+BLOCK, WIDE = 1024, 2048
+#: Parity bits worked on at once in a cell.
+STRIPE = 4096
 SALTS = 32
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -88,14 +94,27 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
 def size_classes(limit: int, t: tuple[int, int]) -> list[tuple[int, int]]:
     """(first size, last size) of the classes up to ``limit``; ``t`` is the threshold as a fraction."""
     p, q = t
+    up, down = (3, 2) if 3 * p >= 2 * q else (q, p)
     out, first = [], 1
     while first <= limit:
-        last = first * q // p
+        last = first * up // down
         out.append((first, last))
         first = last + 1
     return out
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the hashes that end in each bit pattern, as 64-bit words.
+
+    The width is a power of two; the sketch of half the width is the exclusive or of its halves.
+    """
+    width = 64
+    while width < 2 * len(hashes):
+        width *= 2
+    count = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def fragments_of(last: int, t: tuple[int, int]) -> tuple[int, int]:
     """(largest difference D, number of fragments) of the class that ends at ``last``."""
     p, q = t
@@ -124,16 +143,17 @@ def fragment_keys(hashes: np.ndarray, level: int, last: int, t: tuple[int, int])
     return out
 
 
-def _sets(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
-    """``(doc_id, row, n, sig, keys)``; within a task, only the first of equal sets carries its keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def _sets(rows: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
+    """``(doc_id, row, n, sig, keys, sketch)``; within a task, only the first of equal sets carries its keys."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    p, q = t
     bounds = size_classes(1 << 40, t)
     firsts = np.array([a for a, _ in bounds])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sizes, sigs, keys = [], [], []
+            sizes, sigs, keys, sketches = [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingle_set(text, n)
                 sig = xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
@@ -141,15 +161,19 @@ def _sets(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
                 sigs.append(sig)
                 if len(hashes) == 0 or sig in seen:
                     keys.append(None)
+                    sketches.append(None)
                     continue
                 seen.add(sig)
                 level = int(np.searchsorted(firsts, len(hashes), side="right")) - 1
-                parts = [k for j in (level, level + 1) for k in fragment_keys(hashes, j, bounds[j][1], t)]
+                levels = (level, level + 1) if len(hashes) * q >= p * bounds[level + 1][0] else (level,)
+                parts = [k for j in levels for k in fragment_keys(hashes, j, bounds[j][1], t)]
                 keys.append(np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(sigs, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                sketches.append(parities(hashes))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, sketches)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(sigs, pa.int64()), *lists], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, row long, n int, sig long, keys array<long>")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(work, "doc_id long, row long, n int, sig long, keys array<long>, sketch array<long>")
 
 
 def _parts(texts: DataFrame, n: int) -> DataFrame:
@@ -214,13 +238,81 @@ def common_counts(rows: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _differing_bits(x: Column, y: Column) -> Column:
+    """Bits in which two sketches differ, at the smaller width (widths differ by a factor of two at most)."""
+    half = lambda s: F.zip_with(F.slice(s, F.lit(1), (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2 + 1).cast("int"), (F.size(s) / 2).cast("int")), lambda u, v: u.bitwiseXOR(v))
+    x, y = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
+    return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, k: total + k)
+
+
+def _not_refused(stars: DataFrame, sketches: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Of the pairs ``(a, b, na, nb)``, those whose sizes and sketches allow a link."""
+    p, q = t
+    fits = F.least("na", "nb") * q >= F.greatest("na", "nb") * p
+    left, right = (sketches.select(F.col("sig").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    both = stars.where(fits).join(right, "b").join(left, "a")
+    return both.where(_differing_bits(F.col("sa"), F.col("sb")) * (p + q) <= (q - p) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+
+
+def may_link(sketches: list[np.ndarray], n: np.ndarray, comp: np.ndarray, out: np.ndarray, t: tuple[int, int]) -> np.ndarray:
+    """Mask of the sets that may link with one of another component; one of the two is in ``out``."""
+    p, q = t
+    words = min(len(s) for s in sketches)
+    while any(len(s) > words for s in sketches):
+        sketches = [s if len(s) == words else s[: len(s) // 2] ^ s[len(s) // 2 :] for s in sketches]
+    packed = np.stack(sketches).view(np.uint8)
+    asked = np.flatnonzero(out)
+    apart = np.zeros((len(asked), len(n)), dtype=np.float32)
+    for k in range(0, packed.shape[1], STRIPE // 8):
+        signs = np.unpackbits(packed[:, k : k + STRIPE // 8], axis=1).astype(np.float32) * 2 - 1
+        apart += (signs.shape[1] - signs[asked] @ signs.T) / 2
+    total = n[asked][:, None] + n[None, :]
+    small, large = np.minimum(n[asked][:, None], n[None, :]), np.maximum(n[asked][:, None], n[None, :])
+    hit = (apart * (p + q) <= (q - p) * total + 0.5) & (small * q >= large * p) & (comp[asked][:, None] != comp[None, :])
+    found = hit.any(axis=0)
+    found[asked] |= hit.any(axis=1)
+    return found
+
+
+def _open_members(stars: DataFrame, links: DataFrame, sketches: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """``(a, b, nb)``: sets of a leader that may link with another set of it across components.
+
+    Sets in the leader's component (``main``) meet only those outside of it: main sets are dealt over blocks and
+    stay single unless there are many outside.
+    """
+    comp = materialize(connected_components(links, "a", "b"), "jaccard-comp")
+    named = stars.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    named = named.join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    named = named.select("a", "b", "nb", F.coalesce("cb", "b").alias("c"), (F.coalesce("cb", "b") == F.coalesce("ca", "a")).alias("main"))
+    named = materialize(named, "jaccard-members")
+    outside = F.count(F.when(~F.col("main"), 1))
+    sizes = named.groupBy("a").agg(F.count(F.lit(1)).alias("k"), outside.alias("o")).where("o > 0 and k > 1")
+    blocks = lambda x: F.ceil(x / WIDE).cast("int")
+    small = F.col("k") <= 2 * WIDE
+    sizes = sizes.select("a", F.when(small, 1).otherwise(blocks(F.col("o"))).alias("os"), F.when(small, 0).otherwise(blocks(F.col("k") - F.col("o"))).alias("ms"))
+    dealt = named.join(materialize(sizes, "jaccard-spread"), "a")
+    # Outside blocks 0 .. os-1, main blocks os .. os+ms-1; cells (i, j) with i an outside block and j >= i.
+    place = F.pmod(F.xxhash64("b"), F.when(F.col("main") & (F.col("ms") > 0), F.col("ms")).otherwise(F.col("os"))).cast("int")
+    blk = place + F.when(F.col("main") & (F.col("ms") > 0), F.col("os")).otherwise(0)
+    last = F.when(F.col("blk") < F.col("os"), F.col("os") + F.col("ms")).otherwise(F.col("os")) - 1
+    dealt = dealt.withColumn("blk", blk).withColumn("x", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.select("a", F.least("blk", "x").alias("i"), F.greatest("blk", "x").alias("j"), "b", "nb", "c", (~F.col("main")).alias("out"))
+    dealt = dealt.join(sketches.withColumnRenamed("sig", "b"), "b")
+
+    def ask(rows: pa.Table) -> pa.Table:
+        sketch = [np.asarray(x, dtype=np.int64) for x in rows["sketch"].to_pylist()]
+        found = may_link(sketch, rows["nb"].to_numpy().astype(np.int64), rows["c"].to_numpy(), rows["out"].to_numpy(zero_copy_only=False), t)
+        return rows.select(["a", "b", "nb"]).filter(pa.array(found))
+
+    return dealt.groupBy("a", "i", "j").applyInArrow(ask, "a long, b long, nb int").distinct()
+
+
 def _compared(stars: DataFrame, parts: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Links ``(a, b)`` among the sets of each leader, from their differences to it; a forest per cell."""
     p, q = t
     gone = F.concat(F.array_except("ha", "hb"), F.array_except("hb", "ha"))
     deltas = _paired(stars, parts).select("a", "b", "nb", gone.alias("part")).groupBy("a", "b", "nb").agg(F.flatten(F.collect_list("part")).alias("delta"))
     deltas = materialize(deltas, "jaccard-deltas")
-    release(parts.sparkSession)
     sizes = deltas.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = deltas.join(materialize(sizes, "jaccard-sizes"), "a").withColumn("blk", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -248,61 +340,52 @@ def _compared(stars: DataFrame, parts: DataFrame, t: tuple[int, int]) -> DataFra
     return dealt.groupBy("a", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` (with ``sig``) with their component ``c``."""
-    comp = connected_components(links, "a", "b").withColumnRenamed("node", "sig")
-    return nodes.join(comp, "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
-
-
 def jaccard_groups(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (columns ``doc_id``, ``text``).
 
     ``t`` is the threshold as a fraction (9, 10); the component is the smallest doc_id reachable by links.
     """
-    p, q = t
-    sets = materialize(_sets(docs, n, t), "jaccard-sets")
-    keyed = sets.where("keys is not null").select(F.explode("keys").alias("key"), "sig", "n")
-    # Sets that share a key, with the leader of the key; a key of a single set is dropped.
-    size = F.struct("sig", "n")
-
-
-    shared = keyed.withColumn("lead", F.min(size).over(Window.partitionBy("key"))).withColumn("tail", F.max("sig").over(Window.partitionBy("key")))
-    shared = materialize(shared.where("lead.sig <> tail").select("key", "sig", "n", F.col("lead.sig").alias("lead"), F.col("lead.n").alias("lead_n")).distinct(), "jaccard-shared")
-    # The keys have done their work; their table and their shuffle go.
-    whole, sets = sets, materialize(sets.select("doc_id", "row", "n", "sig", F.col("keys").isNotNull().alias("first")), "jaccard-ids")
-    discard(whole)
-    del keyed
-    release(docs.sparkSession)
-    fits = lambda x, y: (F.least(x, y) * q >= F.greatest(x, y) * p)
-
-    # One text of every set that shares a key, cut along the order.
-    wanted = shared.select("sig").distinct()
-    reps = sets.where("n > 0 and first").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("row").alias("row"))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text").join(reps, "row").select("sig", "text")
-    parts = materialize(_parts(texts, n), "jaccard-parts")
-
-    release(docs.sparkSession)
-    stars = shared.where(F.col("sig") != F.col("lead")).select(F.col("lead").alias("a"), F.col("sig").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb"))
-    stars = materialize(stars.distinct(), "jaccard-stars")
-    links = materialize(_verified(stars.where(fits(F.col("na"), F.col("nb"))), parts, t), "jaccard-links")
-    release(docs.sparkSession)
-    # Leaders whose sets are in several components.
-    spread = _roots(stars.select("a", F.col("b").alias("sig")), links).groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k"))
-    open_ = materialize(stars.join(spread.where("lo <> hi and k > 1").select("a"), "a", "left_semi"), "jaccard-open")
-    if not open_.isEmpty():
-        links = materialize(links.unionByName(_compared(open_, parts, t)), "jaccard-links")
+    rows = numbered(docs.select("doc_id", "text"), "row")
+    whole = materialize(_sets(rows, n, t), "jaccard-sets")
+    keyed = whole.where("keys is not null").select(F.explode("keys").alias("key"), "sig", "n")
+    # The leader of every key that more than one set holds.
+    shared = keyed.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("lead"), F.max("sig").alias("tail")).where("lead.sig <> tail")
+    shared = materialize(shared.select("key", F.col("lead.sig").alias("a"), F.col("lead.n").alias("na")), "jaccard-shared")
+    stars = keyed.join(shared, "key").where("sig <> a").select("a", F.col("sig").alias("b"), "na", F.col("n").alias("nb")).distinct()
+    stars = materialize(stars, "jaccard-stars")
+    sets = materialize(whole.drop("keys"), "jaccard-ids")
+    discard(whole, shared)
+
+    held = stars.select(F.col("a").alias("sig")).unionByName(stars.select(F.col("b").alias("sig"))).distinct()
+    sketches = sets.where("sketch is not null").join(held, "sig", "left_semi").groupBy("sig").agg(F.first("sketch").alias("sketch"))
+    sketches = materialize(sketches, "jaccard-sketches")
+
+    def parts_of(wanted: DataFrame) -> DataFrame:
+        """One text of every wanted set, cut along the order."""
+        reps = sets.where("sketch is not null").join(wanted.distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("row").alias("row"))
+        return materialize(_parts(rows.join(materialize(reps, "jaccard-reps"), "row").select("sig", "text"), n), "jaccard-parts")
+
+    ends = lambda pairs: pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig")))
+    near = materialize(_not_refused(stars, sketches, t), "jaccard-near")
+    parts = parts_of(ends(near))
+    links = materialize(_verified(near, parts, t), "jaccard-links")
+    discard(parts, near)
+    # Leaders with sets outside their component.
+    members = materialize(_open_members(stars, links, sketches, t), "jaccard-open")
+    if not members.isEmpty():
+        parts = parts_of(ends(members))
+        links = materialize(links.unionByName(_compared(members, parts, t)), "jaccard-links")
+        discard(parts)
+    discard(sketches, stars, members)
 
     # Smallest doc_id of every component, brought back to the rows over SALTS keys.
-    comp = connected_components(links, "a", "b").withColumnRenamed("node", "sig")
-    comp = materialize(comp, "jaccard-comp")
+    comp = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "sig"), "jaccard-comp")
     slim = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
     named = slim.join(comp, "sig", "left").withColumn("c", F.coalesce("component", "sig"))
     named = materialize(named.where("rows > 1 or component is not null").select("sig", "least", "c"), "jaccard-named")
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
     lookup = named.join(least, "c").select("sig", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = sets.select("doc_id", "n", "sig", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = rows.join(materialize(lookup, "jaccard-lookup"), ["sig", "salt"], "left")
+    out = sets.select("doc_id", "n", "sig", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = out.join(materialize(lookup, "jaccard-lookup"), ["sig", "salt"], "left")
     alone = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))
-    for table in (shared, stars, open_):
-        discard(table)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), alone.alias("component_id"))

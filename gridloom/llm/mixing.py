@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.staging import materialize
+from gridloom.functions.staging import materialize, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
@@ -87,10 +87,9 @@ def unit_draw(doc_id: Column, seed: int) -> Column:
 
 
 def _measured(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
-    """``docs`` with the columns that a decision needs, named so that they clash with no column of its own."""
-    size = word_count(F.col(text))
-    rows = docs.withColumn("_m_row", F.monotonically_increasing_id()).withColumn("_m_source", F.col(source)).withColumn("_m_size", size)
-    return rows.withColumn("_m_class", length_class(F.col("_m_size"))).withColumn("_m_u", unit_draw(F.col(doc_id), seed)).withColumn("_m_id", F.col(doc_id))
+    """The rows of ``docs``, each as one struct, with the columns that a decision needs."""
+    rows = docs.select(F.struct(*docs.columns).alias("_m_doc"), F.col(source).alias("_m_source"), word_count(F.col(text)).alias("_m_size"), unit_draw(F.col(doc_id), seed).alias("_m_u"), F.col(doc_id).alias("_m_id"))
+    return numbered(rows, "_m_row").withColumn("_m_class", length_class(F.col("_m_size")))
 
 
 def _drawn(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -166,4 +165,4 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     out = _decided(docs, doc_id, text, source, weights, seed, slim=False)
     copies = F.when(F.col("_m_size") > 0, F.col("_m_copies")).otherwise(0)
     out = out.withColumn("_m_n", copies).where("_m_n > 0").withColumn("_m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_n"))))
-    return out.select(*docs.columns)
+    return out.select("_m_doc.*")
