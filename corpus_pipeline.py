@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.staging import materialize
+from gridloom.functions.staging import materialize, numbered
 from gridloom.llm.jaccard import jaccard_groups
 from gridloom.llm.mixing import mixed_rows
 from gridloom.llm.packing import pack_documents
@@ -26,10 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of five-word Jaccard 0.8 or more; wordless ones all stay."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = jaccard_groups(rows.select(F.col("_row").alias("doc_id"), "text"), n=5, t=(8, 10))
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_row"))
-    return rows.join(materialize(gone, "near-gone"), "_row", "left_anti").select(*docs.columns)
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("doc"), "text"), "row")
+    groups = jaccard_groups(rows.select(F.col("row").alias("doc_id"), "text"), n=5, t=(8, 10))
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("row"))
+    return rows.join(materialize(gone, "near-gone"), "row", "left_anti").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
