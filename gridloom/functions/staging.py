@@ -41,8 +41,8 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return the table read back.
+def materialize(df: DataFrame, label: str = "table", options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet (``options`` for the writer) into the shared folder and return the table read back.
 
     The shuffles of the plan have done their work then, and Spark removes their files.
     """
@@ -51,7 +51,7 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
