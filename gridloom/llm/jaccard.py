@@ -55,6 +55,8 @@ BLOCK, WIDE = 1024, 2048
 #: Parity bits worked on at once in a cell.
 STRIPE = 4096
 SALTS = 32
+#: Bits of a key; keys that meet by chance cost a comparison of sketches.
+KEY = np.uint64((1 << 48) - 1)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -167,7 +169,7 @@ def _sets(rows: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
                 level = int(np.searchsorted(firsts, len(hashes), side="right")) - 1
                 levels = (level, level + 1) if len(hashes) * q >= p * bounds[level + 1][0] else (level,)
                 parts = [k for j in levels for k in fragment_keys(hashes, j, bounds[j][1], t)]
-                keys.append(np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, dtype=np.int64))
+                keys.append(np.unique(np.concatenate(parts) & KEY).view(np.int64) if parts else np.zeros(0, dtype=np.int64))
                 sketches.append(parities(hashes))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, sketches)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(sigs, pa.int64()), *lists], schema=schema)
@@ -246,11 +248,11 @@ def _differing_bits(x: Column, y: Column) -> Column:
 
 
 def _not_refused(stars: DataFrame, sketches: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Of the pairs ``(a, b, na, nb)``, those whose sizes and sketches allow a link."""
+    """Of the pairs ``(a, b)``, those whose sizes and sketches allow a link, with the sizes."""
     p, q = t
     fits = F.least("na", "nb") * q >= F.greatest("na", "nb") * p
-    left, right = (sketches.select(F.col("sig").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    both = stars.where(fits).join(right, "b").join(left, "a")
+    left, right = (sketches.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    both = stars.select("a", "b").join(right, "b").join(left, "a").where(fits)
     return both.where(_differing_bits(F.col("sa"), F.col("sb")) * (p + q) <= (q - p) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
@@ -297,7 +299,7 @@ def _open_members(stars: DataFrame, links: DataFrame, sketches: DataFrame, t: tu
     last = F.when(F.col("blk") < F.col("os"), F.col("os") + F.col("ms")).otherwise(F.col("os")) - 1
     dealt = dealt.withColumn("blk", blk).withColumn("x", F.explode(F.sequence(F.lit(0), last)))
     dealt = dealt.select("a", F.least("blk", "x").alias("i"), F.greatest("blk", "x").alias("j"), "b", "nb", "c", (~F.col("main")).alias("out"))
-    dealt = dealt.join(sketches.withColumnRenamed("sig", "b"), "b")
+    dealt = dealt.join(sketches.select(F.col("sig").alias("b"), "sketch"), "b")
 
     def ask(rows: pa.Table) -> pa.Table:
         sketch = [np.asarray(x, dtype=np.int64) for x in rows["sketch"].to_pylist()]
@@ -346,18 +348,18 @@ def jaccard_groups(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     ``t`` is the threshold as a fraction (9, 10); the component is the smallest doc_id reachable by links.
     """
     rows = numbered(docs.select("doc_id", "text"), "row")
-    whole = materialize(_sets(rows, n, t), "jaccard-sets")
+    whole = materialize(_sets(rows, n, t), "jaccard-sets", {"parquet.writer.version": "PARQUET_2_0"})  # packs sorted keys
     keyed = whole.where("keys is not null").select(F.explode("keys").alias("key"), "sig", "n")
     # The leader of every key that more than one set holds.
-    shared = keyed.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("lead"), F.max("sig").alias("tail")).where("lead.sig <> tail")
-    shared = materialize(shared.select("key", F.col("lead.sig").alias("a"), F.col("lead.n").alias("na")), "jaccard-shared")
-    stars = keyed.join(shared, "key").where("sig <> a").select("a", F.col("sig").alias("b"), "na", F.col("n").alias("nb")).distinct()
+    shared = keyed.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("tail")).where("a <> tail").select("key", "a")
+    shared = materialize(shared, "jaccard-shared")
+    stars = keyed.join(shared, "key").where("sig <> a").select("a", F.col("sig").alias("b"), F.col("n").alias("nb")).distinct()
     stars = materialize(stars, "jaccard-stars")
     sets = materialize(whole.drop("keys"), "jaccard-ids")
     discard(whole, shared)
 
     held = stars.select(F.col("a").alias("sig")).unionByName(stars.select(F.col("b").alias("sig"))).distinct()
-    sketches = sets.where("sketch is not null").join(held, "sig", "left_semi").groupBy("sig").agg(F.first("sketch").alias("sketch"))
+    sketches = sets.where("sketch is not null").join(held, "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sketches = materialize(sketches, "jaccard-sketches")
 
     def parts_of(wanted: DataFrame) -> DataFrame:
