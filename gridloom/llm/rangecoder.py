@@ -1,11 +1,15 @@
 """Adaptive context-mixing range coder for token ids.
 
-A block of ids is coded on its own, from a fresh state.  Two tables remember the id that last followed the
-preceding two ids (order 2) and the preceding id (order 1), each with a confidence.  How much probability
-each of them gets is learnt per pair of confidences, so the orders are mixed by their success so far; the
-rest goes to adaptive order-0 frequencies.  A range coder with 48-bit registers turns the choices into
-16-bit words.  Many blocks are coded side by side, one per lane of a NumPy vector, because the steps of
-one block depend on each other and those of different blocks do not.
+Ids are numbered by falling frequency, and a block of them is coded on its own, from a fresh state.  Two tables
+remember the id that last followed the preceding two ids (order 2) and the preceding id (order 1), each with
+one bit that says whether it was right the last time.  The order-0 prediction is the class of an id: the
+binary length of its number.  For each state of the two bits, and of whether both orders agree, the coder
+counts how often order 2 was right, else order 1, else each class: these counts, renewed every ``REFRESH``
+ids, are the weights by which the three orders are mixed.  A range coder with 48-bit registers and carries
+turns each id into an interval of that mixture, and the rest of a number inside its class into plain bits.
+
+Many blocks are coded side by side, one per lane of a NumPy vector, because the steps of one block depend on
+each other and those of different blocks do not.
 """
 
 from __future__ import annotations
@@ -13,195 +17,187 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-BITS1, BITS2 = 11, 12
-REFRESH = 256
-GAIN = 24
-MASK48 = U((1 << 48) - 1)
-TOP, BOT = U(1 << 32), U(1 << 24)
-WORD_END = U(16)
+#: Slots of the tables of order 1 and 2, as powers of two.
+BITS1, BITS2 = 10, 11
+#: Weight of an id in the counts, and ids between two renewals of the mixture.
+GAIN, REFRESH = 16, 32
+#: Sum of a mixture, as a power of two.
+SCALE = 15
+STATES = 8
+MASK48, TOP, WORD = U((1 << 48) - 1), U(1 << 32), U(16)
 
 
-class _Model:
-    """State of ``lanes`` blocks over the dense ids 0 .. ``n_ids`` - 1."""
+class _Mixture:
+    """Tables and counts of ``lanes`` blocks; symbols: order 2, order 1, then one per class."""
 
-    def __init__(self, lanes: int, n_ids: int):
+    def __init__(self, lanes: int, prior: np.ndarray):
         self.lane = np.arange(lanes)
-        self.t1 = np.zeros((lanes << BITS1), dtype=np.int32)
-        self.t2 = np.zeros((lanes << BITS2), dtype=np.int32)
-        self.at1 = self.lane << BITS1
-        self.at2 = self.lane << BITS2
-        start2 = np.tile(np.array([400, 20000, 36000, 50000], dtype=np.int32).repeat(8), (lanes, 1))
-        start1 = np.tile(np.tile(np.array([400, 8000, 14000, 20000], dtype=np.int32).repeat(2), 4), (lanes, 1))
-        self.p2, self.p1 = start2.ravel(), start1.ravel()
-        self.mix = self.lane * 32
-        self.n_ids = n_ids
-        self.counts = np.ones((lanes, n_ids), dtype=np.int32)
-        self.flat = self.counts.ravel()
-        self.cum = np.zeros((lanes, n_ids + 1), dtype=np.int32)
-        self.flat_cum = self.cum.ravel()
-        self.row, self.row_cum = self.lane * n_ids, self.lane * (n_ids + 1)
-        self.a = np.zeros(lanes, dtype=np.int64)
-        self.b = np.zeros(lanes, dtype=np.int64)
-
-    def predict(self, step: int) -> None:
-        if step % REFRESH == 0:
-            np.cumsum(self.counts, axis=1, out=self.cum[:, 1:])
-        self.i1 = self.at1 + ((self.a * 40503 >> 4) & ((1 << BITS1) - 1))
-        self.i2 = self.at2 + ((self.a * 40503 + self.b * 60493 >> 3) & ((1 << BITS2) - 1))
-        e1, e2 = self.t1[self.i1], self.t2[self.i2]
-        self.c1, self.k1, self.c2, self.k2 = e1 >> 2, e1 & 3, e2 >> 2, e2 & 3
-        self.m = self.mix + (self.k2 << 3) + (self.k1 << 1) + (self.c1 == self.c2)
-        self.q2, self.q1 = self.p2[self.m], self.p1[self.m]
-        self.f2 = np.clip(self.q2, 64, 62000)
-        left = 65536 - self.f2
-        self.f1 = np.clip(left * self.q1.astype(np.int64) >> 16, 16, left - 1024)
-
-    def update(self, ids: np.ndarray) -> None:
-        hit2, hit1 = ids == self.c2, ids == self.c1
-        self.p2[self.m] = self.q2 + ((hit2 * 65535 - self.q2) >> 5)
-        self.p1[self.m] = np.where(hit2, self.q1, self.q1 + ((hit1 * 65535 - self.q1) >> 5))
-        for table, at, c, k, hit in ((self.t2, self.i2, self.c2, self.k2, hit2), (self.t1, self.i1, self.c1, self.k1, hit1)):
-            # A hit raises the confidence, a miss lowers it; at zero the new id takes the place.
-            grown = np.where(hit, np.minimum(k + 1, 3), k - 1)
-            table[at] = np.where(grown < 0, ids << 2 | 1, c << 2 | grown)
-        self.flat[self.row + ids] += GAIN
+        self.size = len(prior) + 2
+        self.t1 = np.zeros(lanes << BITS1, dtype=np.int32)
+        self.t2 = np.zeros(lanes << BITS2, dtype=np.int32)
+        self.at1, self.at2 = self.lane << BITS1, self.lane << BITS2
+        start = np.zeros((STATES, self.size), dtype=np.int32)
+        start[:, 2:] = 1 + 96 * prior.astype(np.int64) // max(1, int(prior.sum()))
+        for state in range(STATES):  # a prediction that was right last time starts with more weight
+            start[state, :2] = 200 if state & 4 else 8, 40 if state & 2 else 4
+        self.counts = np.tile(start, (lanes, 1, 1))
+        self.cum = np.zeros((lanes, STATES, self.size + 1), dtype=np.int32)
+        self.flat_counts, self.flat_cum = self.counts.reshape(-1), self.cum.reshape(-1)
+        self.row, self.row_cum = self.lane * (STATES * self.size), self.lane * (STATES * (self.size + 1))
+        self.a = self.b = np.zeros(lanes, dtype=np.int64)
+
+    def renew(self) -> None:
+        sums = np.cumsum(self.counts, axis=2)
+        scale = ((1 << SCALE) - self.size) / sums[:, :, -1:]
+        self.cum[:, :, 1:] = (sums * scale).astype(np.int32) + np.arange(1, self.size + 1, dtype=np.int32)
+        self.cum[:, :, -1] = 1 << SCALE
+
+    def predict(self) -> None:
+        self.i1 = (self.a & ((1 << BITS1) - 1)) + self.at1
+        self.i2 = ((self.a * 40503 + self.b * 60493 >> 3) & ((1 << BITS2) - 1)) + self.at2
+        e1, e2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.c1, self.c2 = e1 >> 1, e2 >> 1
+        self.state = ((e2 & 1) << 2) + ((e1 & 1) << 1) + (self.c1 == self.c2)
+
+    def learn(self, ids: np.ndarray, sym: np.ndarray) -> None:
+        twice = ids << 1
+        self.t1[self.i1] = twice + (ids == self.c1)
+        self.t2[self.i2] = twice + (ids == self.c2)
+        self.flat_counts[self.row + self.state * self.size + sym] += GAIN
         self.b, self.a = self.a, ids.astype(np.int64)
 
 
-def _narrow(low, rng, lo, width, total):
-    r = rng // total
-    return (low + r * lo) & MASK48, r * width
+def classes_of(ids: np.ndarray) -> np.ndarray:
+    """Binary length of id + 1, less one."""
+    return np.frexp(ids.astype(np.float64) + 1)[1] - 1
 
 
-def encode_blocks(blocks: list[np.ndarray], n_ids: int) -> list[bytes]:
-    """Code of each block of dense ids.  Longer blocks first keeps the active lanes together."""
+def class_counts(ids: np.ndarray, n_ids: int) -> np.ndarray:
+    """How many ids are in each class, scaled to 16 bits."""
+    counts = np.bincount(classes_of(ids), minlength=max(1, n_ids.bit_length()))
+    return (counts * 65535 // max(1, counts.max())).astype(np.uint16)
+
+
+def _ordered(lengths: list[int]) -> tuple[list[int], np.ndarray]:
+    """Lanes from the longest block to the shortest, so that the active ones stay together."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    return order, np.array([lengths[i] for i in order])
+
+
+def encode_blocks(blocks: list[np.ndarray], prior: np.ndarray) -> list[bytes]:
+    """Code of each block of ids; ``prior`` are the class counts that every block starts from."""
     if not blocks:
         return []
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = np.array([len(blocks[i]) for i in order])
-    steps = int(sizes[0])
-    data = np.zeros((len(blocks), max(steps, 1)), dtype=np.int32)
-    for row, i in enumerate(order):
-        data[row, : sizes[row]] = blocks[i]
+    order, sizes = _ordered([len(b) for b in blocks])
+    n, steps = len(blocks), int(sizes[0])
+    data = np.zeros((n, max(steps, 1)), dtype=np.int32)
+    for lane, i in enumerate(order):
+        data[lane, : sizes[lane]] = blocks[i]
     data = np.ascontiguousarray(data.T)
-    n = len(blocks)
-    model = _Model(n, n_ids)
+    classes = classes_of(data).astype(np.int32)
+    rests = (data + 1 - (1 << classes)).astype(np.uint16)
+    model = _Mixture(n, prior)
     low, rng = np.zeros(n, dtype=U), np.full(n, MASK48, dtype=U)
-    out = np.zeros((n, 4 * steps + 8), dtype=np.uint16)
-    flat, width = out.ravel(), out.shape[1]
+    out = np.zeros((n, 2 * steps + 8), dtype=np.int32)
+    flat, width = out.reshape(-1), out.shape[1]
     pos = np.arange(n) * width
-
-    def shift(idx: np.ndarray) -> None:
-        while idx.size:
-            lo, r = low[idx], rng[idx]
-            settled = (lo ^ (lo + r)) < TOP
-            short = ~settled & (r < BOT)
-            r = np.where(short, (U(0) - lo) & (BOT - U(1)), r)
-            go = settled | short
-            idx, lo, r = idx[go], lo[go], r[go]
-            flat[pos[idx]] = (lo >> U(32)).astype(np.uint16)
-            pos[idx] += 1
-            low[idx], rng[idx] = (lo << WORD_END) & MASK48, r << WORD_END
-
-    everyone = np.arange(n)
     live = n
     for t in range(steps):
-        ids = data[t]
-        model.predict(t)
-        f2, f1 = model.f2, model.f1
-        is2 = ids == model.c2
-        is1 = ~is2 & (ids == model.c1)
-        lo = np.where(is2, 0, np.where(is1, f2, f2 + f1))
-        wide = np.where(is2, f2, np.where(is1, f1, 65536 - f2 - f1))
-        while live and sizes[live - 1] <= t:
+        if t % REFRESH == 0:
+            model.renew()
+        while sizes[live - 1] <= t:
             live -= 1
-        r = rng[:live] >> WORD_END
-        low[:live] = (low[:live] + r * lo[:live].astype(U)) & MASK48
-        rng[:live] = r * wide[:live].astype(U)
-        shift(everyone[:live])
-        esc = np.flatnonzero(~(is2 | is1)[:live])
-        if esc.size:
-            at = model.row_cum[esc] + ids[esc]
-            c = model.flat_cum[at]
-            low[esc], rng[esc] = _narrow(low[esc], rng[esc], c.astype(U), (model.flat_cum[at + 1] - c).astype(U), model.cum[esc, -1].astype(U))
-            shift(esc)
-        model.update(ids)
+        ended = low[live:].copy()
+        ids = data[t]
+        model.predict()
+        sym = np.where(ids == model.c2, 0, np.where(ids == model.c1, 1, classes[t] + 2))
+        at = model.row_cum + model.state * (model.size + 1) + sym
+        lo = model.flat_cum.take(at)
+        wide = model.flat_cum.take(at + 1) - lo
+        bits = np.where(sym > 1, classes[t], 0).astype(U)
+        part = rng >> U(SCALE)
+        low += part * lo.astype(U)
+        rng = (part * wide.astype(U)) >> bits
+        low += rng * np.where(sym > 1, rests[t], 0).astype(U)
+        over = np.flatnonzero(low[:live] > MASK48)
+        if over.size:
+            flat[pos[over] - 1] += 1
+        low &= MASK48
+        idx = np.flatnonzero(rng[:live] < TOP)
+        while idx.size:
+            left, r = low[idx], rng[idx] << WORD
+            flat[pos[idx]] = left >> U(32)
+            pos[idx] += 1
+            low[idx], rng[idx] = (left << WORD) & MASK48, r
+            idx = idx[r < TOP]
+        if live < n:  # lanes that have ended stay as they are
+            low[live:], rng[live:] = ended, MASK48
+        model.learn(ids, sym)
+    ends = pos - np.arange(n) * width
+    for shift in (32, 16, 0):
+        flat[pos] = (low >> U(shift)) & U(0xFFFF)
+        pos += 1
+    for col in range(int(ends.max()) + 2, 0, -1):  # carries run towards the front
+        out[:, col - 1] += out[:, col] >> 16
+    words = (out & 0xFFFF).astype("<u2")
     result: list[bytes] = [b""] * n
-    for row, i in enumerate(order):
-        end = pos[row]
-        for k in (32, 16, 0):
-            flat[end] = np.uint16(int(low[row]) >> k & 0xFFFF)
-            end += 1
-        result[i] = flat[row * width : end].astype("<u2").tobytes()
+    for lane, i in enumerate(order):
+        result[i] = words[lane, : ends[lane] + 3].tobytes()
     return result
 
 
-def decode_blocks(codes: list[bytes], lengths: list[int], n_ids: int) -> list[np.ndarray]:
-    """Dense ids of each block."""
+def decode_blocks(codes: list[bytes], lengths: list[int], n_ids: int, prior: np.ndarray) -> list[np.ndarray]:
+    """Ids of each block; damaged codes give some ids or other, which a checksum has to tell."""
     if not codes:
         return []
-    order = sorted(range(len(codes)), key=lambda i: -lengths[i])
-    sizes = np.array([lengths[i] for i in order])
-    steps, n = int(sizes[0]), len(codes)
+    order, sizes = _ordered(lengths)
+    n, steps = len(codes), int(sizes[0])
     words = [np.frombuffer(codes[i], dtype="<u2") for i in order]
-    width = max(len(w) for w in words) + 8
-    flat = np.zeros(n * width, dtype=U)
-    for row, w in enumerate(words):
-        flat[row * width : row * width + len(w)] = w
+    width = max(2 * steps, max(len(w) for w in words)) + 8
+    flat = np.zeros(n * width, dtype=np.uint16)
+    for lane, w in enumerate(words):
+        flat[lane * width : lane * width + len(w)] = w
     pos = np.arange(n) * width
-    model = _Model(n, n_ids)
-    low, rng = np.zeros(n, dtype=U), np.full(n, MASK48, dtype=U)
-    code = flat[pos] << U(32) | flat[pos + 1] << U(16) | flat[pos + 2]
+    model = _Mixture(n, prior)
+    rng = np.full(n, MASK48, dtype=U)
+    code = flat[pos].astype(U) << U(32) | flat[pos + 1].astype(U) << U(16) | flat[pos + 2].astype(U)
     pos += 3
     out = np.zeros((max(steps, 1), n), dtype=np.int32)
-    everyone = np.arange(n)
-
-    def shift(idx: np.ndarray) -> None:
-        while idx.size:
-            lo, r = low[idx], rng[idx]
-            settled = (lo ^ (lo + r)) < TOP
-            short = ~settled & (r < BOT)
-            r = np.where(short, (U(0) - lo) & (BOT - U(1)), r)
-            go = settled | short
-            idx, lo, r = idx[go], lo[go], r[go]
-            code[idx] = (code[idx] << WORD_END | flat[pos[idx]]) & MASK48
-            pos[idx] += 1
-            low[idx], rng[idx] = (lo << WORD_END) & MASK48, r << WORD_END
-
+    table = model.cum.reshape(n * STATES, model.size + 1)
     live = n
-    halves = [1 << k for k in range(max(1, (n_ids + 1).bit_length()) - 1, -1, -1)]
     for t in range(steps):
-        model.predict(t)
-        while live and sizes[live - 1] <= t:
+        if t % REFRESH == 0:
+            model.renew()
+        while sizes[live - 1] <= t:
             live -= 1
-        f2, f1 = model.f2[:live], model.f1[:live]
-        r = rng[:live] >> WORD_END
-        value = np.minimum(((code[:live] - low[:live]) & MASK48) // r, U(65535)).astype(np.int64)
-        is2 = value < f2
-        is1 = ~is2 & (value < f2 + f1)
-        lo = np.where(is2, 0, np.where(is1, f2, f2 + f1))
-        wide = np.where(is2, f2, np.where(is1, f1, 65536 - f2 - f1))
-        low[:live] = (low[:live] + r * lo.astype(U)) & MASK48
-        rng[:live] = r * wide.astype(U)
-        shift(everyone[:live])
+        model.predict()
+        part = rng >> U(SCALE)
+        # Both numbers are below 2 ** 48, so the quotient of doubles has the exact whole part.
+        value = np.minimum(code.astype(np.float64) / part.astype(np.float64), (1 << SCALE) - 1).astype(np.int32)
+        line = table.take((model.lane * STATES) + model.state, axis=0)
+        sym = (line[:, 1:-1] <= value[:, None]).sum(axis=1)
+        at = model.row_cum + model.state * (model.size + 1) + sym
+        lo = model.flat_cum.take(at)
+        wide = model.flat_cum.take(at + 1) - lo
+        cls = np.maximum(sym - 2, 0)
+        code -= part * lo.astype(U)
+        rng = (part * wide.astype(U)) >> cls.astype(U)
+        rest = np.where(sym > 1, code.astype(np.float64) / rng.astype(np.float64), 0).astype(np.int64)
+        rest = np.minimum(rest, (1 << cls) - 1)
+        code -= rng * rest.astype(U)
         ids = out[t]
-        ids[:live] = np.where(is2, model.c2[:live], model.c1[:live])
-        esc = np.flatnonzero(~(is2 | is1))
-        if esc.size:
-            total = model.cum[esc, -1].astype(U)
-            r = rng[esc] // total
-            value = np.minimum(((code[esc] - low[esc]) & MASK48) // r, total - U(1)).astype(np.int64)
-            base, at = model.row_cum[esc], np.zeros(esc.size, dtype=np.int64)
-            for half in halves:
-                probe = np.minimum(at + half, n_ids)
-                at = np.where((at + half <= n_ids) & (model.flat_cum[base + probe] <= value), at + half, at)
-            got = model.flat_cum[base + at]
-            low[esc] = (low[esc] + r * got.astype(U)) & MASK48
-            rng[esc] = r * (model.flat_cum[base + at + 1] - got).astype(U)
-            shift(esc)
-            ids[esc] = at
-        model.update(ids)
+        ids[:] = np.where(sym == 0, model.c2, np.where(sym == 1, model.c1, np.minimum((1 << cls) + rest - 1, n_ids - 1)))
+        idx = np.flatnonzero(rng[:live] < TOP)
+        while idx.size:
+            p, r = pos[idx], rng[idx] << WORD
+            code[idx] = (code[idx] << WORD | flat[p].astype(U)) & MASK48
+            pos[idx] = np.minimum(p + 1, len(flat) - 1)
+            rng[idx] = r
+            idx = idx[r < TOP]
+        if live < n:
+            rng[live:], code[live:] = MASK48, U(0)
+        model.learn(ids, sym)
     result: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * n
-    for row, i in enumerate(order):
-        result[i] = out[: sizes[row], row].copy()
+    for lane, i in enumerate(order):
+        result[i] = out[: sizes[lane], lane].copy()
     return result

@@ -1,9 +1,9 @@
 """Token files: ids of whole documents, entropy coded in independent checksummed blocks.
 
-File: the magic, the number of distinct ids, blocks and documents; the distinct ids; a row per block
-(tokens, bytes, CRC-32 of the ids); a row per document (doc_id, tokens); the blocks' codes.  All numbers
-are little-endian.  A block can be decoded with the id list and its own bytes alone; a wrong checksum
-raises.  One file holds one range of the documents in ascending order.
+File: the magic, the number of distinct ids, blocks and documents; the distinct ids by falling frequency; the
+counts of their classes that every block starts from; a row per block (tokens, bytes, CRC-32 of the ids); a row
+per document (doc_id, tokens); the blocks' codes.  All numbers are little-endian.  A block can be decoded with
+the head and its own bytes alone; a wrong checksum raises.  One file holds one range of the documents in ascending order.
 
 Defined cases: a null text is empty and leaves only the end id; a null doc_id is written as a flag and
 comes first; documents with equal ids are ordered by a hash of their text; an empty table gives no file
@@ -24,36 +24,34 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.staging import materialize, new_path
 from gridloom.llm.files import fresh_name, open_store
-from gridloom.llm.rangecoder import decode_blocks, encode_blocks
+from gridloom.llm.rangecoder import class_counts, decode_blocks, encode_blocks
 from gridloom.llm.tokens import encoder
 
-MAGIC = b"GLTK1\n"
+MAGIC = b"GLTK2\n"
 BLOCK = 2048
 #: Most blocks coded side by side, which bounds the coder's memory.
-LANES = 4096
+LANES = 2048
 #: Most tokens of one file; a task with more starts another.
 FILE_TOKENS = 12_000_000
 
 
-def lanes_for(n_ids: int) -> int:
-    """Blocks at once, such that the order-0 tables stay under about 200 MB."""
-    return max(64, min(LANES, 25_000_000 // max(1, n_ids)))
-
-
 def pack_file(ids: np.ndarray, doc_ids: list[int | None], doc_tokens: list[int]) -> bytes:
-    distinct, dense = np.unique(ids, return_inverse=True)
-    dense = dense.astype(np.int32)
-    blocks = [dense[i : i + BLOCK] for i in range(0, len(dense), BLOCK)]
-    at_once, codes = lanes_for(len(distinct)), []
-    for i in range(0, len(blocks), at_once):
-        codes += encode_blocks(blocks[i : i + at_once], len(distinct))
+    distinct, dense, often = np.unique(ids, return_inverse=True, return_counts=True)
+    rank = np.argsort(-often, kind="stable")
+    place = np.empty(len(rank), dtype=np.int32)
+    place[rank] = np.arange(len(rank), dtype=np.int32)
+    distinct, dense = distinct[rank], place[dense]
+    prior = class_counts(dense, len(distinct))
+    blocks, codes = [dense[i : i + BLOCK] for i in range(0, len(dense), BLOCK)], []
+    for i in range(0, len(blocks), LANES):
+        codes += encode_blocks(blocks[i : i + LANES], prior)
     rows = [struct.pack("<III", len(b), len(c), zlib.crc32(ids[i * BLOCK : i * BLOCK + len(b)].astype("<u4").tobytes())) for i, (b, c) in enumerate(zip(blocks, codes, strict=True))]
     docs = np.zeros(len(doc_ids), dtype=[("none", "<u1"), ("id", "<i8"), ("n", "<u8")])
     docs["none"] = [x is None for x in doc_ids]
     docs["id"] = [x or 0 for x in doc_ids]
     docs["n"] = doc_tokens
     head = struct.pack("<III", len(distinct), len(blocks), len(doc_ids))
-    return MAGIC + head + distinct.astype("<u4").tobytes() + b"".join(rows) + docs.tobytes() + b"".join(codes)
+    return MAGIC + head + distinct.astype("<u4").tobytes() + prior.astype("<u2").tobytes() + b"".join(rows) + docs.tobytes() + b"".join(codes)
 
 
 def unpack_file(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
@@ -65,15 +63,17 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
     at += 12
     distinct = np.frombuffer(data, dtype="<u4", count=n_ids, offset=at)
     at += 4 * n_ids
+    prior = np.frombuffer(data, dtype="<u2", count=max(1, n_ids.bit_length()), offset=at)
+    at += prior.nbytes
     rows = np.frombuffer(data, dtype="<u4", count=3 * n_blocks, offset=at).reshape(-1, 3)
     at += 12 * n_blocks
     docs = np.frombuffer(data, dtype=[("none", "<u1"), ("id", "<i8"), ("n", "<u8")], count=n_docs, offset=at)
     at += docs.nbytes
     starts = at + np.concatenate([[0], np.cumsum(rows[:, 1], dtype=np.int64)])
-    at_once, parts = lanes_for(n_ids), []
-    for i in range(0, n_blocks, at_once):
-        j = min(n_blocks, i + at_once)
-        dense = decode_blocks([data[starts[k] : starts[k + 1]] for k in range(i, j)], [int(x) for x in rows[i:j, 0]], n_ids)
+    parts = []
+    for i in range(0, n_blocks, LANES):
+        j = min(n_blocks, i + LANES)
+        dense = decode_blocks([data[starts[k] : starts[k + 1]] for k in range(i, j)], [int(x) for x in rows[i:j, 0]], n_ids, prior)
         for k, d in zip(range(i, j), dense, strict=True):
             ids = distinct[d]
             if zlib.crc32(ids.tobytes()) != rows[k, 2]:

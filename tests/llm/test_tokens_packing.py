@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from gridloom.llm.packing import cut_document, differencing, pack_documents, windows_of
 from gridloom.llm.queries import tokenizer_path
-from gridloom.llm.rangecoder import decode_blocks, encode_blocks
+from gridloom.llm.rangecoder import class_counts, decode_blocks, encode_blocks
 from gridloom.llm.tokenfile import pack_file, read_token_files, unpack_file, write_token_files
 from gridloom.llm.tokens import TokenEncoder
 
@@ -32,7 +32,8 @@ def test_parts_give_the_ids_of_the_whole_text(text):
 @given(st.lists(st.lists(st.integers(0, 40), max_size=300), max_size=6), st.integers(41, 60_000))
 def test_range_coder_round_trip(blocks, n_ids):
     data = [np.array(b, dtype=np.int32) for b in blocks]
-    back = decode_blocks(encode_blocks(data, n_ids), [len(b) for b in data], n_ids)
+    prior = class_counts(np.concatenate([*data, np.zeros(1, dtype=np.int32)]), n_ids)
+    back = decode_blocks(encode_blocks(data, prior), [len(b) for b in data], n_ids, prior)
     assert [b.tolist() for b in back] == blocks
 
 
