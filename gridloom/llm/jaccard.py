@@ -69,10 +69,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Words that a Python worker remembers the hash of, and texts of one batch that it returns.
+CACHED_WORDS, TEXTS = 150_000, 500
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most TEXTS rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(k, TEXTS)
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < CACHED_WORDS:
             self[word] = got
         return got
 
@@ -154,7 +165,7 @@ def _sets(rows: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, sigs, keys, sketches = [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingle_set(text, n)
@@ -184,7 +195,7 @@ def _parts(texts: DataFrame, n: int) -> DataFrame:
     edges = np.array([(i << 64) // OVERLAP_CUTS for i in range(1, OVERLAP_CUTS)], dtype=np.uint64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sigs, cuts, hashes = [], [], []
             for sig, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 whole = shingle_set(text, n)

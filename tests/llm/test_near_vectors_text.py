@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridloom.functions.staging import materialize
 from gridloom.llm import vectorgraph
 from gridloom.llm.ann import hadamard, nearest, recall_of
 from gridloom.llm.html import main_text
@@ -135,7 +136,7 @@ def test_nearest_of_any_length(spark, lengths):
         x *= np.exp(rng.normal(size=(n, 1)))
     df = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], VEC)
     asked = F.col("vec_id") % 20 == 0
-    out = nearest(df, asked).localCheckpoint()
+    out = materialize(nearest(df, asked))
     assert out.count() == 20 * len(range(0, n, 20)) and recall_of(out, df, asked) >= 0.9
 
 
