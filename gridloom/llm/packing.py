@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.staging import materialize
-from gridloom.llm.tokens import encoder
+from gridloom.llm.tokens import TOGETHER, encoder
 
 WINDOW = 2048
 PIECE = 512
@@ -115,10 +115,10 @@ def pack_documents(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, drops_space)
-        for batch in batches:
+        for batch in (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER)):
             out: list[tuple] = []
-            for row, d, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = enc.encode(t, end)
+            row_no, doc_no, texts = (batch.column(i).to_pylist() for i in range(3))
+            for row, d, ids in zip(row_no, doc_no, enc.encode_all(texts, end), strict=True):
                 out += [(row, d, a, m, c, len(ids) // 4) for a, m, c in cut_document(ids, window, piece)]
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], schema=schema)

@@ -18,11 +18,11 @@ import numpy as np
 
 U = np.uint64
 #: Slots of the tables of order 1 and 2, as powers of two.
-BITS1, BITS2 = 10, 11
+BITS1, BITS2 = 9, 10
 #: Weight of an id in the counts, and ids between two renewals of the mixture.
-GAIN, REFRESH = 16, 32
-#: Sum of a mixture, as a power of two.
-SCALE = 15
+GAIN, REFRESH = 16, 128
+#: Sum of a mixture, as a power of two, and the columns of its table (one more than symbols, at least).
+SCALE, WIDTH = 15, 32
 STATES = 8
 MASK48, TOP, WORD = U((1 << 48) - 1), U(1 << 32), U(16)
 
@@ -33,49 +33,63 @@ class _Mixture:
     def __init__(self, lanes: int, prior: np.ndarray):
         self.lane = np.arange(lanes)
         self.size = len(prior) + 2
-        self.t1 = np.zeros(lanes << BITS1, dtype=np.int32)
-        self.t2 = np.zeros(lanes << BITS2, dtype=np.int32)
+        kind = np.uint16 if len(prior) < 16 else np.int32  # ids of fewer than 16 classes, twice, fit
+        self.t1 = np.zeros(lanes << BITS1, dtype=kind)
+        self.t2 = np.zeros(lanes << BITS2, dtype=kind)
         self.at1, self.at2 = self.lane << BITS1, self.lane << BITS2
         start = np.zeros((STATES, self.size), dtype=np.int32)
         start[:, 2:] = 1 + 96 * prior.astype(np.int64) // max(1, int(prior.sum()))
         for state in range(STATES):  # a prediction that was right last time starts with more weight
             start[state, :2] = 200 if state & 4 else 8, 40 if state & 2 else 4
         self.counts = np.tile(start, (lanes, 1, 1))
-        self.cum = np.zeros((lanes, STATES, self.size + 1), dtype=np.int32)
-        self.flat_counts, self.flat_cum = self.counts.reshape(-1), self.cum.reshape(-1)
-        self.row, self.row_cum = self.lane * (STATES * self.size), self.lane * (STATES * (self.size + 1))
+        # Columns behind the last symbol are above every value.
+        self.cum = np.full((lanes, STATES, WIDTH), 65535, dtype=np.uint16)
+        self.cum[:, :, 0] = 0
+        self.flat_cum = self.cum.reshape(-1)
+        self.row, self.row_cum = self.lane * (STATES * self.size), self.lane * (STATES * WIDTH)
+        self.history: list[np.ndarray] = []
         self.a = self.b = np.zeros(lanes, dtype=np.int64)
 
     def renew(self) -> None:
+        if self.history:
+            met = np.bincount(np.concatenate(self.history), minlength=self.counts.size)
+            self.counts += (GAIN * met).astype(np.int32).reshape(self.counts.shape)
+            self.history.clear()
         sums = np.cumsum(self.counts, axis=2)
         scale = ((1 << SCALE) - self.size) / sums[:, :, -1:]
-        self.cum[:, :, 1:] = (sums * scale).astype(np.int32) + np.arange(1, self.size + 1, dtype=np.int32)
-        self.cum[:, :, -1] = 1 << SCALE
+        self.cum[:, :, 1 : self.size + 1] = (sums * scale).astype(np.uint16) + np.arange(1, self.size + 1, dtype=np.uint16)
+        self.cum[:, :, self.size] = 1 << SCALE
 
-    def predict(self) -> None:
+    def predict(self, step: int) -> None:
+        if step % REFRESH == 0 or step in (8, 16, 32, 64):
+            self.renew()
         self.i1 = (self.a & ((1 << BITS1) - 1)) + self.at1
-        self.i2 = ((self.a * 40503 + self.b * 60493 >> 3) & ((1 << BITS2) - 1)) + self.at2
-        e1, e2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.i2 = ((self.a * 40503 + self.b >> 3) & ((1 << BITS2) - 1)) + self.at2
+        e1, e2 = self.t1.take(self.i1, mode="clip"), self.t2.take(self.i2, mode="clip")
         self.c1, self.c2 = e1 >> 1, e2 >> 1
-        self.state = ((e2 & 1) << 2) + ((e1 & 1) << 1) + (self.c1 == self.c2)
+        self.state = ((e2 & 1) * 4 + (e1 & 1) * 2 + (self.c1 == self.c2)).astype(np.int64)
 
-    def learn(self, ids: np.ndarray, sym: np.ndarray) -> None:
-        twice = ids << 1
-        self.t1[self.i1] = twice + (ids == self.c1)
-        self.t2[self.i2] = twice + (ids == self.c2)
-        self.flat_counts[self.row + self.state * self.size + sym] += GAIN
-        self.b, self.a = self.a, ids.astype(np.int64)
+    def learn(self, ids: np.ndarray, new1: np.ndarray, new2: np.ndarray, sym: np.ndarray) -> None:
+        """``new1`` and ``new2``: whether the order was wrong."""
+        twice = ids * 2 + 1
+        self.t1[self.i1] = twice - new1
+        self.t2[self.i2] = twice - new2
+        self.history.append(self.row + self.state * self.size + sym)
+        self.b, self.a = self.a * 60493, ids.astype(np.int64)
 
 
-def classes_of(ids: np.ndarray) -> np.ndarray:
-    """Binary length of id + 1, less one."""
-    return np.frexp(ids.astype(np.float64) + 1)[1] - 1
+def classes_of(n_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every id: the binary length of id + 1, less one, and what is left of id + 1 below its highest bit."""
+    number = np.arange(1, max(1, n_ids) + 1, dtype=np.int64)
+    cls = np.frexp(number.astype(np.float64))[1].astype(np.int64) - 1
+    return cls, (number - (1 << cls)).astype(U)
 
 
-def class_counts(ids: np.ndarray, n_ids: int) -> np.ndarray:
-    """How many ids are in each class, scaled to 16 bits."""
-    counts = np.bincount(classes_of(ids), minlength=max(1, n_ids.bit_length()))
-    return (counts * 65535 // max(1, counts.max())).astype(np.uint16)
+def class_counts(often: np.ndarray) -> np.ndarray:
+    """How many ids are in each class, of the ids' frequencies, scaled to 16 bits."""
+    cls, _ = classes_of(len(often))
+    counts = np.bincount(cls[: len(often)], weights=often, minlength=max(1, len(often).bit_length())).astype(np.int64)
+    return (counts * 65535 // max(1, int(counts.max()))).astype(np.uint16)
 
 
 def _ordered(lengths: list[int]) -> tuple[list[int], np.ndarray]:
@@ -84,7 +98,7 @@ def _ordered(lengths: list[int]) -> tuple[list[int], np.ndarray]:
     return order, np.array([lengths[i] for i in order])
 
 
-def encode_blocks(blocks: list[np.ndarray], prior: np.ndarray) -> list[bytes]:
+def encode_blocks(blocks: list[np.ndarray], n_ids: int, prior: np.ndarray) -> list[bytes]:
     """Code of each block of ids; ``prior`` are the class counts that every block starts from."""
     if not blocks:
         return []
@@ -94,8 +108,7 @@ def encode_blocks(blocks: list[np.ndarray], prior: np.ndarray) -> list[bytes]:
     for lane, i in enumerate(order):
         data[lane, : sizes[lane]] = blocks[i]
     data = np.ascontiguousarray(data.T)
-    classes = classes_of(data).astype(np.int32)
-    rests = (data + 1 - (1 << classes)).astype(np.uint16)
+    classes, rests = classes_of(n_ids)
     model = _Mixture(n, prior)
     low, rng = np.zeros(n, dtype=U), np.full(n, MASK48, dtype=U)
     out = np.zeros((n, 2 * steps + 8), dtype=np.int32)
@@ -103,36 +116,42 @@ def encode_blocks(blocks: list[np.ndarray], prior: np.ndarray) -> list[bytes]:
     pos = np.arange(n) * width
     live = n
     for t in range(steps):
-        if t % REFRESH == 0:
-            model.renew()
         while sizes[live - 1] <= t:
             live -= 1
-        ended = low[live:].copy()
+        ended = (low[live:].copy(), pos[live:].copy())
         ids = data[t]
-        model.predict()
-        sym = np.where(ids == model.c2, 0, np.where(ids == model.c1, 1, classes[t] + 2))
-        at = model.row_cum + model.state * (model.size + 1) + sym
-        lo = model.flat_cum.take(at)
-        wide = model.flat_cum.take(at + 1) - lo
-        bits = np.where(sym > 1, classes[t], 0).astype(U)
+        cls = classes.take(ids, mode="clip")
+        model.predict(t)
+        new1, new2 = ids != model.c1, ids != model.c2
+        rare = new1 & new2
+        sym = (cls * new1 + 1 + new1) * new2
+        at = model.row_cum + model.state * WIDTH + sym
+        lo = model.flat_cum.take(at, mode="clip")
+        wide = model.flat_cum.take(at + 1, mode="clip") - lo
         part = rng >> U(SCALE)
-        low += part * lo.astype(U)
-        rng = (part * wide.astype(U)) >> bits
-        low += rng * np.where(sym > 1, rests[t], 0).astype(U)
+        low += part * lo
+        rng = (part * wide) >> (cls * rare).astype(U)
+        low += rng * (rests.take(ids, mode="clip") * rare)
         over = np.flatnonzero(low[:live] > MASK48)
         if over.size:
             flat[pos[over] - 1] += 1
         low &= MASK48
-        idx = np.flatnonzero(rng[:live] < TOP)
+        # At most two words leave per id: the first is written in place and stays if it is due.
+        flat[pos] = low >> U(32)
+        due = rng < TOP
+        pos += due
+        shift = due * WORD
+        low, rng = (low << shift) & MASK48, rng << shift
+        idx = np.flatnonzero(rng < TOP)
         while idx.size:
-            left, r = low[idx], rng[idx] << WORD
-            flat[pos[idx]] = left >> U(32)
+            flat[pos[idx]] = low[idx] >> U(32)
             pos[idx] += 1
-            low[idx], rng[idx] = (left << WORD) & MASK48, r
-            idx = idx[r < TOP]
+            low[idx], rng[idx] = (low[idx] << WORD) & MASK48, rng[idx] << WORD
+            idx = idx[rng[idx] < TOP]
         if live < n:  # lanes that have ended stay as they are
-            low[live:], rng[live:] = ended, MASK48
-        model.learn(ids, sym)
+            low[live:], pos[live:] = ended
+            rng[live:] = MASK48
+        model.learn(ids, new1, new2, sym)
     ends = pos - np.arange(n) * width
     for shift in (32, 16, 0):
         flat[pos] = (low >> U(shift)) & U(0xFFFF)
@@ -157,46 +176,54 @@ def decode_blocks(codes: list[bytes], lengths: list[int], n_ids: int, prior: np.
     flat = np.zeros(n * width, dtype=np.uint16)
     for lane, w in enumerate(words):
         flat[lane * width : lane * width + len(w)] = w
-    pos = np.arange(n) * width
+    pos, last = np.arange(n) * width, len(flat) - 1
     model = _Mixture(n, prior)
     rng = np.full(n, MASK48, dtype=U)
     code = flat[pos].astype(U) << U(32) | flat[pos + 1].astype(U) << U(16) | flat[pos + 2].astype(U)
     pos += 3
     out = np.zeros((max(steps, 1), n), dtype=np.int32)
-    table = model.cum.reshape(n * STATES, model.size + 1)
+    table, line_of = model.cum.reshape(n * STATES, WIDTH), model.lane * STATES
     live = n
     for t in range(steps):
-        if t % REFRESH == 0:
-            model.renew()
         while sizes[live - 1] <= t:
             live -= 1
-        model.predict()
+        model.predict(t)
         part = rng >> U(SCALE)
         # Both numbers are below 2 ** 48, so the quotient of doubles has the exact whole part.
-        value = np.minimum(code.astype(np.float64) / part.astype(np.float64), (1 << SCALE) - 1).astype(np.int32)
-        line = table.take((model.lane * STATES) + model.state, axis=0)
-        sym = (line[:, 1:-1] <= value[:, None]).sum(axis=1)
-        at = model.row_cum + model.state * (model.size + 1) + sym
-        lo = model.flat_cum.take(at)
-        wide = model.flat_cum.take(at + 1) - lo
+        value = np.minimum(code.astype(np.float64) / part.astype(np.float64), (1 << SCALE) - 1).astype(np.uint16)
+        below = table.take(line_of + model.state, axis=0, mode="clip") <= value[:, None]
+        sym = np.bitwise_count(np.packbits(below, axis=1).view(np.uint32)[:, 0]).astype(np.int64) - 1
+        at = model.row_cum + model.state * WIDTH + sym
+        lo = model.flat_cum.take(at, mode="clip")
+        wide = model.flat_cum.take(at + 1, mode="clip") - lo
         cls = np.maximum(sym - 2, 0)
-        code -= part * lo.astype(U)
-        rng = (part * wide.astype(U)) >> cls.astype(U)
-        rest = np.where(sym > 1, code.astype(np.float64) / rng.astype(np.float64), 0).astype(np.int64)
-        rest = np.minimum(rest, (1 << cls) - 1)
+        code -= part * lo
+        rng = (part * wide) >> cls.astype(U)
+        top = 1 << cls
+        rest = np.minimum((code.astype(np.float64) / rng.astype(np.float64)).astype(np.int64), top - 1)
+        rest *= sym > 1
         code -= rng * rest.astype(U)
         ids = out[t]
-        ids[:] = np.where(sym == 0, model.c2, np.where(sym == 1, model.c1, np.minimum((1 << cls) + rest - 1, n_ids - 1)))
-        idx = np.flatnonzero(rng[:live] < TOP)
+        ids[:] = np.minimum(top + rest - 1, n_ids - 1)
+        new2, new1 = sym != 0, sym != 1
+        np.copyto(ids, model.c2, where=~new2, casting="unsafe")
+        np.copyto(ids, model.c1, where=~new1, casting="unsafe")
+        new2, new1 = ids != model.c2, ids != model.c1
+        due = rng < TOP
+        shift = due * WORD
+        code = (code << shift | flat.take(pos, mode="clip") * due) & MASK48
+        rng <<= shift
+        pos += due
+        idx = np.flatnonzero(rng < TOP)
         while idx.size:
-            p, r = pos[idx], rng[idx] << WORD
-            code[idx] = (code[idx] << WORD | flat[p].astype(U)) & MASK48
-            pos[idx] = np.minimum(p + 1, len(flat) - 1)
-            rng[idx] = r
-            idx = idx[r < TOP]
+            p = np.minimum(pos[idx], last)
+            code[idx] = (code[idx] << WORD | flat[p]) & MASK48
+            pos[idx] = p + 1
+            rng[idx] <<= WORD
+            idx = idx[rng[idx] < TOP]
         if live < n:
             rng[live:], code[live:] = MASK48, U(0)
-        model.learn(ids, sym)
+        model.learn(ids, new1, new2, sym)
     result: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * n
     for lane, i in enumerate(order):
         result[i] = out[: sizes[lane], lane].copy()

@@ -25,26 +25,30 @@ from pyspark.sql import functions as F
 from gridloom.functions.staging import materialize, new_path
 from gridloom.llm.files import fresh_name, open_store
 from gridloom.llm.rangecoder import class_counts, decode_blocks, encode_blocks
-from gridloom.llm.tokens import encoder
+from gridloom.llm.tokens import TOGETHER, encoder
 
 MAGIC = b"GLTK2\n"
 BLOCK = 2048
 #: Most blocks coded side by side, which bounds the coder's memory.
-LANES = 2048
+LANES = 3072
 #: Most tokens of one file; a task with more starts another.
-FILE_TOKENS = 12_000_000
+FILE_TOKENS = 6_000_000
+#: Ids are below this number, which bounds the table of their frequencies.
+LARGEST = 1 << 24
 
 
 def pack_file(ids: np.ndarray, doc_ids: list[int | None], doc_tokens: list[int]) -> bytes:
-    distinct, dense, often = np.unique(ids, return_inverse=True, return_counts=True)
-    rank = np.argsort(-often, kind="stable")
-    place = np.empty(len(rank), dtype=np.int32)
-    place[rank] = np.arange(len(rank), dtype=np.int32)
-    distinct, dense = distinct[rank], place[dense]
-    prior = class_counts(dense, len(distinct))
+    if len(ids) and int(ids.max()) >= LARGEST:
+        raise ValueError(f"ids must be below {LARGEST}")
+    often = np.bincount(ids, minlength=1)
+    distinct = np.flatnonzero(often)
+    distinct = distinct[np.argsort(-often[distinct], kind="stable")]
+    place = np.zeros(len(often), dtype=np.int32)
+    place[distinct] = np.arange(len(distinct), dtype=np.int32)
+    dense, prior = place[ids], class_counts(often[distinct])
     blocks, codes = [dense[i : i + BLOCK] for i in range(0, len(dense), BLOCK)], []
     for i in range(0, len(blocks), LANES):
-        codes += encode_blocks(blocks[i : i + LANES], prior)
+        codes += encode_blocks(blocks[i : i + LANES], len(distinct), prior)
     rows = [struct.pack("<III", len(b), len(c), zlib.crc32(ids[i * BLOCK : i * BLOCK + len(b)].astype("<u4").tobytes())) for i, (b, c) in enumerate(zip(blocks, codes, strict=True))]
     docs = np.zeros(len(doc_ids), dtype=[("none", "<u1"), ("id", "<i8"), ("n", "<u8")])
     docs["none"] = [x is None for x in doc_ids]
@@ -89,7 +93,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, drops_sp
     Texts are dealt by ranges of (doc_id, text hash), so file order is document order.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).cast("binary").alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     folder = new_path(spark, "tokens")
     end = struct.pack("<I", end_id)
@@ -111,13 +115,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, drops_sp
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": path, "n_docs": len(ids), "n_tokens": held, "n_bytes": len(data)}], schema=schema)
 
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got.append(enc.encode(t, end))
-                ids.append(d)
-                held += len(got[-1]) // 4
-                if held >= FILE_TOKENS:
-                    yield flush()
-                    got, ids, held, seq = [], [], 0, seq + 1
+            for k in range(0, batch.num_rows, TOGETHER):
+                part_rows = batch.slice(k, TOGETHER)
+                for d, raw in zip(part_rows.column(0).to_pylist(), enc.encode_all(part_rows.column(1).to_pylist(), end), strict=True):
+                    got.append(raw)
+                    ids.append(d)
+                    held += len(raw) // 4
+                    if held >= FILE_TOKENS:
+                        yield flush()
+                        got, ids, held, seq = [], [], 0, seq + 1
         if ids:
             yield flush()
 

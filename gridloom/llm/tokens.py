@@ -8,15 +8,20 @@ Most parts are words that came before, so most ids come from the cache.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 
-#: Most entries of each cache of a Python worker (about 200 MB); words beyond it are encoded each time.
-CACHE = 1_000_000
+#: Most entries of each cache of a Python worker (about 100 MB); words beyond it are encoded each time.
+CACHE = 500_000
+#: Texts whose unknown words are encoded together.
+TOGETHER = 500
 
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: White space that is neither a space, a tab nor a line end.
 _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Marks that may end a word; a run of them is a piece of its own.
+_MARKS = ".,;:!?"
 _BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 
 
@@ -31,26 +36,45 @@ class TokenEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.drops_space = drops_space
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | bytes, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         # Tokens that begin with a space (written as this letter in the vocabulary).
         vocab = self.tokenizer.get_vocab()
         self.starts_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.starts_word[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.small = drops_space and self._ids("A") == self._ids("a")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _behind_space(self, parts: list[str]) -> bytes:
-        """Ids of parts that each follow a space, put together."""
-        got = list(map(self.known.get, parts))
-        if None in got:
-            new = list({p for p, g in zip(parts, got, strict=True) if g is None})
-            found = dict(zip(new, self._each(new), strict=True))
-            if len(self.known) < CACHE:
-                self.known.update(found)
-            got = [found[p] if g is None else g for p, g in zip(parts, got, strict=True)]
-        return b"".join(got)
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of small ASCII letters, which the vocabulary leaves whole before merging."""
+        ids = [token.id for token in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _new(self, parts: list) -> dict:
+        """Ids of parts that are not known.
+
+        All are encoded together; but telling them apart by offsets costs more than encoding words of ASCII
+        letters, and the marks behind them, one by one.
+        """
+        if not self.drops_space:
+            return dict(zip(parts, self._each(parts), strict=True))
+        found, others = {}, []
+        for part in parts:
+            text = part.decode(errors="replace") if isinstance(part, bytes) else part
+            stem = text.rstrip(_MARKS)
+            if not (stem.isascii() and stem.isalpha() and (self.small is False or stem.islower())):
+                others.append((part, text))
+                continue
+            key = stem.encode() if isinstance(part, bytes) else stem
+            ids = self.known.get(key) or found.get(key) or self._word(stem)
+            found[part] = ids + self._head(text[len(stem) :]) if len(stem) < len(text) else ids
+        if others:
+            found.update(zip([part for part, _ in others], self._each([text for _, text in others]), strict=True))
+        return found
 
     def _each(self, parts: list[str]) -> list[bytes]:
         """Ids of each part: all are encoded as one text and told apart again."""
@@ -72,19 +96,47 @@ class TokenEncoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def encode(self, text: str | None, end: bytes = b"") -> bytes:
+    def _head(self, part: str) -> bytes:
+        """Ids of the first part of a text, which follows nothing."""
+        got = self.heads.get(part)
+        if got is None:
+            got = self._ids(part)
+            if len(self.heads) < CACHE:
+                self.heads[part] = got
+        return got
+
+    def _cut(self, text: str | bytes | None) -> tuple[bytes, list]:
+        """Ids of the first part, where it needs its own, and the parts that follow a space."""
         if not text:
-            return end
+            return b"", []
         if self.drops_space:
-            parts = [p.decode() for p in text.encode().split()] if _RARE.search(text) else text.split()
-            return self._behind_space(parts) + end if parts else end
+            raw = text if isinstance(text, bytes) else text.encode()
+            # The vocabulary is of small letters; in ASCII their order with composition does not matter.
+            return b"", (raw.lower() if self.small and raw.isascii() else raw).split()
+        if isinstance(text, bytes):
+            text = text.decode(errors="replace")
         if any(x in text for x in _BESIDE) or text[0].isspace() or text[-1].isspace() or _RARE.search(text):
             parts = _SAFE.split(text)
-            rest = [p[1:] for p in parts[1:]]
-        else:
-            parts = text.split(" ")
-            rest = parts[1:]
-        return self._ids(parts[0]) + (self._behind_space(rest) if rest else b"") + end
+            return self._head(parts[0]), [p[1:] for p in parts[1:]]
+        parts = text.split(" ")
+        return self._head(parts[0]), parts[1:]
+
+    def encode_all(self, texts: list[str] | list[bytes], end: bytes = b"") -> list[bytes]:
+        """Ids of each text; the words that no text before held are encoded together."""
+        cut = [self._cut(text) for text in texts]
+        got = [list(map(self.known.get, parts)) for _, parts in cut]
+        holes = [k for k, ids in enumerate(got) if None in ids]
+        if holes:
+            new = list({p for k in holes for p, ids in zip(cut[k][1], got[k], strict=True) if ids is None})
+            found = self._new(new)
+            for k in holes:
+                got[k] = [found[p] if ids is None else ids for p, ids in zip(cut[k][1], got[k], strict=True)]
+            if len(self.known) < CACHE:
+                self.known.update(found)
+        return [head + b"".join(ids) + end for (head, _), ids in zip(cut, got, strict=True)]
+
+    def encode(self, text: str | bytes | None, end: bytes = b"") -> bytes:
+        return self.encode_all([text], end)[0]
 
 
 _ENCODERS: dict[tuple[str, bool], TokenEncoder] = {}

@@ -32,8 +32,8 @@ def test_parts_give_the_ids_of_the_whole_text(text):
 @given(st.lists(st.lists(st.integers(0, 40), max_size=300), max_size=6), st.integers(41, 60_000))
 def test_range_coder_round_trip(blocks, n_ids):
     data = [np.array(b, dtype=np.int32) for b in blocks]
-    prior = class_counts(np.concatenate([*data, np.zeros(1, dtype=np.int32)]), n_ids)
-    back = decode_blocks(encode_blocks(data, prior), [len(b) for b in data], n_ids, prior)
+    prior = class_counts(np.bincount(np.concatenate([*data, np.zeros(1, dtype=np.int32)]), minlength=n_ids))
+    back = decode_blocks(encode_blocks(data, n_ids, prior), [len(b) for b in data], n_ids, prior)
     assert [b.tolist() for b in back] == blocks
 
 
