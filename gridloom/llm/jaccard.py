@@ -9,8 +9,8 @@ sets.  Sizes fall into classes whose bounds grow by 3/2, so partners are in the
 classes; each class has its own number of fragments, and a set emits one key per non-empty fragment for its
 own class and, if it can have partners there, for the next.  Equal empty fragments say nothing, so a set
 with too many empty ones is cut anew under another hash seed (and at last emits its empty fragments too).
-No pair is lost.  Keys are pre-aggregated to the leader of each; the keys that more than one set holds are
-joined back, which Spark can split where a key is hot.
+No pair is lost.  Keys are reduced to the leader of each; the keys that more than one set holds are joined
+back, which Spark can split where a key is hot.
 
 Sketches.  A set carries the parities of its hashes over two to four bits per n-gram.  The parities of two
 sets differ in at most as many bits as the sets in n-grams, so a pair whose parities differ in more than D
@@ -361,8 +361,9 @@ def jaccard_groups(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     rows = numbered(docs.select("doc_id", "text"), "row")
     whole = materialize(_sets(rows, n, t), "jaccard-sets", {"parquet.writer.version": "PARQUET_2_0"})  # packs sorted keys
     keyed = whole.where("keys is not null").select(F.explode("keys").alias("key"), "sig", "n")
-    # The leader of every key that more than one set holds.
-    shared = keyed.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("tail")).where("a <> tail").select("key", "a")
+    # The leader of every key that more than one set holds.  Few keys are shared, so they are dealt before they
+    # are aggregated; a set has hundreds of them, so one that a third of all sets hold is no large part.
+    shared = keyed.select("key", "sig").repartition("key").groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("tail")).where("a <> tail").select("key", "a")
     shared = materialize(shared, "jaccard-shared")
     stars = keyed.join(shared, "key").where("sig <> a").select("a", F.col("sig").alias("b"), F.col("n").alias("nb")).distinct()
     stars = materialize(stars, "jaccard-stars")

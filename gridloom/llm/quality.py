@@ -35,6 +35,8 @@ KEEP_TAIL = 0.5
 BARE, SHAPE, START = 0.1, 8.0, 8.0
 #: Most bytes of a word that is not cut.
 PIECE = 40
+#: Words that a Python worker remembers, about.
+CACHED_WORDS = 100_000
 #: A slot counts from this number of rated texts on.
 MIN_TEXTS = 12
 
@@ -51,7 +53,7 @@ class _Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.slots = np.zeros((300_000, 4), dtype=np.int64)
+        self.slots = np.zeros((CACHED_WORDS, 4), dtype=np.int64)
 
     def __missing__(self, word: bytes) -> int:
         shape = word
@@ -89,7 +91,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(1, dtype=np.int64), np.ones(1)
     if max(map(len, words)) > PIECE:
         words = [piece for word in words for piece in _pieces(word)]
-    if len(_WORDS) > 300_000:  # between two texts the cache may start anew
+    if len(_WORDS) > CACHED_WORDS:  # between two texts the cache may start anew
         _WORDS.clear()
     rows = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.int64, count=len(words))
     pairs = _WORDS.slots[rows]

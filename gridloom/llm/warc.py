@@ -9,7 +9,8 @@ Records of one payload (from ``min_bytes`` on) share one response: that with the
 are revisits that hold headers only and refer to it.
 
 Defined cases: a null payload is empty; a null URL is written as an empty target; with repeated ids one
-row of the smallest id is the response and its repeats revisit it; an empty table gives an empty result.
+row of the smallest id is the response and its repeats revisit it; very long payloads are records like others
+(one is read at once); an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.staging import materialize, new_path
+from gridloom.functions.staging import materialize, new_path, numbered
 from gridloom.llm.files import fresh_name, open_store
 
 #: Byte ranges closer than this are read in one request.
@@ -34,6 +35,8 @@ READ = 8 << 20
 SALTS = 32
 #: An archive is closed once it holds this many bytes.
 ARCHIVE = 256 << 20
+#: Bytes of archives that a reading task takes, about; ranges of CHUNK stay together.
+TASK, CHUNK = 32 << 20, 4 << 20
 INDEX = "page_id long, path string, offset long, length long, url string, digest string, record_type string, refers_to long, payload_bytes long"
 
 
@@ -87,8 +90,8 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
         F.col(page_id).cast("long").alias("page_id"),
         F.coalesce(F.col(url), F.lit("")).alias("url"),
         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"),
-        F.monotonically_increasing_id().alias("row"),
     )
+    rows = numbered(rows, "row")
     # Ids and digests only.  SHA-1 and the length decide equality.
     sums = rows.select("page_id", "row", F.sha1("payload").alias("sha"), F.length("payload").cast("long").alias("bytes"))
     sums = materialize(sums, "warc-sums")
@@ -162,7 +165,10 @@ def read_warc(index: DataFrame, folder_of: str | None = None) -> DataFrame:
                 )
                 i = j
 
-    places = index.select("path", "offset", "length").repartition("path", F.floor(F.col("offset") / (64 << 20)))
+    # The index rows are few bytes, so the number of tasks comes from what they point to.
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK))
+    places = index.select("path", "offset", "length").repartition(tasks, "path", F.floor(F.col("offset") / CHUNK))
     places = places.sortWithinPartitions("path", "offset")
     return places.mapInArrow(read, "page_id long, url string, digest string, record_type string, refers_to long, payload_bytes long, payload binary")
 
