@@ -123,7 +123,9 @@ def extract_quantities(text: Column) -> Column:
 
 def extract_names(text: Column, context: Column | None = None) -> Column:
     """Quoted terms, names with known endings and context terms that occur, each once and in this order."""
-    found = F.concat(_all(text, P.QUOTED), _all(text, P.NAME_TOKEN))
+    # A text without any of the endings holds no such name, and its long words need not be tried.
+    named = F.when(text.rlike(P.NAME_TOKEN[P.NAME_TOKEN.index("(?:") : -1]), _all(text, P.NAME_TOKEN)).otherwise(F.array().cast("array<string>"))
+    found = F.concat(_all(text, P.QUOTED), named)
     if context is not None:
         found = F.concat(found, F.filter(F.coalesce(context, F.array().cast("array<string>")), lambda t: (t != "") & F.contains(text, t)))
     return F.array_distinct(found)
@@ -161,6 +163,16 @@ def needs_rerun(text: Column) -> Column:
     return F.coalesce(text.rlike(P.PRIVATE_USE) | text.rlike(rf"\(\s*({'|'.join(P.CONTENT_LABELS)})\s*\)"), F.lit(False))
 
 
+def log_level(value: Column) -> Column:
+    """log(1 + x); null where 1 + x is not positive."""
+    return F.when(value > -1, F.log1p(value))
+
+
+def log_effect(coef: Column) -> Column:
+    """Relative change that a coefficient on a log level stands for: exp(b) - 1."""
+    return F.expm1(coef)
+
+
 def period_of(year: Column, ranges: Sequence[tuple[int, int, str]], otherwise: str = "out of range") -> Column:
     out = F.lit(otherwise)
     for first, last, name in reversed(ranges):

@@ -44,8 +44,11 @@ def assert_unique(df: DataFrame, keys: Sequence[str], label: str = "table") -> D
 
 
 def grid(spark, dims: Mapping[str, Sequence]) -> DataFrame:
-    """Cross product of small dimension lists."""
-    return reduce(lambda a, b: a.crossJoin(b), [spark.createDataFrame([(v,) for v in values], [name]) for name, values in dims.items()])
+    """Cross product of small dimension lists, unfolded from one row."""
+    out = spark.range(0, 1, 1, 1).select(F.lit(True).alias("_grid"))
+    for name, values in dims.items():
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return out.drop("_grid")
 
 
 def grid_gaps(df: DataFrame, dims: Mapping[str, Sequence]) -> DataFrame:
@@ -108,9 +111,14 @@ def assert_single_valued(df: DataFrame, col: str) -> DataFrame:
     return df
 
 
-def assert_in(df: DataFrame, col: str, lookup: DataFrame, lookup_col: str | None = None) -> DataFrame:
+def outside(df: DataFrame, col: str, lookup: DataFrame, lookup_col: str | None = None) -> DataFrame:
+    """Distinct values that the lookup does not have."""
     known = lookup.select(F.col(lookup_col or col).alias(col)).distinct()
-    fail_if_any(df.join(known, col, "left_anti").select(col).distinct(), f"{col} outside its taxonomy")
+    return df.select(col).distinct().join(known, col, "left_anti")
+
+
+def assert_in(df: DataFrame, col: str, lookup: DataFrame, lookup_col: str | None = None) -> DataFrame:
+    fail_if_any(outside(df, col, lookup, lookup_col), f"{col} outside its taxonomy")
     return df
 
 
@@ -249,9 +257,15 @@ def verify_imputation(panel: DataFrame, main: DataFrame, alt: DataFrame, keys: S
     return counts.unpivot([], list(named), "check", "n_bad").withColumn("passed", F.col("n_bad") == 0)
 
 
+def status_gate(df: DataFrame, col: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Per key: rows, rows whose trimmed value is another one, and whether there are rows and none differs."""
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.trim(col) == value, F.lit(False))).alias("n_other"))
+    return out.withColumn("passed", (F.col("n") > 0) & (F.col("n_other") == 0))
+
+
 def assert_all_equal(df: DataFrame, col: str, value: str) -> DataFrame:
     """Gate: the table is not empty and every trimmed value equals ``value``."""
-    got = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.trim(col) == value, F.lit(False))).alias("bad")).first()
-    if not got["n"] or got["bad"]:
-        raise CheckFailed(f"{col} must be {value!r} in all rows: {got['bad']} of {got['n']} differ")
+    got = status_gate(df, col, value).first()
+    if not got["passed"]:
+        raise CheckFailed(f"{col} must be {value!r} in all rows: {got['n_other']} of {got['n']} differ")
     return df

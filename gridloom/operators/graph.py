@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.staging import discard, materialize
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Smallest reachable node for every node that has an edge: ``(node, component)``.
 
     Each round hooks a node onto its smallest neighbour, shortens the hooks to roots by pointer jumping
@@ -24,9 +24,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         "cc-edges",
     )
     labels = None
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():  # every node with a smaller neighbour goes in a round
         hook = materialize(live.groupBy("hi").agg(F.min("lo").alias("up")).withColumnRenamed("hi", "node"), "cc-hook")
         while True:
             above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))

@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.checks import CheckFailed, assert_domain, assert_single_valued, assert_unique, fail_if_any, require_columns
+from gridloom.operators.checks import CheckFailed, assert_domain, assert_single_valued, assert_unique, fail_if_any, grid_gaps, require_columns
 from gridloom.operators.windows import rank_min
 
+DIRECTIONS = ("positive", "negative", "center_or_positive")
 SCHEMA = ("region", "year", "indicator_id", "category", "subcategory", "direction", "value")
 
 
+def direction_of(column: str = "direction") -> Column:
+    """The direction in small letters; ``+`` and ``-`` stand for positive and negative."""
+    text = F.lower(F.trim(column))
+    return F.when(text == "+", "positive").when(text == "-", "negative").otherwise(text)
+
+
 @dataclass
 class IndexTables:
     """The four levels of an index, all lazy."""
@@ -31,6 +38,44 @@ def prepare_index_input(df: DataFrame, mapping: Mapping[str, str], keep: Sequenc
     return out.select(*SCHEMA, *[c for c in keep if c in out.columns])
 
 
+def validate_index_input(
+    df: DataFrame, centred: Sequence[str] = (), regions: Sequence[str] | None = None, years: Sequence[int] | None = None, indicators: Sequence[str] | None = None, strict_grid: bool = True, national: str = "national", need_national: bool = False
+) -> DataFrame:
+    """Input rows of an index, or an error.
+
+    Keys are there and unique; values are finite; one direction of DIRECTIONS per indicator, and
+    ``center_or_positive`` for the indicators of ``centred`` only.  The expected indicators are all there and
+    no others; with ``regions`` and ``years`` every cell of the grid is there (``strict_grid``), and no other
+    region or year; with ``need_national`` there are national rows.
+    """
+    require_columns(df, ("region", "year", "indicator_id", "direction", "value"), "index input")
+    direction = direction_of()
+    bad = {
+        "null keys": F.col("region").isNull() | F.col("year").isNull() | F.col("indicator_id").isNull(),
+        "values not finite": ~F.coalesce(F.abs(F.col("value")) < float("inf"), F.lit(False)) | F.isnan("value"),
+        "unknown directions": ~F.coalesce(direction.isin(*DIRECTIONS), F.lit(False)),
+        "centred directions": (direction == "center_or_positive") & ~F.col("indicator_id").isin(*centred),
+    }
+    found = df.agg(*[F.count_if(c).alias(n) for n, c in bad.items()], F.count_if(F.col("region") == national).alias("national")).first()
+    for name, test in bad.items():
+        if found[name]:
+            fail_if_any(df.where(test).select("region", "year", "indicator_id", "direction", "value"), name)
+    if need_national and not found["national"]:
+        raise CheckFailed(f"no rows of {national}")
+    assert_unique(df, ["region", "year", "indicator_id"], "index input")
+    fail_if_any(df.groupBy("indicator_id").agg(F.count_distinct(direction).alias("n")).where("n <> 1"), "several directions per indicator")
+    rows = df.where(F.col("region") != national)
+    if indicators is not None:
+        have = {r[0] for r in df.select("indicator_id").distinct().collect()}  # one row per indicator
+        if have != set(indicators):
+            raise CheckFailed(f"indicators missing: {sorted(set(indicators) - have)}, not expected: {sorted(have - set(indicators))}")
+    if regions is not None and years is not None:
+        ids = sorted(r[0] for r in df.select("indicator_id").distinct().collect())
+        gaps = grid_gaps(rows, {"region": list(regions), "year": list(years), "indicator_id": ids})
+        fail_if_any(gaps if strict_grid else gaps.where("problem = 'unexpected'"), "cells off the grid")
+    return df
+
+
 def validate_cpi(cpi: DataFrame) -> DataFrame:
     """Unique years, positive values and one base year."""
     assert_unique(cpi, ["year"], "cpi")
@@ -65,15 +110,17 @@ def rebase_cpi(cpi: DataFrame, year: int, digits: int = 6) -> DataFrame:
     return cpi.crossJoin(base).withColumn("cpi", F.bround(F.col("cpi") / F.col("_base") * 100, digits)).withColumn("base", F.lit(f"{year}=100")).drop("_base")
 
 
-def standardize(df: DataFrame, method: str = "pooled", national: str = "national", check: bool = True) -> DataFrame:
+def standardize(df: DataFrame, method: str = "pooled", national: str = "national", check: bool = True, centred: Sequence[str] = ()) -> DataFrame:
     """Per indicator (pooled) or indicator and year (yearly): z, min-max score, clipped, flipped when negative.
 
     A pooled indicator without range raises; a yearly group without range scores 50.  National rows stay out.
+    Missing and infinite values, repeated keys and unknown directions raise; unchecked, a missing value has no
+    score.
     """
     keys = {"pooled": ["indicator_id"], "yearly": ["indicator_id", "year"]}[method]
-    rows = df.where(F.col("region") != national)
+    rows = df.where(~F.col("region").eqNullSafe(national))
     if check:
-        fail_if_any(rows.groupBy("indicator_id").agg(F.count_distinct("direction").alias("n")).where("n <> 1"), "several directions per indicator")
+        validate_index_input(rows, centred, national=national)
     w = Window.partitionBy(*keys)
     out = rows.withColumns({"group_mean": F.avg("value").over(w), "group_std": F.stddev_pop("value").over(w)})
     out = out.withColumn("zero_variance", F.coalesce(F.col("group_std") == 0, F.lit(True)))
@@ -82,9 +129,11 @@ def standardize(df: DataFrame, method: str = "pooled", national: str = "national
     out = out.withColumn("z_score", F.when(F.col("zero_variance"), F.lit(0.0)).otherwise((F.col("value") - F.col("group_mean")) / F.nullif("group_std", F.lit(0.0))))
     out = out.withColumns({"group_min_z": F.min("z_score").over(w), "group_max_z": F.max("z_score").over(w)})
     score = (F.col("z_score") - F.col("group_min_z")) / F.nullif(F.col("group_max_z") - F.col("group_min_z"), F.lit(0.0)) * 100
-    score = F.when(F.col("zero_variance"), F.lit(50.0)).otherwise(F.greatest(F.least(score, F.lit(100.0)), F.lit(0.0)))
+    # least() and greatest() skip nulls, so a missing value is left out first.
+    clipped = F.when(score.isNotNull(), F.greatest(F.least(score, F.lit(100.0)), F.lit(0.0)))
+    score = F.when(F.col("value").isNotNull(), F.when(F.col("zero_variance"), F.lit(50.0)).otherwise(clipped))
     out = out.withColumn("score_0_100", score).withColumn("method", F.lit(method))
-    return out.withColumn("directional_score", F.when(F.col("direction") == "negative", 100 - F.col("score_0_100")).otherwise(F.col("score_0_100")))
+    return out.withColumn("directional_score", F.when(direction_of() == "negative", 100 - F.col("score_0_100")).otherwise(F.col("score_0_100")))
 
 
 def validate_weights(weights: DataFrame, tol: float = 1e-9) -> DataFrame:
@@ -160,7 +209,7 @@ def verify_index(bundle: IndexTables, national: str = "national") -> DataFrame:
         s = F.col(score)
         row = df.agg(
             F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - F.count_distinct(F.struct(*keys))).alias("n_repeated"),
-            F.count_if(F.col("region") == national).alias("n_national"), F.count_if(s.isNull() | F.isnan(s)).alias("n_not_finite"),
+            F.count_if(F.col("region") == national).alias("n_national"), F.count_if(~F.coalesce(F.abs(s) < float("inf"), F.lit(False)) | F.isnan(s)).alias("n_not_finite"),
         )
         out = row if out is None else out.unionByName(row)
     return out.withColumn("passed", (F.col("n_repeated") == 0) & (F.col("n_national") == 0) & (F.col("n_not_finite") == 0))

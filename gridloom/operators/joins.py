@@ -186,20 +186,49 @@ def containment_matches(df: DataFrame, col: str, aliases: DataFrame, truth: str
     return hits.withColumn("false_match", ~F.col("alias_region").eqNullSafe(F.col(truth)))
 
 
+#: Up to this length a name may share no pair of letters with one that reaches the threshold of LEAST_SHARE.
+SHORT, LEAST_SHARE = 8, 80
+
+
+def _name_keys(key: Column, threshold: float) -> Column:
+    """Keys of which two names that reach the threshold share one.
+
+    Such names of lengths a, b are at most d = (a + b) (1 - threshold) letters inserted or dropped apart, and
+    each of these touches two pairs of neighbouring letters.  So of the pairs of the longer one all but 2 d are
+    in the other name, and in any common order of the pairs the first 2 d + 1 of both meet.  Short names, for
+    which that says nothing, meet in a key of their own.
+    """
+    size = F.length(key)
+    grams = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(key, i, F.lit(2)))
+    # Repeated pairs are told apart by their number.
+    numbered = F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+    longest = size * (200 - threshold) / threshold
+    most = F.floor((size + longest) * (100 - threshold) / 100)
+    first = F.slice(F.array_sort(F.transform(numbered, lambda g: F.struct(F.xxhash64(g).alias("o"), g.alias("g")))), F.lit(1), (2 * most + 1).cast("int"))
+    keys = F.when(size > 1, F.transform(first, lambda x: x["g"])).otherwise(F.array().cast("array<string>"))
+    return F.when(size <= SHORT, F.array_append(keys, F.lit("short"))).otherwise(keys)
+
+
 def near_duplicates(df: DataFrame, part: Sequence[str], name: str, row_id: str, threshold: float = 90) -> DataFrame:
     """Pairs within a block whose names differ after normalising and whose Indel ratio reaches the threshold.
 
-    Names are compared once per distinct spelling; a length gap and the Levenshtein distance (never above
-    the Indel distance) drop pairs before the exact ratio.
+    Names are compared once per distinct spelling and only where they share a key (below a threshold of
+    LEAST_SHARE, with all names of the block); a length gap and the Levenshtein distance (never above the
+    Indel distance) drop pairs before the exact ratio.
     """
     key = X.match_key(F.col(name))
     rows = df.select(*part, F.col(row_id), F.col(name), key.alias("_k"))
-    names = rows.groupBy(*part, "_k").agg(F.min(name).alias("_any")).where("_k <> ''")
-    a, b = names.withColumnRenamed("_k", "k1").drop("_any"), names.withColumnRenamed("_k", "k2").drop("_any")
-    both = a.join(b, list(part)).where("k1 < k2")
+    names = rows.select(*part, "_k").where("_k <> ''").distinct()
+    if threshold >= LEAST_SHARE:
+        names = names.withColumn("_key", F.explode(_name_keys(F.col("_k"), threshold)))
+        on = [*part, "_key"]
+    else:
+        on = list(part)
+    a, b = names.withColumnRenamed("_k", "k1"), names.withColumnRenamed("_k", "k2")
     total = F.length("k1") + F.length("k2")
     most = F.floor(total * (100 - threshold) / 100).cast("int")
-    both = both.where((F.abs(F.length("k1") - F.length("k2")) <= most) & (F.levenshtein("k1", "k2") <= most))
+    both = a.join(b, on).where((F.col("k1") < F.col("k2")) & (F.abs(F.length("k1") - F.length("k2")) <= most)).select(*part, "k1", "k2").distinct()
+    both = both.where(F.levenshtein("k1", "k2") <= most)
     both = both.withColumn("similarity", X.indel_ratio("k1", "k2")).where(F.col("similarity") >= threshold)
     left = rows.select(*part, F.col("_k").alias("k1"), F.col(row_id).alias("id1"), F.col(name).alias("name1"))
     right = rows.select(*part, F.col("_k").alias("k2"), F.col(row_id).alias("id2"), F.col(name).alias("name2"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from gridloom.operators.checks import CheckFailed, assert_unique, fail_if_any
+from gridloom.operators.ranges import running_total
 from gridloom.operators.windows import rank_min, two_way_demean, zscore
 
 # ------------------------------------------------------------------ Student t
@@ -70,8 +71,11 @@ def _ranked(df: DataFrame, cols: Sequence[str], part: Sequence[str] = ()) -> Dat
     out = df
     for c in cols:
         counts = out.where(F.col(c).isNotNull()).groupBy(*part, c).agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy(*part).orderBy(c)
-        ranks = counts.withColumn(f"_r_{c}", F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).drop("_n")
+        if part:
+            counts = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*part).orderBy(c)))
+        else:
+            counts = running_total(counts, c, "_n", "_upto")
+        ranks = counts.withColumn(f"_r_{c}", F.col("_upto") - (F.col("_n") - 1) / 2.0).drop("_n", "_upto")
         out = out.join(ranks, [*part, c], "left")
     return out
 
@@ -101,14 +105,16 @@ def within_corr(df: DataFrame, cols: Sequence[str], mode: str = "region", region
     return corr_matrix(out, cols)
 
 
-def vif(df: DataFrame, cols: Sequence[str]) -> pd.DataFrame:
+def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Variance inflation factors and the condition number of the correlation matrix."""
     counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     if any(counts[c] for c in cols) or counts["n"] <= len(cols):
         raise CheckFailed("missing values or too few rows")
     r = corr_matrix(df, cols).toPandas().pivot(index="a", columns="b", values="r").loc[list(cols), list(cols)].to_numpy()
     values = np.linalg.eigvalsh(r)
-    return pd.DataFrame({"column": list(cols), "vif": np.diag(np.linalg.inv(r)), "condition_number": math.sqrt(values[-1] / values[0]) if values[0] > 0 else math.inf})
+    condition = math.sqrt(values[-1] / values[0]) if values[0] > 0 else math.inf
+    rows = [(c, float(v), float(condition)) for c, v in zip(cols, np.diag(np.linalg.inv(r)), strict=True)]
+    return df.sparkSession.createDataFrame(rows, "column string, vif double, condition_number double")
 
 
 def high_corr_pairs(corr: DataFrame, t: float) -> DataFrame:
@@ -220,42 +226,54 @@ def _name(by: Sequence[str], row) -> tuple:
     return tuple(row[b] for b in by)
 
 
+def _solved(r: dict, a: np.ndarray, zy: np.ndarray, xs: Sequence[str]) -> dict:
+    """Model of a Gram matrix; ``r`` has the counts ``n``, ``g`` (regions) and ``t`` (years)."""
+    k = len(xs)
+    present = [i for i in range(k, len(a)) if a[i, i] > 1e-12]
+    use = list(range(k)) + present[1:]  # the first year present is the base
+    m = {"n": r["n"], "regions": r["g"], "years": r["t"], "xs": list(xs), "why": None}
+    sub = a[np.ix_(use, use)]
+    scale = np.sqrt(np.maximum(np.diag(sub), 1e-300))
+    if r["g"] < 2 or r["t"] < 2:
+        m["why"] = "fewer than two regions or years"
+    elif (np.diag(sub)[:k] < 1e-12).any():
+        m["why"] = "no variation"
+    elif np.linalg.matrix_rank(sub / np.outer(scale, scale), tol=1e-9) < len(use):
+        m["why"] = "rank deficient"
+    elif r["n"] - r["g"] - len(use) <= 0:
+        m["why"] = "no residual degrees of freedom"
+    if m["why"] is None:
+        inv = np.linalg.inv(sub)
+        m |= {"use": use, "inv": inv, "beta": inv @ zy[use], "resid_df": int(r["n"] - r["g"] - len(use))}
+    return m
+
+
+def _clustered(m: dict, s: np.ndarray) -> np.ndarray:
+    """Covariance of a model from the summed outer products of its regions' scores."""
+    g, n, params = m["regions"], m["n"], m["regions"] + len(m["use"])
+    return g / (g - 1) * (n - 1) / (n - params) * m["inv"] @ s[np.ix_(m["use"], m["use"])] @ m["inv"]
+
+
+def _symmetric(pairs: Sequence[tuple[int, int]], values: Sequence[float], width: int) -> np.ndarray:
+    out = np.zeros((width, width))
+    for (i, j), v in zip(pairs, values, strict=True):
+        out[i, j] = out[j, i] = v
+    return out
+
+
 def fit_fe(df: DataFrame, y: str, xs: Sequence[str], region: str = "region", year: str = "year", by: Sequence[str] = ()) -> dict[tuple, dict]:
     """Least squares with region and year effects and region-clustered covariance, one model per value of ``by``.
 
     Region means are removed in a window; year dummies are carried as columns.  The Gram matrix comes from
     one aggregation over all models, the cluster scores from a second; exact on unbalanced panels.
     """
-    rows, z, years = _prepared(df, y, xs, region, year, by)
-    k = len(xs)
+    rows, z, _ = _prepared(df, y, xs, region, year, by)
     pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
     gram = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("_region").alias("g"), F.count_distinct("_year").alias("t"),
         F.array(*[F.sum(F.col(z[i]) * F.col(z[j])) for i, j in pairs]).alias("zz"), F.array(*[F.sum(F.col(c) * F.col("_y")) for c in z]).alias("zy"),
     ).collect()
-    models: dict[tuple, dict] = {}
-    for r in gram:
-        a = np.zeros((len(z), len(z)))
-        for (i, j), v in zip(pairs, r["zz"], strict=True):
-            a[i, j] = a[j, i] = v
-        zy = np.array(r["zy"])
-        present = [k + i for i in range(len(years)) if a[k + i, k + i] > 1e-12]
-        use = list(range(k)) + present[1:]  # the first year present is the base
-        m = {"n": r["n"], "regions": r["g"], "years": r["t"], "xs": list(xs), "why": None}
-        models[_name(by, r)] = m
-        sub = a[np.ix_(use, use)]
-        scale = np.sqrt(np.maximum(np.diag(sub), 1e-300))
-        if r["g"] < 2 or r["t"] < 2:
-            m["why"] = "fewer than two regions or years"
-        elif (np.diag(sub)[:k] < 1e-12).any():
-            m["why"] = "no variation"
-        elif np.linalg.matrix_rank(sub / np.outer(scale, scale), tol=1e-9) < len(use):
-            m["why"] = "rank deficient"
-        elif r["n"] - r["g"] - len(use) <= 0:
-            m["why"] = "no residual degrees of freedom"
-        if m["why"] is None:
-            inv = np.linalg.inv(sub)
-            m |= {"use": use, "inv": inv, "beta": inv @ zy[use], "resid_df": int(r["n"] - r["g"] - len(use))}
+    models = {_name(by, r): _solved(r.asDict(), _symmetric(pairs, r["zz"], len(z)), np.array(r["zy"]), xs) for r in gram}
     good = {key: m for key, m in models.items() if m["why"] is None}
     if good:
         width = len(z)
@@ -268,13 +286,7 @@ def fit_fe(df: DataFrame, y: str, xs: Sequence[str], region: str = "region", yea
         scores = fitted.groupBy(*by, "_region").agg(*[F.sum(F.col(c) * F.col("_e")).alias(f"_s{i}") for i, c in enumerate(z)])
         outer = scores.groupBy(*by).agg(F.array(*[F.sum(F.col(f"_s{i}") * F.col(f"_s{j}")) for i, j in pairs]).alias("ss")).collect()
         for r in outer:
-            m = good[_name(by, r)]
-            s = np.zeros((width, width))
-            for (i, j), v in zip(pairs, r["ss"], strict=True):
-                s[i, j] = s[j, i] = v
-            meat = s[np.ix_(m["use"], m["use"])]
-            g, n, params = m["regions"], m["n"], m["regions"] + len(m["use"])
-            m["cov"] = g / (g - 1) * (n - 1) / (n - params) * m["inv"] @ meat @ m["inv"]
+            good[_name(by, r)]["cov"] = _clustered(good[_name(by, r)], _symmetric(pairs, r["ss"], width))
     return models
 
 
@@ -383,11 +395,34 @@ def region_slopes(df: DataFrame, y: str, x: str, region: str = "region", year: s
 
 
 def leave_one_out(df: DataFrame, y: str, x: str, region: str = "region", year: str = "year") -> DataFrame:
-    """The model without each region in turn, and on the full sample (``omitted`` null), in one job."""
-    names = df.select(F.col(region).alias("omitted")).distinct()
-    without = df.join(names, F.col(region) != F.col("omitted"))
-    both = without.unionByName(df.withColumn("omitted", F.lit("(none)")))
-    return two_way_fe(both, y, x, region=region, year=year, by=["omitted"]).withColumn("omitted", F.nullif("omitted", F.lit("(none)")))
+    """The model without each region in turn, and on the full sample (``omitted`` null).
+
+    Region means do not depend on other regions, so each region has its own Gram matrix: one aggregation sums
+    them, a model leaves one out of the total, and its cluster scores come from the same matrices.  What
+    reaches the driver is one small matrix per region.
+    """
+    rows, z, _ = _prepared(df, y, [x], region, year, [])
+    pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    parts = rows.groupBy("_region").agg(
+        F.count(F.lit(1)).alias("n"), F.collect_set("_year").alias("years"),
+        F.array(*[F.sum(F.col(z[i]) * F.col(z[j])) for i, j in pairs]).alias("zz"), F.array(*[F.sum(F.col(c) * F.col("_y")) for c in z]).alias("zy"),
+    ).collect()
+    grams, zys = np.array([_symmetric(pairs, r["zz"], len(z)) for r in parts]), np.array([r["zy"] for r in parts])
+    rows_of, years_of = np.array([r["n"] for r in parts]), [set(r["years"]) for r in parts]
+    out = []
+    for k in [None, *range(len(parts))]:
+        stay = np.array([i for i in range(len(parts)) if i != k], dtype=int)
+        counts = {"n": int(rows_of[stay].sum()), "g": len(stay), "t": len(set().union(*(years_of[i] for i in stay)))}
+        m = _solved(counts, grams[stay].sum(axis=0), zys[stay].sum(axis=0), [x])
+        name = None if k is None else parts[k]["_region"]
+        if m["why"] is not None:
+            out.append((name, *_row((), m, x, None, None)))
+            continue
+        beta = np.zeros(len(z))
+        beta[m["use"]] = m["beta"]
+        scores = zys[stay] - grams[stay] @ beta
+        out.append((name, *_row((), m, x, float(m["beta"][0]), float(_clustered(m, scores.T @ scores)[0, 0]))))
+    return df.sparkSession.createDataFrame(out, f"omitted {dict(df.dtypes)[region]}, " + FE_SCHEMA)
 
 
 def compare_models(a: DataFrame, b: DataFrame, keys: Sequence[str], alpha: float = 0.05) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import patterns as P
 from gridloom.functions import text as X
 from gridloom.operators.checks import CheckFailed, assert_unique, fail_if_any, require_columns
+from gridloom.operators.ranges import ranged
 
 
 def parse_numeric_strict(df: DataFrame, col: str, allowed: Sequence[str] = ("",)) -> DataFrame:
@@ -194,10 +195,21 @@ def drop_confirmed_duplicates(df: DataFrame, ids: Sequence, id_col: str, ignore:
 
 
 def adjacent_duplicates(df: DataFrame, order: str, part: Sequence[str] = ()) -> DataFrame:
-    """Rows equal to the row before them on all columns but the order."""
+    """Rows equal to the row before them on all columns but the order.
+
+    Without ``part`` the rows are dealt by ranges of the order, and the last row of a range is handed to the
+    next one (one row per range), so no task sees the whole table.
+    """
     whole = F.struct(*[c for c in df.columns if c != order])
-    before = F.lag(whole).over(Window.partitionBy(*part).orderBy(order))
-    return df.withColumn("_before", before).where(whole.eqNullSafe(F.col("_before"))).drop("_before")
+    if part:
+        out = df.withColumn("_before", F.lag(whole).over(Window.partitionBy(*part).orderBy(order)))
+        return out.where(whole.eqNullSafe(F.col("_before"))).drop("_before")
+    rows, inside = ranged(df, order), Window.partitionBy("_range").orderBy(order)
+    ends = rows.groupBy("_range").agg(F.max_by(whole, order).alias("_end"))
+    ends = ends.select("_range", F.lag("_end").over(Window.orderBy("_range")).alias("_end"))  # one row per range
+    out = rows.withColumn("_before", F.lag(whole).over(inside)).withColumn("_first", F.row_number().over(inside) == 1).join(ends, "_range")
+    out = out.withColumn("_before", F.when(F.col("_first"), F.col("_end")).otherwise(F.col("_before")))
+    return out.where(F.col("_before").isNotNull() & whole.eqNullSafe(F.col("_before"))).select(*df.columns)
 
 
 def collapse_blocks(df: DataFrame, keys: Sequence[str], order: str, token_col: str, amount_cols: Sequence[str], part: Sequence[str] = (), tokens: Sequence[str] = P.FUNDING_TOKENS, total: str = P.TOTAL_TOKEN) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.staging import materialize
+
 AREAS = {"STANDARD": "CORE", "ECONOMY": "CORE", "MEDIUM": "MID", "LARGE": "MID", "PROMO": "OTHER", "SMALL": "OTHER"}
 YEARS = list(range(1995, 2002))
 BASE_YEAR = 1998
@@ -18,6 +20,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _once(df: DataFrame, label: str) -> DataFrame:
+    """A panel of few rows as one written file."""
+    return materialize(df.coalesce(1), label)
+
+
 def area_of(subarea):
     pairs = [F.lit(x) for kv in AREAS.items() for x in kv]
     return F.create_map(*pairs)[subarea]
@@ -39,8 +46,8 @@ DETAIL = f"""detail as (select n_name region, year(o_orderdate)::int as year, p_
 
 
 def subpanel(spark: SparkSession, d: str) -> DataFrame:
-    """region, year, area, subarea, budget."""
-    return detail(spark, d).groupBy("region", "year", "area", "subarea").agg(F.round(F.sum("amount"), 4).alias("budget"))
+    """region, year, area, subarea, budget; written once, as checks and results read it several times."""
+    return _once(detail(spark, d).groupBy("region", "year", "area", "subarea").agg(F.round(F.sum("amount"), 4).alias("budget")), "subpanel")
 
 
 SUBPANEL = DETAIL + ", subpanel as (select region, year, area, subarea, round(sum(amount), 4) budget from detail group by all)"
@@ -48,7 +55,7 @@ SUBPANEL = DETAIL + ", subpanel as (select region, year, area, subarea, round(su
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """region, year, budget, outcome (mean discount), n."""
-    return detail(spark, d).groupBy("region", "year").agg(F.round(F.sum("amount"), 4).alias("budget"), F.round(F.avg("l_discount"), 8).alias("outcome"), F.count(F.lit(1)).alias("n"))
+    return _once(detail(spark, d).groupBy("region", "year").agg(F.round(F.sum("amount"), 4).alias("budget"), F.round(F.avg("l_discount"), 8).alias("outcome"), F.count(F.lit(1)).alias("n")), "panel")
 
 
 PANEL = DETAIL + ", panel as (select region, year, round(sum(amount), 4) budget, round(avg(l_discount), 8) outcome, count(*) n from detail group by all)"
@@ -78,10 +85,11 @@ def indicators(spark: SparkSession, d: str) -> DataFrame:
     g = g.withColumn("seg", seg)
     g = g.withColumn("value", F.when((F.col("nk") * 7 + F.col("year") * 3 + F.col("seg")) % 5 != 0, F.col("full_value")))
     g = g.withColumn("blocked", F.col("value").isNull() & ((F.col("nk") + F.col("year")) % 7 == 0))
-    return g.withColumns({
+    g = g.withColumns({
         "category": F.when(F.col("seg") <= 2, "A").otherwise("B"), "subcategory": F.concat(F.lit("s"), ((F.col("seg") + 1) / 2).cast("int").cast("string")),
         "direction": F.when(F.col("seg") % 2 == 0, "negative").otherwise("positive"),
     })
+    return _once(g, "indicators")
 
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
