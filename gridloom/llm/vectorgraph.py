@@ -1,7 +1,8 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Vectors are compared within their label.  Equal vectors are one node with a multiplicity.  A large label is
-clustered (centres fitted on a bounded sample).  Queries of that sample are compared with all nodes of the
+Vectors are compared within their label.  Equal vectors are one node with a multiplicity.  Every label is
+clustered into shards of about ``SHARD`` nodes (centres fitted on a bounded sample); only a label that is no
+larger than one shard is one.  Queries of that sample are compared with all nodes of the
 label, and centres that part a pair within the range are merged into one shard until no such pair is parted:
 a dense region, whatever its size, is one shard.  Every node joins its ``OVERLAP`` nearest shards; a
 shard with many nodes is dealt over blocks so that each two of them meet, and cells of two blocks at most do
@@ -16,7 +17,8 @@ counts need no table of pairs: a cell returns counts and a spanning forest.
 
 ``audit_links`` measures recall against brute force.  Defined cases: vectors that are null, empty, zero or
 hold a null or non-finite component, and rows without a label, link with nothing and are their own
-component; repeated rows link with each other; an empty table gives an empty result.
+component; repeated rows link with each other; a cosine that equals the range links; an empty table gives an
+empty result; columns other than the three named ones, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,10 +38,11 @@ from gridloom.operators.graph import connected_components
 RANGE = 0.93
 #: A shard up to twice this size is one cell; a larger one is dealt over blocks of it, two to a cell.
 BLOCK = 4096
-#: A label with more nodes than this is clustered into shards of about SHARD nodes.
-CLUSTERED, SHARD = 8192, 6000
-#: Nearest clusters that a node joins, and the most vectors per label that centres are fitted on.
-OVERLAP, SAMPLE = 3, 20_000
+#: Nodes of a shard, about.
+SHARD = 512
+#: Nearest clusters that a node joins, the most vectors per label that centres are fitted on, and the fewest of
+#: these for a centre: beyond SHARD * SAMPLE / (OVERLAP * FEWEST) nodes of one label, shards grow with it.
+OVERLAP, SAMPLE, FEWEST = 3, 20_000, 4
 #: Nodes of a large label's sample whose pairs the merging of its centres goes by.
 AUDITED = 2_000
 CANDIDATES, DEGREE, ALPHA, BEAM, FAR = 40, 20, 1.2, 24, 8
@@ -239,7 +242,7 @@ def _merged(nodes: DataFrame, centres: dict[int, np.ndarray], asked: dict[int, n
 def _cells(nodes: DataFrame, reach: float) -> DataFrame:
     """Nodes dealt to cells, with ``shards`` (all shards of the node) and ``blk`` (its block in this one)."""
     spark = nodes.sparkSession
-    sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CLUSTERED).collect()  # one row per large label
+    sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).collect()  # one row per label
     centres: dict[int, np.ndarray] = {}
     asked: dict[int, np.ndarray] = {}
     for r in sizes:
@@ -248,9 +251,9 @@ def _cells(nodes: DataFrame, reach: float) -> DataFrame:
         x = np.stack(got["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)))
         x /= np.linalg.norm(x, axis=1)[:, None]
         asked[r["label"]] = x[np.random.default_rng(7).permutation(len(x))[:AUDITED]]
-        centres[r["label"]] = centres_of(x, min(1024, max(OVERLAP + 1, -(-r["n"] * OVERLAP // SHARD))))
+        centres[r["label"]] = centres_of(x, min(max(OVERLAP + 1, len(x) // FEWEST), max(OVERLAP + 1, -(-r["n"] * OVERLAP // SHARD))))
     merged = _merged(nodes, centres, asked, reach)
-    sent = spark.sparkContext.broadcast({label: (c, merged[label]) for label, c in centres.items()})  # 1024 centres per large label at most
+    sent = spark.sparkContext.broadcast({label: (c, merged[label]) for label, c in centres.items()})  # SAMPLE / FEWEST centres per label at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,6 +323,8 @@ def near_vectors(vectors: DataFrame, reach: float = RANGE, vec_id: str = "vec_id
     links = found.groupBy("node").agg(F.sum("part").alias("others"))
     comp = connected_components(found, "node", "root")
     named = nodes.select("node", "least", "copies").join(links, "node", "left").join(comp, "node", "left")
+    # Single vectors without a link need no lookup.
+    named = named.where("copies > 1 or component is not null")
     named = materialize(named.select("node", "least", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "node").alias("c")), "vg-named")
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
     lookup = named.join(least, "c").select("node", "copies", "others", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
