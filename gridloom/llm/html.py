@@ -5,11 +5,16 @@ forms, menus, headers, footers, sidebars, notices, adverts, reader comments) and
 link lists count as empty.  The text lengths of lines are summed over windows of ``WINDOW`` lines; the main
 text starts where the sums surge over a level, and ends where they dive below it.  Every line between a
 surge and its dive is kept whole; short lines of the first window, before the text, are kept only as headings.
-Where the page names its article, all lines inside it are kept, and no others.
+Where a page names its articles (``article``, ``main``), lines outside them count nothing, and the text between
+a surge and its dive is widened to the ends of the article that holds it: a short first or last paragraph is
+part of it, and an article that no surge reaches is a teaser.
 
 Defined cases: a null page, and one without text, give an empty string; unclosed tags end with their parent
-block or with the page; text outside any tag counts as a block.  The page, ``main`` and ``article`` are never
-dropped by their names; an article that stands in dropped blocks only is taken out of them.
+block or with the page; text outside any tag counts as a block; very long pages are read whole; repeated
+blocks are kept as often as they stand there; sums equal to the level are below it.  The page, ``main`` and
+``article`` are never dropped by their names; an article that stands in dropped blocks only is taken out of
+them.  An empty table gives an empty result; repeated rows are separate rows; columns other than the three
+named ones, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -66,13 +71,16 @@ def bad_name(names: str) -> bool:
     return False
 
 
-def page_lines(html: str, rescue: bool = False) -> list[tuple[str, int, bool, bool]]:
-    """(text, counted length, inside the article, heading) of every block; removed blocks leave blank lines.
+def page_lines(html: str, rescue: bool = False) -> list[tuple[str, int, int, bool]]:
+    """(text, counted length, number of its article, heading) of every block; removed blocks leave blank lines.
+
+    The article is the outermost one around the block; 0 stands for none.
 
     With ``rescue``, an article ends the drop of the blocks around it that their names, or a form, dropped.
     """
-    lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, article
+    lines: list[tuple[str, int, int, bool]] = []
+    stack: list[tuple[str, bool, int]] = []  # tag, dropped, article
+    articles = 0
     text: list[str] = []
     linked: list[int] = [0]
     in_link = 0
@@ -81,11 +89,11 @@ def page_lines(html: str, rescue: bool = False) -> list[tuple[str, int, bool, bo
         whole = " ".join(unescape("".join(text)).split())
         if whole:
             dropped = any(d for _, d, _ in stack)
-            article = any(a for _, _, a in stack)
+            article = next((a for _, _, a in stack if a), 0)
             # A block that is nothing but links is part of a list of links.
             bare = linked[0] >= len("".join("".join(text).split())) > 0
             if dropped:
-                lines.extend([("", 0, False, False)] * WINDOW)
+                lines.extend([("", 0, 0, False)] * WINDOW)
             else:
                 lines.append((whole, 0 if bare and not article else len(whole), article, any(t in _HEADING for t, _, _ in stack)))
         text.clear()
@@ -138,42 +146,50 @@ def page_lines(html: str, rescue: bool = False) -> list[tuple[str, int, bool, bo
             names = " ".join(x.strip("\"'") for x in _NAMED.findall(m[4] or ""))
             if rescue and tag in ("article", "main"):
                 stack[:] = [(t, d and t in _DROP - _WRAP, a) for t, d, a in stack]
-            stack.append((tag, tag in _DROP or (tag not in _KEEP and bad_name(names)), tag in ("article", "main")))
+            articles += tag in ("article", "main")
+            stack.append((tag, tag in _DROP or (tag not in _KEEP and bad_name(names)), articles if tag in ("article", "main") else 0))
     if at < len(html):
         add(html[at:])
     flush()
     return lines
 
 
-def main_text(html: str | None) -> str:
-    """Lines between each surge of the window sums and the dive behind it."""
-    lines = page_lines(html or "")
-    article = any(a and n for _, n, a, _ in lines)
-    if not article and re.search(r"<(?:article|main)\b", html or "", re.I):
-        saved = page_lines(html or "", rescue=True)
-        article = any(a and n for _, n, a, _ in saved)
-        lines = saved if article else lines
-    if article:
-        return "\n".join(t for t, n, a, _ in lines if n and a)
-    lengths = np.array([n for _, n, _, _ in lines], dtype=np.int64)
+def text_spans(lengths: np.ndarray, heading: list[bool]) -> list[tuple[int, int]]:
+    """(first line, line behind the last) from each surge of the window sums to its dive."""
     if not lengths.any():
-        return ""
+        return []
     sums = np.convolve(lengths, np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]  # of a line and those behind it
     level = min(SURGE * sums.max(), SURE)
-    kept, i, n = [], 0, len(lines)
+    out, i, n = [], 0, len(lengths)
     while i < n:
         if sums[i] > level and lengths[i] > 0:  # surge
             j = i
             while j < n and sums[j] > level:  # until the dive
                 j += 1
             # The first windows reach back over short lines in front of the text.
-            while i < j and lengths[i] * WINDOW <= level and not lines[i][3]:
+            while i < j and lengths[i] * WINDOW <= level and not heading[i]:
                 i += 1
-            kept += [t for t, m, _, _ in lines[i:j] if m]
+            out.append((i, j))
             i = j
         else:
             i += 1
-    return "\n".join(kept)
+    return out
+
+
+def main_text(html: str | None) -> str:
+    """Lines between each surge of the window sums and the dive behind it, widened to their article."""
+    lines = page_lines(html or "")
+    named = any(a and n for _, n, a, _ in lines)
+    if not named and re.search(r"<(?:article|main)\b", html or "", re.I):
+        saved = page_lines(html or "", rescue=True)
+        named = any(a and n for _, n, a, _ in saved)
+        lines = saved if named else lines
+    lengths = np.array([n if a or not named else 0 for _, n, a, _ in lines], dtype=np.int64)
+    spans = text_spans(lengths, [h for _, _, _, h in lines])
+    if named:
+        held = {lines[k][2] for i, j in spans for k in range(i, j) if lengths[k]}
+        return "\n".join(t for t, n, a, _ in lines if n and a in held)
+    return "\n".join(t for i, j in spans for t, n, _, _ in lines[i:j] if n)
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
