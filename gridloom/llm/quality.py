@@ -123,6 +123,15 @@ class OrdinalModel:
         return np.array([float(self.weights[s] @ v) for s, v in map(features, texts)])
 
 
+def link_slopes(y: int, x: float, theta: np.ndarray) -> tuple[float, float, float, float]:
+    """Likelihood F(theta_y - x) - F(theta_{y-1} - x) of grade y, and the slopes of its negative logarithm by x
+    and by the upper and the lower threshold."""
+    hi = _sigmoid(theta[y] - x) if y < len(theta) else 1.0
+    lo = _sigmoid(theta[y - 1] - x) if y else 0.0
+    dhi, dlo, p = hi * (1 - hi), lo * (1 - lo), max(hi - lo, 1e-6)
+    return p, (dhi - dlo) / p, -dhi / p, dlo / p
+
+
 def fit_ordinal(texts: list[bytes], grades: np.ndarray, n_grades: int, epochs: int = 12, rate: float = 0.08, penalty: float = 1e-3, seed: int = 5) -> OrdinalModel:
     """AdaGrad on the cumulative-link likelihood, rare grades weighted up to the square root of balance."""
     share = np.bincount(grades, minlength=n_grades) / max(1, len(grades))
@@ -142,16 +151,12 @@ def fit_ordinal(texts: list[bytes], grades: np.ndarray, n_grades: int, epochs: i
         for i in rng.permutation(len(feats)):
             s, v = feats[i]
             y, x = int(grades[i]), float(w[s] @ v)
-            # Likelihood F(theta_y - x) - F(theta_{y-1} - x); its gradient by x and by both thresholds.
-            hi = _sigmoid(theta[y] - x) if y < n_grades - 1 else 1.0
-            lo = _sigmoid(theta[y - 1] - x) if y else 0.0
-            dhi, dlo, p = hi * (1 - hi), lo * (1 - lo), max(hi - lo, 1e-6)
-            g = weight[y] * (dhi - dlo) / p  # d(-log p)/dx
-            grad = g * v + penalty * w[s]
+            _, by_x, by_upper, by_lower = link_slopes(y, x, theta)
+            grad = weight[y] * by_x * v + penalty * w[s]
             grad[0] = 0.0  # the thresholds are the bias
             seen[s] += grad * grad
             w[s] -= rate * grad / np.sqrt(seen[s])
-            for j, d in ((y, -weight[y] * dhi / p), (y - 1, weight[y] * dlo / p)):
+            for j, d in ((y, weight[y] * by_upper), (y - 1, weight[y] * by_lower)):
                 if 0 <= j < n_grades - 1:
                     seen_t[j] += d * d
                     theta[j] -= rate * d / np.sqrt(seen_t[j])
@@ -160,8 +165,12 @@ def fit_ordinal(texts: list[bytes], grades: np.ndarray, n_grades: int, epochs: i
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int = 3, max_rated: int = MAX_RATED) -> OrdinalModel:
-    """Fit on the rated rows of ``docs``; ``grade`` is an expression over ``labels``."""
+    """Fit on the rated rows of ``docs``; ``grade`` is an expression over ``labels``.
+
+    An id with several grades has the lowest of them; of several texts with one id the first in order counts.
+    """
     rated = labels.select("doc_id", grade.cast("int").alias("grade")).where("grade is not null and doc_id is not null")
+    rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade"))
     n = rated.count()
     if n > max_rated:  # a share by hash that keeps within the bound
         rated = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * 0.95 * max_rated / n))
@@ -176,7 +185,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns], schema=schema)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
+        pdf = pdf.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
         model = fit_ordinal([bytes(t) for t in pdf["text"]], pdf["doc_id"].map(sent.value).to_numpy(dtype=np.int64), n_grades)
         at = np.flatnonzero(model.weights)
         return pd.DataFrame({"slot": [at.astype(np.int64).tobytes()], "weight": [model.weights[at].tobytes()], "theta": [model.thresholds.tobytes()]})
@@ -193,7 +202,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``expected_grade`` and ``tail_prob``, the probability of the highest grade."""
+    """``docs`` with ``expected_grade`` and ``tail_prob``, the probability of the highest grade.
+
+    Columns of these names in ``docs`` are replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<expected_grade:double,tail_prob:double>")
