@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from gridloom.functions.staging import materialize
 from gridloom.llm import vectorgraph
 from gridloom.llm.ann import hadamard, nearest, recall_of
-from gridloom.llm.html import main_text
-from gridloom.llm.jaccard import common_counts, fragment_keys, jaccard_groups, shingle_set, size_classes
-from gridloom.llm.quality import _pieces, document_grade, fit_ordinal, fit_quality, score_quality
+from gridloom.llm import jaccard
+from gridloom.llm.ann import bucket_of, chain_of, probed, probes_of, signs_of
+from gridloom.llm.html import SURE, SURGE, WINDOW, extract_main_text, main_text, text_spans
+from gridloom.llm.jaccard import common_counts, fragment_keys, jaccard_groups, may_link, parities, shingle_set, size_classes
+from gridloom.llm.quality import _pieces, document_grade, fit_ordinal, fit_quality, link_slopes, score_quality
 from gridloom.llm.vectorgraph import audit_links, near_vectors
 
 
@@ -53,6 +55,25 @@ def test_jaccard_equals_brute_force(spark, n, t):
     assert jaccard_groups(df.where("false"), n, t).count() == 0
 
 
+def test_sketches_never_refuse_a_link():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 5, 60, 61, 250)]
+    sets += [np.union1d(s[: max(1, len(s) - 3)], rng.integers(0, 1 << 63, 2).astype(np.uint64)) for s in sets]
+    n, out = np.array([len(s) for s in sets]), np.ones(len(sets), dtype=bool)
+    got = may_link([parities(s) for s in sets], n, np.arange(len(sets)), out, (8, 10))
+    for i, a in enumerate(sets):
+        linked = any(10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b)) for j, b in enumerate(sets) if i != j)
+        assert got[i] or not linked
+    assert not may_link([parities(s) for s in sets], n, np.zeros(len(sets)), out, (8, 10)).any()  # one component has no more to ask
+
+
+def test_small_blocks_find_the_same(spark, monkeypatch):
+    """Groups dealt over many cells, with members outside the leader's component."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "WIDE", 8)
+    test_near_copies_of_one_base(spark)
+
+
 def test_near_copies_of_one_base(spark):
     rng = np.random.default_rng(2)
     base = [f"b{i}" for i in range(120)]
@@ -148,7 +169,6 @@ def test_hadamard_keeps_lengths():
 @pytest.mark.parametrize("clustered", [False, True])
 def test_near_vectors(spark, clustered, monkeypatch):
     if clustered:  # these bounds are read on the driver
-        monkeypatch.setattr(vectorgraph, "CLUSTERED", 100)
         monkeypatch.setattr(vectorgraph, "SHARD", 100)
         monkeypatch.setattr(vectorgraph, "BLOCK", 40)
     data, df = vectors(spark)
@@ -167,7 +187,7 @@ def test_near_vectors(spark, clustered, monkeypatch):
 
 
 def test_dense_group_larger_than_its_shards(spark, monkeypatch):
-    for name, size in (("CLUSTERED", 400), ("SHARD", 300), ("BLOCK", 200)):
+    for name, size in (("SHARD", 300), ("BLOCK", 200)):
         monkeypatch.setattr(vectorgraph, name, size)
     rng = np.random.default_rng(4)
     x = np.concatenate([np.eye(64)[0] + rng.normal(size=(1500, 64)) * np.sqrt((1 / 0.97 - 1) / 64), rng.normal(size=(300, 64))])
@@ -180,6 +200,42 @@ def test_dense_group_larger_than_its_shards(spark, monkeypatch):
     assert got.loc[range(1500), "component_id"].eq(0).all() and got["kept"].sum() == 301
 
 
+def test_many_shards_of_one_label(spark):
+    rng = np.random.default_rng(8)
+    n = 3000
+    x = rng.normal(size=(n, 64))
+    x[1::3] = x[::3] + rng.normal(size=(1000, 64)) * 0.25  # near copies, some out of range
+    df = spark.createDataFrame([(i, [float(v) for v in row], 1, "clash", 7) for i, row in enumerate(x)], VEC + ", node string, shards int")
+    out = materialize(near_vectors(df))
+    assert audit_links(out, df, sample=3000) >= 0.99 and out.count() == n
+    assert len(vectorgraph.centres_of(x / np.linalg.norm(x, axis=1)[:, None], -(-n * vectorgraph.OVERLAP // vectorgraph.SHARD))) >= 4
+
+
+def test_columns_of_any_name_are_not_read(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)], 1, "x", 5, 6) for i in range(40)], VEC + ", row string, band int, _asks int")
+    assert nearest(df, F.col("vec_id") % 20 == 0).count() == 40
+
+
+def test_a_query_looks_at_a_falling_share():
+    """Chains grow with the vectors; near vectors share probed buckets, and few others do."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    chain = chain_of(len(x), 64)
+    assert len(chain_of(500, 64)) <= len(chain) < len(chain_of(10**9, 64)) and 2 * np.prod([2 * d for d in chain]) > len(x) / 3
+    signs = signs_of(4, len(chain), 64, 3)
+    q = x[:50] + rng.normal(size=(50, 64)) * 0.03
+    seen, found = [], 0
+    for s in signs:
+        first, rest = bucket_of(x, s, chain)
+        asked, numbers = probed(q, s, chain, probes_of(chain, 110))
+        for k in range(50):
+            hit = np.isin(first * 10**6 + rest, asked[k] * 10**6 + numbers[k])
+            seen.append(hit.mean())
+            found += hit[k]
+    assert np.mean(seen) < 0.05 and found > 150
+
+
 PAGE = "<html><head><title>T</title><script>var a='<p>';</script></head><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy now please</div>{}<footer>c</footer></body>"
 
 
@@ -220,6 +276,47 @@ def test_names_do_not_drop_the_article(html):
     assert main_text(html.format(f"<p>{LONG}</p>")) == LONG.strip()
 
 
+def spans_by_hand(lengths, heading):
+    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
+    level = min(SURGE * max(sums, default=0), SURE)
+    kept, i = [], 0
+    while i < len(lengths):
+        if sums[i] > level and lengths[i]:
+            run = [j for j in range(i, len(lengths)) if all(sums[k] > level for k in range(i, j + 1))]
+            text = [j for j in run if any(lengths[k] * WINDOW > level or heading[k] for k in range(i, j + 1))]
+            kept += text
+            i = run[-1] + 1
+        else:
+            i += 1
+    return kept
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0, 0, 3, 10, 26, 27, 60, 200, 900]), st.booleans()), max_size=30))
+def test_surges_and_dives_equal_the_rule(lines):
+    lengths, heading = [n for n, _ in lines], [h for _, h in lines]
+    got = [k for i, j in text_spans(np.array(lengths, dtype=np.int64), heading) for k in range(i, j)]
+    assert got == spans_by_hand(lengths, heading)
+
+
+def test_the_line_block_step_decides():
+    menu = "".join(f"<div>Item {i}</div>" for i in range(6))
+    assert "Item" not in main_text(f"<body>{menu}<p>{LONG}</p>{menu}</body>")
+    # An article that no surge reaches is a teaser; one with text is kept to its short ends.
+    page = f"<article><p>Short.</p><p>{LONG}</p><p>End.</p></article><div>far</div><div>away</div><div>off</div><article><p>See also</p></article>"
+    assert main_text(page) == f"Short.\n{LONG.strip()}\nEnd."
+
+
+def test_pages_of_any_kind(spark):
+    long = "<article>" + "<p>word word</p>" * 20_000 + "</article>"
+    rows = [(1, "u", None, 5), (1, "u", None, 5), (2, None, "", 5), (3, "v", long, 5), (None, "w", f"<p>{LONG}</p>", 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = extract_main_text(df).toPandas()
+    assert len(got) == 5 and got.columns.tolist() == ["page_id", "url", "text", "n_chars"]
+    assert sorted(got["n_chars"]) == [0, 0, 0, len(LONG.strip()), 10 * 20_000 - 1]
+    assert extract_main_text(df.where("false")).count() == 0
+
+
 def rated(spark):
     rng = np.random.default_rng(1)
     words = [f"word{i}" for i in range(200)]
@@ -235,6 +332,30 @@ def rated(spark):
     return spark.createDataFrame(data, "doc_id long, text string, quality int, toxic int")
 
 
+def test_slopes_of_the_link():
+    theta = np.array([-0.4, 0.9])
+    for y in (0, 1, 2):
+        for x in (-1.5, 0.2, 2.0):
+            loss = lambda x, t: -np.log(link_slopes(y, x, t)[0])
+            p, by_x, upper, lower = link_slopes(y, x, theta)
+            assert by_x == pytest.approx((loss(x + 1e-6, theta) - loss(x - 1e-6, theta)) / 2e-6, abs=1e-5)
+            for j, slope in ((y, upper), (y - 1, lower)):
+                if 0 <= j < 2:
+                    step = np.eye(2)[j] * 1e-6
+                    assert slope == pytest.approx((loss(x, theta + step) - loss(x, theta - step)) / 2e-6, abs=1e-5)
+    assert sum(link_slopes(y, 0.3, theta)[0] for y in (0, 1, 2)) == pytest.approx(1)
+
+
+def test_quality_of_repeated_and_clashing_rows(spark):
+    df = rated(spark)
+    labels = df.select("doc_id", "quality", "toxic")
+    twice = labels.unionByName(labels.withColumn("toxic", F.lit(1)))  # the lowest grade counts
+    assert not fit_quality(df, twice, document_grade()).weights.any()
+    model = fit_quality(df, labels, document_grade())
+    out = score_quality(df.withColumn("tail_prob", F.lit("mine")), model)
+    assert dict(out.dtypes)["tail_prob"] == "double" and score_quality(df.where("false"), model).count() == 0
+
+
 def test_quality_on_held_out_rows(spark):
     df = rated(spark)
     model = fit_quality(df, df.where("doc_id < 400").select("doc_id", "quality", "toxic"), document_grade())

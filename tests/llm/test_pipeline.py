@@ -24,3 +24,62 @@ def test_stages_keep_their_contract(spark):
     assert packed.groupby("sequence_id")["length"].sum().max() <= 2048
     assert packed["length"].sum() == mixed.join(P.packing(spark, P.materialize(mixed, "t"), d).groupBy("doc_id").agg(F.max("doc_tokens").alias("k")), "doc_id").agg(F.sum("k")).first()[0]
     assert np.isfinite(packed["offset"]).all()
+
+
+def plain_groups(texts, n, t):
+    """Smallest index of every text's component, by comparing all pairs of word n-gram sets."""
+    sets = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        words = [w.decode(errors="replace") for w in words]
+        sets.append({tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set())
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and t[1] * len(sets[i] & sets[j]) >= t[0] * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_duplicates_keep_one_of_each_group_and_no_less(spark):
+    """Brute force both ways: what goes has a kept partner in its group, and every group keeps one."""
+    rng = np.random.default_rng(1)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = [None, "", "one", "one", "two words"]
+    for size in (4, 12, 60, 60, 400):
+        base = rng.choice(vocab, size).tolist()
+        for edits in (0, 0, 1, 2, size // 30, size // 8, size // 2):
+            copy = list(base)
+            for at in rng.integers(0, size, edits):
+                copy[at] = str(rng.choice(vocab))
+            texts.append(" ".join(copy))
+    texts.append("long " * 30_000)
+    rows = [(7 if i % 4 == 0 else i, t, "x", None, i, i) for i, t in enumerate(texts)]  # repeated ids, clashing names
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row int, doc int")
+    kept = P.near_duplicates(spark, P.materialize(docs, "t"), "")
+    assert kept.columns == docs.columns
+    got = sorted(r["row"] for r in kept.collect())
+    groups = plain_groups(texts, 5, (8, 10))
+    by_group = {}
+    for i, g in enumerate(groups):
+        by_group.setdefault(g, []).append(i)
+    assert len(got) == len(by_group) and sorted(groups[i] for i in got) == sorted(by_group)
+    assert P.near_duplicates(spark, docs.where("false"), "").count() == 0
+
+
+def test_stages_of_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows and clashing names pass through mix and packing."""
+    rows = [(None, None, None, 1), (1, "", "s", 2), (2, "a b c", "s", 3), (2, "a b c", "s", 3), (3, "w " * 20_000, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _m_row int")
+    mixed = P.mix(spark, docs, "")
+    assert mixed.columns == docs.columns and {r["_m_row"] for r in mixed.collect()} <= {3, 4}
+    packed = P.packing(spark, docs, "").toPandas()
+    assert packed["length"].sum() == packed.groupby(["doc_id", "doc_tokens"], dropna=False)["length"].sum().sum() and packed["length"].max() <= 2048
+    assert P.mix(spark, docs.where("false"), "").count() == 0 and P.packing(spark, docs.where("false"), "").count() == 0
