@@ -590,12 +590,12 @@ def a30_share_change(spark, d):
 
 
 @query("with " + B.INDICATORS + """, cov as (select indicator_id, year, count(value) n from indicators group by all), best as (select indicator_id, min(year) f, max(year) l from (select *, max(n) over (partition by indicator_id) m from cov) where n = m group by 1),
-x as (select i.indicator_id, i.region, round(max(case when year = f then value end), 7) first_value, round(max(case when year = l then value end), 7) last_value, count(value)::bigint n_observed from indicators i join best using (indicator_id) group by all)
-select *, round(last_value - first_value, 7) change from x""")
+x as (select i.indicator_id, i.region, round(max(case when year = f then value end), 4) first_value, round(max(case when year = l then value end), 4) last_value, count(value)::bigint n_observed from indicators i join best using (indicator_id) group by all)
+select *, round(last_value - first_value, 4) change from x""")
 def a31_region_summary(spark, d):
     long = B.indicators(spark, d).select("indicator_id", "region", "year", "value")
     dirs = B.indicators(spark, d).select("indicator_id", F.when(F.col("direction") == "positive", "higher").otherwise("lower").alias("direction")).distinct()
-    return rnd(A.indicator_region_summary(long, dirs).select("indicator_id", "region", "first_value", "last_value", "n_observed", "change").withColumns({"first_value": F.round("first_value", 7), "last_value": F.round("last_value", 7)}), 7, "change")
+    return rnd(A.indicator_region_summary(long, dirs).select("indicator_id", "region", "first_value", "last_value", "n_observed", "change").withColumns({"first_value": F.round("first_value", 4), "last_value": F.round("last_value", 4)}), 4, "change")
 
 
 @query("with " + B.SUBPANEL + """, t as (select region, year, sum(budget) total from subpanel group by all), l as (select *, ln(1 + total) x from t), z as (select *, (x - avg(x) over ()) / stddev_pop(x) over () z from l), s as (select *, (z - min(z) over ()) / (max(z) over () - min(z) over ()) * 100 score from z)
