@@ -36,7 +36,7 @@ BARE, SHAPE, START = 0.1, 8.0, 8.0
 #: Most bytes of a word that is not cut.
 PIECE = 40
 #: Words that a Python worker remembers, about.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 300_000
 #: A slot counts from this number of rated texts on.
 MIN_TEXTS = 12
 
