@@ -590,8 +590,8 @@ def a30_share_change(spark, d):
 
 
 @query("with " + B.INDICATORS + """, cov as (select indicator_id, year, count(value) n from indicators group by all), best as (select indicator_id, min(year) f, max(year) l from (select *, max(n) over (partition by indicator_id) m from cov) where n = m group by 1),
-x as (select i.indicator_id, i.region, round(max(case when year = f then value end), 4) first_value, round(max(case when year = l then value end), 4) last_value, count(value)::bigint n_observed from indicators i join best using (indicator_id) group by all)
-select *, round(last_value - first_value, 4) change from x""")
+x as (select i.indicator_id, i.region, max(case when year = f then value end) fv, max(case when year = l then value end) lv, count(value)::bigint n_observed from indicators i join best using (indicator_id) group by all)
+select indicator_id, region, round(fv, 4) first_value, round(lv, 4) last_value, n_observed, round(lv - fv, 4) change from x""")
 def a31_region_summary(spark, d):
     long = B.indicators(spark, d).select("indicator_id", "region", "year", "value")
     dirs = B.indicators(spark, d).select("indicator_id", F.when(F.col("direction") == "positive", "higher").otherwise("lower").alias("direction")).distinct()
