@@ -51,7 +51,7 @@ OVERLAP_CUTS = 8
 #: Hash seeds tried for sets with empty fragments.
 SEEDS = 4
 #: Sets of a block that are compared, and of one whose parities are; a cell holds two at most.
-BLOCK, WIDE = 1024, 2048
+BLOCK, WIDE = 1024, 512
 #: Parity bits worked on at once in a cell.
 STRIPE = 4096
 SALTS = 32
