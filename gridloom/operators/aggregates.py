@@ -11,6 +11,7 @@ from gridloom.functions import text as X
 from gridloom.functions.staging import materialize
 from gridloom.operators.checks import assert_group_sets, fail_if_any, grid
 from gridloom.operators.joins import fill_keys, join_checked, join_null_safe
+from gridloom.operators.quantiles import beside, exact_quantiles
 from gridloom.operators.rows import collapse_consistent
 from gridloom.operators.windows import minmax, rank_min, zscore
 
@@ -168,9 +169,9 @@ def cluster_trend(df: DataFrame, categories: int, cluster: str = "cluster", valu
 
 
 def distribution_summary(df: DataFrame, keys: Sequence[str], value: str = "value", outlier: str | None = None) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*keys).agg(q.alias("_q"), F.count_if(F.col(value).isNull()).alias("n_missing"), (F.count_if(F.col(outlier)) if outlier else F.lit(0).cast("long")).alias("n_outliers"))
-    return out.withColumns({n: F.col("_q")[i] for i, n in enumerate(("q1", "median", "q3"))}).drop("_q")
+    """Quartiles per group with the numbers of missing values and outliers."""
+    out = df.groupBy(*keys).agg(F.count_if(F.col(value).isNull()).alias("n_missing"), (F.count_if(F.col(outlier)) if outlier else F.lit(0).cast("long")).alias("n_outliers"))
+    return beside(out, exact_quantiles(df, value, [0.25, 0.5, 0.75], keys), keys).withColumns({n: F.col("_q")[i] for i, n in enumerate(("q1", "median", "q3"))}).drop("_q")
 
 
 def standard_median(summary: DataFrame, part: Sequence[str]) -> DataFrame:

@@ -179,11 +179,32 @@ def anchored_match(left: DataFrame, right: DataFrame, value: str, order: str = "
     return unique.withColumn("how", F.lit("unique")).unionByName(found.select(part, "l_row", "r_row", F.lit("anchored").alias("how")))
 
 
+#: Letters of a gram; shorter aliases are grams themselves.
+GRAM = 3
+
+
 def containment_matches(df: DataFrame, col: str, aliases: DataFrame, truth: str = "region") -> DataFrame:
-    """Every (row, alias region) where the text holds the alias, marked false when it is not the true region."""
-    a = aliases.select("alias", F.col("region").alias("alias_region"))
-    hits = df.join(a, F.expr(f"contains({col}, alias)"))
-    return hits.withColumn("false_match", ~F.col("alias_region").eqNullSafe(F.col(truth)))
+    """Every (row, alias region) where the text holds the alias, marked false when it is not the true region.
+
+    Each alias waits at the rarest of its grams, by the number of distinct texts that hold it; a text meets the aliases that wait
+    at one of its own grams, once each, and is then searched for them.  Grams that no alias has are dropped
+    where the texts are read.  An empty alias is in every text and meets them in parts dealt by the text.
+    """
+    texts = df.select(F.col(col).alias("_text")).where("_text is not null").distinct()
+    a = aliases.select("alias", F.col("region").alias("alias_region")).where("alias is not null")
+    size = F.least(F.length("_s"), F.lit(GRAM))
+    cut = lambda s, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n)))
+    names = a.select(F.col("alias").alias("_s")).distinct().where("_s <> ''")
+    wanted = names.select("_s", F.explode(cut(F.col("_s"), size)).alias("_gram"))
+    lengths = [F.when(F.length("_text") >= n, cut(F.col("_text"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)]
+    grams = texts.select("_text", F.explode(F.flatten(F.array(*lengths))).alias("_gram")).join(wanted.select("_gram").distinct(), "_gram", "left_semi")
+    df_of = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
+    at = wanted.join(df_of, "_gram").groupBy("_s").agg(F.min_by("_gram", F.struct("_df", "_gram")).alias("_gram"))
+    found = grams.join(at, "_gram").where(F.expr("contains(_text, _s)")).select("_text", F.col("_s").alias("alias"))
+    blank = a.where("alias = ''").select("alias").distinct().withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))))
+    found = found.unionByName(texts.withColumn("_part", F.pmod(F.xxhash64("_text"), F.lit(32))).join(blank, "_part").select("_text", "alias"))
+    hits = df.join(found, F.col(col) == F.col("_text")).drop("_text").join(a, "alias")
+    return hits.select(*df.columns, "alias", "alias_region").withColumn("false_match", ~F.col("alias_region").eqNullSafe(F.col(truth)))
 
 
 #: Up to this length a name may share no pair of letters with one that reaches the threshold of LEAST_SHARE.

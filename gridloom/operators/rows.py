@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import patterns as P
 from gridloom.functions import text as X
+from gridloom.functions.staging import materialize
 from gridloom.operators.checks import CheckFailed, assert_unique, fail_if_any, require_columns
-from gridloom.operators.ranges import ranged
+from gridloom.operators.ranges import carry_forward, ranged
 
 
 def parse_numeric_strict(df: DataFrame, col: str, allowed: Sequence[str] = ("",)) -> DataFrame:
@@ -21,20 +22,58 @@ def parse_numeric_strict(df: DataFrame, col: str, allowed: Sequence[str] = ("",)
     return df.withColumn(col, F.when(~text.isin(*allowed), number))
 
 
+#: Copies of a rule that fixes no field, so that the rows it meets are dealt over as many tasks.
+SPREAD = 32
+
+
 def apply_row_type_rules(df: DataFrame, rules: DataFrame, row_type: str = "row_type") -> DataFrame:
     """Reclassify by rules (priority, year, region, row_lo, row_hi, name, regex, new_type); the last rule that fits wins.
 
-    Null fields of a rule match anything.  The rule table is small and broadcast when Spark finds it so.
+    Null fields of a rule match anything.  Rules are dispatched by the fields that they fix: each such class is
+    an equi-join on these fields.  A rule with a range of rows also lies in one or two buckets of 2**level rows, the
+    smallest that are as wide as the range, and joins by bucket.  Regular expressions are tested on the rows left; a
+    rule that fixes nothing else is tested once per distinct name.
     """
     r = rules.select(*[F.col(c).alias(f"_{c}") for c in ("priority", "year", "region", "row_lo", "row_hi", "name", "regex", "new_type")])
-    free = lambda c, test: F.col(c).isNull() | test
-    fits = (
-        free("_year", F.col("year") == F.col("_year")) & free("_region", F.col("region") == F.col("_region")) & free("_row_lo", F.col("src_row") >= F.col("_row_lo"))
-        & free("_row_hi", F.col("src_row") <= F.col("_row_hi")) & free("_name", F.trim("item_name") == F.col("_name")) & free("_regex", F.expr("item_name rlike _regex"))
-    )
+    ends = F.coalesce("_row_lo", "_row_hi").isNotNull()
+    # An open end reaches as far as the rows do.
+    span = df.agg(F.min("src_row").alias("_least"), F.max("src_row").alias("_most"))
+    r = r.crossJoin(span).withColumns({"_lo": F.when(ends, F.coalesce("_row_lo", "_least")), "_hi": F.when(ends, F.coalesce("_row_hi", "_most"))}).where("_lo is null or _lo <= _hi")
+    level = F.when(F.col("_lo").isNotNull(), F.length(F.bin(F.col("_hi") - F.col("_lo"))))
+    r = r.withColumn("_level", level).withColumn("_fixes", F.concat(*[F.when(F.col(f"_{c}").isNull(), "-").otherwise(c[0]) for c in ("year", "region", "name")], F.when(F.col("_lo").isNull(), "-").otherwise("b")))
+    r = materialize(r.drop("_least", "_most"), "row-rules")
     keys = ["region", "year", "src_row"]
-    hits = df.select(*keys, "item_name").join(r, fits).groupBy(*keys).agg(F.max_by("_new_type", "_priority").alias("_new"))
-    return df.join(hits, keys, "left").withColumn(row_type, F.coalesce("_new", row_type)).drop("_new")
+    named = df.select(*keys, "item_name", F.trim("item_name").alias("_trimmed"))
+    on = {"y": ("year", "_year"), "r": ("region", "_region"), "n": ("_trimmed", "_name"), "b": ("_bucket", "_bucket")}
+    hits = None
+    # At most 16 classes, each with its own levels.
+    for kind in r.groupBy("_fixes").agg(F.collect_set("_level").alias("levels")).orderBy("_fixes").collect():
+        held, rows, fixed = r.where(F.col("_fixes") == kind["_fixes"]), named, [c for c in kind["_fixes"] if c != "-"]
+        if "b" in fixed:
+            at = lambda x, k: F.struct(k.alias("level"), F.floor(x / F.pow(F.lit(2.0), k)).cast("long").alias("at"))
+            levels = F.array(*[F.lit(x) for x in sorted(kind["levels"])])
+            rows = rows.withColumn("_bucket", F.explode(F.transform(levels, lambda k: at(F.col("src_row"), k))))
+            held = held.withColumn("_bucket", F.explode(F.array_distinct(F.array(at(F.col("_lo"), F.col("_level")), at(F.col("_hi"), F.col("_level"))))))
+        elif not fixed:  # nothing to join by: names against the rules, dealt over SPREAD parts
+            rows = named.select("item_name").distinct().withColumn("_part", F.pmod(F.xxhash64("item_name"), F.lit(SPREAD)))
+            held = held.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+        pairs = [on[c] for c in fixed] or [("_part", "_part")]
+        held = held.withColumnsRenamed({b: f"{b}_rule" for a, b in pairs if a == b})
+        cond = None
+        for a, b in pairs:
+            test = F.col(a) == F.col(f"{b}_rule" if a == b else b)
+            cond = test if cond is None else cond & test
+        left = (F.col("_regex").isNull() | F.expr("item_name rlike _regex")) & (F.col("_lo").isNull() | F.col("src_row").between(F.col("_lo"), F.col("_hi")) if "b" in fixed else F.lit(True))
+        found = rows.join(held, cond).where(left)
+        if not fixed:
+            by_name = found.groupBy(F.col("item_name").alias("_of")).agg(F.max_by("_new_type", "_priority").alias("_new_type"), F.max("_priority").alias("_priority"))
+            found = named.join(by_name, F.col("item_name").eqNullSafe(F.col("_of")))
+        found = found.select(*keys, "_priority", "_new_type")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return df
+    best = hits.groupBy(*keys).agg(F.max_by("_new_type", "_priority").alias("_new"))
+    return df.join(best, keys, "left").withColumn(row_type, F.coalesce("_new", row_type)).drop("_new")
 
 
 def backfill_heading(df: DataFrame, pattern: str = P.MEDIUM_WITH_TYPE, major: str = "major_head", medium: str = "medium_head") -> DataFrame:
@@ -46,8 +85,7 @@ def backfill_heading(df: DataFrame, pattern: str = P.MEDIUM_WITH_TYPE, major: st
 
 def forward_fill(df: DataFrame, part: Sequence[str], order: str, cols: Sequence[str]) -> DataFrame:
     """Last non-null value so far, in source order (W8)."""
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    return carry_forward(df, part, order, cols)
 
 
 def assign_headings(df: DataFrame, part: Sequence[str], order: str = "src_row", name: str = "item_name", row_type: str = "row_type") -> DataFrame:
@@ -59,12 +97,12 @@ def assign_headings(df: DataFrame, part: Sequence[str], order: str = "src_row",
 def realign_headings(df: DataFrame, region: str = "region", order: str = "src_row", name: str = "item_name", pattern: str = P.BRACKET_MARK, suffix: str = "사업") -> DataFrame:
     """In regions with bracket markers: the major heading becomes the medium one, the marker the major one."""
     mark = F.when(F.col(name).rlike(pattern), F.concat(X.compact(F.regexp_extract(name, pattern, 1)), F.lit(suffix)))
-    by_region = Window.partitionBy(region)
-    out = df.withColumn("_mark", mark).withColumn("_has", F.max(F.col("_mark").isNotNull()).over(by_region))
-    filled = F.last("_mark", ignorenulls=True).over(by_region.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn("_new", filled)
-    new_medium, new_major = F.when(F.col("_has"), F.col("major_head")).otherwise(F.col("medium_head")), F.when(F.col("_has"), F.col("_new")).otherwise(F.col("major_head"))
-    return out.withColumns({"medium_head": new_medium, "major_head": new_major}).drop("_mark", "_has", "_new")
+    out = carry_forward(df.withColumn("_mark", mark), [region], order, ["_mark"])
+    # Regions that hold a marker, a row each.
+    has = df.where(mark.isNotNull()).select(F.col(region).alias("_in")).distinct().withColumn("_has", F.lit(True))
+    out = out.join(has, F.col(region).eqNullSafe(F.col("_in")), "left").withColumn("_has", F.coalesce("_has", F.lit(False)))
+    new_medium, new_major = F.when(F.col("_has"), F.col("major_head")).otherwise(F.col("medium_head")), F.when(F.col("_has"), F.col("_mark")).otherwise(F.col("major_head"))
+    return out.withColumns({"medium_head": new_medium, "major_head": new_major}).drop("_mark", "_has", "_in")
 
 
 def normalize_keys(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.staging import materialize
 from gridloom.operators.checks import CheckFailed, assert_contiguous, fail_if_any
+from gridloom.operators.quantiles import beside, exact_quantiles
 from gridloom.operators.rows import forward_fill  # noqa: F401  (W8)
 
 
@@ -88,16 +89,18 @@ def two_way_demean(df: DataFrame, region: str, year: str, cols: Sequence[str], c
         c = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(region, year)).alias("k"), F.count_distinct(region).alias("r"), F.count_distinct(year).alias("y"), *[F.count(x).alias(f"n_{x}") for x in cols]).first()
         if not c["n"] == c["k"] == c["r"] * c["y"] or any(c[f"n_{x}"] != c["n"] for x in cols):
             raise CheckFailed("the panel is not balanced")
-    out = df.crossJoin(df.agg(*[F.avg(c).alias(f"_g_{c}") for c in cols]))
-    by_r, by_y = Window.partitionBy(region), Window.partitionBy(year)
-    out = out.withColumns({f"{c}_resid": F.col(c) - F.avg(c).over(by_r) - F.avg(c).over(by_y) + F.col(f"_g_{c}") for c in cols})
-    return out.drop(*[f"_g_{c}" for c in cols])
+    # Means are aggregates joined back: no task holds the rows of a year or a region.
+    out, names = df, []
+    for side, keys in (("g", []), ("r", [region]), ("y", [year])):
+        out = beside(out, df.groupBy(*keys).agg(*[F.avg(c).alias(f"_{side}_{c}") for c in cols]), keys)
+        names += [f"_{side}_{c}" for c in cols]
+    out = out.withColumns({f"{c}_resid": F.col(c) - F.col(f"_r_{c}") - F.col(f"_y_{c}") + F.col(f"_g_{c}") for c in cols})
+    return out.drop(*names)
 
 
 def iqr_flag(df: DataFrame, keys: Sequence[str], col: str, factor: float = 1.5, out: str = "outlier") -> DataFrame:
-    q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.75)))
-    stats = df.groupBy(*keys).agg(q.alias("_q")) if keys else df.agg(q.alias("_q"))
-    joined = df.join(stats, list(keys)) if keys else df.crossJoin(stats)
+    """Values beyond ``factor`` interquartile ranges outside the quartiles of their group."""
+    joined = beside(df, exact_quantiles(df, col, [0.25, 0.75], keys), keys)
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     return joined.withColumn(out, F.coalesce((F.col(col) < lo - factor * (hi - lo)) | (F.col(col) > hi + factor * (hi - lo)), F.lit(False))).drop("_q")
 
@@ -105,12 +108,12 @@ def iqr_flag(df: DataFrame, keys: Sequence[str], col: str, factor: float = 1.5,
 def qcut(df: DataFrame, col: str, labels: Sequence[str], out: str = "bin") -> DataFrame:
     """Bins by linear quantile edges, closed on the right, the first also on the left."""
     q = len(labels)
-    edges = df.agg(F.percentile(col, F.array(*[F.lit(i / q) for i in range(q + 1)])).alias("_e"))
-    x, e = F.col(col), F.col("_e")
+    edges = exact_quantiles(df, col, [i / q for i in range(q + 1)])
+    x, e = F.col(col), F.col("_q")
     bin_ = F.when(x.isNull(), F.lit(None).cast("string"))
     for i, label in enumerate(labels):
         bin_ = bin_.when(x <= e[i + 1], label)
-    return df.crossJoin(edges).withColumn(out, bin_).drop("_e")
+    return beside(df, edges, []).withColumn(out, bin_).drop("_q")
 
 
 def time_features(df: DataFrame, part: Sequence[str], ts: str, target: str, lag_ks: Sequence[int] = (1, 7), windows: Sequence[int] = (7,)) -> DataFrame:
