@@ -796,7 +796,17 @@ raw as (select tf.*, tf.tf * (ln((1 + (select count(*) from n)) / (1 + df)::doub
 select a.t a, b.t b, round(sum(a.wt * b.wt), 5) cosine from w a join w b on a.term = b.term and a.t < b.t group by all having sum(a.wt * b.wt) >= 0.6""")
 def t03_cosine_pairs(spark, d):
     names = B.read(spark, d, "part").select(F.col("p_name").alias("doc_id")).distinct()
-    return rnd(T.cosine_pairs(T.tfidf(names, "doc_id", T.word_tokens(F.col("doc_id"))), 0.6), 5)
+    return rnd(T.cosine_pairs(T.tfidf(names, "doc_id", T.word_tokens(F.col("doc_id")), normed=False), 0.6), 5)
+
+
+@query(r"""with s as (select distinct trim(x) t from (select unnest(regexp_split_to_array(text, '[.,\n] ?')) x from documents) where length(trim(x)) between 12 and 40),
+p as (select t, ' ' || unnest(list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '')) || ' ' p from s), tok as (select t, unnest(case when length(p) <= 3 then [p] else list_transform(range(1, length(p) - 1), lambda i: substr(p, i::int, 3)) end) term from p),
+tf as (select t, term, count(*) tf from tok group by all), dfs as (select term, count(*) df from tf group by 1), raw as (select tf.*, tf.tf * (ln((1 + (select count(*) from s)) / (1 + df)::double) + 1) raw from tf join dfs using (term)),
+w as (select *, raw / sqrt(sum(raw * raw) over (partition by t)) wt from raw) select a.t a, b.t b, round(sum(a.wt * b.wt), 5) cosine from w a join w b on a.term = b.term and a.t < b.t group by all having sum(a.wt * b.wt) >= 0.5""")
+def t03_sentence_pairs(spark, d):
+    cut = B.read(spark, d, "documents").select(F.explode(F.split("text", r"[.,\n] ?")).alias("x")).select(F.trim("x").alias("doc_id"))
+    names = cut.where("length(doc_id) between 12 and 40").distinct()
+    return rnd(T.cosine_pairs(T.tfidf(names, "doc_id", T.char_ngrams(F.col("doc_id"), 3, 3), normed=False), 0.5), 5)
 
 
 @query()

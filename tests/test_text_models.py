@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,24 @@ def test_incremental_batches_and_stream(spark, tmp_path):
         E.stream_refine(spark.readStream.schema(df.schema).parquet(src), state, f"file://{tmp_path}/cp", lambda s: s, ["id"], "text").awaitTermination()
     got = E.latest_state(spark.read.parquet(state), ["id"])
     assert got.count() == 3 and got.where("status = 'success'").count() == 2
+
+
+@pytest.mark.parametrize("t,hot", [(0.3, 2000), (0.6, 3), (0.95, 1)])
+def test_cosine_pairs_equal_all_dot_products(spark, monkeypatch, t, hot):
+    monkeypatch.setattr(T, "HOT", hot)
+    monkeypatch.setattr(T, "MERGED", 50)
+    rng = np.random.default_rng(int(t * 100))
+    words = [f"w{i}" for i in range(60)]
+    share = 1 / np.arange(1, 61)
+    texts = [" ".join(rng.choice(words, size=int(rng.integers(1, 12)), p=share / share.sum())) for _ in range(220)] + ["w0 w1"] * 9 + ["", "alone"]
+    df = spark.createDataFrame([(f"d{i}", x) for i, x in enumerate(texts)], "id string, t string")
+    normed = T.tfidf(df, "id", T.word_tokens(F.col("t")))
+    dense = np.zeros((len(texts), len(words) + 1))
+    place = {w: i for i, w in enumerate([*words, "alone"])}
+    for r in normed.collect():
+        dense[int(r["doc_id"][1:]), place[r["term"]]] = r["weight"]
+    dots = dense @ dense.T
+    want = {tuple(sorted((f"d{i}", f"d{j}"))): dots[i, j] for i in range(len(texts)) for j in range(i) if dots[i, j] >= t}
+    for w in (normed, T.tfidf(df, "id", T.word_tokens(F.col("t")), normed=False)):
+        got = {(r["a"], r["b"]): r["cosine"] for r in T.cosine_pairs(w, t).collect()}
+        assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want)
