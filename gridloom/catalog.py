@@ -403,7 +403,13 @@ def j14_containment(spark, d):
     return J.containment_matches(p, "p_name", alias, "tail").select("p_partkey", F.col("alias").alias("a"), "false_match")
 
 
-@query()
+@query("""with recursive p as (select p_type, p_partkey, regexp_replace(p_name || ' ' || p_brand, '[\\s,./\\-()]', '', 'g') k from part), u as (select distinct p_type, k from p),
+c as (select a.p_type, a.k k1, b.k k2 from u a join u b on a.p_type = b.p_type and a.k < b.k where levenshtein(a.k, b.k) <= floor((length(a.k) + length(b.k)) * 0.06 + 1e-9)),
+r as (select p_type, k1, k2, 0 i, list_transform(range(0, length(k2) + 1), lambda j: 0) m from c
+      union all select p_type, k1, k2, i + 1, [0] || list_transform(range(1, length(k2) + 1), lambda j: list_max(g[1:j])) from
+      (select *, list_transform(range(1, length(k2) + 1), lambda j: greatest(m[j + 1], case when substr(k1, i + 1, 1) = substr(k2, j::int, 1) then m[j] + 1 else 0 end)) g from r where i < length(k1))),
+s as (select p_type, k1, k2, 200.0::double * m[-1] / (length(k1) + length(k2)) similarity from r where i = length(k1) and 200.0::double * m[-1] / (length(k1) + length(k2)) >= 94)
+select p_type, count(*) n, min(similarity) least from s join p x using (p_type) join p y using (p_type) where x.k = s.k1 and y.k = s.k2 group by 1""")
 def j15_near_duplicates(spark, d):
     p = B.read(spark, d, "part").select("p_type", "p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("name"))
     out = J.near_duplicates(p, ["p_type"], "name", "p_partkey", 94)

@@ -239,17 +239,20 @@ def matching_block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """100 * 2 * (longest common subsequence) / (both lengths)."""
-    import numpy as np
+    """100 * 2 * (longest common subsequence) / (both lengths), by bit-parallel rows."""
 
     def ratio(x: str, y: str) -> float:
         if not x and not y:
             return 100.0
-        row = np.zeros(len(y) + 1, dtype=np.int64)
-        codes = np.array([ord(c) for c in y], dtype=np.int64)
-        for c in x:
-            grown = np.maximum(row[1:], row[:-1] + (codes == ord(c)))
-            row[1:] = np.maximum.accumulate(grown)
-        return 200.0 * int(row[-1]) / (len(x) + len(y))
+        places: dict[str, int] = {}
+        for k, c in enumerate(x):
+            places[c] = places.get(c, 0) | 1 << k
+        # A zero bit says that the common subsequence grows at this place of x.
+        whole = (1 << len(x)) - 1
+        row = whole
+        for c in y:
+            hit = row & places.get(c, 0)
+            row = ((row + hit) | (row - hit)) & whole
+        return 200.0 * (len(x) - row.bit_count()) / (len(x) + len(y))
 
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])

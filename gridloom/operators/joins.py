@@ -211,13 +211,12 @@ def containment_matches(df: DataFrame, col: str, aliases: DataFrame, truth: str
 SHORT, LEAST_SHARE = 8, 80
 
 
-def _name_keys(key: Column, threshold: float) -> Column:
-    """Keys of which two names that reach the threshold share one.
+def _gram_keys(key: Column, threshold: float) -> Column:
+    """Keys of which two names that reach the threshold share one, if the longer has more than SHORT letters.
 
     Such names of lengths a, b are at most d = (a + b) (1 - threshold) letters inserted or dropped apart, and
     each of these touches two pairs of neighbouring letters.  So of the pairs of the longer one all but 2 d are
-    in the other name, and in any common order of the pairs the first 2 d + 1 of both meet.  Short names, for
-    which that says nothing, meet in a key of their own.
+    in the other name, and in any common order of the pairs the first 2 d + 1 of both meet.
     """
     size = F.length(key)
     grams = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(key, i, F.lit(2)))
@@ -226,30 +225,64 @@ def _name_keys(key: Column, threshold: float) -> Column:
     longest = size * (200 - threshold) / threshold
     most = F.floor((size + longest) * (100 - threshold) / 100)
     first = F.slice(F.array_sort(F.transform(numbered, lambda g: F.struct(F.xxhash64(g).alias("o"), g.alias("g")))), F.lit(1), (2 * most + 1).cast("int"))
-    keys = F.when(size > 1, F.transform(first, lambda x: x["g"])).otherwise(F.array().cast("array<string>"))
-    return F.when(size <= SHORT, F.array_append(keys, F.lit("short"))).otherwise(keys)
+    return F.when(size > 1, F.transform(first, lambda x: x["g"])).otherwise(F.array().cast("array<string>"))
+
+
+def _apart(a: Column, b: Column, threshold: float) -> Column:
+    """Most letters that names of these lengths may be inserted or dropped apart."""
+    return F.floor((a + b) * (100 - threshold) / 100 + 1e-9).cast("int")
+
+
+def _segment_keys(names: DataFrame, on: Sequence[str], threshold: float, limit: int | None) -> DataFrame:
+    """``(on, _k, _side, _key)``: names of two sides that reach the threshold share a key (longer one up to ``limit`` letters).
+
+    The longer name is cut into one segment more than there may be edits, as even as can be.  Going from the
+    left there is a first segment i whose cut-off part holds just i - 1 edits and that has none itself, so it stands in
+    the shorter name, moved by at most i - 1 places, by a number of the parity of i - 1, and with what is left of
+    the edits sufficing for the rest.  Each side is dealt by length, segment number and letters.
+    """
+    size = F.length("_k")
+    held = names.where(size <= limit) if limit else names
+    pieces = _apart(F.col("_long"), F.col("_long"), threshold) + 1
+    start = (F.col("_i") - 1) * F.floor(F.col("_long") / F.col("_n")) + F.greatest(F.lit(0), F.col("_i") - 1 - (F.col("_n") - F.pmod("_long", "_n")))
+    width = F.floor(F.col("_long") / F.col("_n")) + (F.col("_i") > F.col("_n") - F.pmod("_long", "_n")).cast("int")
+    key = lambda at: F.concat_ws("/", F.col("_long").cast("string"), F.col("_i").cast("string"), F.substring("_k", (at + 1).cast("int"), F.col("_w").cast("int")))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_n", pieces.cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+        return rows.withColumn("_at", start).withColumn("_w", width)
+
+    own = cut(held.withColumn("_long", size)).select(*on, "_k", F.lit("long").alias("_side"), key(F.col("_at")).alias("_key"))
+    longest = F.floor(size * (200 - threshold) / threshold + 1e-9).cast("int")
+    other = cut(held.withColumn("_long", F.explode(F.sequence(size, F.least(longest, F.lit(limit)) if limit else longest))))
+    edits, more = _apart(F.col("_long"), size, threshold), F.col("_long") - size
+    moves = F.filter(F.sequence(1 - F.col("_i"), F.col("_i") - 1, F.lit(2)), lambda m: F.abs(more + m) <= edits - (F.col("_i") - 1))
+    moves = F.when(F.col("_i") == 1, F.when(more <= edits, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))).otherwise(moves)
+    other = other.withColumn("_move", F.explode(moves)).where((F.col("_at") + F.col("_move") >= 0) & (F.col("_at") + F.col("_move") + F.col("_w") <= size))
+    return own.unionByName(other.select(*on, "_k", F.lit("short").alias("_side"), key(F.col("_at") + F.col("_move")).alias("_key")).distinct())
 
 
 def near_duplicates(df: DataFrame, part: Sequence[str], name: str, row_id: str, threshold: float = 90) -> DataFrame:
-    """Pairs within a block whose names differ after normalising and whose Indel ratio reaches the threshold.
+    """Pairs within a block whose names differ after normalising and whose Indel ratio reaches the threshold (above 50).
 
-    Names are compared once per distinct spelling and only where they share a key (below a threshold of
-    LEAST_SHARE, with all names of the block); a length gap and the Levenshtein distance (never above the
-    Indel distance) drop pairs before the exact ratio.
+    Names are compared once per distinct spelling and only where they share a key: a pair of letters among those that
+    cannot all differ, or, for names of up to SHORT letters and for all below a threshold of LEAST_SHARE, a segment.  A length gap
+    and the Levenshtein distance (never above the Indel distance) drop pairs before the exact ratio.
     """
+    if threshold <= 50:
+        raise ValueError("the threshold must be above 50")
     key = X.match_key(F.col(name))
     rows = df.select(*part, F.col(row_id), F.col(name), key.alias("_k"))
     names = rows.select(*part, "_k").where("_k <> ''").distinct()
+    met = _segment_keys(names, part, threshold, SHORT if threshold >= LEAST_SHARE else None)
+    side = lambda s, k: met.where(F.col("_side") == s).select(*part, "_key", F.col("_k").alias(k))
+    both = side("long", "_a").join(side("short", "_b"), [*part, "_key"]).where("_a <> _b").select(*part, F.least("_a", "_b").alias("k1"), F.greatest("_a", "_b").alias("k2"))
     if threshold >= LEAST_SHARE:
-        names = names.withColumn("_key", F.explode(_name_keys(F.col("_k"), threshold)))
-        on = [*part, "_key"]
-    else:
-        on = list(part)
-    a, b = names.withColumnRenamed("_k", "k1"), names.withColumnRenamed("_k", "k2")
-    total = F.length("k1") + F.length("k2")
-    most = F.floor(total * (100 - threshold) / 100).cast("int")
-    both = a.join(b, on).where((F.col("k1") < F.col("k2")) & (F.abs(F.length("k1") - F.length("k2")) <= most)).select(*part, "k1", "k2").distinct()
-    both = both.where(F.levenshtein("k1", "k2") <= most)
+        grams = names.withColumn("_key", F.explode(_gram_keys(F.col("_k"), threshold)))
+        a, b = grams.withColumnRenamed("_k", "k1"), grams.withColumnRenamed("_k", "k2")
+        both = both.unionByName(a.join(b, [*part, "_key"]).where("k1 < k2").select(*part, "k1", "k2"))
+    most = _apart(F.length("k1"), F.length("k2"), threshold)
+    both = both.where(F.abs(F.length("k1") - F.length("k2")) <= most).distinct().where(F.levenshtein("k1", "k2") <= most)
     both = both.withColumn("similarity", X.indel_ratio("k1", "k2")).where(F.col("similarity") >= threshold)
     left = rows.select(*part, F.col("_k").alias("k1"), F.col(row_id).alias("id1"), F.col(name).alias("name1"))
     right = rows.select(*part, F.col("_k").alias("k2"), F.col(row_id).alias("id2"), F.col(name).alias("name2"))
