@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from gridloom.functions.staging import materialize
 from gridloom.operators.checks import CheckFailed, assert_unique, fail_if_any
+from gridloom.operators.graph import connected_components
+from gridloom.operators.quantiles import beside
 from gridloom.operators.ranges import running_total
-from gridloom.operators.windows import rank_min, two_way_demean, zscore
+from gridloom.operators.windows import absorb, rank_min, two_way_demean, zscore
 
 # ------------------------------------------------------------------ Student t
 
@@ -210,10 +213,14 @@ def residual_summary(df: DataFrame, y: str, yhat: str) -> DataFrame:
 # ------------------------------------------------------------------ two-way fixed effects
 
 
-def _prepared(df: DataFrame, y: str, xs: Sequence[str], region: str, year: str, by: Sequence[str]) -> tuple[DataFrame, list[str], list]:
+def _checked(df: DataFrame, y: str, xs: Sequence[str], region: str, year: str, by: Sequence[str]) -> None:
     cols = [region, year, y, *xs]
     fail_if_any(df.where(" or ".join(f"`{c}` is null" for c in cols)).select(*cols), "missing values")
     assert_unique(df, [*by, region, year], "panel")
+
+
+def _prepared(df: DataFrame, y: str, xs: Sequence[str], region: str, year: str, by: Sequence[str]) -> tuple[DataFrame, list[str], list]:
+    _checked(df, y, xs, region, year, by)
     years = [r[0] for r in df.select(year).distinct().orderBy(year).collect()]  # a short axis
     rows = df.select(*by, F.col(region).alias("_region"), F.col(year).alias("_year"), F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)])
     rows = rows.withColumns({f"_d{i}": (F.col("_year") == F.lit(v)).cast("double") for i, v in enumerate(years)})
@@ -250,7 +257,7 @@ def _solved(r: dict, a: np.ndarray, zy: np.ndarray, xs: Sequence[str]) -> dict:
 
 def _clustered(m: dict, s: np.ndarray) -> np.ndarray:
     """Covariance of a model from the summed outer products of its regions' scores."""
-    g, n, params = m["regions"], m["n"], m["regions"] + len(m["use"])
+    g, n, params = m["regions"], m["n"], m["regions"] + len(m["use"]) + m.get("effects", 0)
     return g / (g - 1) * (n - 1) / (n - params) * m["inv"] @ s[np.ix_(m["use"], m["use"])] @ m["inv"]
 
 
@@ -261,12 +268,66 @@ def _symmetric(pairs: Sequence[tuple[int, int]], values: Sequence[float], width:
     return out
 
 
+#: Years up to which their effects are dummy columns of one exact system; the effects of longer axes are absorbed.
+LONG_AXIS = 64
+
+
+def _absorbed_fe(df: DataFrame, y: str, xs: Sequence[str], region: str, year: str, by: Sequence[str]) -> dict[tuple, dict]:
+    """:func:`fit_fe` with both effects absorbed: only the systems of the regressors come to the driver."""
+    names = [f"_x{i}" for i in range(len(xs))]
+    rows = df.select(*by, F.col(region).alias("_region"), F.col(year).alias("_year"), F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(n) for x, n in zip(xs, names, strict=True)])
+    rows = materialize(rows, "panel")
+    # Sets of regions and years that no row connects leave one effect of each set undetermined.
+    model = F.to_json(F.struct(*[F.col(b).cast("string") for b in by])) if by else F.lit("")
+    ends = rows.select(F.concat(model, F.lit("\u0001r"), F.col("_region").cast("string")).alias("src"), F.concat(model, F.lit("\u0001y"), F.col("_year").cast("string")).alias("dst"), *by)
+    parts = connected_components(ends, "src", "dst")
+    sets = {_name(by, r): r["sets"] for r in ends.join(parts, ends["src"] == parts["node"]).groupBy(*by).agg(F.count_distinct("component").alias("sets")).collect()}
+    spread = {_name(by, r): r for r in beside(rows, rows.groupBy(*by, "_region").agg(*[F.avg(c).alias(f"_m{c}") for c in names]), [*by, "_region"]).groupBy(*by).agg(*[F.sum(F.pow(F.col(c) - F.col(f"_m{c}"), 2)).alias(c) for c in names]).collect()}
+    free = absorb(rows, ["_y", *names], ["_region", "_year"], by)
+    pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
+    gram = free.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("_region").alias("g"), F.count_distinct("_year").alias("t"),
+        F.array(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).alias("zz"), F.array(*[F.sum(F.col(c) * F.col("_y")) for c in names]).alias("zy"),
+    ).collect()
+    models = {}
+    for r in gram:
+        key, a = _name(by, r), _symmetric(pairs, r["zz"], len(xs))
+        m = {"n": r["n"], "regions": r["g"], "years": r["t"], "xs": list(xs), "why": None, "use": list(range(len(xs))), "effects": r["t"] - 1}
+        within = np.array([spread[key][c] for c in names])
+        scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+        if r["g"] < 2 or r["t"] < 2:
+            m["why"] = "fewer than two regions or years"
+        elif (within < 1e-12).any():
+            m["why"] = "no variation"
+        elif sets[key] > 1 or (np.diag(a) < 1e-9 * within).any() or np.linalg.matrix_rank(a / np.outer(scale, scale), tol=1e-9) < len(xs):
+            m["why"] = "rank deficient"
+        elif r["n"] - r["g"] - len(xs) - m["effects"] <= 0:
+            m["why"] = "no residual degrees of freedom"
+        else:
+            inv = np.linalg.inv(a)
+            m |= {"inv": inv, "beta": inv @ np.array(r["zy"]), "resid_df": int(r["n"] - r["g"] - len(xs) - m["effects"])}
+        models[key] = m
+    good = {key: m for key, m in models.items() if m["why"] is None}
+    if good:
+        kinds = ", ".join(f"`{b}` {dict(df.dtypes)[b]}" for b in by)
+        betas = df.sparkSession.createDataFrame([(*key, m["beta"].tolist()) for key, m in good.items()], (kinds + ", " if by else "") + "_beta array<double>")
+        e = F.col("_y") - sum((F.col(c) * F.col("_beta")[i] for i, c in list(enumerate(names))[1:]), F.col(names[0]) * F.col("_beta")[0])
+        scores = beside(free, betas, by).withColumn("_e", e).groupBy(*by, "_region").agg(*[F.sum(F.col(c) * F.col("_e")).alias(f"_s{i}") for i, c in enumerate(names)])
+        for r in scores.groupBy(*by).agg(F.array(*[F.sum(F.col(f"_s{i}") * F.col(f"_s{j}")) for i, j in pairs]).alias("ss")).collect():
+            good[_name(by, r)]["cov"] = _clustered(good[_name(by, r)], _symmetric(pairs, r["ss"], len(xs)))
+    return models
+
+
 def fit_fe(df: DataFrame, y: str, xs: Sequence[str], region: str = "region", year: str = "year", by: Sequence[str] = ()) -> dict[tuple, dict]:
     """Least squares with region and year effects and region-clustered covariance, one model per value of ``by``.
 
-    Region means are removed in a window; year dummies are carried as columns.  The Gram matrix comes from
-    one aggregation over all models, the cluster scores from a second; exact on unbalanced panels.
+    Up to LONG_AXIS years, region means are removed and year dummies are carried as columns: the Gram matrix comes from
+    one aggregation over all models, the cluster scores from a second; exact on unbalanced panels.  On longer axes both
+    effects are absorbed (:func:`absorb`), which gives the same model within TOLERANCE.
     """
+    if df.agg(F.count_distinct(year).alias("n")).first()["n"] > LONG_AXIS:
+        _checked(df, y, xs, region, year, by)
+        return _absorbed_fe(df, y, xs, region, year, by)
     rows, z, _ = _prepared(df, y, xs, region, year, by)
     pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
     gram = rows.groupBy(*by).agg(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.staging import materialize
+from gridloom.functions.staging import discard, materialize
 from gridloom.operators.checks import CheckFailed, assert_contiguous, fail_if_any
 from gridloom.operators.quantiles import beside, exact_quantiles
 from gridloom.operators.rows import forward_fill  # noqa: F401  (W8)
@@ -83,12 +83,45 @@ def share(df: DataFrame, keys: Sequence[str], col: str, out: str = "share", chec
     return df.withColumn(out, F.col(col) / F.nullif(total, F.lit(0.0)))
 
 
+#: Absorbing ends when no mean is above this share of a column's deviation, or raises after so many sweeps.
+TOLERANCE, SWEEPS = 1e-11, 2000
+
+
+def absorb(rows: DataFrame, cols: Sequence[str], sides: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``cols`` without what the effects of ``sides`` explain, by alternating projections.
+
+    Each sweep takes the means of the sides off in turn, as aggregates joined back, and writes the table, until the
+    means are within TOLERANCE.  A balanced panel takes one sweep, one with holes some more; the axes may be of any length.
+    """
+    dev = rows.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
+    scale = {c: dev[c] or 1.0 for c in cols}
+    held = None
+    for sweep in range(SWEEPS + 1):
+        # The last side has no means left after a sweep; when the first has none either, all is absorbed.
+        first = rows.groupBy(*by, sides[0]).agg(*[F.avg(c).alias(c) for c in cols]).agg(*[F.max(F.abs(c)).alias(c) for c in cols]).first()
+        if sweep and max((first[c] or 0.0) / scale[c] for c in cols) <= TOLERANCE:
+            return rows
+        for side in sides:
+            means = rows.groupBy(*by, side).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
+            rows = beside(rows, means, [*by, side]).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in cols}).drop(*[f"_m_{c}" for c in cols])
+        after = materialize(rows, "absorbed")
+        if held is not None:
+            discard(held)
+        rows = held = after
+    raise CheckFailed(f"the effects are not absorbed after {SWEEPS} sweeps")
+
+
 def two_way_demean(df: DataFrame, region: str, year: str, cols: Sequence[str], check: bool = True) -> DataFrame:
-    """x - region mean - year mean + grand mean, on a balanced panel without nulls."""
-    if check:
-        c = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(region, year)).alias("k"), F.count_distinct(region).alias("r"), F.count_distinct(year).alias("y"), *[F.count(x).alias(f"n_{x}") for x in cols]).first()
-        if not c["n"] == c["k"] == c["r"] * c["y"] or any(c[f"n_{x}"] != c["n"] for x in cols):
-            raise CheckFailed("the panel is not balanced")
+    """What region and year effects leave of x: x - region mean - year mean + grand mean on a balanced panel.
+
+    Without ``check`` a panel with holes is taken too, and its effects are absorbed by alternating projections.
+    """
+    if not check:
+        own = materialize(df.withColumns({f"{c}_resid": F.col(c).cast("double") for c in cols}), "panel")
+        return absorb(own, [f"{c}_resid" for c in cols], [region, year])
+    c = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(region, year)).alias("k"), F.count_distinct(region).alias("r"), F.count_distinct(year).alias("y"), *[F.count(x).alias(f"n_{x}") for x in cols]).first()
+    if not c["n"] == c["k"] == c["r"] * c["y"] or any(c[f"n_{x}"] != c["n"] for x in cols):
+        raise CheckFailed("the panel is not balanced")
     # Means are aggregates joined back: no task holds the rows of a year or a region.
     out, names = df, []
     for side, keys in (("g", []), ("r", [region]), ("y", [year])):

@@ -183,3 +183,46 @@ def test_components(spark):
     chain = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {r["component"] for r in connected_components(chain).collect()} == {0}
     assert connected_components(e.where("false")).count() == 0
+
+
+def test_long_axes_are_absorbed_as_a_dense_regression(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    regions, years = 6, 2000
+    data = []
+    for m in (0, 1):
+        held = rng.random((regions, years)) < (0.8 if m else 0.6)
+        for i, t in zip(*np.nonzero(held), strict=True):
+            x, w = rng.normal() + 0.01 * t * (i % 2), rng.normal()
+            data.append((m, f"r{i}", int(t), float(x), float(w), float((0.5 + m) * x - 0.2 * w + i + np.sin(t) + 0.3 * rng.normal())))
+    df = spark.createDataFrame(data, "model int, region string, year int, x double, w double, y double")
+    got = {r["model"]: r for r in S.two_way_fe(df, "y", "x", ["w"], by=["model"]).collect()}
+    for m in (0, 1):
+        rows = [r for r in data if r[0] == m]
+        g, t = np.array([int(r[1][1:]) for r in rows]), np.array([r[2] for r in rows])
+        seen = np.unique(t)
+        z = np.column_stack([[r[3] for r in rows], [r[4] for r in rows], np.eye(regions)[g], (t[:, None] == seen[None, 1:]).astype(float)])
+        y = np.array([r[5] for r in rows])
+        beta, *_ = np.linalg.lstsq(z, y, rcond=None)
+        e = y - z @ beta
+        bread = np.linalg.inv(z.T @ z)
+        meat = sum(np.outer(z[g == i].T @ e[g == i], z[g == i].T @ e[g == i]) for i in range(regions))
+        n, k = z.shape
+        cov = regions / (regions - 1) * (n - 1) / (n - k) * bread @ meat @ bread
+        assert got[m]["coef"] == pytest.approx(beta[0], rel=1e-8) and got[m]["se"] == pytest.approx(np.sqrt(cov[0, 0]), rel=1e-7)
+        assert got[m]["resid_df"] == n - k and got[m]["n_years"] == len(seen)
+
+
+def test_absorbing_gives_the_same_models_and_notes_as_dummies(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [("all", f"r{i}", t, float(rng.normal()), float(rng.normal())) for i in range(5) for t in range(8) if (i + t) % 5]
+    data += [("flat", f"r{i}", t, 1.0, float(rng.normal())) for i in range(3) for t in range(4)]
+    data += [("apart", f"r{i}", t + 10 * (i % 2), float(rng.normal()), float(rng.normal())) for i in range(4) for t in range(4)]
+    data += [("by year", f"r{i}", t, float(t), float(rng.normal())) for i in range(3) for t in range(4)] + [("one", "r", t, float(t), float(t)) for t in range(3)]
+    df = spark.createDataFrame(data, "m string, region string, year int, x double, y double")
+    want = {r["m"]: r for r in S.two_way_fe(df, "y", "x", by=["m"]).collect()}
+    monkeypatch.setattr(S, "LONG_AXIS", 0)
+    got = {r["m"]: r for r in S.two_way_fe(df, "y", "x", by=["m"]).collect()}
+    assert set(got) == set(want) and want["all"]["note"] is None and want["apart"]["note"] == "rank deficient"
+    for m in want:
+        for c in want[m].asDict():
+            assert got[m][c] == (pytest.approx(want[m][c], rel=1e-8) if isinstance(want[m][c], float) else want[m][c]), (m, c)

@@ -15,12 +15,12 @@ from gridloom.operators.rows import apply_row_type_rules, realign_headings
 
 def values():
     rng = random.Random(1)
-    out = {"heavy": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(900)], "ties": [float(rng.randint(0, 3)) for _ in range(800)], "one": [7.5], "two": [1.0, 2.0]}
-    out |= {"narrow": [1e15 + k % 317 for k in range(2500)], "odd": [float("inf"), float("-inf"), 0.0, -0.0, 5e-324, -5e-324, 1.0, float("inf")], "none": [None, None], None: [3.0, 1.0, None]}
+    out = {"heavy": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(150)], "ties": [float(rng.randint(0, 3)) for _ in range(100)], "one": [7.5], "two": [1.0, 2.0]}
+    out |= {"narrow": [1e15 + k % 31 for k in range(120)], "odd": [float("inf"), float("-inf"), 0.0, -0.0, 5e-324, -5e-324, 1.0, float("inf")], "none": [None, None], None: [3.0, 1.0, None]}
     return [(k, v) for k, xs in out.items() for v in xs]
 
 
-@pytest.mark.parametrize("few", [1, 40, 1000])
+@pytest.mark.parametrize("few", [1, 40])
 def test_quantiles_equal_sorting(spark, monkeypatch, few):
     monkeypatch.setattr(Q, "FEW", few)
     data = values()
