@@ -854,14 +854,17 @@ def m10_kmeans_profiles(spark, d):
     return kmeans_profiles(wide.fillna(0.0), "region", list(B.AREAS), 3)[0].select("region", "cluster")
 
 
-@query()
+@query(r"""select conv_id, turn, case when turn % 3 = 0 then text else regexp_replace(text, '\s+', ' ', 'g') end refined, 'success' status, turn % 3 = 0 reused from conversations""")
 def e01_incremental(spark, d):
+    """White space is squeezed in every turn but those with a stored result of the same text; results of older texts are not reused."""
     from gridloom.streaming.incremental import incremental_apply, source_hash
 
     rows = B.read(spark, d, "conversations").select("conv_id", "turn", "text")
-    state = rows.where("turn = 0").select("conv_id", "turn", source_hash("text").alias("source_sha"), F.col("text").alias("refined"), F.lit("success").alias("status"), F.lit(0).cast("long").alias("batch"))
-    _, _, summary = incremental_apply(rows, state, lambda s: s, ["conv_id", "turn"], "text", 1)
-    return summary
+    kept = rows.where("turn % 3 = 0").withColumn("before", F.col("text"))
+    stale = rows.where("turn % 3 = 1").withColumn("before", F.concat("text", F.lit(" (old)")))
+    state = kept.unionByName(stale).select("conv_id", "turn", source_hash("before").alias("source_sha"), F.col("before").alias("refined"), F.lit("success").alias("status"), F.lit(0).cast("long").alias("batch"))
+    result, _, _ = incremental_apply(rows, state, lambda s: s.str.replace(r"\s+", " ", regex=True), ["conv_id", "turn"], "text", 1)
+    return result.select("conv_id", "turn", "refined", "status", "reused")
 
 
 @query()
