@@ -1,18 +1,17 @@
 """Main text of web pages by the line-block distribution.
 
-Markup is stripped so that every block of a page is a line.  Lines inside boilerplate (scripts, styles,
-forms, menus, headers, footers, sidebars, notices, adverts, reader comments) and the text of links in bare
-link lists count as empty.  The text lengths of lines are summed over windows of ``WINDOW`` lines; the main
-text starts where the sums surge over a level, and ends where they dive below it.  Every line between a
-surge and its dive is kept whole; short lines of the first window, before the text, are kept only as headings.
-Where a page names its articles (``article``, ``main``), lines outside them count nothing, and the text between
-a surge and its dive is widened to the ends of the article that holds it: a short first or last paragraph is
-part of it, and an article that no surge reaches is a teaser.
+Markup is stripped so that every block of a page is a line, boilerplate included.  A line counts its text length, less
+the evidence against it: nothing inside scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments, by their elements and names, in bare lists of links, and outside the articles of a page that names some
+(``article``, ``main``); a quarter where a short text stands in a container itself and not in an article, paragraph,
+heading or item.  The counts are summed over sliding windows of ``WINDOW`` lines.  The main text starts where the sums surge over a level and
+ends where they dive below it, and from there it reaches on, both ways, over the paragraphs that join it without a gap:
+short first and last ones belong to it.  No line is kept that no surge reaches, whatever its element.
 
 Defined cases: a null page, and one without text, give an empty string; unclosed tags end with their parent
 block or with the page; text outside any tag counts as a block; very long pages are read whole; repeated
 blocks are kept as often as they stand there; sums equal to the level are below it.  The page, ``main`` and
-``article`` are never dropped by their names; an article that stands in dropped blocks only is taken out of
+``article`` never count nothing by their names; an article that stands in dropped blocks only is taken out of
 them.  An empty table gives an empty result; repeated rows are separate rows; columns other than the three
 named ones, whatever their names, are not read.
 """
@@ -22,16 +21,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a window, and the blank lines that stand for a removed block.
+#: Lines of a window.
 WINDOW = 3
 #: A surge is a window sum above this share of the page's largest one, or above SURE characters.
 SURGE, SURE = 0.3, 80
+#: Up to this length a text that stands in a container itself counts the WEAK-th part.
+BARE, WEAK = 200, 4
 
 _RAW = "script|style|noscript|template|textarea|svg|iframe|object|select"
 #: Raw elements that hold the rest of the page if they are not closed; the others are empty then.
@@ -48,7 +50,8 @@ _BLOCK = frozenset(
 )
 _DROP = frozenset("nav header footer aside form button head menu dialog label fieldset legend input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text is prose of its own.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption caption address summary".split())
 #: Elements that a name never drops, and those that an article inside takes its place from.
 _KEEP, _WRAP = frozenset("html body main article".split()), frozenset(["form"])
 _BAD = re.compile(
@@ -71,14 +74,21 @@ def bad_name(names: str) -> bool:
     return False
 
 
-def page_lines(html: str, rescue: bool = False) -> list[tuple[str, int, int, bool]]:
-    """(text, counted length, number of its article, heading) of every block; removed blocks leave blank lines.
+class Line(NamedTuple):
+    """A block of a page: its text, what it counts, the outermost article around it (0: none), whether it is prose."""
 
-    The article is the outermost one around the block; 0 stands for none.
+    text: str
+    count: int
+    article: int
+    prose: bool
+
+
+def page_lines(html: str, rescue: bool = False, names: bool = True) -> list[Line]:
+    """Every block of a page that holds text; without ``names``, class names say nothing.
 
     With ``rescue``, an article ends the drop of the blocks around it that their names, or a form, dropped.
     """
-    lines: list[tuple[str, int, int, bool]] = []
+    lines: list[Line] = []
     stack: list[tuple[str, bool, int]] = []  # tag, dropped, article
     articles = 0
     text: list[str] = []
@@ -87,15 +97,13 @@ def page_lines(html: str, rescue: bool = False) -> list[tuple[str, int, int, boo
 
     def flush() -> None:
         whole = " ".join(unescape("".join(text)).split())
-        if whole:
-            dropped = any(d for _, d, _ in stack)
+        if whole and not any(t == "head" for t, _, _ in stack):
             article = next((a for _, _, a in stack if a), 0)
             # A block that is nothing but links is part of a list of links.
-            bare = linked[0] >= len("".join("".join(text).split())) > 0
-            if dropped:
-                lines.extend([("", 0, 0, False)] * WINDOW)
-            else:
-                lines.append((whole, 0 if bare and not article else len(whole), article, any(t in _HEADING for t, _, _ in stack)))
+            bare = not article and linked[0] >= len("".join("".join(text).split())) > 0
+            prose = article > 0 or len(whole) > BARE or any(t in _PROSE for t, _, _ in stack)
+            count = 0 if bare or any(d for _, d, _ in stack) else len(whole) if prose else max(1, len(whole) // WEAK)
+            lines.append(Line(whole, count, article, prose))
         text.clear()
         linked[0] = 0
 
@@ -143,53 +151,68 @@ def page_lines(html: str, rescue: bool = False) -> list[tuple[str, int, int, boo
             if tag == "p":  # a paragraph ends the one before it
                 while stack and stack[-1][0] == "p":
                     stack.pop()
-            names = " ".join(x.strip("\"'") for x in _NAMED.findall(m[4] or ""))
+            called = " ".join(x.strip("\"'") for x in _NAMED.findall(m[4] or "")) if names else ""
             if rescue and tag in ("article", "main"):
                 stack[:] = [(t, d and t in _DROP - _WRAP, a) for t, d, a in stack]
             articles += tag in ("article", "main")
-            stack.append((tag, tag in _DROP or (tag not in _KEEP and bad_name(names)), articles if tag in ("article", "main") else 0))
+            stack.append((tag, tag in _DROP or (tag not in _KEEP and bad_name(called)), articles if tag in ("article", "main") else 0))
     if at < len(html):
         add(html[at:])
     flush()
     return lines
 
 
-def text_spans(lengths: np.ndarray, heading: list[bool]) -> list[tuple[int, int]]:
-    """(first line, line behind the last) from each surge of the window sums to its dive."""
-    if not lengths.any():
+def text_spans(lines: list[Line]) -> list[tuple[int, int]]:
+    """(first line, line behind the last) of each stretch of text, in order; they do not overlap."""
+    counts = np.array([x.count for x in lines], dtype=np.int64)
+    if not counts.any():
         return []
-    sums = np.convolve(lengths, np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]  # of a line and those behind it
+    sums = np.convolve(counts, np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]  # of a line and those behind it
     level = min(SURGE * sums.max(), SURE)
-    out, i, n = [], 0, len(lengths)
-    while i < n:
-        if sums[i] > level and lengths[i] > 0:  # surge
-            j = i
-            while j < n and sums[j] > level:  # until the dive
-                j += 1
-            # The first windows reach back over short lines in front of the text.
-            while i < j and lengths[i] * WINDOW <= level and not heading[i]:
-                i += 1
-            out.append((i, j))
-            i = j
-        else:
+    strong = lambda k: counts[k] > 0 and (lines[k].prose or counts[k] * WINDOW > level)
+
+    def reach(k: int, step: int) -> int:
+        """The last line, from k on, that joins it: prose of the same article, past what counts nothing inside that."""
+        end = k
+        while 0 <= k + step < len(lines) and lines[k + step].article == lines[end].article:
+            k += step
+            if counts[k] > 0 and lines[k].prose:
+                end = k
+            elif counts[k] > 0 or not lines[k].article:
+                break
+        return end
+
+    out: list[tuple[int, int]] = []
+    i = 0
+    while i < len(lines):
+        if sums[i] <= level:
             i += 1
+            continue
+        j = i  # a surge
+        while j < len(lines) and sums[j] > level:  # until the dive
+            j += 1
+        # The first windows reach back over what stands in front of the text.
+        held = [k for k in range(i, j) if strong(k)]
+        if held:
+            first, last = reach(held[0], -1), max(reach(held[-1], 1), held[-1])
+            if out and first < out[-1][1]:
+                first = out.pop()[0]
+            out.append((first, last + 1))
+        i = j
     return out
 
 
-def main_text(html: str | None) -> str:
-    """Lines between each surge of the window sums and the dive behind it, widened to their article."""
-    lines = page_lines(html or "")
-    named = any(a and n for _, n, a, _ in lines)
+def main_text(html: str | None, names: bool = True) -> str:
+    """The lines that count, between each surge of the window sums and the end of the text behind its dive."""
+    lines = page_lines(html or "", names=names)
+    named = any(x.article and x.count for x in lines)
     if not named and re.search(r"<(?:article|main)\b", html or "", re.I):
-        saved = page_lines(html or "", rescue=True)
-        named = any(a and n for _, n, a, _ in saved)
+        saved = page_lines(html or "", rescue=True, names=names)
+        named = any(x.article and x.count for x in saved)
         lines = saved if named else lines
-    lengths = np.array([n if a or not named else 0 for _, n, a, _ in lines], dtype=np.int64)
-    spans = text_spans(lengths, [h for _, _, _, h in lines])
     if named:
-        held = {lines[k][2] for i, j in spans for k in range(i, j) if lengths[k]}
-        return "\n".join(t for t, n, a, _ in lines if n and a in held)
-    return "\n".join(t for i, j in spans for t, n, _, _ in lines[i:j] if n)
+        lines = [x if x.article else x._replace(count=0) for x in lines]
+    return "\n".join(x.text for i, j in text_spans(lines) for x in lines[i:j] if x.count)
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
