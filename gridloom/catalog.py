@@ -846,7 +846,28 @@ def m11_adjusted_rand(spark, d):
     return rnd(S.adjusted_rand(B.read(spark, d, "part").withColumn("b", F.col("p_size") % 4), "p_type", "b"), 6)
 
 
-@query()
+def _kmeans_sql(areas, ks: tuple[int, int], seeds: int) -> str:
+    """CTEs ``z`` (region, x) of standardised profiles and ``best`` (k, region, cluster, d, wcss): Lloyd rounds of every try, more than they need."""
+    dims = len(areas)
+    listed = ", ".join(f"coalesce(avg(budget) filter (subarea = '{a}'), 0.0)" for a in areas)
+    z = ", ".join(f"(f[{i + 1}] - avg(f[{i + 1}]) over ()) / stddev_pop(f[{i + 1}]) over ()" for i in range(dims))
+    near = f"list_min(list_transform(range(1, k + 1), lambda j: {{'d': list_sum(list_transform(range(1, {dims} + 1), lambda m: (x[m] - c[j][m]) * (x[m] - c[j][m]))), 'j': j}}))"
+    mean = "[" + ", ".join(f"avg(x[{i + 1}])" for i in range(dims)) + "]"
+    return (
+        B.SUBPANEL + f""", w as (select region, [{listed}] f from subpanel group by region), z as (select region, [{z}] x from w),
+tries as (select k::int k, s::int seed from range({ks[0]}, {ks[1] + 1}) a(k), range({seeds}) b(s) where k > 1 or s = 0),
+drawn as (select k, seed, x, row_number() over (partition by k, seed order by md5(seed || ':' || region), region) rn from tries, z),
+r as (select k, seed, 0 i, list(x order by rn) c from drawn where rn <= k group by all
+      union all select k, seed, i + 1, list_transform(range(1, k + 1), lambda j: coalesce(ms[list_position(js, j)], c[j])) from
+      (select k, seed, i, any_value(c) c, list(j order by j) js, list(mean order by j) ms from
+       (select k, seed, i, any_value(c) c, n.j j, {mean} mean from (select r.*, z.x, {near} n from r, z where i < 40) group by k, seed, i, n.j) group by k, seed, i)),
+p as (select k, seed, region, c, {near} n from r, z where i = 40), q as (select *, sum(n.d) over (partition by k, seed) wcss from p),
+o as (select *, row_number() over (partition by k order by round(wcss, 7), seed) rn from (select distinct k, seed, wcss from q)),
+best as (select q.k, q.region, q.n.d d, q.wcss, len(list_filter(q.c, lambda e: e < q.c[q.n.j]))::int "cluster" from q join o on o.rn = 1 and o.k = q.k and o.seed = q.seed)"""
+    )
+
+
+@query("with recursive " + _kmeans_sql(list(B.AREAS), (3, 3), 10) + ' select region, "cluster" from best')
 def m10_kmeans_profiles(spark, d):
     from gridloom.operators.learning import kmeans_profiles
 
@@ -1167,12 +1188,16 @@ def i01_prepare_panel(spark, d):
     return I.prepare_index_input(B.indicators(spark, d).withColumnRenamed("indicator_id", "code"), {"indicator_id": "code"})
 
 
-@query()
+@query("with recursive " + _kmeans_sql(list(B.AREAS)[:3], (1, 3), 10) + """, e as (select a.k, a.region, a."cluster" own, b."cluster" other, avg(list_sum(list_transform(range(1, 4), lambda m: (x.x[m] - y.x[m]) * (x.x[m] - y.x[m])))) far
+from best a join best b on a.k = b.k and a.region <> b.region join z x on x.region = a.region join z y on y.region = b.region group by all),
+s as (select k, region, own, max(far) filter (own = other) a, min(far) filter (own <> other) b from e group by all),
+t as (select k, avg(case when a is null then 0.0 else (b - a) / greatest(a, b) end) silhouette from s where k > 1 group by k), c as (select k, min(n) smallest from (select k, "cluster", count(*) n from best group by all) group by k)
+select k, round(any_value(wcss), 6) wcss, round(any_value(silhouette), 6) silhouette, any_value(smallest)::bigint smallest from best left join t using (k) join c using (k) group by k""")
 def m12_elbow(spark, d):
     from gridloom.operators.learning import elbow
 
     wide = B.subpanel(spark, d).groupBy("region").pivot("subarea", list(B.AREAS)).agg(F.avg("budget"))
-    return elbow(wide.fillna(0.0), "region", list(B.AREAS)[:3], 3)
+    return rnd(elbow(wide.fillna(0.0), "region", list(B.AREAS)[:3], 3), 6, "wcss", "silhouette")
 
 
 @query()

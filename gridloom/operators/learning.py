@@ -8,10 +8,9 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.staging import materialize
@@ -173,27 +172,93 @@ def prediction_targets(df: DataFrame, years: Sequence[int], labelled: DataFrame,
     return build_text(rows, cols, required=cols[:1])
 
 
-def kmeans_profiles(df: DataFrame, row_id: str, cols: Sequence[str], k: int, seeds: Sequence[int] = (0, 1, 2, 3, 4)) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``cluster``, centres in original units with sizes); ids follow the first centre coordinate.
+@dataclass
+class Partition:
+    """A k-means solution: centres in the order of their coordinates, sizes, and the sum of squared distances."""
 
-    Columns are standardised by the population deviation; of several seeds the smallest cost wins.
+    k: int
+    seed: int
+    centres: list[list[float]]
+    sizes: list[int]
+    wcss: float
+
+
+def _nearest(x: Column, centres: Column) -> Column:
+    """``struct(d, j)`` of the nearest of an array of centres, the first of equally near ones."""
+    far = lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    return F.array_min(F.transform(centres, lambda c, j: F.struct(far(c).alias("d"), j.alias("j"))))
+
+
+def lloyd(rows: DataFrame, row_id: str, x: str, tries: Sequence[tuple[int, int]], max_rounds: int = 300, tol: float = 1e-12) -> list[Partition]:
+    """A solution per (k, seed), all tries together: one scan of the table per round.
+
+    A try starts from the k rows with the smallest MD5 of ``seed:row_id`` and ends when no centre moves by more than
+    ``tol``.  A round adds up counts and sums per try and cluster; an empty cluster stays where it is.  The centres of
+    all tries, which the driver holds, reach the rows as one row.
     """
+    spark = rows.sparkSession
+    most = {seed: max(k for k, s in tries if s == seed) for _, seed in tries}
+    drawn = None
+    for seed, k in most.items():
+        order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string"))), F.col(row_id)]
+        some = rows.orderBy(*order).limit(k).select(F.lit(seed).alias("seed"), order[0].alias("at"), F.col(row_id).alias("id"), F.col(x).alias("x"))
+        drawn = some if drawn is None else drawn.unionByName(some)
+    first: dict[int, list] = {}
+    for r in sorted(drawn.collect(), key=lambda r: (r["seed"], r["at"], r["id"])):
+        first.setdefault(r["seed"], []).append(list(r["x"]))
+    if any(len(first[seed]) < k for k, seed in tries):
+        raise CheckFailed("fewer rows than clusters")
+    centres = {t: first[t[1]][: t[0]] for t in tries}
+    dims, live, done = len(next(iter(centres.values()))[0]), list(tries), {}
+    for _ in range(max_rounds):
+        held = spark.createDataFrame([([centres[t] for t in live],)], "centres array<array<array<double>>>")
+        near = F.transform("centres", lambda c, i: F.struct(i.alias("i"), _nearest(F.col(x), c).alias("n")))
+        at = rows.select(x).crossJoin(F.broadcast(held)).select(x, F.explode(near).alias("t")).select(x, "t.i", "t.n.j", "t.n.d")
+        sums = at.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("d"), *[F.sum(F.col(x)[m]).alias(f"s{m}") for m in range(dims)]).collect()
+        by = {(r["i"], r["j"]): r for r in sums}
+        for i, t in enumerate(list(live)):
+            new = [[by[i, j][f"s{m}"] / by[i, j]["n"] for m in range(dims)] if (i, j) in by else c for j, c in enumerate(centres[t])]
+            still = max(abs(a - b) for c, e in zip(centres[t], new, strict=True) for a, b in zip(c, e, strict=True)) <= tol
+            if still:
+                order = sorted(range(t[0]), key=lambda j, c=centres[t]: c[j])
+                sizes = [by[i, j]["n"] if (i, j) in by else 0 for j in range(t[0])]
+                done[t] = Partition(t[0], t[1], [centres[t][j] for j in order], [sizes[j] for j in order], sum(r["d"] for (u, _), r in by.items() if u == i))
+            centres[t] = new
+        live = [t for t in live if t not in done]
+        if not live:
+            return [done[t] for t in tries]
+    raise CheckFailed(f"k-means did not settle in {max_rounds} rounds")
+
+
+def _scaled(df: DataFrame, row_id: str, cols: Sequence[str]) -> tuple[DataFrame, dict]:
+    """The table with ``_x``, the columns standardised by the population deviation, and the statistics."""
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     if any(not stats[f"s_{c}"] for c in cols):
         raise CheckFailed("a column has no variance")
     fail_if_any(df.where(" or ".join(f"`{c}` is null" for c in cols)).select(row_id), "missing values")
-    scaled = df.withColumn("features", array_to_vector(F.array(*[(F.col(c) - stats[f"m_{c}"]) / stats[f"s_{c}"] for c in cols])))
-    scaled = materialize(scaled, "profiles")
-    models = [KMeans(k=k, seed=s, maxIter=100).fit(scaled) for s in seeds]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    centres = [c.tolist() for c in best.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda i: centres[i])
-    new = F.create_map(*[x for place, i in enumerate(order) for x in (F.lit(i), F.lit(place))])
-    out = best.transform(scaled).withColumn("cluster", new[F.col("prediction")]).drop("features", "prediction")
-    sizes = best.summary.clusterSizes
-    rows = [(place, sizes[i], *[centres[i][j] * stats[f"s_{c}"] + stats[f"m_{c}"] for j, c in enumerate(cols)], float(best.summary.trainingCost)) for place, i in enumerate(order)]
+    return materialize(df.withColumn("_x", F.array(*[(F.col(c) - stats[f"m_{c}"]) / stats[f"s_{c}"] for c in cols])), "profiles"), stats.asDict()
+
+
+def _best(found: Sequence[Partition]) -> Partition:
+    """The smallest cost; tries that agree to nine digits count as equal, and the first seed wins."""
+    return min(found, key=lambda p: (float(f"{p.wcss:.9e}"), p.seed))
+
+
+def _labelled(scaled: DataFrame, p: Partition) -> DataFrame:
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in p.centres])
+    return scaled.withColumn("cluster", _nearest(F.col("_x"), centres)["j"])
+
+
+def kmeans_profiles(df: DataFrame, row_id: str, cols: Sequence[str], k: int, seeds: Sequence[int] = tuple(range(10))) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``cluster``, centres in original units with sizes); ids follow the first centre coordinate.
+
+    Columns are standardised by the population deviation; of several seeds the smallest cost wins.
+    """
+    scaled, stats = _scaled(df, row_id, cols)
+    p = _best(lloyd(scaled, row_id, "_x", [(k, s) for s in seeds]))
+    rows = [(place, p.sizes[place], *[c[j] * stats[f"s_{n}"] + stats[f"m_{n}"] for j, n in enumerate(cols)], float(p.wcss)) for place, c in enumerate(p.centres)]
     kinds = "cluster int, size long, " + ", ".join(f"`{c}` double" for c in cols) + ", wcss double"
-    return out, df.sparkSession.createDataFrame(rows, kinds)
+    return _labelled(scaled, p).drop("_x"), df.sparkSession.createDataFrame(rows, kinds)
 
 
 def silhouette(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> DataFrame:
@@ -205,13 +270,15 @@ def silhouette(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") ->
     return df.sparkSession.createDataFrame([(float(value),)], "silhouette double")
 
 
-def elbow(df: DataFrame, row_id: str, cols: Sequence[str], kmax: int = 6) -> DataFrame:
-    """WCSS, silhouette and smallest cluster for 2 to kmax clusters."""
+def elbow(df: DataFrame, row_id: str, cols: Sequence[str], kmax: int = 6, seeds: Sequence[int] = tuple(range(10))) -> DataFrame:
+    """WCSS, silhouette (of standardised columns) and smallest cluster for 1 to kmax clusters; one cluster has no silhouette."""
+    scaled, _ = _scaled(df, row_id, cols)
+    found = lloyd(scaled, row_id, "_x", [(k, s) for k in range(1, kmax + 1) for s in (seeds if k > 1 else seeds[:1])])
     rows = []
-    for k in range(2, kmax + 1):
-        out, centres = kmeans_profiles(df, row_id, cols, k, seeds=(0, 1))
-        c = centres.agg(F.max("wcss").alias("wcss"), F.min("size").alias("smallest")).first()
-        rows.append((k, c["wcss"], float(silhouette(out, cols).first()[0]), c["smallest"]))
+    for k in range(1, kmax + 1):
+        p = _best([f for f in found if f.k == k])
+        out = _labelled(scaled, p).select("cluster", *[F.col("_x")[j].alias(c) for j, c in enumerate(cols)])
+        rows.append((k, p.wcss, float(silhouette(out, cols).first()[0]) if k > 1 else None, min(p.sizes)))
     return df.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double, smallest long")
 
 
