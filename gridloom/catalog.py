@@ -815,18 +815,46 @@ def t03_sentence_pairs(spark, d):
     return rnd(T.cosine_pairs(T.tfidf(names, "doc_id", T.char_ngrams(F.col("doc_id"), 3, 3), normed=False), 0.5), 5)
 
 
-@query()
-def t04_representatives(spark, d):
+def _representatives_sql(t: float) -> str:
+    """The sequential rule: in the order of size and name, a name is a representative unless an earlier one takes it."""
+    return f"""with recursive names as (select p_name t, count(*) n from part group by 1), o as (select t, n, row_number() over (order by n desc, t) i from names),
+words as (select i, ' ' || unnest(regexp_split_to_array(lower(t), '\\s+')) || ' ' w from o), grams as (select words.i, substr(w, b.i::int, n::int) g from words, range(2, 6) a(n), unnest(range(1, length(w) - n + 2)) b(i) where n <= length(w)),
+tf as (select i, g, count(*) tf from grams group by all), dfs as (select g, count(*) df from tf group by 1), raw as (select tf.*, tf.tf * (ln((1 + (select count(*) from o)) / (1 + df)::double) + 1) raw from tf join dfs using (g)),
+w as (select *, raw / sqrt(sum(raw * raw) over (partition by i)) wt from raw), c as (select a.i i, b.i j, sum(a.wt * b.wt) s from w a join w b on a.g = b.g and a.i <> b.i group by all having sum(a.wt * b.wt) >= {t}), near as (select i, list(j) js from c group by i),
+r as (select 0::bigint i, []::bigint[] reps union all select r.i + 1, case when len(list_intersect(reps, coalesce(js, []::bigint[]))) = 0 then list_append(reps, r.i + 1) else reps end from r left join near on near.i = r.i + 1 where r.i < (select count(*) from o)),
+f as (select o.*, case when list_contains(reps, o.i) then o.i else (select min(j) from c where c.i = o.i and list_contains(last.reps, j)) end k from o, (select reps from r order by i desc limit 1) last)
+select f.t "text", x.t rep, round(case when f.i = f.k then 1.0::double else c.s end, 6) similarity from f join o x on x.i = f.k left join c on c.i = f.i and c.j = f.k"""
+
+
+def _representatives(spark, d, t: float):
     names = B.read(spark, d, "part").groupBy(F.col("p_name").alias("text")).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(""))
-    return T.representative_texts(names, 0.6).select("text", "rep", F.round("similarity", 6).alias("similarity"))
+    return T.representative_texts(names, t).select("text", "rep", F.round("similarity", 6).alias("similarity"))
+
+
+@query(_representatives_sql(0.6))
+def t04_representatives(spark, d):
+    return _representatives(spark, d, 0.6)
+
+
+@query(_representatives_sql(0.3))
+def t04_wide_groups(spark, d):
+    """At a threshold that names of one common word reach, so that representatives do take others."""
+    return _representatives(spark, d, 0.3)
 
 
 # ---------------------------------------------------------------- panel statistics
 
 
-@query()
+@query("with recursive " + B.PANEL + """, p as (select region, dense_rank() over (order by year) - 1 t, ln(1 + budget) - avg(ln(1 + budget)) over (partition by region) x, outcome - avg(outcome) over (partition by region) y from panel),
+g as (select region, sum(x * x) xx, sum(x * y) xy, count(*) n from p group by region), c as (select count(*) r, max(n) t from g),
+a as (select s.t i, u.t j, (case when s.t = u.t then any_value(r) else 0 end) - any_value(c.r)::double / any_value(c.t) - sum(s.x * u.x / xx) v from p s join p u using (region) join g using (region), c where s.t > 0 and u.t > 0 group by s.t, u.t
+      union all select p.t, any_value(c.t), sum(p.y - p.x * xy / xx) from p join g using (region), c where p.t > 0 group by p.t),
+m as (select 0 k, list(v order by i) m, any_value(w) w from (select i, list(v order by j) v, count(*) w from a group by i)
+      union all select k + 1, list_transform(m, lambda e, i: list_transform(range(1, w + 1), lambda j: case when i = k + 1 then e[j] / m[k + 1][k + 1] else e[j] - e[k + 1] * m[k + 1][j] / m[k + 1][k + 1] end)), w from m where k + 1 < w),
+f as (select region, sum(p.x * m.m[p.t][m.w]) s from p, m where m.k + 1 = m.w and p.t > 0 group by region)
+select region, round((xy - s) / xx, 7) slope, n, null::varchar note from g join f using (region)""")
 def m07_region_slopes(spark, d):
-    return S.region_slopes(B.panel(spark, d).withColumn("x", F.log1p("budget")), "outcome", "x")
+    return rnd(S.region_slopes(B.panel(spark, d).withColumn("x", F.log1p("budget")), "outcome", "x"), 7, "slope")
 
 
 @query("""with p as (select p_type f, (p_size / 51.0) p, p_partkey from part), r as (select *, row_number() over (partition by f order by p, p_partkey) i, count(*) over (partition by f) m from p),
@@ -888,13 +916,29 @@ def e01_incremental(spark, d):
     return result.select("conv_id", "turn", "refined", "status", "reused")
 
 
-@query()
+def _labelled_parts(spark, d):
+    return B.read(spark, d, "part").select("p_partkey", "p_name", "p_type", F.regexp_extract("p_name", r"(\S+)$", 1).alias("label"))
+
+
+@query(r"""select p_partkey, regexp_extract(p_name, '(\S+)$', 1) as label, regexp_extract(p_name, '(\S+)$', 1) pred_label, false low_confidence from part where p_partkey % 2 = 1""")
 def t06_text_classifier(spark, d):
+    """Held-out rows: the label is the last word of the name, so a fit on the other half must find all of them."""
     from gridloom.operators.learning import fit_text_classifier, predict_labels
 
-    p = B.read(spark, d, "part").select("p_partkey", "p_name", F.regexp_extract("p_name", r"(\S+)$", 1).alias("label"))
-    clf = fit_text_classifier(p, "p_partkey", "p_name", "label", max_iter=10)
-    return predict_labels(clf, p, "p_partkey", "p_name").select("p_partkey", "label", "pred_label", "low_confidence")
+    p = _labelled_parts(spark, d)
+    clf = fit_text_classifier(p.where("p_partkey % 2 = 0"), "p_partkey", "p_name", "label", max_iter=10)
+    return predict_labels(clf, p.where("p_partkey % 2 = 1"), "p_partkey", "p_name").select("p_partkey", "label", "pred_label", "low_confidence")
+
+
+@query(r"""with words as (select p_partkey, ' ' || unnest(regexp_split_to_array(lower(p_name), '\s+')) || ' ' w from part), grams as (select p_partkey, substr(w, i::int, n::int) g from words, range(2, 6) a(n), unnest(range(1, length(w) - n + 2)) b(i) where n <= length(w)),
+f as (select g from grams group by g having count(distinct p_partkey) >= 2) select (select count(*) from part)::bigint n_rows, (select count(distinct regexp_extract(p_name, '(\S+)$', 1)) from part)::int n_classes, (select count(*) from f)::bigint n_features, true optimal""")
+def t06_optimum(spark, d):
+    """The gradient of the penalised likelihood vanishes at the fit."""
+    from gridloom.operators.learning import fit_text_classifier, optimality
+
+    p = _labelled_parts(spark, d)
+    clf = fit_text_classifier(p, "p_partkey", "p_name", "label", max_iter=300, tol=1e-12)
+    return optimality(clf, p, "p_partkey", "p_name", "label").select("n_rows", "n_classes", "n_features", (F.col("residual") < 1e-7).alias("optimal"))
 
 
 # ---------------------------------------------------------------- the rest of the inventory
@@ -1200,12 +1244,23 @@ def m12_elbow(spark, d):
     return rnd(elbow(wide.fillna(0.0), "region", list(B.AREAS)[:3], 3), 6, "wcss", "silhouette")
 
 
-@query()
+@query(r"""select p_partkey, p_type, regexp_extract(p_name, '(\S+)$', 1) as label, regexp_extract(p_name, '(\S+)$', 1) pred_label from part""")
 def t07_grouped_cv(spark, d):
+    """Out-of-fold labels: the label is the last word of the name, so every fold must find those of the types it has not seen."""
     from gridloom.operators.learning import group_cv
 
-    p = B.read(spark, d, "part").select("p_partkey", "p_name", "p_type", F.regexp_extract("p_name", r"(\S+)$", 1).alias("label"))
-    return group_cv(p, "p_partkey", "p_name", "label", "p_type", k=2, max_iter=5)[1]
+    return group_cv(_labelled_parts(spark, d), "p_partkey", "p_name", "label", "p_type", k=2, max_iter=5)[0].select("p_partkey", "p_type", "label", "pred_label")
+
+
+@query(r"""select 'p_name' best, 1.0::double accuracy, 1.0::double macro_f1""")
+def t07_best_variant(spark, d):
+    """Of two texts the one that holds the label wins, by macro F1, weighted F1, then name."""
+    from gridloom.operators.learning import choose_best, group_cv
+
+    p = _labelled_parts(spark, d).withColumn("first_word", F.regexp_extract("p_name", r"^(\S+)", 1))
+    found = {c: group_cv(p, "p_partkey", c, "label", "p_type", k=2, max_iter=5)[1] for c in ("first_word", "p_name")}
+    best = choose_best(found)
+    return found[best].select(F.lit(best).alias("best"), "accuracy", "macro_f1")
 
 
 @query("select d.doc_id src_row, d.source || ' ' || d.lang model_text from documents d where doc_id not in (select doc_id from labels)")
@@ -1217,7 +1272,8 @@ def t12_prediction_targets(spark, d):
     return prediction_targets(rows, [2020], done, ["source", "lang"], keys=("year", "src_row")).select("src_row", "model_text")
 
 
-@query()
+@query("with " + B.INDICATORS + """, e as (select *, min(year) filter (value is not null) over w lo, max(year) filter (value is not null) over w hi, arg_max(value, year) filter (value is not null) over w newest from indicators window w as (partition by indicator_id, region))
+select indicator_id, region, year, case when year < lo then 'leading' else 'trailing' end position, round(newest, 4) value_filled from e where value is null and not blocked and lo < hi and (year < lo or year > hi)""")
 def u02_grouped_trend(spark, d):
     def last(seen, years):
         return [float(seen.iloc[-1])] * len(years)

@@ -3,71 +3,130 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from gridloom.functions.staging import materialize
 from gridloom.operators.checks import CheckFailed, fail_if_any
 from gridloom.operators.panelstats import classification_metrics
+from gridloom.operators.ranges import running_total
 from gridloom.operators.text_groups import char_ngrams
 
-DIMS = 1 << 15
+#: Grams that a model may hold: a weight per gram and class lies on the driver.
+LARGEST = 1 << 22
 
 
 @dataclass
 class TextClassifier:
     model: LogisticRegressionModel
     labels: list[str]
-    idf: DataFrame
+    idf: DataFrame  # gram, slot, idf
     text_cols: list[str]
 
 
 def _counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    rows = df.select(F.col(row_id).alias("doc_id"), F.explode(char_ngrams(F.col(text))).alias("g"))
-    return rows.groupBy("doc_id", F.pmod(F.xxhash64("g"), F.lit(DIMS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("tf"))
-
-
-def _vectors(df: DataFrame, idf: DataFrame, row_id: str, text: str) -> DataFrame:
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    w = _counts(df, row_id, text).join(idf, "slot").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
-    vec = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("slot", "w"))).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-
-    @F.udf(VectorUDT())
-    def sparse(x, norm):
-        return SparseVector(DIMS, [e[0] for e in x], [e[1] / norm for e in x]) if x else SparseVector(DIMS, [], [])
-
-    out = df.join(vec.withColumnRenamed("doc_id", row_id), row_id, "left")
-    return out.withColumn("features", sparse(F.coalesce("x", F.array().cast("array<struct<slot:int,w:double>>")), F.coalesce("norm", F.lit(1.0)))).drop("x", "norm")
-
-
-def fit_text_classifier(df: DataFrame, row_id: str, text: str, label: str, min_df: int = 2, c: float = 1.0, max_iter: int = 50) -> TextClassifier:
-    """Character n-grams, sublinear TF-IDF and a multinomial logistic regression with balanced class weights."""
+    rows = df.select(F.col(row_id).alias("doc_id"), F.explode(char_ngrams(F.col(text))).alias("gram"))
+    return rows.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _sparse(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Sorted and normed sparse vectors of a batch of rows with lists of slots and weights, in the layout of Spark's vectors."""
+    for batch in batches:
+        sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(batch)), sizes)
+        slot, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+        order = np.lexsort((slot, row))
+        norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(batch)))
+        w = (w / np.where(norm > 0, norm, 1.0)[row])[order]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        values = [pa.array(np.zeros(len(batch)), pa.int8()), pa.array(np.full(len(batch), width), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(slot[order], pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(w))]
+        kinds = [pa.field("type", pa.int8(), False), pa.field("size", pa.int32()), pa.field("indices", pa.list_(pa.field("element", pa.int32(), False))), pa.field("values", pa.list_(pa.field("element", pa.float64(), False)))]
+        values = [v.cast(k.type) for v, k in zip(values, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(values, fields=kinds)], names=["doc_id", "features"])
+
+
+def _vectors(df: DataFrame, idf: DataFrame, row_id: str, text: str, width: int) -> DataFrame:
+    """``df`` with ``features``; a row without known grams has an empty vector."""
+    from pyspark.ml.linalg import VectorUDT
+
+    w = _counts(df, row_id, text).join(idf, "gram").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
+    lists = w.groupBy("doc_id").agg(F.collect_list("slot").alias("slots"), F.collect_list("w").alias("ws"))
+    known = df.select(F.col(row_id).alias("doc_id")).distinct().join(lists, "doc_id", "left")
+    full = known.select("doc_id", F.coalesce("slots", F.array().cast("array<int>")).alias("slots"), F.coalesce("ws", F.array().cast("array<double>")).alias("ws"))
+    vec = full.mapInArrow(lambda batches: _sparse(batches, width), StructType([full.schema["doc_id"], StructField("features", VectorUDT())]))
+    return df.join(vec.withColumnRenamed("doc_id", row_id), row_id)
+
+
+def _training(df: DataFrame, row_id: str, text: str, label: str, min_df: int) -> tuple[DataFrame, DataFrame, list, int]:
+    """(rows with features, class number ``y`` and balanced weight ``wt``; vocabulary; classes; rows)."""
     counts = _counts(df, row_id, text)
     n = df.count()
-    idf = counts.groupBy("slot").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    idf = materialize(idf.select("slot", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    grams = materialize(counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df).withColumn("one", F.lit(1)), "grams")
+    idf = running_total(grams, "gram", "one", "place").select("gram", (F.col("place") - 1).cast("int").alias("slot"), (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = materialize(idf, "idf")
+    width = idf.count()
     sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # one row per class
-    if len(sizes) < 2:
-        raise CheckFailed("a classifier needs two classes")
+    if len(sizes) < 2 or not 0 < width <= LARGEST:
+        raise CheckFailed(f"a classifier needs two classes and up to {LARGEST} grams: {len(sizes)} and {width}")
     labels = sorted(sizes, key=str)
     index = F.create_map(*[x for i, k in enumerate(labels) for x in (F.lit(k), F.lit(float(i)))])
     weight = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(n / (len(labels) * sizes[k])))])
-    train = materialize(_vectors(df, idf, row_id, text).select("features", index[F.col(label)].alias("y"), weight[F.col(label)].alias("wt")), "train")
-    lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="wt", family="multinomial", standardization=False, regParam=1.0 / (c * n), maxIter=max_iter)
+    rows = _vectors(df, idf, row_id, text, width).select("features", index[F.col(label)].alias("y"), weight[F.col(label)].alias("wt"))
+    return materialize(rows, "train"), idf, labels, n
+
+
+def fit_text_classifier(df: DataFrame, row_id: str, text: str, label: str, min_df: int = 2, c: float = 1.0, max_iter: int = 50, tol: float = 1e-6) -> TextClassifier:
+    """Character n-grams, sublinear TF-IDF and a multinomial logistic regression with balanced class weights; exact vocabulary."""
+    train, idf, labels, n = _training(df, row_id, text, label, min_df)
+    lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="wt", family="multinomial", standardization=False, regParam=1.0 / (c * n), maxIter=max_iter, tol=tol)
     return TextClassifier(lr.fit(train), [str(x) for x in labels], idf, [text])
 
 
+def optimality(clf: TextClassifier, df: DataFrame, row_id: str, text: str, label: str, min_df: int = 2, c: float = 1.0) -> DataFrame:
+    """``(n_rows, n_classes, n_features, residual)``: the largest entry of the gradient of the penalised likelihood at the fit.
+
+    Per class and gram the weighted errors times the features, averaged, plus the penalty must vanish, and per class the averaged errors.
+    The residuals are added up as (class, gram) rows, never as a matrix.
+    """
+    train, _, labels, n = _training(df, row_id, text, label, min_df)
+    scored = clf.model.transform(train).select("y", "wt", vector_to_array("probability").alias("p"), "features")
+    errors = F.transform("p", lambda p, j: (p - F.when(F.col("y") == j, 1.0).otherwise(0.0)) * F.col("wt"))
+    rows = scored.select(errors.alias("e"), F.unwrap_udt("features").alias("x"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(len(batch), -1)
+            x = batch.column(1)
+            ids, values = x.field("indices"), x.field("values")
+            row = np.repeat(np.arange(len(batch)), ids.value_lengths().to_numpy(zero_copy_only=False))
+            slot, v = ids.flatten().to_numpy(), values.flatten().to_numpy()
+            known, at = np.unique(slot, return_inverse=True)
+            for j in range(e.shape[1]):
+                sums = np.bincount(at, weights=e[row, j] * v, minlength=len(known))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known) + 1, j), pa.int32()), pa.array([*known.tolist(), -1], pa.int32()), pa.array([*sums.tolist(), float(e[:, j].sum())])], names=["j", "slot", "g"])
+
+    total = train.agg(F.sum("wt")).first()[0]
+    summed = rows.mapInArrow(products, "j int, slot int, g double").groupBy("j", "slot").agg((F.sum("g") / total).alias("g"))
+    beta = clf.model.coefficientMatrix.toArray()
+    # A row per gram: the weights of all classes.
+    weights = df.sparkSession.createDataFrame([(int(m), beta[:, m].tolist()) for m in range(beta.shape[1])], "slot int, beta array<double>")
+    penal = summed.join(weights, "slot", "left").withColumn("g", F.col("g") + F.coalesce(F.get("beta", F.col("j")), F.lit(0.0)) / (c * n))
+    return penal.agg(F.lit(n).cast("long").alias("n_rows"), F.lit(len(labels)).alias("n_classes"), F.lit(beta.shape[1]).cast("long").alias("n_features"), F.max(F.abs("g")).alias("residual"))
+
+
 def predict_labels(clf: TextClassifier, df: DataFrame, row_id: str, text: str, low: float = 0.5, taxonomy: DataFrame | None = None) -> DataFrame:
     """Label, confidence (largest probability), low-confidence flag and, with a taxonomy, the parent."""
-    out = clf.model.transform(_vectors(df, clf.idf, row_id, text))
+    out = clf.model.transform(_vectors(df, clf.idf, row_id, text, clf.model.numFeatures))
     names = F.array(*[F.lit(x) for x in clf.labels])
     out = out.withColumn("pred_label", F.element_at(names, (F.col("prediction") + 1).cast("int"))).withColumn("confidence", F.array_max(vector_to_array("probability")))
     out = out.withColumn("low_confidence", F.col("confidence") < low).drop("features", "rawPrediction", "probability", "prediction")
@@ -129,7 +188,7 @@ def load_model(spark, path: str) -> TextClassifier:
 
 
 def _checksum(idf: DataFrame, model: LogisticRegressionModel) -> str:
-    total = idf.agg(F.sum(F.xxhash64("slot", F.bround("idf", 9)).cast("decimal(38,0)"))).first()[0]
+    total = idf.agg(F.sum(F.xxhash64("gram", "slot", F.bround("idf", 9)).cast("decimal(38,0)"))).first()[0]
     return f"{total}:{float(abs(model.coefficientMatrix.toArray()).sum()):.9e}"
 
 
