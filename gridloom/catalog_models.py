@@ -120,30 +120,37 @@ def m05_subgroup_fe(spark, d):
     return rnd(S.subgroup_fe(_sub(spark, d), "outcome", "x", ["cluster", "subarea"], ["cluster"]).select("cluster", "subarea", "coef", "se", "n", "n_regions"), 8)
 
 
-def _three(rows: str, xs: tuple[str, str, str]) -> str:
-    """CTE ``b3`` with the coefficients b0, b1, b2 of three regressors, by Cramer's rule on the demeaned sums."""
+def _three(rows: str, xs: tuple[str, str, str], terms: dict[str, tuple[int, int, int]]) -> str:
+    """CTE ``t3`` (term, coef, se) of combinations of three regressors: Cramer's rule on the demeaned sums, errors from the scores of the regions."""
     cols = [*xs, "y"]
     dm = ", ".join(f"{c} - avg({c}) over (partition by region) - avg({c}) over (partition by year) + avg({c}) over () d{i}" for i, c in enumerate(cols))
     sums = ", ".join(f"sum(d{i} * d{j}) s{i}{j}" for i in range(3) for j in range(4))
-    cell = lambda i, j, k: f"s{i}3" if j == k else f"s{i}{j}"
-    det = lambda k: " + ".join(f"{cell(0, j, k)} * ({cell(1, (j + 1) % 3, k)} * {cell(2, (j + 2) % 3, k)} - {cell(1, (j + 2) % 3, k)} * {cell(2, (j + 1) % 3, k)})" for j in range(3))
-    return f"d3 as (select {dm} from {rows}), s3 as (select {sums} from d3), b3 as (select " + ", ".join(f"({det(k)}) / ({det(None)}) b{k}" for k in range(3)) + " from s3)"
+    minor = lambda i, j: f"(s{(i + 1) % 3}{(j + 1) % 3} * s{(i + 2) % 3}{(j + 2) % 3} - s{(i + 1) % 3}{(j + 2) % 3} * s{(i + 2) % 3}{(j + 1) % 3})"
+    det = " + ".join(f"s0{j} * {minor(0, j)}" for j in range(3))
+    inv = ", ".join(f"{minor(j, i)} / ({det}) i{i}{j}" for i in range(3) for j in range(3))
+    beta = ", ".join(" + ".join(f"i{i}{j} * s{j}3" for j in range(3)) + f" b{i}" for i in range(3))
+    score = ", ".join(f"sum(d{i} * (d3 - b0 * d0 - b1 * d1 - b2 * d2)) g{i}" for i in range(3))
+    wanted = ", ".join(f"('{t}', {w[0]}, {w[1]}, {w[2]})" for t, w in terms.items())
+    side = " + ".join("(" + " + ".join(f"i{i}{j} * w{j}" for j in range(3)) + f") * g{i}" for i in range(3))
+    return f"""d3 as (select region, year, {dm} from {rows}), s3 as (select {sums}, count(*) n, count(distinct region) g, count(distinct year) t from d3), v3 as (select *, {inv} from s3), b3 as (select *, {beta} from v3),
+g3 as (select region, {score} from d3, b3 group by region), w3(term, w0, w1, w2) as (values {wanted}),
+t3 as (select term, w0 * b0 + w1 * b1 + w2 * b2 coef, sqrt(g / (g - 1.0) * (n - 1.0) / (n - (g + t + 2)) * (select sum(pow({side}, 2)) from g3)) se from b3, w3)"""
 
 
 @query("with " + B.SUBPANEL + """, o as (select region, year, round(avg(l_discount), 8) y from detail group by all), w as (select region, year, ln(1 + sum(budget) filter (area = 'CORE')) x0, ln(1 + sum(budget) filter (area = 'MID')) x1, ln(1 + sum(budget) filter (area = 'OTHER')) x2 from subpanel group by all),
-r as (select * from w join o using (region, year) where x0 is not null and x1 is not null and x2 is not null), """ + _three("r", ("x0", "x1", "x2")) + " select unnest(['CORE', 'MID', 'OTHER']) term, round(unnest([b0, b1, b2]), 8) coef from b3")
+r as (select * from w join o using (region, year) where x0 is not null and x1 is not null and x2 is not null), """ + _three("r", ("x0", "x1", "x2"), {"CORE": (1, 0, 0), "MID": (0, 1, 0), "OTHER": (0, 0, 1)}) + " select term, round(coef, 8) coef, round(se, 8) se, round(coef / se, 6) t from t3")
 def m04_mutual_controls(spark, d):
     wide = B.subpanel(spark, d).groupBy("region", "year").pivot("area", ["CORE", "MID", "OTHER"]).agg(F.log1p(F.sum("budget"))).dropna()
     out = S.two_way_fe(wide.join(B.panel(spark, d).select("region", "year", "outcome"), ["region", "year"]), "outcome", ["CORE", "MID", "OTHER"])
-    return rnd(out.select("term", "coef"), 8)
+    return rnd(rnd(out.select("term", "coef", "se", "t"), 8, "coef", "se"), 6, "t")
 
 
 @query("with " + B.PANEL + """, r as (select region, year, outcome y, case when right(region, 1)::int % 3 = 0 then ln(1 + budget) else 0 end x0, case when right(region, 1)::int % 3 = 1 then ln(1 + budget) else 0 end x1,
-case when right(region, 1)::int % 3 = 2 then ln(1 + budget) else 0 end x2 from panel), """ + _three("r", ("x0", "x1", "x2")) + " select unnest(['0', '1', '2', '1 - 0', '2 - 0', '2 - 1']) term, round(unnest([b0, b1, b2, b1 - b0, b2 - b0, b2 - b1]), 7) coef from b3")
+case when right(region, 1)::int % 3 = 2 then ln(1 + budget) else 0 end x2 from panel), """ + _three("r", ("x0", "x1", "x2"), {"0": (1, 0, 0), "1": (0, 1, 0), "2": (0, 0, 1), "1 - 0": (-1, 1, 0), "2 - 0": (-1, 0, 1), "2 - 1": (0, -1, 1)}) + " select term, round(coef, 7) coef, round(se, 7) se from t3")
 def m06_interactions(spark, d):
     p = B.panel(spark, d).withColumn("x", F.log1p("budget")).withColumn("cluster", F.right(F.col("region"), F.lit(1)).cast("int") % 3)
     slopes, diffs = S.interaction_fe(p, "outcome", "x", "cluster", [0, 1, 2])
-    return rnd(slopes.unionByName(diffs).select("term", "coef"), 7)
+    return rnd(slopes.unionByName(diffs).select("term", "coef", "se"), 7)
 
 
 @query(_PX + "names as (select distinct region omitted from p union all select '(none)'), v as (select p.*, omitted from p join names on region <> omitted), " + _fe("v", "omitted") + " select nullif(omitted, '(none)') omitted, round(coef, 9) coef, round(se, 9) se, n, n_regions, resid_df from fe")

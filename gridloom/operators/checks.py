@@ -12,13 +12,20 @@ SHOWN = 10
 
 
 class CheckFailed(ValueError):
-    """A data-quality contract is broken."""
+    """A data-quality contract is broken; ``rows`` holds the offending rows that are shown."""
+
+    def __init__(self, message: str, rows: Sequence[dict] = ()):
+        super().__init__(message)
+        self.rows = list(rows)
 
 
 def fail_if_any(bad: DataFrame, message: str) -> None:
+    """Raise if there is a row, and show the first SHOWN in the order of their columns; they are sorted only then."""
     rows = bad.limit(SHOWN).collect()
     if rows:
-        raise CheckFailed(f"{message}: {[r.asDict() for r in rows]}")
+        order = [c for c, kind in bad.dtypes if not kind.startswith(("map", "variant"))]
+        shown = [r.asDict() for r in (bad.orderBy(*order).limit(SHOWN).collect() if order else rows)]
+        raise CheckFailed(f"{message}: {shown}", shown)
 
 
 def require_columns(df: DataFrame, cols: Sequence[str], label: str = "table") -> DataFrame:

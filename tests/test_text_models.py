@@ -209,3 +209,35 @@ def test_cosine_pairs_equal_all_dot_products(spark, monkeypatch, t, hot):
     for w in (normed, T.tfidf(df, "id", T.word_tokens(F.col("t")), normed=False)):
         got = {(r["a"], r["b"]): r["cosine"] for r in T.cosine_pairs(w, t).collect()}
         assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_tries_of_kmeans_equal_their_own_rounds(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(60, 3)) + c for c in ((0, 0, 0), (4, 0, 1), (0, 5, 2))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>").repartition(3)
+    tries = [(k, s) for k in (1, 2, 3, 5) for s in (0, 1, 2)]
+    for got in L.lloyd(df, "id", "x", tries):
+        import hashlib
+
+        order = sorted(range(len(x)), key=lambda i: (hashlib.md5(f"{got.seed}:{i}".encode()).hexdigest(), i))
+        cents = x[order[: got.k]].copy()
+        for _ in range(200):
+            at = ((x[:, None] - cents[None]) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.array([x[at == j].mean(axis=0) if (at == j).any() else cents[j] for j in range(got.k)])
+            if np.abs(new - cents).max() <= 1e-12:
+                break
+            cents = new
+        assert np.allclose(sorted(map(tuple, cents)), got.centres) and sum(got.sizes) == len(x)
+        assert got.wcss == pytest.approx(((x[:, None] - cents[None]) ** 2).sum(axis=2).min(axis=1).sum())
+    with pytest.raises(CheckFailed, match="fewer rows"):
+        L.lloyd(df.limit(2), "id", "x", [(3, 0)])
+
+
+def test_the_fit_is_an_optimum_and_an_early_stop_is_not(spark):
+    rows = [(i, f"{w} {n}", w) for i, (w, n) in enumerate((w, n) for w in ("iron", "bread", "silk") for n in ("one", "two", "three", "four"))] + [(99, "", "iron")]
+    df = spark.createDataFrame(rows, "id int, text string, label string")
+    done = L.fit_text_classifier(df, "id", "text", "label", max_iter=500, tol=1e-13)
+    early = L.fit_text_classifier(df, "id", "text", "label", max_iter=2)
+    a, b = (L.optimality(m, df, "id", "text", "label").first() for m in (done, early))
+    assert a["residual"] < 1e-7 < 1e-4 < b["residual"] and a["n_features"] == done.idf.count() == done.idf.select("slot").distinct().count() and a["n_rows"] == 13
+    assert done.idf.agg(F.max("slot")).first()[0] == a["n_features"] - 1
