@@ -44,6 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.staging import discard, materialize, numbered
+from gridloom.llm.caches import hold
 from gridloom.operators.graph import connected_components
 
 #: Cuts of the global order for counting overlaps.
@@ -96,6 +97,7 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
+    hold(_HASHES)
     ids = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
     m = max(1, len(ids) - n + 1)
     out = np.full(m, len(ids) if len(ids) < n else n, dtype=np.uint64)

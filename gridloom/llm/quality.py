@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.caches import hold
+
 DIMS = 1 << 18
 #: Most rated rows that the model is fitted on.
 MAX_RATED = 10_000
@@ -53,7 +55,11 @@ class _Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.slots = np.zeros((CACHED_WORDS, 4), dtype=np.int64)
+        self.slots = np.zeros((0, 4), dtype=np.int64)
+
+    def clear(self) -> None:
+        super().clear()
+        self.slots = np.zeros((0, 4), dtype=np.int64)
 
     def __missing__(self, word: bytes) -> int:
         shape = word
@@ -63,7 +69,7 @@ class _Words(dict):
         letters = bare.decode(errors="replace")
         row = len(self)
         if row == len(self.slots):
-            self.slots = np.concatenate([self.slots, np.zeros_like(self.slots)])
+            self.slots = np.concatenate([self.slots, np.zeros((max(row, 1024), 4), dtype=np.int64)])
         self.slots[row] = (_slot(b"w:" + bare), _slot(b"s:" + shape), _slot(b"3:" + letters[:3].encode()), _slot(b"5:" + letters[:5].encode()))
         self[word] = row
         return row
@@ -91,6 +97,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(1, dtype=np.int64), np.ones(1)
     if max(map(len, words)) > PIECE:
         words = [piece for word in words for piece in _pieces(word)]
+    hold(_WORDS)
     if len(_WORDS) > CACHED_WORDS:  # between two texts the cache may start anew
         _WORDS.clear()
     rows = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.int64, count=len(words))

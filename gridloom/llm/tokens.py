@@ -12,6 +12,8 @@ import struct
 
 import numpy as np
 
+from gridloom.llm.caches import hold
+
 #: Most entries of each cache of a Python worker (about 100 MB); words beyond it are encoded each time.
 CACHE = 500_000
 #: Texts whose unknown words are encoded together.
@@ -144,6 +146,7 @@ _ENCODERS: dict[tuple[str, bool], TokenEncoder] = {}
 
 def encoder(path: str, drops_space: bool) -> TokenEncoder:
     """The encoder of this Python worker."""
+    hold(_ENCODERS)
     if (path, drops_space) not in _ENCODERS:
         _ENCODERS[path, drops_space] = TokenEncoder(path, drops_space)
     return _ENCODERS[path, drops_space]

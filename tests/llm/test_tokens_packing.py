@@ -91,3 +91,17 @@ def test_cut_document_covers_every_id():
     ids = np.arange(5000, dtype="<u4").tobytes()
     cuts = cut_document(ids)
     assert [a for a, _, _ in cuts] == [0, *np.cumsum([n for _, n, _ in cuts])[:-1]] and sum(n for _, n, _ in cuts) == 5000
+
+
+def test_a_worker_keeps_the_words_of_one_operator():
+    from gridloom.llm import caches, jaccard, quality
+
+    first = quality.features(b"some words here, some words")
+    assert len(quality._WORDS) == 3
+    jaccard.shingle_set(b"a b c d", 3)
+    assert len(quality._WORDS) == 0 and len(quality._WORDS.slots) == 0 and len(jaccard._HASHES) == 4
+    jaccard.shingle_set(b"a b c e", 3)
+    assert len(jaccard._HASHES) == 5
+    again = quality.features(b"some words here, some words")
+    assert all((a == b).all() for a, b in zip(first, again, strict=True)) and len(jaccard._HASHES) == 0
+    assert caches._HELD == [quality._WORDS]
