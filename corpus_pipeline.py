@@ -6,7 +6,7 @@ it again for the next.
 
 Defined cases, in every stage: a null text counts as an empty one; very long texts are used whole; rows that
 repeat are rows of their own (of which near duplicates keep one); other columns, whatever their names, pass
-unchanged; an empty table gives an empty one.
+unchanged in all stages but packing, whose rows are pieces; an empty table gives an empty one.
 """
 
 from __future__ import annotations
