@@ -211,6 +211,29 @@ def test_cosine_pairs_equal_all_dot_products(spark, monkeypatch, t, hot):
         assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want)
 
 
+def test_cosine_pairs_of_many_blocks_write_only_what_reaches_the_threshold(spark, monkeypatch):
+    """All documents share a word: every pair meets in a cell, and no table of met pairs is written."""
+    monkeypatch.setattr(T, "HOT", 7)
+    whole, written = T.materialize, []
+
+    def count(df, label="table", options=None):
+        out = whole(df, label, options)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(T, "materialize", count)
+    texts = [f"same w{i // 2} v{i % 40}" for i in range(240)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    w = T.tfidf(df, "id", T.word_tokens(F.col("t"), 1), normed=False)
+    want = sorted((r["a"], r["b"], round(r["cosine"], 9)) for r in T.cosine_pairs(w, 0.4).collect())
+    monkeypatch.setattr(T, "SMALL", 1)
+    monkeypatch.setattr(T, "GRID", 2)
+    monkeypatch.setattr(T, "BLOCK", 150)
+    assert sorted((r["a"], r["b"], round(r["cosine"], 9)) for r in T.cosine_pairs(w, 0.4).collect()) == want
+    pairs = [n for label, n in written if label == "cosine-pairs"]
+    assert len(pairs) == 1 + 3 and pairs[0] == sum(pairs[1:]) == len(want) < 240 * 239 / 4
+
+
 def test_tries_of_kmeans_equal_their_own_rounds(spark):
     rng = np.random.default_rng(12)
     x = np.concatenate([rng.normal(size=(60, 3)) + c for c in ((0, 0, 0), (4, 0, 1), (0, 5, 2))])
