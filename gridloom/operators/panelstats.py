@@ -15,7 +15,7 @@ from gridloom.functions.staging import materialize
 from gridloom.operators.checks import CheckFailed, assert_unique, fail_if_any
 from gridloom.operators.graph import connected_components
 from gridloom.operators.quantiles import beside
-from gridloom.operators.ranges import running_total
+from gridloom.operators.ranges import ranged, running_total
 from gridloom.operators.windows import absorb, rank_min, two_way_demean, zscore
 
 # ------------------------------------------------------------------ Student t
@@ -393,14 +393,34 @@ def fe_grid(df: DataFrame, specs: Sequence[tuple[str, str, str]], flag: str | No
 
 
 def bh(df: DataFrame, family: Sequence[str], p: str = "p", alpha: float = 0.05) -> DataFrame:
-    """Benjamini-Hochberg ``q`` and ``reject`` within a family; null p are left out."""
-    df = df.withColumn("_has", F.col(p).isNotNull())
-    w = Window.partitionBy(*family, "_has").orderBy(p)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*family, "_has"))
-    df = df.withColumn("_raw", F.col(p) * m / F.row_number().over(w))
-    q = F.min("_raw").over(w.rowsBetween(0, Window.unboundedFollowing))
-    df = df.withColumn("q", F.when(F.col("_has"), F.least(q, F.lit(1.0))))
-    return df.withColumn("reject", F.coalesce(F.col("q") <= alpha, F.lit(False))).drop("_has", "_raw")
+    """Benjamini-Hochberg ``q`` and ``reject`` within a family, equal p sharing theirs; null p are left out.
+
+    Equal p are counted first.  The distinct ones are dealt by ranges of (family, p): a range counts upwards and takes
+    the least raw value downwards, each in one pass, and goes on from what the ranges before and behind it hold (a row per
+    family and range).  So neither a large family nor a frequent p meets in one task.
+    """
+    family = list(family)
+    # Read twice: p that were added up anew might differ in their last digit.
+    df = materialize(df, "p-values")
+    sizes = df.where(F.col(p).isNotNull()).groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n"))
+    rows = ranged(sizes, *family, p)
+    inside = Window.partitionBy("_range", *family)
+    over = Window.partitionBy(*family)
+    ahead = over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("_range", *family).agg(F.sum("_n").alias("_t"))
+    ends = ends.select("_range", *family, F.coalesce(F.sum("_t").over(ahead), F.lit(0)).alias("_before"), F.sum("_t").over(over).alias("_m"))
+    place = F.col("_before") + F.sum("_n").over(inside.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))
+    raw = materialize(beside(rows, ends, ["_range", *family]).withColumn("_raw", F.col(p) * F.col("_m") / place), "bh")
+    behind = over.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    least = raw.groupBy("_range", *family).agg(F.min("_raw").alias("_least"))
+    least = least.select("_range", *family, F.min("_least").over(behind).alias("_later"))
+    own = F.min("_raw").over(inside.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0))
+    q = beside(raw, least, ["_range", *family]).withColumn("q", F.least(own, "_later", F.lit(1.0))).select(*family, p, "q")
+    cond = df[p] == q[p]
+    for k in family:
+        cond = cond & df[k].eqNullSafe(q[k])
+    out = df.join(q, cond, "left").select(*[df[c] for c in df.columns], q["q"])
+    return out.withColumn("reject", F.coalesce(F.col("q") <= alpha, F.lit(False)))
 
 
 def subgroup_fe(df: DataFrame, y: str, x: str, keys: Sequence[str], family: Sequence[str], **kw) -> DataFrame:

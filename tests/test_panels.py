@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +178,20 @@ def test_bh_and_psi(spark):
     assert S.psi(a, a.select((F.col("v") + 5).alias("v")), "v").first()["psi"] > 0.2
 
 
+def test_bh_of_large_families(spark):
+    """60,000 different p of one family, with ties, nulls and a null family, in linear work."""
+    n = 60_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 7 > 0, "f").alias("fam"), F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64((F.col("id") / 2).cast("long")), F.lit(10**9)) / F.lit(1e9)).alias("p"))
+    began = time.perf_counter()
+    got = S.bh(df, ["fam"]).toPandas()
+    assert time.perf_counter() - began < 30 and len(got) == n and (got["q"].isna() == got["p"].isna()).all()
+    for _, g in got[got["p"].notna()].groupby("fam", dropna=False):
+        g = g.sort_values("p")
+        raw = g["p"].to_numpy() * len(g) / np.arange(1, len(g) + 1)
+        assert np.allclose(np.minimum(np.minimum.accumulate(raw[::-1])[::-1], 1), g["q"].to_numpy(), rtol=1e-12)
+        assert (g["reject"] == (g["q"] <= 0.05)).all()
+
+
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (7, 9), (1, 1), (None, 2)], "src long, dst long")
     got = {r["node"]: r["component"] for r in connected_components(e).collect()}
