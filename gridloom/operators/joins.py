@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as X
+from gridloom.functions.staging import materialize
 from gridloom.operators.checks import CheckFailed, assert_contiguous, assert_unique, fail_if_any, grid, null_safe_on
+from gridloom.operators.ranges import carry_forward
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", cardinality: str = "m:1", on_unmatched: str = "keep") -> DataFrame:
@@ -161,22 +163,32 @@ def apply_corrections(tables: Mapping[str, tuple[DataFrame, int]], rules: DataFr
 def anchored_match(left: DataFrame, right: DataFrame, value: str, order: str = "src_row", part: str = "region") -> DataFrame:
     """Match rows of equal value; ambiguous ones must lie between the nearest unique matches of the part.
 
-    Returns (part, left order, right order, how) for rows matched once.
+    Returns (part, left order, right order, how) for rows matched once.  Bounds, and the first right row of the value behind the
+    lower one, are carried along ranges of the order, so no pair of equal rows is made: a left row is matched
+    if that right row lies in front of the upper bound and the next one of the value does not.
     """
     def once(df: DataFrame, name: str) -> DataFrame:
-        return df.select(part, value, F.col(order).alias(name)).withColumn(f"_n_{name}", F.count(F.lit(1)).over(Window.partitionBy(part, value)))
-
-    a, b = once(left, "l_row"), once(right, "r_row")
-    unique = a.where("_n_l_row = 1").join(b.where("_n_r_row = 1"), [part, value]).select(part, "l_row", "r_row")
-    named = a.join(unique, [part, "l_row"], "left")
-    w = Window.partitionBy(part).orderBy("l_row")
-    lo = F.last("r_row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    hi = F.first("r_row", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    named = named.withColumns({"_lo": F.coalesce(lo, F.lit(-(2**62))), "_hi": F.coalesce(hi, F.lit(2**62))})
-    open_rows = named.where("r_row is null").select(part, value, "l_row", "_lo", "_hi")
-    cand = open_rows.join(b.select(part, value, F.col("r_row").alias("c_row")), [part, value]).where("c_row > _lo and c_row < _hi")
-    found = cand.groupBy(part, "l_row").agg(F.count(F.lit(1)).alias("n"), F.min("c_row").alias("r_row")).where("n = 1")
-    return unique.withColumn("how", F.lit("unique")).unionByName(found.select(part, "l_row", "r_row", F.lit("anchored").alias("how")))
+        return df.groupBy(part, value).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias(name)).where("_n = 1").drop("_n")
+
+    far = 2**62
+    a = left.select(part, value, F.col(order).alias("l_row"))
+    b = right.select(part, value, F.col(order).cast("long").alias("c_row"))
+    unique = materialize(once(left, "l_row").join(once(right, "r_row"), [part, value]).select(part, "l_row", "r_row"), "unique-matches")
+    named = a.join(unique, [part, "l_row"], "left").withColumns({"_lo": F.col("r_row").cast("long"), "_hi": F.col("r_row").cast("long"), "_back": -F.col("l_row")})
+    # An open row has no bound of its own, so the last one up to it is the last one in front of it.
+    bound = carry_forward(carry_forward(named, [part], "l_row", ["_lo"]), [part], "_back", ["_hi"])
+    open_rows = bound.where("r_row is null").select(part, value, "l_row", F.coalesce("_lo", F.lit(-far)).alias("_lo"), F.coalesce("_hi", F.lit(far)).alias("_hi"))
+    after = F.lead("c_row").over(Window.partitionBy(part, value).orderBy("c_row"))
+    at = lambda row, side, following: F.struct((-row).alias("at"), F.lit(side).alias("side"), (-following).alias("next")).alias("_at")
+    held = b.select(part, value, "c_row", after.alias("c_next"))
+    held = held.select(part, value, at(F.col("c_row"), 1, F.coalesce("c_next", F.lit(far))), F.struct("c_row", "c_next").alias("_c"))
+    # Downwards, a row that asks comes in front of the right rows of its own place: these are not behind the bound.
+    # Of right rows in one place the one that another of them follows comes last.
+    asks = open_rows.withColumn("_at", at(F.col("_lo"), 0, F.lit(0).cast("long")))
+    met = carry_forward(asks.unionByName(held, allowMissingColumns=True), [part, value], "_at", ["_c"]).where("l_row is not null")
+    found = met.where(f"`{part}` is not null and `{value}` is not null and _c.c_row < _hi and (_c.c_next is null or _c.c_next >= _hi)")
+    kind = dict(unique.dtypes)["r_row"]
+    return unique.withColumn("how", F.lit("unique")).unionByName(found.select(part, "l_row", F.col("_c.c_row").cast(kind).alias("r_row"), F.lit("anchored").alias("how")))
 
 
 #: Letters of a gram; shorter aliases are grams themselves.

@@ -78,6 +78,32 @@ def test_anchored_match(spark):
     assert got == {0: (10, "anchored"), 1: (11, "unique"), 2: (12, "unique"), 3: (13, "anchored")}
 
 
+def test_anchored_match_of_frequent_values(spark):
+    """One value in nearly all rows: as many pairs as 160 million, of which each bound leaves one, none or several."""
+    rng = np.random.default_rng(3)
+    v = [f"u{i}" if i % 3 == 1 else "same" if rng.random() < 0.9 else "other" for i in range(20_000)]
+    at = (np.arange(20_000) + rng.integers(0, 2, 20_000)).tolist()  # right places, some of them shared
+    l = spark.createDataFrame([("r", i, x) for i, x in enumerate(v)] + [("r", 20_000 + i, None) for i in range(3)], "region string, src_row int, v string")
+    r = spark.createDataFrame([("r", int(i), x) for i, x in zip(at, v, strict=True)] + [("r", 30_000, None)], "region string, src_row int, v string")
+    began = time.perf_counter()
+    got = {x["l_row"]: (x["r_row"], x["how"]) for x in J.anchored_match(l, r, "v").collect()}
+    assert time.perf_counter() - began < 40
+    unique = {i: at[i] for i, x in enumerate(v) if x[0] == "u"}
+    want = {i: (k, "unique") for i, k in unique.items()}
+    held = {}
+    for i, x in zip(at, v, strict=True):
+        held.setdefault(x, []).append(i)
+    held = {x: np.sort(k) for x, k in held.items()}
+    for i, x in enumerate(v):
+        if i not in unique:
+            lo = next((unique[k] for k in range(i - 1, -1, -1) if k in unique), -(2**62))
+            hi = next((unique[k] for k in range(i + 1, len(v)) if k in unique), 2**62)
+            some = held[x][np.searchsorted(held[x], lo, "right") : max(np.searchsorted(held[x], lo, "right"), np.searchsorted(held[x], hi, "left"))]
+            if len(some) == 1:
+                want[i] = (int(some[0]), "anchored")
+    assert got == want and len({h for _, h in want.values()}) == 2
+
+
 def test_progress_and_near_duplicates(spark):
     old = spark.createDataFrame([(2020, 1, "x", "confirmed", None), (2021, 1, " ", None, None)], "year int, k int, review_label string, status string, note string")
     new = spark.createDataFrame([(2020, 1, None, None, "keep"), (2021, 1, "y", None, None)], "year int, k int, review_label string, status string, note string")
