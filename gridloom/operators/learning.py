@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -34,60 +35,82 @@ class TextClassifier:
     text_cols: list[str]
 
 
-def _counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    rows = df.select(F.col(row_id).alias("doc_id"), F.explode(char_ngrams(F.col(text))).alias("gram"))
-    return rows.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+def _cut(grams: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, gram number, occurrences, grams) of a batch of rows with lists of grams, each gram of a row once."""
+    sizes = grams.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = grams.flatten().dictionary_encode()
+    many = max(1, len(coded.dictionary))
+    key, tf = np.unique(np.repeat(np.arange(len(grams)), sizes) * many + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return key // many, key % many, tf, coded.dictionary
 
 
-def _sparse(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Sorted and normed sparse vectors of a batch of rows with lists of slots and weights, in the layout of Spark's vectors."""
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that hold each gram, per batch, for rows of grams and the number of rows with that text."""
     for batch in batches:
-        sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(batch)), sizes)
-        slot, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-        order = np.lexsort((slot, row))
-        norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(batch)))
-        w = (w / np.where(norm > 0, norm, 1.0)[row])[order]
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        values = [pa.array(np.zeros(len(batch)), pa.int8()), pa.array(np.full(len(batch), width), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(slot[order], pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(w))]
-        kinds = [pa.field("type", pa.int8(), False), pa.field("size", pa.int32()), pa.field("indices", pa.list_(pa.field("element", pa.int32(), False))), pa.field("values", pa.list_(pa.field("element", pa.float64(), False)))]
-        values = [v.cast(k.type) for v, k in zip(values, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(values, fields=kinds)], names=["doc_id", "features"])
+        row, gram, _, grams = _cut(batch.column(0))
+        held = np.bincount(gram, weights=batch.column(1).to_numpy(zero_copy_only=False)[row], minlength=len(grams))
+        yield pa.RecordBatch.from_arrays([grams, pa.array(held.astype(np.int64))], names=["gram", "df"])
+
 
+def _sparse(held, width: int):
+    """Sorted and normed sparse vectors behind the other columns of a batch, in the layout of Spark's vectors; ``held`` is the broadcast vocabulary."""
 
-def _vectors(df: DataFrame, idf: DataFrame, row_id: str, text: str, width: int) -> DataFrame:
-    """``df`` with ``features``; a row without known grams has an empty vector."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, slots, idf = held.value
+        kinds = [pa.field("type", pa.int8(), False), pa.field("size", pa.int32()), pa.field("indices", pa.list_(pa.field("element", pa.int32(), False))), pa.field("values", pa.list_(pa.field("element", pa.float64(), False)))]
+        for batch in batches:
+            n = len(batch)
+            row, gram, tf, names = _cut(batch.column(batch.num_columns - 1))
+            place = pc.index_in(names, value_set=grams).fill_null(-1).to_numpy(zero_copy_only=False)[gram] if len(names) else gram
+            row, tf, place = row[place >= 0], tf[place >= 0], place[place >= 0]
+            w, slot = (1 + np.log(tf)) * idf[place], slots[place]
+            order = np.lexsort((slot, row))
+            norm = np.sqrt(np.bincount(row, weights=w * w, minlength=n))
+            w = (w / np.where(norm > 0, norm, 1.0)[row])[order]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32))
+            values = [pa.array(np.zeros(n), pa.int8()), pa.array(np.full(n, width), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(slot[order], pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(w))]
+            values = [v.cast(k.type) for v, k in zip(values, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.StructArray.from_arrays(values, fields=kinds)], names=[*batch.schema.names[:-1], "features"])
+
+    return work
+
+
+def _vectors(df: DataFrame, idf: DataFrame, text: str, width: int) -> DataFrame:
+    """``df`` with ``features``, made row by row; a row without known grams has an empty vector.
+
+    The vocabulary (at most ``LARGEST`` grams) reaches the tasks as Arrow columns; no row is shuffled or joined.
+    """
     from pyspark.ml.linalg import VectorUDT
 
-    w = _counts(df, row_id, text).join(idf, "gram").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
-    lists = w.groupBy("doc_id").agg(F.collect_list("slot").alias("slots"), F.collect_list("w").alias("ws"))
-    known = df.select(F.col(row_id).alias("doc_id")).distinct().join(lists, "doc_id", "left")
-    full = known.select("doc_id", F.coalesce("slots", F.array().cast("array<int>")).alias("slots"), F.coalesce("ws", F.array().cast("array<double>")).alias("ws"))
-    vec = full.mapInArrow(lambda batches: _sparse(batches, width), StructType([full.schema["doc_id"], StructField("features", VectorUDT())]))
-    return df.join(vec.withColumnRenamed("doc_id", row_id), row_id)
+    known = idf.select("gram", "slot", "idf").toArrow()
+    columns = known.column("gram").combine_chunks(), known.column("slot").to_numpy(), known.column("idf").to_numpy()
+    held = df.sparkSession.sparkContext.broadcast(columns)
+    rows = df.select(*df.columns, char_ngrams(F.col(text)).alias("_grams"))
+    return rows.mapInArrow(_sparse(held, width), StructType([*df.schema.fields, StructField("features", VectorUDT())]))
 
 
-def _training(df: DataFrame, row_id: str, text: str, label: str, min_df: int) -> tuple[DataFrame, DataFrame, list, int]:
-    """(rows with features, class number ``y`` and balanced weight ``wt``; vocabulary; classes; rows)."""
-    counts = _counts(df, row_id, text)
-    n = df.count()
-    grams = materialize(counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df).withColumn("one", F.lit(1)), "grams")
+def _training(df: DataFrame, text: str, label: str, min_df: int) -> tuple[DataFrame, DataFrame, list, int]:
+    """(distinct texts and labels with features, class number ``y`` and balanced weight ``wt`` of all their rows; vocabulary; classes; rows)."""
+    texts = materialize(df.groupBy(F.col(text).alias("text"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")), "texts")
+    sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # one row per class
+    n = sum(sizes.values())
+    counts = texts.select(char_ngrams(F.col("text")).alias("grams"), "n").mapInArrow(_holders, "gram string, df long")
+    grams = materialize(counts.groupBy("gram").agg(F.sum("df").alias("df")).where(F.col("df") >= min_df).withColumn("one", F.lit(1)), "grams")
     idf = running_total(grams, "gram", "one", "place").select("gram", (F.col("place") - 1).cast("int").alias("slot"), (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
     idf = materialize(idf, "idf")
     width = idf.count()
-    sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # one row per class
     if len(sizes) < 2 or not 0 < width <= LARGEST:
         raise CheckFailed(f"a classifier needs two classes and up to {LARGEST} grams: {len(sizes)} and {width}")
     labels = sorted(sizes, key=str)
     index = F.create_map(*[x for i, k in enumerate(labels) for x in (F.lit(k), F.lit(float(i)))])
     weight = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(n / (len(labels) * sizes[k])))])
-    rows = _vectors(df, idf, row_id, text, width).select("features", index[F.col(label)].alias("y"), weight[F.col(label)].alias("wt"))
+    rows = _vectors(texts, idf, "text", width).select("features", index[F.col("label")].alias("y"), (weight[F.col("label")] * F.col("n")).alias("wt"))
     return materialize(rows, "train"), idf, labels, n
 
 
 def fit_text_classifier(df: DataFrame, row_id: str, text: str, label: str, min_df: int = 2, c: float = 1.0, max_iter: int = 50, tol: float = 1e-6) -> TextClassifier:
     """Character n-grams, sublinear TF-IDF and a multinomial logistic regression with balanced class weights; exact vocabulary."""
-    train, idf, labels, n = _training(df, row_id, text, label, min_df)
+    train, idf, labels, n = _training(df, text, label, min_df)
     lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="wt", family="multinomial", standardization=False, regParam=1.0 / (c * n), maxIter=max_iter, tol=tol)
     return TextClassifier(lr.fit(train), [str(x) for x in labels], idf, [text])
 
@@ -98,7 +121,7 @@ def optimality(clf: TextClassifier, df: DataFrame, row_id: str, text: str, label
     Per class and gram the weighted errors times the features, averaged, plus the penalty must vanish, and per class the averaged errors.
     The residuals are added up as (class, gram) rows, never as a matrix.
     """
-    train, _, labels, n = _training(df, row_id, text, label, min_df)
+    train, _, labels, n = _training(df, text, label, min_df)
     scored = clf.model.transform(train).select("y", "wt", vector_to_array("probability").alias("p"), "features")
     errors = F.transform("p", lambda p, j: (p - F.when(F.col("y") == j, 1.0).otherwise(0.0)) * F.col("wt"))
     rows = scored.select(errors.alias("e"), F.unwrap_udt("features").alias("x"))
@@ -126,7 +149,7 @@ def optimality(clf: TextClassifier, df: DataFrame, row_id: str, text: str, label
 
 def predict_labels(clf: TextClassifier, df: DataFrame, row_id: str, text: str, low: float = 0.5, taxonomy: DataFrame | None = None) -> DataFrame:
     """Label, confidence (largest probability), low-confidence flag and, with a taxonomy, the parent."""
-    out = clf.model.transform(_vectors(df, clf.idf, row_id, text, clf.model.numFeatures))
+    out = clf.model.transform(_vectors(df, clf.idf, text, clf.model.numFeatures))
     names = F.array(*[F.lit(x) for x in clf.labels])
     out = out.withColumn("pred_label", F.element_at(names, (F.col("prediction") + 1).cast("int"))).withColumn("confidence", F.array_max(vector_to_array("probability")))
     out = out.withColumn("low_confidence", F.col("confidence") < low).drop("features", "rawPrediction", "probability", "prediction")
