@@ -177,7 +177,8 @@ def group_folds(df: DataFrame, group: str, label: str, k: int) -> DataFrame:
 
 def group_cv(df: DataFrame, row_id: str, text: str, label: str, group: str, k: int = 3, **kw) -> tuple[DataFrame, DataFrame]:
     """(out-of-fold predictions, metrics)."""
-    rows = df.join(group_folds(df, group, label, k), group)
+    # One row per group, which the driver holds anyway; Spark knows no size of it and would send the rows instead.
+    rows = df.join(F.broadcast(group_folds(df, group, label, k)), group)
     parts = None
     for fold in range(k):
         clf = fit_text_classifier(rows.where(F.col("fold") != fold), row_id, text, label, **kw)

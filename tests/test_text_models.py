@@ -90,6 +90,27 @@ def test_classifier_round_trip(spark, tmp_path):
         L.group_folds(df, "grp", "label", 9)
 
 
+def test_classifier_shuffles_no_rows(spark, monkeypatch):
+    """Features are made where the rows are, repeated texts are fitted once with the weight of all, and folds come to the rows."""
+    whole, seen = L.materialize, {}
+
+    def note(df, label="table", options=None):
+        out = whole(df, label, options)
+        seen[label] = (df._jdf.queryExecution().executedPlan().toString(), out.count())
+        return out
+
+    monkeypatch.setattr(L, "materialize", note)
+    data = [(i, [None, "bolt one", "bolt two", "bread one", "bread two", ""][i % 6], ["food", "metal", "metal", "food", "food", "food"][i % 6], i % 4) for i in range(240)]
+    df = spark.createDataFrame(data, "id int, text string, label string, grp int")
+    clf = L.fit_text_classifier(df, "id", "text", "label", max_iter=20)
+    assert seen["train"][1] == 6 and clf.idf.where("gram = ' b'").first()["idf"] == pytest.approx(math.log(241 / 161) + 1)
+    got = L.predict_labels(clf, df, "id", "text")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 240 and got.where("pred_label <> label").count() == 0
+    L.group_cv(df, "id", "text", "label", "grp", k=2, max_iter=5)
+    assert "Exchange hashpartitioning" not in seen["cv"][0] and seen["cv"][0].count("Exchange") == seen["cv"][0].count("BroadcastExchange") and seen["cv"][1] == 240
+
+
 def test_kmeans_profiles(spark):
     df = spark.createDataFrame([(i, float(i % 2) * 10 + i * 0.01, float(i % 2)) for i in range(20)], "id int, a double, b double")
     out, centres = L.kmeans_profiles(df, "id", ["a", "b"], 2)
