@@ -113,3 +113,11 @@ def test_reshape(spark):
         R.pivot_strict(long, ["k"], "g", "v", ["x", "y"])
     assert rows(R.pivot_strict(long.where("k = 'a'"), ["k"], "g", "v", ["x", "y"]), "k") == [("a", 1.0, 2.0)]
     assert [r[0] for r in R.order_by_list(long, "g", ["y", "x"], "k").select("g").collect()] == ["y", "x", "x"]
+
+
+def test_audit_makes_its_flags_once(spark):
+    df = spark.range(6).select("id", F.when(F.col("id") % 2 == 0, "10 apples").otherwise("plain").alias("a"), F.lit("9 apples").alias("b"))
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    got = C.reason_histogram(C.audit_candidates(df, "a", "b"))
+    assert plan(got) == plan(df.select(X.preservation_flags(F.col("a"), F.col("b")).alias("flags"))) > 0
+    assert {r["reason"]: r["n"] for r in got.collect()} == {"numbers differ": 6, "quantities differ": 6}
