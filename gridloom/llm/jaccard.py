@@ -9,8 +9,11 @@ sets.  Sizes fall into classes whose bounds grow by 3/2, so partners are in the
 classes; each class has its own number of fragments, and a set emits one key per non-empty fragment for its
 own class and, if it can have partners there, for the next.  Equal empty fragments say nothing, so a set
 with too many empty ones is cut anew under another hash seed (and at last emits its empty fragments too).
-No pair is lost.  Keys are reduced to the leader of each; the keys that more than one set holds are joined
-back, which Spark can split where a key is hot.
+No pair is lost.  There are a quarter more fragments than that, so of m non-empty ones at least m - D are
+untouched, and a set can do without the m - D - 1 of its keys that most sets hold: every set orders keys alike, so
+both sets of a pair keep the rarest key that they share.  A line that many texts hold therefore makes no candidates
+of texts that share little else.  Keys are dealt once, those that more than one set holds are kept with their
+frequency, and what is left of them is reduced to the leader of each.
 
 Sketches.  A set carries the parities of its hashes over two to four bits per n-gram.  The parities of two
 sets differ in at most as many bits as the sets in n-grams, so a pair whose parities differ in more than D
@@ -40,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.staging import discard, materialize, numbered
@@ -56,6 +59,8 @@ BLOCK, WIDE = 1024, 512
 #: Parity bits worked on at once in a cell.
 STRIPE = 4096
 SALTS = 32
+#: One fragment more for so many that may differ: with fewer, many sets have too many empty ones and are cut anew.
+SPARE = 4
 #: Bits of a key; keys that meet by chance cost a comparison of sketches.
 KEY = np.uint64((1 << 48) - 1)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -134,7 +139,7 @@ def fragments_of(last: int, t: tuple[int, int]) -> tuple[int, int]:
     """(largest difference D, number of fragments) of the class that ends at ``last``."""
     p, q = t
     most = 2 * last * (q - p) // (q + p)
-    return most, most + 1 + (0 if most < 3 else 1 + most // 20)
+    return most, most + 1 + (0 if most < 3 else 1 + most // SPARE)
 
 
 def fragment_keys(hashes: np.ndarray, level: int, last: int, t: tuple[int, int]) -> list[np.ndarray]:
@@ -158,9 +163,21 @@ def fragment_keys(hashes: np.ndarray, level: int, last: int, t: tuple[int, int])
     return out
 
 
+def keys_and_spare(hashes: np.ndarray, level: int, last: int, t: tuple[int, int]) -> tuple[np.ndarray, int]:
+    """Keys of a set at a class, and how many of them, the most frequent ones, it can do without."""
+    parts = fragment_keys(hashes, level, last, t)
+    if not parts:
+        return np.zeros(0, dtype=np.int64), 0
+    keys = np.unique(np.concatenate(parts) & KEY).view(np.int64)
+    return keys, len(keys) - fragments_of(last, t)[0] - 1 if len(parts) == 1 else 0
+
+
 def _sets(rows: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
-    """``(doc_id, row, n, sig, keys, sketch)``; within a task, only the first of equal sets carries its keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    """``(doc_id, row, n, sig, keys, spare, up_keys, up_spare, sketch)``, ``up`` for the next class.
+
+    Within a task, only the first of equal sets carries its keys.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("keys", pa.list_(pa.int64())), ("spare", pa.int32()), ("up_keys", pa.list_(pa.int64())), ("up_spare", pa.int32()), ("sketch", pa.list_(pa.int64()))])
     p, q = t
     bounds = size_classes(1 << 40, t)
     firsts = np.array([a for a, _ in bounds])
@@ -168,27 +185,48 @@ def _sets(rows: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in _slices(batches):
-            sizes, sigs, keys, sketches = [], [], [], []
+            sizes, sigs, own, up, sketches = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 hashes = shingle_set(text, n)
                 sig = xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
                 sizes.append(len(hashes))
                 sigs.append(sig)
                 if len(hashes) == 0 or sig in seen:
-                    keys.append(None)
+                    own.append((None, None))
+                    up.append((None, None))
                     sketches.append(None)
                     continue
                 seen.add(sig)
                 level = int(np.searchsorted(firsts, len(hashes), side="right")) - 1
-                levels = (level, level + 1) if len(hashes) * q >= p * bounds[level + 1][0] else (level,)
-                parts = [k for j in levels for k in fragment_keys(hashes, j, bounds[j][1], t)]
-                keys.append(np.unique(np.concatenate(parts) & KEY).view(np.int64) if parts else np.zeros(0, dtype=np.int64))
+                own.append(keys_and_spare(hashes, level, bounds[level][1], t))
+                reaches = len(hashes) * q >= p * bounds[level + 1][0]
+                up.append(keys_and_spare(hashes, level + 1, bounds[level + 1][1], t) if reaches else (None, None))
                 sketches.append(parities(hashes))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, sketches)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(sigs, pa.int64()), *lists], schema=schema)
+            dealt = [x for side in (own, up) for x in (pa.array([k for k, _ in side], pa.list_(pa.int64())), pa.array([m for _, m in side], pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(sigs, pa.int64()), *dealt, pa.array(sketches, pa.list_(pa.int64()))], schema=schema)
 
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, row long, n int, sig long, keys array<long>, sketch array<long>")
+    return rows.mapInArrow(work, "doc_id long, row long, n int, sig long, keys array<long>, spare int, up_keys array<long>, up_spare int, sketch array<long>")
+
+
+def _stars(whole: DataFrame) -> DataFrame:
+    """``(a, b, nb)``: the leader of every key that sets keep, with the other sets that keep it.
+
+    All keys are dealt once; a set has hundreds of them, so one that a third of all sets hold is no large part.
+    """
+    own = whole.select(F.explode("keys").alias("key"), "sig", "n", "spare", F.lit(False).alias("up"))
+    up = whole.select(F.explode("up_keys").alias("key"), "sig", "n", F.col("up_spare").alias("spare"), F.lit(True).alias("up"))
+    key = Window.partitionBy("key")
+    shared = own.unionByName(up).repartition("key").withColumns({"many": F.count(F.lit(1)).over(key), "least": F.min("sig").over(key), "most": F.max("sig").over(key)})
+    shared = materialize(shared.where("least <> most").drop("least", "most"), "jaccard-shared")
+    # Equal sets of other tasks have the same keys and so the same ranks.
+    by_set = Window.partitionBy("sig", "up").orderBy(F.desc("many"), "key")
+    kept = shared.withColumn("at", F.dense_rank().over(by_set)).where("at > spare").select("key", "sig", "n")
+    kept = materialize(kept, "jaccard-kept")
+    leaders = kept.groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("tail")).where("a <> tail").select("key", "a")
+    stars = materialize(kept.join(leaders, "key").where("sig <> a").select("a", F.col("sig").alias("b"), F.col("n").alias("nb")).distinct(), "jaccard-stars")
+    discard(shared, kept)
+    return stars
 
 
 def _parts(texts: DataFrame, n: int) -> DataFrame:
@@ -362,15 +400,9 @@ def jaccard_groups(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     """
     rows = numbered(docs.select("doc_id", "text"), "row")
     whole = materialize(_sets(rows, n, t), "jaccard-sets", {"parquet.writer.version": "PARQUET_2_0"})  # packs sorted keys
-    keyed = whole.where("keys is not null").select(F.explode("keys").alias("key"), "sig", "n")
-    # The leader of every key that more than one set holds.  Few keys are shared, so they are dealt before they
-    # are aggregated; a set has hundreds of them, so one that a third of all sets hold is no large part.
-    shared = keyed.select("key", "sig").repartition("key").groupBy("key").agg(F.min("sig").alias("a"), F.max("sig").alias("tail")).where("a <> tail").select("key", "a")
-    shared = materialize(shared, "jaccard-shared")
-    stars = keyed.join(shared, "key").where("sig <> a").select("a", F.col("sig").alias("b"), F.col("n").alias("nb")).distinct()
-    stars = materialize(stars, "jaccard-stars")
-    sets = materialize(whole.drop("keys"), "jaccard-ids")
-    discard(whole, shared)
+    stars = _stars(whole)
+    sets = materialize(whole.select("doc_id", "row", "n", "sig", "sketch"), "jaccard-ids")
+    discard(whole)
 
     held = stars.select(F.col("a").alias("sig")).unionByName(stars.select(F.col("b").alias("sig"))).distinct()
     sketches = sets.where("sketch is not null").join(held, "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))

@@ -411,3 +411,49 @@ def test_words_without_spaces_are_read_in_whole():
 
 def test_one_grade_gives_the_prior():
     assert not fit_ordinal([b"a b", b"c d"], np.array([1, 1]), 3).weights.any()
+
+
+def test_common_passages_make_no_candidates(spark, monkeypatch):
+    """Texts that share a passage and little else meet in no pair; copies among them are still found."""
+    rng = np.random.default_rng(4)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join([*passage, *(f"u{rng.integers(1 << 40)}" for _ in range(220 + k % 5))]) for k in range(120)]
+    texts += [texts[k].rsplit(" ", 3)[0] for k in range(0, 120, 20)]
+    counts = {}
+
+    def counted(df, label="table", *options):
+        out = materialize(df, label, *options)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard_groups(df, 5, (8, 10)).orderBy("doc_id").toPandas()
+    assert got["component_id"].tolist() == [*range(120), *range(0, 120, 20)]
+    assert counts["jaccard-stars"] <= 2 * 6
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 2**32), st.sampled_from([(9, 10), (8, 10)]))
+def test_similar_sets_keep_a_key_without_their_frequent_ones(size, seed, t):
+    rng = np.random.default_rng(seed)
+    p, q = t
+    a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+    gone = int(len(a) * (q - p) / (q + p))
+    b = np.union1d(rng.permutation(a)[gone:], rng.integers(0, 2**63, int(rng.integers(0, gone + 1))).astype(np.uint64))
+    if len(np.intersect1d(a, b)) * q < p * len(np.union1d(a, b)) or len(a) == len(b) and (a == b).all():
+        return
+    bounds = size_classes(10_000, t)
+    often: dict[int, int] = {}
+
+    def kept(x):
+        level = next(i for i, (lo, hi) in enumerate(bounds) if lo <= len(x) <= hi)
+        out = set()
+        for j in (level, level + 1):
+            keys, spare = jaccard.keys_and_spare(x, j, bounds[j][1], t)
+            assert spare >= 0
+            ranked = sorted(keys.tolist(), key=lambda k: (-often.setdefault(k, int(rng.integers(1, 9))), k))
+            out |= set(ranked[spare:])
+        return out
+
+    assert kept(a) & kept(b)
