@@ -105,3 +105,15 @@ def test_a_worker_keeps_the_words_of_one_operator():
     again = quality.features(b"some words here, some words")
     assert all((a == b).all() for a, b in zip(first, again, strict=True)) and len(jaccard._HASHES) == 0
     assert caches._HELD == [quality._WORDS]
+
+
+def test_a_change_of_caches_gives_memory_back(monkeypatch):
+    from gridloom.llm import caches
+
+    calls = []
+    monkeypatch.setattr(caches, "_HELD", [])
+    monkeypatch.setattr(caches, "_release", lambda: calls.append(1))
+    first, second = {1: 1}, {2: 2}
+    for cache in (first, first, second, second, first):
+        caches.hold(cache)
+    assert len(calls) == 3 and first == {} and second == {}
