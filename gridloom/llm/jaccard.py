@@ -434,6 +434,7 @@ def jaccard_groups(docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
     lookup = named.join(least, "c").select("sig", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = sets.select("doc_id", "n", "sig", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = out.join(materialize(lookup, "jaccard-lookup"), ["sig", "salt"], "left")
+    # The repeated rows pack to a thirtieth of what they take in memory, so the size of their file must not call for a broadcast.
+    out = out.join(materialize(lookup, "jaccard-lookup").hint("merge"), ["sig", "salt"], "left")
     alone = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), alone.alias("component_id"))

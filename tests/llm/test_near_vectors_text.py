@@ -413,6 +413,16 @@ def test_one_grade_gives_the_prior():
     assert not fit_ordinal([b"a b", b"c d"], np.array([1, 1]), 3).weights.any()
 
 
+def test_repeated_component_rows_are_not_broadcast(spark):
+    """They take thirty times the memory that their file shows, so a threshold on the file's size must not decide."""
+    df = spark.createDataFrame(list(enumerate(texts_with_copies())), "doc_id long, text string")
+    out = jaccard_groups(df, 3, (9, 10))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert out.count() == len(texts_with_copies())
+
+
 def test_common_passages_make_no_candidates(spark, monkeypatch):
     """Texts that share a passage and little else meet in no pair; copies among them are still found."""
     rng = np.random.default_rng(4)
