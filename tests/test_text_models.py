@@ -255,6 +255,47 @@ def test_cosine_pairs_of_many_blocks_write_only_what_reaches_the_threshold(spark
     assert len(pairs) == 1 + 3 and pairs[0] == sum(pairs[1:]) == len(want) < 240 * 239 / 4
 
 
+def test_cosine_pairs_are_not_joined_with_their_names_again(spark):
+    """Pairs grow with the square of the documents; they leave their cells whole, whatever the type of an id."""
+    texts = [(("p", f"d{i}"), f"same w{i // 2} v{i % 7}") for i in range(60)]
+    df = spark.createDataFrame(texts, "id struct<part: string, name: string>, t string")
+    out = T.cosine_pairs(T.tfidf(df, "id", T.word_tokens(F.col("t"), 1), normed=False), 0.5)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.collect()
+    assert {("d0", "d1"), ("d2", "d3")} <= {(r["a"]["name"], r["b"]["name"]) for r in got} and all(r["a"] < r["b"] for r in got)
+    assert out.schema["a"].dataType == df.schema["id"].dataType
+
+
+@pytest.mark.parametrize("own", [True, False])
+@pytest.mark.parametrize("k", [5, 48, 300])
+def test_folded_vectors_bound_the_cosine(k, own):
+    """No pair that reaches t is refused, whatever the buckets, and with many buckets few others are verified."""
+    rng, t = np.random.default_rng(k), 0.5
+    share = 1 / np.arange(1, 301)
+
+    def vectors(n):
+        sizes = rng.integers(1, 25, n)
+        terms = np.concatenate([np.sort(rng.choice(300, m, replace=False, p=share / share.sum())) for m in sizes])
+        w = rng.random(len(terms)) / share[terms] ** 0.3
+        return sizes, terms, w / np.sqrt(np.bincount(np.repeat(np.arange(n), sizes), weights=w * w))[np.repeat(np.arange(n), sizes)]
+
+    sides = [vectors(700)] * 2 if own else [vectors(700), vectors(1100)]
+    shared = np.intersect1d(sides[0][1], sides[1][1])
+    a, b = (T._block(*side, shared) for side in sides)
+    bucket = T._buckets(np.bincount(b.at, weights=b.w, minlength=len(shared)), k)
+    fa, fb = (T._folded(x, np.arange(len(x.sizes)), bucket, k) for x in (a, b))
+    pairs = list(T._through(fa, fb, T._least(t, k), own))
+    row, col = (np.concatenate([p[c] for p in pairs]) for c in range(2))
+    found = {(x, y): d for p in T._reaching(a, b, len(shared), row, col, t) for x, y, d in zip(*p, strict=True)}
+    dense = [np.zeros((len(x.sizes), len(shared))) for x in (a, b)]
+    for full, x in zip(dense, (a, b), strict=True):
+        full[x.row, x.at] = x.w
+    dots = dense[0] @ dense[1].T
+    want = {(x, y) for x, y in zip(*np.nonzero(dots >= t), strict=True) if x < y or not own}
+    assert set(found) == want and len(want) > 20 and all(d == pytest.approx(dots[p]) for p, d in found.items())
+    assert k < 300 or len(row) < 2 * len(want)
+
+
 def test_tries_of_kmeans_equal_their_own_rounds(spark):
     rng = np.random.default_rng(12)
     x = np.concatenate([rng.normal(size=(60, 3)) + c for c in ((0, 0, 0), (4, 0, 1), (0, 5, 2))])
